@@ -150,9 +150,10 @@ def class_edges(classes: DataFrame, lanes: int, radius: int, tile: int = TILE) -
         """A tile as one row: keys, marks and the ranges of its counts; no more than ``tile`` classes each."""
         from pyspark import TaskContext
 
-        whole = pa.Table.from_batches(list(batches))
-        if not whole.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        whole = pa.Table.from_batches(held)
         marks = np.stack([whole[n].to_numpy() for n in names], 1).view(np.uint64)
         keys = whole["key"].to_numpy()
         order = _order(marks)

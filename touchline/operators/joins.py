@@ -135,13 +135,13 @@ def retag_synthesised(tracks: DataFrame, events: DataFrame, fill: bool = False,
     """Ball rows without a pass that lie inside one get its id and phase; times stay null unless ``fill``. The first such
     pass wins, since it leaves nothing for a later one."""
     rows = tracks.withColumn("_row", F.monotonically_increasing_id())
-    e = events.select(F.col("match_id").alias("_m"), F.col("pass_id").alias("_pass"), F.col("departure_frame").alias("_dep"), F.col("arrival_frame").alias("_arr"), "outcome")
+    e = events.select(F.col("match_id").alias("_m"), F.col("pass_id").alias("_pass"), F.col("departure_frame").alias("_dep"), F.col("arrival_frame").alias("_arr"), F.col("outcome").alias("_out"))
     open_ = rows.filter((F.col("class_id") == BALL) & F.col("pass_id").isNull()).withColumn("_b", F.floor(F.col("frame") / BUCKET))
     hit = open_.join(_bucketed(e, "_dep", "_arr"), (F.col("match_id") == F.col("_m")) & (F.col("_b") == F.col("_bucket")) & F.col("frame").between(F.col("_dep"), F.col("_arr")))
-    first = hit.groupBy("_row").agg(F.min(F.struct("_pass", "_dep", "_arr", "outcome")).alias("_e"))
+    first = hit.groupBy("_row").agg(F.min(F.struct("_pass", "_dep", "_arr", "_out")).alias("_e"))
     out = rows.join(first, "_row", "left").withColumns({"pass_id": F.coalesce("pass_id", "_e._pass"), "pass_phase": F.when(F.col("_e").isNotNull(), "in_flight").otherwise(F.col("pass_phase"))})
     if fill:
-        new = {"departure_time": F.round(F.col("_e._dep") / fps, 3), "arrival_time": F.round(F.col("_e._arr") / fps, 3), "duration_s": F.round((F.col("_e._arr") - F.col("_e._dep")) / fps, 3), "outcome": F.col("_e.outcome")}
+        new = {"departure_time": F.round(F.col("_e._dep") / fps, 3), "arrival_time": F.round(F.col("_e._arr") / fps, 3), "duration_s": F.round((F.col("_e._arr") - F.col("_e._dep")) / fps, 3), "outcome": F.col("_e._out")}
         out = out.withColumns({k: F.coalesce(F.col(k), v) for k, v in new.items()})
     return out.drop("_row", "_e")
 

@@ -63,12 +63,20 @@ def test_estimated_reliabilities_order_labelers():
     truth = rng.random(5000) < 0.4
     vote = lambda right: np.where(rng.random(5000) < right, 1, -1) * np.where(truth, 1, -1)
     rows, n = np.unique(np.stack([vote(0.95), vote(0.8), vote(0.6)], 1), axis=0, return_counts=True)
-    tables, p = pii.estimate([(tuple(map(int, r)), int(c)) for r, c in zip(rows, n)])
-    right = [(t[1][0] + t[-1][1]) / 2 for t in tables]
+    right, p = pii.estimate([(tuple(map(int, r)), int(c)) for r, c in zip(rows, n)])
     assert right[0] > right[1] > right[2] > 0.5
     weights = pii.train([(list(map(int, r)), q, int(c)) for r, q, c in zip(rows, p, n)])
     assert weights[1] > weights[3] > 0
-    assert pii.train([]) == [] and pii.estimate([]) [1] == []
+    assert pii.train([]) == [] and pii.estimate([]) == ([], [])
+
+
+def test_added_spans_keep_the_labelers_meaning(spark):
+    good = [f'set token = "{hashlib.sha1(str(k).encode()).hexdigest()}" here' for k in range(30)]
+    bad = [f"number {4000000000000001 + 7 * k} in a text" for k in range(30)]
+    bad = [t for t in bad if not luhn(t.split()[1])] + ["just-some-long-hyphenated-words here 2024"] * 5
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)], "doc_id bigint, text string")
+    got = {r["doc_id"]: [x["text"] for x in r["_pii_added"]] for r in pii.find_spans(df).collect()}
+    assert all(len(got[k]) == 1 and len(got[k][0]) == 40 for k in range(len(good))) and not any(got[k] for k in range(len(good), len(df.collect())))
 
 
 def test_redaction(spark, odd, none):

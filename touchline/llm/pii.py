@@ -123,29 +123,26 @@ def candidates(text: Column) -> Column:
     return F.concat(*[tagged(k) for k in MORE])
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[dict[int, tuple[float, float]]], list[float]]:
-    """Expectation-maximisation over (votes, count): each labeler's P(vote | kind of truth), each pattern's P(personal).
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> tuple[list[float], list[float]]:
+    """Expectation-maximisation over (votes, count): how often each labeler is right where it votes, and each pattern's
+    probability of being personal.
 
-    The start is the majority vote; every estimate has one pseudo-count, so no labeler becomes certain.
+    Abstaining says nothing. A labeler starts at 0.8, counts as four votes of that, and stays between 0.55 and 0.99, so
+    that votes keep their meaning. A candidate for which no labeler speaks is taken as not personal.
     """
-    p = [1 / (1 + math.exp(-sum(v))) for v, _ in patterns]
-    tables: list[dict[int, tuple[float, float]]] = []
+    right = [0.8] * (len(patterns[0][0]) if patterns else 0)
+    prior, p = 0.5, []
     for _ in range(rounds):
-        yes = sum(q * n for q, (_, n) in zip(p, patterns))
-        no = sum((1 - q) * n for q, (_, n) in zip(p, patterns))
-        tables = []
-        for k in range(len(patterns[0][0]) if patterns else 0):
-            values = {v[k] for v, _ in patterns}
-            tables.append({x: (
-                (1 + sum(q * n for q, (v, n) in zip(p, patterns) if v[k] == x)) / (len(values) + yes),
-                (1 + sum((1 - q) * n for q, (v, n) in zip(p, patterns) if v[k] == x)) / (len(values) + no)) for x in values})
-        prior = (yes + 1) / (yes + no + 2)
-        after = []
+        p = []
         for v, _ in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(t[x][0] / t[x][1]) for t, x in zip(tables, v))
-            after.append(1 / (1 + math.exp(-max(-30, min(30, odds)))))
-        p = after
-    return tables, p
+            z = math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, right))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))) if 1 in v else min(0.05, prior))
+        for k in range(len(right)):
+            hits = sum(n * (q if v[k] > 0 else 1 - q) for q, (v, n) in zip(p, patterns) if v[k])
+            right[k] = min(0.99, max(0.55, (hits + 3.2) / (4 + sum(n for v, n in patterns if v[k]))))
+        total = sum(n for _, n in patterns)
+        prior = min(0.9, max(0.1, sum(q * n for q, (_, n) in zip(p, patterns)) / total)) if total else prior
+    return right, p
 
 
 def train(rows: list[tuple[list[int], float, int]], steps: int = STEPS) -> list[float]:
@@ -165,13 +162,13 @@ def train(rows: list[tuple[list[int], float, int]], steps: int = STEPS) -> list[
     return w
 
 
-def fit_spans(docs: DataFrame, text_col: str = "text") -> tuple[list[float], list[dict[int, tuple[float, float]]]]:
+def fit_spans(docs: DataFrame, text_col: str = "text") -> tuple[list[float], list[float]]:
     """(weights of the span classifier, reliabilities of the labelers) from all texts of ``docs``."""
     c = docs.select(F.explode(candidates(F.col(text_col).cast("string"))).alias("c")).select("c.*")
     named = {**votes(F.col("kind"), F.col("text"), F.col("before")), **features(F.col("kind"), F.col("text"), F.col("before"))}
     got = c.select(*[v.alias(k) for k, v in named.items()]).groupBy(*named).count().orderBy(*named).collect()  # bounded: a row a pattern
-    tables, p = estimate([(tuple(r[v] for v in VOTES), r["count"]) for r in got])
-    return train([([r[k] for k in (*VOTES, *FEATURES)], q, r["count"]) for r, q in zip(got, p)]), tables
+    right, p = estimate([(tuple(r[v] for v in VOTES), r["count"]) for r in got])
+    return train([([r[k] for k in (*VOTES, *FEATURES)], q, r["count"]) for r, q in zip(got, p)]), right
 
 
 def probability(weights: list[float], kind: Column, text: Column, before: Column) -> Column:

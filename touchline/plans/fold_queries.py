@@ -103,15 +103,21 @@ def _(v):
     return folds.densify_anchors(h.filter("frame % 30 = 1"), motion).withColumn("h2", F.col("h")[2])
 
 
+def noisy(t):
+    """Some rows under short-lived ids of mixed classes, as a tracker's fragments have them."""
+    junk = F.col("l_partkey") % 11 == 0
+    return t.withColumns({"display_track_id": F.when(junk & (F.col("class_id") != 0), 100 + F.col("l_partkey") % 37).otherwise(F.col("display_track_id")), "class_id": F.when(junk & (F.col("class_id") == 2) & (F.col("l_linenumber") % 2 == 0), 3).otherwise(F.col("class_id"))})
+
+
 @query("t9_auto_repair", "match_id frame display_track_id class_id new_id l_partkey l_linenumber", other="action")
 def _(v):
-    t = v.fx_tracks
+    t = noisy(v.fx_tracks)
     return folds.auto_repair(t, reports.class_purity(t), tie=TIE[1:])
 
 
 @query("j14_restitch_candidates", "match_id frame team_id junk_id clean_id gap", "dist")
 def _(v):
-    t = one(v)
+    t = noisy(one(v))
     flag = reports.class_purity(t).select("match_id", "display_track_id", "is_clean")
     t = t.join(flag, ["match_id", "display_track_id"])
     return joins.restitch_candidates(t.filter("NOT is_clean"), t.filter("is_clean"))
@@ -162,7 +168,7 @@ def _(v):
 
 @query("flow_auto_repair", "match_id display_track_id n_frames n_rows")
 def _(v):
-    return flows.repair_ids(v.fx_tracks, TIE)[1]
+    return flows.repair_ids(noisy(v.fx_tracks), TIE)[1]
 
 
 @query("flow_alias_map", "match_id frame display_track_id class_id")

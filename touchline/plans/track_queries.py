@@ -67,13 +67,14 @@ def _(v):
 
 def alias_rules(v):
     c, (i, cls), (a, b) = v.fx_alias_cells, p.parse_alias_cell(F.col("cell")), p.parse_frame_range(F.col("frame_range"))
-    return c.select("rule_no", i.alias("id"), cls.alias("cls"), "target", a.alias("fs"), b.alias("fe"))
+    target = (F.col("target") + F.when(F.col("rule_no") >= 20, 1).otherwise(0)) % 20  # ids with two rules get two targets
+    return c.select("rule_no", i.alias("id"), F.when(F.col("rule_no") >= 20, F.lit("")).otherwise(cls).alias("cls"), target.alias("target"), F.when(F.col("rule_no") < 20, a).alias("fs"), F.when(F.col("rule_no") < 20, b).alias("fe"))
 
 
 ALIAS = ONE + r""",
 r AS (SELECT rule_no, coalesce(TRY_CAST(regexp_extract(cell, '^GK\s*(\d+)', 1) AS BIGINT), TRY_CAST(regexp_extract(cell, '^(\d+)', 1) AS BIGINT)) AS id,
- CASE WHEN cell LIKE 'GK%' THEN 'GK' WHEN cell LIKE '%REF%' THEN 'REF' WHEN regexp_matches(cell, '^\d+\s*P$') THEN 'P' ELSE '' END AS cls, target,
- TRY_CAST(split_part(frame_range, '-', 1) AS BIGINT) AS fs, TRY_CAST(CASE WHEN contains(frame_range, '-') THEN split_part(frame_range, '-', 2) ELSE frame_range END AS BIGINT) AS fe FROM fx_alias_cells),
+ CASE WHEN rule_no >= 20 THEN '' WHEN cell LIKE 'GK%' THEN 'GK' WHEN cell LIKE '%REF%' THEN 'REF' WHEN regexp_matches(cell, '^\d+\s*P$') THEN 'P' ELSE '' END AS cls, (target + CASE WHEN rule_no >= 20 THEN 1 ELSE 0 END) % 20 AS target,
+ CASE WHEN rule_no < 20 THEN TRY_CAST(split_part(frame_range, '-', 1) AS BIGINT) END AS fs, CASE WHEN rule_no < 20 THEN TRY_CAST(CASE WHEN contains(frame_range, '-') THEN split_part(frame_range, '-', 2) ELSE frame_range END AS BIGINT) END AS fe FROM fx_alias_cells),
 w AS (SELECT *, display_track_id IN (4, 9) AS prot, CASE class_id WHEN 1 THEN 'GK' WHEN 2 THEN 'P' ELSE 'REF' END AS letter FROM t WHERE frame >= 50),
 c AS (SELECT w.match_id, w.frame, w.display_track_id, r.target, min(rule_no) AS rule_no FROM w JOIN r ON NOT prot AND w.display_track_id = r.id AND (r.cls = '' OR r.cls = letter) AND (fs IS NULL OR frame >= fs - 10) AND (fe IS NULL OR frame <= fe + 10) GROUP BY ALL),
 d AS (SELECT c.*, min(CASE WHEN abs(o.frame - w.frame) <= 12 THEN sqrt(((o.x1+o.x2)/2-(w.x1+w.x2)/2)**2 + ((o.y1+o.y2)/2-(w.y1+w.y2)/2)**2) END) AS near,
@@ -191,9 +192,8 @@ def _(v):
     return joins.match_boxes(*gt_pred(v))
 
 
-@query("j16_snap_to_vertex", T + " vertex", "vertex_dist", views="fx_tracks fx_vertices", sql="""
-SELECT * FROM (SELECT t.*, v.label AS vertex, sqrt((t.x_m-v.x_cm)**2+(t.y_m-v.y_cm)**2) AS vertex_dist, row_number() OVER (PARTITION BY match_id, frame, class_id, display_track_id, l_partkey, l_linenumber ORDER BY sqrt((t.x_m-v.x_cm)**2+(t.y_m-v.y_cm)**2), v.label) AS rn
-FROM fx_tracks t, fx_vertices v WHERE x_m IS NOT NULL) WHERE rn = 1""")
+@query("j16_snap_to_vertex", T + " vertex", "vertex_dist", views="fx_tracks fx_vertices", extra="pt AS (SELECT *, row_number() OVER () AS rid FROM fx_tracks WHERE x_m IS NOT NULL)", sql="""
+SELECT * FROM (SELECT t.*, v.label AS vertex, sqrt((t.x_m-v.x_cm)**2+(t.y_m-v.y_cm)**2) AS vertex_dist, row_number() OVER (PARTITION BY rid ORDER BY sqrt((t.x_m-v.x_cm)**2+(t.y_m-v.y_cm)**2), v.label) AS rn FROM pt t, fx_vertices v) WHERE rn = 1""")
 def _(v):
     return joins.snap_to_vertex(v.fx_tracks.filter("x_m IS NOT NULL").withColumns({"x_cm": F.col("x_m"), "y_cm": F.col("y_m")}), v.fx_vertices)
 

@@ -62,15 +62,15 @@ def fold(df: DataFrame, keys: list[str], order: list[str], state: Callable[[], o
     return ordered.groupBy(*keys).applyInPandas(run, schema)
 
 
-def iou(a: np.ndarray, b: np.ndarray) -> float:
+def iou(a: tuple, b: tuple) -> float:
     w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
     h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
     return w * h / union if union > 1e-6 else 0.0
 
 
-def xyxy(r: dict) -> np.ndarray:
-    return np.array([r["x1"], r["y1"], r["x2"], r["y2"]], float)
+def xyxy(r: dict) -> tuple[float, float, float, float]:
+    return r["x1"], r["y1"], r["x2"], r["y2"]
 
 
 # ---- T1: ball smoother ------------------------------------------------------------------------------------------
@@ -249,8 +249,8 @@ def suppress_overlaps(tracks: DataFrame, p: Params = DEFAULTS, bonus_col: str |
 class Officials:
     """Remembered officials by stable id: class, box, frame, streak; and the players kept in the last frame."""
 
-    memory: dict[int, tuple[int, np.ndarray, int, int]] = field(default_factory=dict)
-    players: dict[int, np.ndarray] = field(default_factory=dict)
+    memory: dict[int, tuple[int, tuple, int, int]] = field(default_factory=dict)
+    players: dict[int, tuple] = field(default_factory=dict)
 
 
 def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:

@@ -8,6 +8,7 @@ old one. ``assign_reason`` says which stage decided. Costs of a frame are matric
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -109,24 +110,30 @@ class Crowd:
     by_raw: dict[int, int] = field(default_factory=dict)
     next: int = 1
     frame: int = -(10**9)
-    boxes: list[tuple[int, np.ndarray]] = field(default_factory=list)
+    boxes: list[tuple[int, tuple]] = field(default_factory=list)
 
 
 class Detection:
     def __init__(self, r: dict):
         self.row, self.box = r, xyxy(r)
-        self.at = (self.box[:2] + self.box[2:]) / 2
+        self.at = np.array([(self.box[0] + self.box[2]) / 2, (self.box[1] + self.box[3]) / 2])
         self.raw = -1 if r["tracker_id"] is None else int(r["tracker_id"])
         self.look = None if r["appearance"] is None else np.asarray(r["appearance"], float)
         self.team = -1 if r["team_id"] is None else int(r["team_id"])
         self.id, self.reason = 0, ""
 
 
+def away(p: Person, d: Detection, frames: float) -> float:
+    """Pixels between a detection and where a person would be ``frames`` frames on."""
+    (x, y), (u, v), (a, b) = d.at.tolist(), p.velocity.tolist(), p.at.tolist()
+    return math.hypot(x - a - u * frames, y - b - v * frames)
+
+
 def cost(p: Person, d: Detection, frame: int, r: Rules) -> float:
     gap = frame - p.seen
     if gap < 0 or gap > r.relink_frames:
         return np.inf
-    far = float(np.linalg.norm(d.at - p.at - p.velocity * max(gap, 1)))
+    far = away(p, d, max(gap, 1))
     room = r.relink_px * min(2.6, 1 + 0.18 * max(gap, 1))
     if far > room:
         return np.inf
@@ -209,8 +216,7 @@ def stable_step(r: Rules) -> Step:
                 gap = frame - p.seen
                 if i in used or not 0 < gap <= window or frame <= p.lock_until or p.differs(d.team):
                     continue
-                there = p.at + p.velocity * max(0.0, 1 - gap / 40) * min(gap, 40)
-                norm = float(np.linalg.norm(d.at - there)) / (r.relink_px * min(3.2, 1 + 0.25 * gap))
+                norm = away(p, d, max(0.0, 1 - gap / 40) * min(gap, 40)) / (r.relink_px * min(3.2, 1 + 0.25 * gap))
                 if norm <= 1:
                     near.append((norm, i))
             near.sort()
@@ -224,7 +230,7 @@ def stable_step(r: Rules) -> Step:
                     gap = max(1, frame - p.seen)
                     if i not in used and gap >= r.reuse_gap:
                         look = p.distance(d.look)
-                        far = float(np.linalg.norm(d.at - p.at - p.velocity * gap)) / (r.relink_px * min(4.5, 1 + 0.35 * gap))
+                        far = away(p, d, gap) / (r.relink_px * min(4.5, 1 + 0.35 * gap))
                         scores.append((far + 0.35 * (r.unknown_app if look is None else look) + 0.008 * gap, i))
                 pick = min(scores)[1] if scores else min(((p.seen, i) for i, p in s.people.items() if i not in used), default=(0, None))[1]
                 if pick is not None:

@@ -161,16 +161,16 @@ def class_edges(classes: DataFrame, lanes: int, radius: int, tile: int = TILE) -
         for part, a in enumerate(range(0, len(keys), tile)):
             m = marks[a : a + tile]
             c = _counts(m)
-            row = [[TaskContext.get().partitionId() * 1_000_000 + part], [keys[a : a + tile].astype("<i8").tobytes()], [m.astype("<u8").tobytes()], [c.min(0).tolist()], [c.max(0).tolist()]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())))], ["tile", "keys", "marks", "lo", "hi"])
+            half = c[:, :4].sum(1)
+            row = [[TaskContext.get().partitionId() * 1_000_000 + part], [keys[a : a + tile].astype("<i8").tobytes()], [m.astype("<u8").tobytes()], [c.min(0).tolist()], [c.max(0).tolist()], [int(half.min())], [int(half.max())]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()))], ["tile", "keys", "marks", "lo", "hi", "ones_lo", "ones_hi"])
 
     dealt = classes.select("key", *names).repartitionByRange(tiles, *_tile_key(lanes)) if tiles > 1 else classes.select("key", *names).coalesce(1)
-    cuts = written(dealt.mapInArrow(cut, "tile bigint, keys binary, marks binary, lo array<int>, hi array<int>"), "simhash-tiles")
+    cuts = written(dealt.mapInArrow(cut, "tile bigint, keys binary, marks binary, lo array<int>, hi array<int>, ones_lo int, ones_hi int"), "simhash-tiles")
     # tiles meet on the population count of the first half, which their order makes nearly constant in a tile
-    half = lambda c: F.aggregate(F.slice(c, 1, 4), F.lit(0), lambda x, y: x + y)
-    ranges = cuts.select("tile", "lo", "hi")
-    a = ranges.withColumn("ones", F.explode(F.sequence(half("lo"), half("hi"))))
-    b = ranges.select(F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(half("lo") - radius, half("hi") + radius)).alias("ones"))
+    ranges = cuts.select("tile", "lo", "hi", "ones_lo", "ones_hi")
+    a = ranges.withColumn("ones", F.explode(F.sequence("ones_lo", "ones_hi")))
+    b = ranges.select(F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.col("ones_lo") - radius, F.col("ones_hi") + radius)).alias("ones"))
     gap = F.aggregate(F.arrays_zip("lo", "hi", "lo2", "hi2"), F.lit(0), lambda acc, x: acc + F.greatest(x["lo2"] - x["hi"], x["lo"] - x["hi2"], F.lit(0)))
     near = written(a.join(b, "ones").filter("tile <= tile2").filter(gap <= radius).select("tile", "tile2").distinct(), "simhash-pairs")
     left = near.join(cuts.select("tile", "keys", "marks"), "tile").select("tile", "tile2", "keys", "marks")

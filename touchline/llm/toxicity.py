@@ -1,7 +1,9 @@
 """Operator 7: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
 
 Terms are the lower-cased runs of letters, and their beginnings of four and five letters (for inflected words), that
-differ most between toxic and other labelled texts (chi-square); their document frequencies are counted over all texts. The labelled examples stand in an inverted index whose postings are
+set toxic texts apart: at least three times as frequent in them as in other labelled texts, and largest in
+chi-square. (Words that are merely a little more frequent would give every text some weight and blur the neighbours.)
+Their document frequencies are counted over all texts. The labelled examples stand in an inverted index whose postings are
 cut into blocks of ``BLOCK`` examples with the largest weight of each term: a query adds up these maxima to bound each
 block, scores blocks from the highest bound on, and stops when the k-th best cosine exceeds every bound left, so the
 k nearest are exact. Votes weigh by distance; isotonic calibration on leave-one-out votes makes scores probabilities,
@@ -31,6 +33,8 @@ from .common import table, written
 
 #: About so many labelled rows teach; terms, least chi-square and least number of labelled texts of a term.
 LABELLED, TERMS, LEAST_CHI2, LEAST_TEXTS = 20_000, 2_000, 30.0, 3
+#: Least share of toxic texts with a term, in multiples of the share of other texts.
+LEAST_LIFT = 3.0
 #: Neighbours, examples a block, pseudo-votes of the overall share, distance added to each, evidence kept.
 K, BLOCK, PRIOR, NEAR, EVIDENCE = 15, 64, 0.5, 0.05, 3
 CUT = 0.3
@@ -74,7 +78,7 @@ def choose_terms(texts: DataFrame, most: int = TERMS) -> list[str]:
     a, b, na, nb = F.col("n1").cast("double"), F.col("n0").cast("double"), float(whole["n1"]), float(whole["n0"])
     n, df = na + nb, a + b
     chi2 = n * (a * (nb - b) - b * (na - a)) ** 2 / (df * (n - df) * na * nb)
-    best = sums.filter((F.col("term") != "") & (df >= LEAST_TEXTS) & (df < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
+    best = sums.filter((F.col("term") != "") & (df >= LEAST_TEXTS) & (df < n) & (a * nb >= LEAST_LIFT * b * na)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
     return [r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(most).collect()]
 
 
@@ -86,7 +90,7 @@ def count_terms(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: s
         for batch in batches:
             t, n = [], []
             for text in batch["text"]:
-                found = sorted(Counter([place[w] for w in terms(text.as_py()) if w in place]).items())
+                found = sorted((place[w], k) for w, k in Counter(filter(place.__contains__, terms(text.as_py()))).items())
                 t.append([a for a, _ in found])
                 n.append([b for _, b in found])
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(t, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["id", "t", "n"])
@@ -139,9 +143,9 @@ class BlockMaxIndex:
             for term, weight in zip(at, w):
                 lo = np.searchsorted(self.run, term * self.blocks + some)
                 hi = np.searchsorted(self.run, term * self.blocks + some, "right")
-                for b in np.flatnonzero(hi > lo):
-                    p = slice(lo[b], hi[b])
-                    score[self.example[p] - some[b] * BLOCK + b * BLOCK] += weight * self.weight[p]
+                n = hi - lo
+                p = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)  # the blocks' postings, one run after the other
+                score[self.example[p] + np.repeat((np.arange(len(some)) - some) * BLOCK, n)] += weight * self.weight[p]
             hit = np.flatnonzero(score > 0)
             place = some[hit // BLOCK] * BLOCK + hit % BLOCK
             if but is not None:

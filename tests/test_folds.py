@@ -131,7 +131,7 @@ def test_gallery_and_distance():
     one = stable_ids.Person(np.zeros(2), 0, 1)
     for look in (A, A, A, A, A, B):
         one.show(np.array(look), stable_ids.PLAYERS)
-    assert len(one.gallery) == 5 and one.distance(None) is None
+    assert len(one.looks) == 1 + 5 and one.distance(None) is None
     assert 0 < one.distance(np.array(A)) < one.distance(np.array([0.0, 0.0, 1.0]))
 
 

@@ -63,8 +63,7 @@ class Person:
     seen: int
     raw: int
     velocity: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    look: np.ndarray | None = None
-    gallery: list[np.ndarray] = field(default_factory=list)
+    looks: np.ndarray | None = None  # the average look, then the gallery
     team: int = -1
     votes: int = 0
     lock_until: int = -1
@@ -85,21 +84,22 @@ class Person:
 
     def distance(self, look: np.ndarray | None) -> float | None:
         """Three quarters of the best, one quarter of the mean half distance to the average look and the gallery."""
-        if look is None or self.look is None:
+        if look is None or self.looks is None:
             return None
-        d = np.linalg.norm(np.stack([self.look, *self.gallery]) - look, axis=1) / 2
+        d = np.sqrt(((self.looks - look) ** 2).sum(1)) / 2
         return float(0.75 * d.min() + 0.25 * d.mean())
 
     def show(self, look: np.ndarray | None, r: Rules) -> None:
         if look is None:
             return
-        if len(self.gallery) < 4 or min(np.linalg.norm(g - look) / 2 for g in self.gallery) >= r.gallery_step:
-            self.gallery = [*self.gallery, look][-r.gallery :]
-        if self.look is None:
-            self.look = look
-        else:
-            mixed = r.app_keep * self.look + (1 - r.app_keep) * look
-            self.look = mixed / max(float(np.linalg.norm(mixed)), 1e-6)
+        if self.looks is None:
+            self.looks = np.stack([look, look])
+            return
+        gallery = self.looks[1:]
+        if len(gallery) < 4 or np.sqrt(((gallery - look) ** 2).sum(1)).min() / 2 >= r.gallery_step:
+            self.looks = np.concatenate([self.looks[:1], gallery[max(0, len(gallery) + 1 - r.gallery) :], look[None]])
+        mixed = r.app_keep * self.looks[0] + (1 - r.app_keep) * look
+        self.looks[0] = mixed / max(math.sqrt(float(mixed @ mixed)), 1e-6)
 
 
 @dataclass

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import table, written
+
 #: Rules of the registered query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,12 +68,11 @@ def filter_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     full = _digest(F.concat_ws("\n", "suffix", "prefix"))
     hits = expressions.select("host", "head", full.alias("digest"), _short(full).alias("short")).join(hashed_rules(rules).withColumnRenamed("digest", "rule_digest"), "short").filter(F.col("digest") == F.col("rule_digest"))
     best = hits.groupBy("host", "head").agg(F.max(F.struct(F.length("rule").alias("n"), "host_len", "rule", "verdict")).alias("best"))
+    best = written(best, "url-rules")  # a plain table on the right lets Spark split a hot pair's URLs in the join
     return pages.join(best, ["host", "head"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS r(host, path, verdict)")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 

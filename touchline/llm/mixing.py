@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, table, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -105,8 +105,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

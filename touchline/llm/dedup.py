@@ -1,14 +1,17 @@
-"""Near-duplicate removal for the pipeline: SimHash candidates, confirmed by exact similarity of shingle sets.
+"""Near-duplicate removal for the pipeline: SimHash candidates, links confirmed by exact similarity of shingle sets.
 
-Fingerprints of 128 bits over five-word shingles link texts within 30 bits, where texts of Jaccard similarity 0.8 differ in
-19.4 bits on average (standard deviation 4.1), so 99.6 % of such pairs are linked, and unrelated ones about once in
-a billion pairs. Inside each linked component the smallest id leads: texts with a similarity of 0.8 or more to it are its copies and
-go; those left over choose their next leader, until none is left. A text is dropped only for a kept one that
-is that similar, so no chain of small changes removes anything.
+Fingerprints of 128 bits over five-word shingles link texts within 30 bits: texts of Jaccard similarity 0.8 differ in
+19.4 bits on average (standard deviation 4.1), so 99.6 % of such pairs are candidates, and unrelated texts about once in
+a billion pairs. A candidate pair is a link if its shingle sets have a Jaccard similarity of 0.8 or more; of each
+group that links connect, the smallest id stays.
 
-Rows: a member meets one leader a round, never all others of its group. Defined results as in ``simhash``: texts
-without words are alike; fewer than five words count as one shingle; rows that share an id
-stay or go together, and a row is never a copy of one with the same id.
+Candidates are compared inside their components only. Small components share a task; a component of more than ``BLOCK``
+texts is cut into blocks by a hash of the id and every pair of blocks is a task, so no task holds more than two blocks.
+A task skips pairs that are already connected, sieves the rest by 128 min-hashes and confirms exactly what it joins;
+it returns a spanning forest, never the pairs of a group. Star contraction connects the forests.
+
+Defined results as in ``simhash``: texts without words are alike; fewer than five words count as one shingle; rows that
+share an id stay or go together, and a row is never a copy of one with the same id; null ids stay.
 """
 
 from __future__ import annotations
@@ -22,53 +25,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .simhash import near_duplicates, shingles
+from .simhash import components, links, near_duplicates, shingles
 
-WORDS, LANES, RADIUS, SIMILARITY = 5, 2, 30, 0.8
+WORDS, LANES, RADIUS, SIMILARITY, BLOCK = 5, 2, 30, 0.8, 4096
+#: Min-hashes of the sieve, and how far below the similarity their share may lie (over three standard deviations).
+HASHES, SLACK = 128, 0.12
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, grp, s): sorted distinct 64-bit hashes of a text's shingles, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.array([xxhash.xxh64_intdigest(x, 7) for x in shingles(t.as_py() or "", words)], "<u8")).tobytes() for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["grp"], pa.array(sets, pa.binary())], ["id", "grp", "s"])
-
-    return docs.mapInArrow(run, "id bigint, grp bigint, s binary")
-
-
-def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(id, grp, lead, s, copy): whether the set reaches the similarity with its leader's."""
+    """Adds ``s``, the sorted distinct 32-bit hashes of a text's shingles as bytes, and drops the text (the first column)."""
+    names = [*docs.columns[1:], "s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for s, t in zip(batch["s"], batch["t"]):
-                a, b = np.frombuffer(s.as_py(), "<u8"), np.frombuffer(t.as_py(), "<u8")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(both >= similarity * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "grp", "lead", "s")), pa.array(out, pa.bool_())], ["id", "grp", "lead", "s", "copy"])
-
-    return pairs.mapInArrow(run, "id bigint, grp bigint, lead bigint, s binary, copy boolean")
-
-
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, lead) of the rows to drop, and the kept row that each is a copy of."""
-    linked = near_duplicates(docs, id_col, text_col, WORDS, RADIUS, LANES).select(F.col(id_col).alias("id"), F.col("component_id").alias("grp"))
-    groups = linked.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp")
-    members = written(linked.join(groups, "grp").select("id", "grp"), "dedup-members")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(members, "id").select("id", "grp", "text")
-    left = written(shingle_sets(texts), "dedup-sets", compression="uncompressed")
-    dropped = None
-    while True:
-        leads = written(left.groupBy("grp").agg(F.min(F.struct("id", F.col("s").alias("t"))).alias("m")).select("grp", F.col("m.id").alias("lead"), F.col("m.t").alias("t")), "dedup-leads", compression="uncompressed")
-        judged = written(_alike(left.join(leads, "grp").filter("id != lead").select("id", "grp", "lead", "s", "t"), similarity), "dedup-judged", compression="uncompressed")
-        found = judged.filter("copy").select("id", "lead")
-        dropped = found if dropped is None else dropped.unionByName(found)
-        left = judged.filter("NOT copy").select("id", "grp", "s")
-        if left.isEmpty():
-            return dropped
+            sets = [np.unique(np.array([xxhash.xxh32_intdigest(x, 7) for x in shingles(t.as_py() or "", words)], "<u4")).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names)
+
+    return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]) + ", s binary")
+
+
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(1, 1 << 32, HASHES, np.uint64) | np.uint64(1), rng.integers(0, 1 << 32, HASHES, np.uint64)
+    out = np.zeros((len(sets), HASHES), np.uint16)
+    for k, s in enumerate(sets):
+        best = np.full(HASHES, (1 << 64) - 1, np.uint64)
+        for at in range(0, len(s), 4096):
+            best = np.minimum(best, (s[at : at + 4096, None].astype(np.uint64) * a + b << np.uint64(16)).min(0))
+        out[k] = best >> np.uint64(24)
+    return out
+
+
+def similar_forest(ids: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], split: int | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges (larger id, smaller id) that connect what confirmed links connect. Rows before ``split`` are compared with
+    those from it on; None: all with all."""
+    parent, sketch, edges = np.arange(len(ids)), _sketches(sets), []
+    pairs = links(marks, None, radius) if split is None else ((i, j + split) for i, j in links(marks[:split], marks[split:], radius))
+
+    def flat() -> None:
+        nonlocal parent
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+    for i, j in pairs:
+        apart = (parent[i] != parent[j]) & (ids[i] != ids[j])
+        i, j = i[apart], j[apart]
+        share = (sketch[i] == sketch[j]).mean(1)
+        order = np.argsort(-share, kind="stable")[: int((share >= similarity - SLACK).sum())]
+        i, j = i[order], j[order]
+        while len(i):
+            x, y = i[0], j[0]
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both >= similarity * (len(sets[x]) + len(sets[y]) - both):
+                edges.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+                parent[parent == parent[y]] = parent[x]
+                keep = parent[i] != parent[j]
+                i, j = i[keep], j[keep]
+            else:
+                i, j = i[1:], j[1:]
+        flat()
+    return edges
+
+
+def similar_links(members: DataFrame, lanes: int = LANES, radius: int = RADIUS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(src, dst), dst < src, from (id, task, blocks, blk, f0 .., s)."""
+    names = [f"f{k}" for k in range(lanes)]
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tasks = members.withColumn("_o", other).select("id", "task", F.least("blk", "_o").alias("a"), F.greatest("blk", "_o").alias("b"), "blk", *names, "s")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("blk", "ascending"), ("id", "ascending")])
+        first = t["blk"].to_numpy()
+        split = None if t["a"][0].as_py() == t["b"][0].as_py() else int((first == first[0]).sum())
+        marks = np.stack([t[n].to_numpy() for n in names], 1).view(np.uint64)
+        if split == len(first):
+            edges = []  # the other block is empty
+        else:
+            edges = similar_forest(t["id"].to_numpy(), marks, [np.frombuffer(s.as_py(), "<u4") for s in t["s"]], split, radius, similarity)
+        return pa.table({"src": pa.array([e[0] for e in edges], pa.int64()), "dst": pa.array([e[1] for e in edges], pa.int64())})
+
+    return tasks.groupBy("task", "a", "b").applyInArrow(run, "src bigint, dst bigint")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(id, lead) of the rows to drop, and the kept row of their group."""
+    named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
+    names = [f"f{k}" for k in range(LANES)]
+    linked = written(near_duplicates(named, "id", "text", WORDS, RADIUS, LANES).select("id", *names, F.col("component_id").alias("grp")), "dedup-linked")
+    groups = written(linked.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "dedup-groups")
+    shared = max(1, (groups.filter(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0) // block)
+    small = F.col("n") <= block
+    # small components share tasks (named by negative numbers), large ones have their own and are cut into blocks
+    place = groups.select("grp", F.when(small, -1 - F.pmod(F.xxhash64("grp"), F.lit(shared))).otherwise(F.col("grp")).alias("task"), F.when(small, 1).otherwise(F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
+    members = linked.join(place, "grp").select("id", "task", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("blk"), *names)
+    members = written(members, "dedup-members")
+    sets = shingle_sets(named.join(members, "id").select("text", *members.columns))
+    edges = similar_links(written(sets, "dedup-sets", compression="uncompressed"), similarity=similarity, block=block)
+    return components(edges).select(F.col("key").alias("id"), F.col("root").alias("lead"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -2,17 +2,19 @@
 
 The tokenizer drops white space and never joins what it divides, so a text's ids are those of its words in turn. Words
 recur; each worker keeps the ids of words and of the pieces between letters, digits and signs, and asks the
-``tokenizers`` library for new pieces only. Caches are emptied when full: they change speed, never ids.
+``tokenizers`` library for new pieces only. A full cache becomes the old generation, from which what recurs is taken
+over, and the generation before is dropped: caches change speed, never ids.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
-#: Entries of each cache of a worker (words, pieces); about 100 bytes each.
-CACHE = 400_000
+#: Entries of a generation of each cache of a worker, two generations each; about 200 bytes an entry.
+WORDS, PIECES = 300_000, 450_000
 #: The tokenizer's own division of lower-case ASCII words (fixed value of the vocabulary file).
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -28,6 +30,8 @@ class WordTokenizer:
             raise ValueError("ids need more than 16 bits")
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _new(self, word: str) -> bytes:
         t = self.tokenizer
@@ -41,7 +45,11 @@ class WordTokenizer:
         for part in parts:
             got = self.pieces.get(part)
             if got is None:
-                got = self.pieces[part] = np.array([x.id for x in t.model.tokenize(part)], "<u2").tobytes()
+                got = self.old_pieces.get(part)
+                if got is None:
+                    ids = [x.id for x in t.model.tokenize(part)]
+                    got = struct.pack(f"<{len(ids)}H", *ids)
+                self.pieces[part] = got
             out.append(got)
         return b"".join(out)
 
@@ -52,11 +60,14 @@ class WordTokenizer:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > CACHE or len(self.pieces) > CACHE:
-            known = self.words = {"": b""}
-            self.pieces = {}
+        if len(known) > WORDS:
+            self.old_words, known = known, {"": b""}
+            self.words = known
+        if len(self.pieces) > PIECES:
+            self.old_pieces, self.pieces = self.pieces, {}
+        old = self.old_words
         for w in set(words).difference(known):
-            known[w] = self._new(w)
+            known[w] = old[w] if w in old else self._new(w)
         return b"".join([known[w] for w in words])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, pii, quality, rans, simhash, toxicity, url_filters
+from . import media, mixing, packing, pii, quality, rans, simhash, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_warc_derivatives": warc.op6_warc_derivatives,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_rans": rans.op8_rans,
     "op9_pii": pii.op9_pii,

@@ -180,6 +180,19 @@ def test_without_copies(spark, documents, texts, odd, none):
     assert dedup.without_copies(none).count() == 0
 
 
+def test_copies_with_a_repeated_footer(spark, texts):
+    words = " ".join(texts.values()).split()
+    made, size, footer = {}, 0, "read more about this and other things on our page"
+    for k, n in enumerate((400, 400, 700, 1000)):
+        base = " ".join(words[size : size + n])
+        size += n
+        for j, times in enumerate((0, 10, 20, 50)):
+            made[10 * k + j] = base + f" {footer}" * times
+    assert all(jaccard(made[10 * k], made[10 * k + j]) >= 0.8 for k in range(4) for j in range(1, 4))
+    df = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    assert {r["id"]: r["lead"] for r in dedup.copies(df).collect()} == {i: i // 10 * 10 for i in made if i % 10}
+
+
 def test_pipeline(spark, sf, odd, none, tmp_path):
     rows = corpus_pipeline.run(spark, sf)
     assert rows.columns[0] == "doc_id" and rows.count() > 0

@@ -1,6 +1,6 @@
 """Near-duplicate removal for the pipeline: SimHash candidates, links confirmed by exact similarity of shingle sets.
 
-Fingerprints of 128 bits over five-word shingles link texts within 30 bits: texts of Jaccard similarity 0.8 differ in
+Fingerprints of 128 bits over the distinct five-word shingles link texts within 30 bits: texts of Jaccard similarity 0.8 differ in
 19.4 bits on average (standard deviation 4.1), so 99.6 % of such pairs are candidates, and unrelated texts about once in
 a billion pairs. A candidate pair is a link if its shingle sets have a Jaccard similarity of 0.8 or more; of each
 group that links connect, the smallest id stays.
@@ -111,7 +111,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     """(id, lead) of the rows to drop, and the kept row of their group."""
     named = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
     names = [f"f{k}" for k in range(LANES)]
-    linked = written(near_duplicates(named, "id", "text", WORDS, RADIUS, LANES).select("id", *names, F.col("component_id").alias("grp")), "dedup-linked")
+    linked = written(near_duplicates(named, "id", "text", WORDS, RADIUS, LANES, distinct=True).select("id", *names, F.col("component_id").alias("grp")), "dedup-linked")
     groups = written(linked.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"), "dedup-groups")
     shared = max(1, (groups.filter(F.col("n") <= block).agg(F.sum("n")).first()[0] or 0) // block)
     small = F.col("n") <= block

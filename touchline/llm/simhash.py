@@ -1,7 +1,7 @@
 """Operator 10: near-duplicates by SimHash, all pairs within a radius found exactly, in tiles.
 
-Fingerprints: XXH64 (seed 42, then 43 for further 64-bit lanes) of each word shingle, repeats included; a bit is set
-if it is set in over half of the hashes. Texts with the same fingerprint form one class, so copies cost nothing.
+Fingerprints: XXH64 (seed 42, then 43 for further 64-bit lanes) of each word shingle, repeats included (the pipeline
+counts each once); a bit is set if it is set in over half of the hashes. Texts with the same fingerprint form one class, so copies cost nothing.
 Classes are put in order of the population counts of a fingerprint's halves, quarters and bytes, and cut into
 tiles. Since two fingerprints differ in at least as many bits as their population counts differ, summed over the bytes,
 a pair of tiles whose count ranges lie farther apart than the radius is skipped; so are pairs of small blocks inside a
@@ -57,13 +57,14 @@ def fingerprint(pieces: list[bytes], lanes: int = 1, step: int = 1 << 14) -> lis
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, lanes: int = 1) -> DataFrame:
-    """(id, f0 .. f<lanes - 1>): fingerprints as signed 64-bit numbers. No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """(id, f0 .. f<lanes - 1>): fingerprints as signed 64-bit numbers; ``distinct``: repeats of a shingle count once. No shuffle."""
     names = [f"f{i}" for i in range(lanes)]
+    pieces = (lambda t: list(set(shingles(t, words)))) if distinct else lambda t: shingles(t, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(shingles(t.as_py() or "", words), lanes) for t in batch["text"]], np.uint64).reshape(-1, lanes).view(np.int64)
+            marks = np.array([fingerprint(pieces(t.as_py() or ""), lanes) for t in batch["text"]], np.uint64).reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(marks[:, i]) for i in range(lanes))], ["id", *names])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -215,10 +216,10 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, lanes: int = 1, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, lanes: int = 1, tile: int = TILE, distinct: bool = False) -> DataFrame:
     """(id, f0 .., component_id) for every row: the smallest id that its fingerprint reaches by links within the radius."""
     names = [f"f{i}" for i in range(lanes)]
-    marks = written(fingerprints(docs, id_col, text_col, words, lanes), "simhash-marks")
+    marks = written(fingerprints(docs, id_col, text_col, words, lanes, distinct), "simhash-marks")
     classes = written(marks.groupBy(*names).agg(F.min("id").cast("bigint").alias("key")).filter("key IS NOT NULL"), "simhash-classes")
     roots = components(class_edges(classes, lanes, radius, tile))
     found = classes.join(roots, "key", "left").select(*names, F.coalesce("root", "key").alias("component_id"))

@@ -26,6 +26,16 @@ def test_word_cache_gives_the_library_s_ids(texts):
         assert np.frombuffer(own.ids(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_ascii_character_in_a_word():
+    library, own = Tokenizer.from_file(vocabulary()), WordTokenizer(vocabulary())
+    wrong = []
+    for c in map(chr, range(128)):
+        for text in (f"abc{c}def", f"x{c}", f"{c}y", f"!{c}?", f"1{c}2", f"é{c}a", f"one t{c}wo{c}{c} '{c}s", c):
+            if np.frombuffer(own.ids(text), "<u2").tolist() != library.encode(text, add_special_tokens=False).ids:
+                wrong.append(text)
+    assert not wrong
+
+
 def test_media_round_trip(odd, none):
     read = media.media_columns(media.text_media(odd), keep=("doc_id", "n_bytes"), payload=True)
     rows = read.collect()

@@ -37,7 +37,7 @@ class WordTokenizer:
         t = self.tokenizer
         if "<|" in word:  # may hold a special token
             return np.array(t.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
-        if word.isascii():
+        if word.isascii() and word.isprintable():  # control characters need the byte-level step
             parts = PIECE.findall(word.lower())
         else:
             parts = [p for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word))]

@@ -184,3 +184,18 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r["score"] for r in toxicity.score_toxicity(odd, empty).collect()] == [0.0] * len(TEXTS)
     assert toxicity.score_toxicity(none, spark.read.parquet(f"{sf}/labels.parquet")).count() == 0
+
+
+def test_toxic_rows_of_all_languages(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.op7_toxicity(spark, sf).filter("held_out").collect()}
+    toxic = [r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic > 0").collect() if r["doc_id"] in got]
+    assert sum(got[i] for i in toxic) >= 0.8 * len(toxic)
+
+
+def test_common_words_count(spark):
+    rows = [(k, f"{'good' if k % 2 else 'fair'} day number{'abcdefghij'[k % 10]} all", int(k % 2 == 0)) for k in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "all that is new"), (101, "123")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert got[100]["evidence"] and 0 < got[100]["evidence"][0]["similarity"] < 0.5 and not got[101]["evidence"]

@@ -1,42 +1,43 @@
-"""Operator 7: toxicity by nearest labelled examples, exact TF-IDF cosine over a block-max inverted index.
-
-Terms are the lower-cased runs of letters, and their beginnings of four and five letters (for inflected words), that
-set toxic texts apart: at least three times as frequent in them as in other labelled texts, and largest in
-chi-square. (Words that are merely a little more frequent would give every text some weight and blur the neighbours.)
-Their document frequencies are counted over all texts. The labelled examples stand in an inverted index whose postings are
-cut into blocks of ``BLOCK`` examples with the largest weight of each term: a query adds up these maxima to bound each
-block, scores blocks from the highest bound on, and stops when the k-th best cosine exceeds every bound left, so the
-k nearest are exact. Votes weigh by distance; isotonic calibration on leave-one-out votes makes scores probabilities,
+"""Operator 7: toxicity by nearest labelled examples, exact TF-IDF cosine of whole texts over an inverted index.
+
+Terms are the lower-cased runs of letters, and their beginnings of four and five letters (for inflected words). All of
+them count: a term weighs its inverse document frequency among the labelled texts, times one plus the root of its
+chi-square if toxic texts have it more often, so what sets toxic texts apart stands out but nothing is left out. Terms
+that no labelled text has weigh like those of one, and lengthen the vector. The labelled examples stand in an inverted
+index; the postings of the most common terms are a matrix and the others are gathered, every example is scored, so
+the k nearest are exact. Votes weigh by distance; isotonic calibration on leave-one-out votes makes scores probabilities,
 and the nearest examples are returned as evidence.
 
-Examples and terms come from at most about ``LABELLED`` labelled rows (chosen by a hash of the id) and ``TERMS``
-terms, which bounds the index that is broadcast; every text is scored whole. One pass over the labelled texts and
+Examples and terms come from at most about ``LABELLED`` labelled rows (chosen by a hash of the id), which bounds the
+vocabulary and the index that are broadcast; every text is scored whole. Two passes over the labelled texts and
 one over all texts; no text is shuffled.
 
-Defined results: null and empty texts, and texts without any of the terms, get the calibrated share of toxic examples
-among those without terms. Ties in similarity go to the smaller example id. Repeated rows are scored row for row.
+Defined results: null and empty texts, and texts without letters, get the calibrated share of toxic examples among
+those without letters; texts that share no term with an example get the share among all. Ties in similarity go to the smaller example id. Repeated rows are scored row for row.
 Without labels of both kinds every score is the share of toxic labels (0 if there are none). Null labels are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: About so many labelled rows teach; terms, least chi-square and least number of labelled texts of a term.
-LABELLED, TERMS, LEAST_CHI2, LEAST_TEXTS = 20_000, 2_000, 30.0, 3
-#: Least share of toxic texts with a term, in multiples of the share of other texts.
-LEAST_LIFT = 3.0
-#: Neighbours, examples a block, pseudo-votes of the overall share, distance added to each, evidence kept.
-K, BLOCK, PRIOR, NEAR, EVIDENCE = 15, 64, 0.5, 0.05, 3
+#: About so many labelled rows teach.
+LABELLED = 20_000
+#: Neighbours, terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
+K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 512, 64, 0.5, 0.05, 3
 CUT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of beginnings; they are marked with a hyphen.
@@ -60,8 +61,8 @@ def teaching_rows(labels: DataFrame, id_col: str, label_col: str, labelled: int)
     return written(known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) / share)).groupBy("id").agg(F.max("y").alias("y")), "toxic-labels")
 
 
-def choose_terms(texts: DataFrame, most: int = TERMS) -> list[str]:
-    """The terms of (text, y) rows with the largest chi-square between the two kinds of texts."""
+def weigh_terms(texts: DataFrame) -> tuple[list[str], np.ndarray, float]:
+    """All terms of (text, y) rows, their weights, and the weight of a term that none of the rows has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,95 +75,127 @@ def choose_terms(texts: DataFrame, most: int = TERMS) -> list[str]:
     sums = written(texts.mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-terms")
     whole = sums.filter("term = ''").first()  # every text has the empty term once
     if not whole or not whole["n0"] or not whole["n1"]:
-        return []
-    a, b, na, nb = F.col("n1").cast("double"), F.col("n0").cast("double"), float(whole["n1"]), float(whole["n0"])
+        return [], np.zeros(0), 1.0
+    got = sums.filter("term != ''").toArrow().sort_by("term")  # the terms of ``labelled`` texts
+    b, a, nb, na = got["n0"].to_numpy().astype(float), got["n1"].to_numpy().astype(float), float(whole["n0"]), float(whole["n1"])
     n, df = na + nb, a + b
-    chi2 = n * (a * (nb - b) - b * (na - a)) ** 2 / (df * (n - df) * na * nb)
-    best = sums.filter((F.col("term") != "") & (df >= LEAST_TEXTS) & (df < n) & (a * nb >= LEAST_LIFT * b * na)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    return [r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(most).collect()]
+    chi2 = n * (a * (nb - b) - b * (na - a)) ** 2 / (df * np.maximum(n - df, 0.5) * na * nb)
+    idf = lambda df: np.log((1 + n) / (1 + df)) + 1
+    return got["term"].to_pylist(), idf(df) * (1 + np.sqrt(chi2) * (a * nb > b * na)), float(idf(1))
 
 
-def count_terms(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, t array<int>, n array<int>): which of the terms a text has, and how often; ascending terms."""
-    place = {w: i for i, w in enumerate(vocabulary)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t, n = [], []
-            for text in batch["text"]:
-                found = sorted((place[w], k) for w, k in Counter(filter(place.__contains__, terms(text.as_py()))).items())
-                t.append([a for a, _ in found])
-                n.append([b for _, b in found])
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(t, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["id", "t", "n"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, t array<int>, n array<int>")
+def count_terms(text: str | None, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Which of the known terms a text has, ascending, and how often; and the squared length of its other terms."""
+    counts = Counter(terms(text))
+    found = sorted((at, n) for at, n in ((place.get(w, -1), n) for w, n in counts.items()) if at >= 0)
+    rest = sum((1 + math.log(n)) ** 2 for w, n in counts.items() if w not in place) if len(found) < len(counts) else 0.0
+    both = np.array(found, np.int32).reshape(-1, 2)
+    return both[:, 0], both[:, 1], rest
 
 
 class BlockMaxIndex:
-    """Examples as sparse unit vectors; ``nearest`` finds the k of largest cosine, exactly."""
+    """Examples as sparse unit vectors; ``nearest`` finds the k of largest cosine, exactly. Every example is scored."""
 
-    def __init__(self, ids: list, labels: list[int], vectors: list[tuple[list[int], list[int]]], idf: np.ndarray):
-        self.idf = idf
-        full = [k for k, (t, _) in enumerate(vectors) if t]
-        full.sort(key=lambda k: (vectors[k][0], ids[k]))  # like examples share blocks, so bounds are tight
+    def __init__(self, ids: list, labels: list[int], vectors: list[tuple], idf: np.ndarray, unseen: float = 1.0):
+        self.idf, self.unseen = idf, unseen
+        full = sorted((k for k, v in enumerate(vectors) if len(v[0])), key=lambda k: ids[k])
         self.ids = np.array([ids[k] for k in full], np.int64)
         self.labels = np.array([labels[k] for k in full], np.float64)
-        bare = [labels[k] for k, (t, _) in enumerate(vectors) if not t]
+        bare = [labels[k] for k, v in enumerate(vectors) if not len(v[0])]
         self.share = sum(labels) / max(1, len(labels))
         self.bare = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
-        rows = [self.unit(*vectors[k]) for k in full]
-        self.blocks = -(-len(full) // BLOCK)
-        self.maxima = np.zeros((len(idf), self.blocks), np.float32)
-        term = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-        example = np.repeat(np.arange(len(full)), [len(r[0]) for r in rows])
-        order = np.lexsort((example, term))
-        self.term, self.weight, self.example = term[order], weight[order], example[order]
-        np.maximum.at(self.maxima, (self.term, self.example // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(2)))
-        # postings of (term, block) stand in one run, found by its number
-        self.run = self.term * max(1, self.blocks) + self.example // BLOCK
-
-    def unit(self, t: list[int], n: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array(t, np.int64)
-        w = (1 + np.log(np.array(n, np.float64))) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
-
-    def nearest(self, t: list[int], n: list[int], k: int = K, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        lengths = [len(vectors[k][0]) for k in full]
+        term, count = np.zeros(sum(lengths), np.int32), np.zeros(sum(lengths), np.uint32)
+        self.length = np.ones(len(full))
+        for row, (a, k) in enumerate(zip(np.cumsum([0, *lengths]), full)):
+            t, n, *rest = vectors[k]
+            term[a : a + len(t)], count[a : a + len(t)] = t, n
+            self.length[row] = self.norm(self.raw(t, n), *rest)
+        order = np.argsort(term, kind="stable")
+        self.count, self.example = count[order], np.repeat(np.arange(len(full), dtype=np.int32), lengths)[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+        self.weight = self._matrix = None
+
+    def __getstate__(self) -> dict:
+        """For the broadcast: gaps between examples, and counts, compressed; weights are made in each worker."""
+        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.example, prepend=np.int32(0)), self.count)]
+        return self.__dict__ | {"example": packed[0], "count": packed[1], "weight": None, "_matrix": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.example = np.cumsum(np.frombuffer(zlib.decompress(self.example), np.int32), dtype=np.int32)
+        self.count = np.frombuffer(zlib.decompress(self.count), np.uint32)
+
+    def matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each term or -1, rows): the postings of the most common terms; made in each worker."""
+        if self._matrix is None:
+            raw = (1 + np.log(self.count)) * np.repeat(self.idf, np.diff(self.start))
+            self.weight = (raw / self.length[self.example]).astype(np.float32)
+            common = np.argsort(-np.diff(self.start), kind="stable")[:COMMON]
+            row, rows = np.full(len(self.idf), -1), np.zeros((len(common), len(self.ids)))
+            row[common] = np.arange(len(common))
+            for r, t in enumerate(common):
+                at = slice(self.start[t], self.start[t + 1])
+                rows[r, self.example[at]] = self.weight[at]
+            self._matrix = row, rows
+        return self._matrix
+
+    def raw(self, t, n) -> np.ndarray:
+        return (1 + np.log(np.asarray(n, np.float64))) * self.idf[np.asarray(t, np.int64)]
+
+    def norm(self, w: np.ndarray, rest: float = 0.0) -> float:
+        return np.sqrt((w * w).sum() + rest * self.unseen**2)
+
+    def unit(self, t, n, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        w = self.raw(t, n)
+        return np.asarray(t, np.int64), w / self.norm(w, rest)
+
+    def cosines(self, vectors: list[tuple]) -> np.ndarray:
+        """(texts, examples)."""
+        row, rows = self.matrix()
+        units = [self.unit(*v) for v in vectors]
+        dense = np.zeros((len(units), len(rows)))
+        for q, (at, w) in zip(dense, units):
+            r = row[at]
+            q[r[r >= 0]] = w[r >= 0]
+        out = dense @ rows
+        for score, (at, w) in zip(out, units):
+            other = row[at] < 0
+            at, w = at[other], w[other]
+            lo, n = self.start[at], self.start[at + 1] - self.start[at]
+            p = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)  # the terms' postings, one run after the other
+            score += np.bincount(self.example[p], np.repeat(w, n) * self.weight[p], len(score))
+        return out
+
+    def best(self, score: np.ndarray, k: int = K, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest with a cosine above 0, nearest first; ``but`` leaves out one id."""
-        at, w = self.unit(t, n)
-        bound = (w[:, None] * self.maxima[at]).sum(0) + 1e-6
-        order = np.argsort(-bound, kind="stable")
-        best, sims, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while done < len(order) and bound[order[done]] > 1e-6:
-            if len(sims) >= k and bound[order[done]] < sims[k - 1]:
-                break
-            some = np.sort(order[done : done + step])
-            done, step = done + step, step * 2
-            score = np.zeros(len(some) * BLOCK)
-            for term, weight in zip(at, w):
-                lo = np.searchsorted(self.run, term * self.blocks + some)
-                hi = np.searchsorted(self.run, term * self.blocks + some, "right")
-                n = hi - lo
-                p = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)  # the blocks' postings, one run after the other
-                score[self.example[p] + np.repeat((np.arange(len(some)) - some) * BLOCK, n)] += weight * self.weight[p]
-            hit = np.flatnonzero(score > 0)
-            place = some[hit // BLOCK] * BLOCK + hit % BLOCK
-            if but is not None:
-                place, hit = place[self.ids[place] != but], hit[self.ids[place] != but]
-            best, sims = np.concatenate([best, place]), np.concatenate([sims, score[hit]])
-            top = np.lexsort((self.ids[best], -np.round(sims, 12)))[:k]
-            best, sims = best[top], sims[top]
-        return best, sims
-
-    def vote(self, t: list[int], n: list[int], but: int | None = None) -> tuple[float, list[tuple[int, float, int]]]:
-        """The distance-weighted share of toxic neighbours, and the evidence."""
-        if not t:
-            return self.bare, []
-        near, sims = self.nearest(t, n, but=but)
-        w = 1 / (NEAR + 1 - np.minimum(sims, 1))
-        raw = ((w * self.labels[near]).sum() + PRIOR * self.share) / (w.sum() + PRIOR)
-        return float(raw), [(int(self.ids[p]), float(s), int(self.labels[p])) for p, s in zip(near[:EVIDENCE], sims)]
+        if but is not None:
+            score[np.searchsorted(self.ids, but) : np.searchsorted(self.ids, but, "right")] = 0
+        score = np.round(score, 12)
+        least = np.partition(score, -k)[-k] if len(score) > k else 0
+        place = np.flatnonzero((score >= least) & (score > 0))
+        place = place[np.lexsort((place, -score[place]))[:k]]  # places follow the ids
+        return place, score[place]
+
+    def nearest(self, t, n, k: int = K, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.best(self.cosines([(t, n)])[0], k, but)
+
+    def votes(self, vectors: list[tuple], but: list | None = None) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """The distance-weighted share of toxic neighbours, and the evidence, of each text."""
+        out = []
+        for a in range(0, len(vectors), BATCH):
+            some = vectors[a : a + BATCH]
+            scored = [k for k, (t, _, _) in enumerate(some) if len(t)]
+            rows = dict(zip(scored, self.cosines([some[k] for k in scored]))) if scored else {}
+            for k, (_, _, rest) in enumerate(some):
+                if k not in rows:
+                    out.append((self.share if rest else self.bare, []))
+                    continue
+                near, sims = self.best(rows[k], but=but[a + k] if but else None)
+                w = 1 / (NEAR + 1 - np.minimum(sims, 1))
+                raw = ((w * self.labels[near]).sum() + PRIOR * self.share) / (w.sum() + PRIOR)
+                out.append((float(raw), [(int(self.ids[p]), float(s), int(self.labels[p])) for p, s in zip(near[:EVIDENCE], sims)]))
+        return out
 
 
 def isotonic(raw: np.ndarray, hits: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,21 +215,30 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id, score, evidence array<struct<id, similarity, toxic>>) for every row."""
     spark = docs.sparkSession
     teach = F.broadcast(teaching_rows(labels, id_col, label_col, labelled))  # bounded by ``labelled``
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(teach, "id").select("text", "y")
-    vocabulary = choose_terms(texts)
-    counted = written(count_terms(docs, vocabulary, id_col, text_col), "toxic-counts")
-    idf = np.zeros(max(1, len(vocabulary)))
-    total = counted.count()
-    for t, df in counted.select(F.explode("t").alias("t")).groupBy("t").count().collect():  # one row a term
-        idf[t] = np.log((1 + total) / (1 + df)) + 1
-    examples = counted.join(teach, "id")
-    got = examples.orderBy("id", "t", "n").collect()  # bounded by ``labelled``
-    index = BlockMaxIndex([r["id"] for r in got], [r["y"] for r in got], [(r["t"], r["n"]) for r in got], idf)
-    shared = spark.sparkContext.broadcast(index)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    taught = named.join(teach, "id").select(F.col("id").cast("bigint").alias("id"), "text", "y")
+    vocabulary, weights, unseen = weigh_terms(taught.select("text", "y"))
+    place = spark.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [count_terms(text.as_py(), place.value) for text in batch["text"]]
+            lists = [pa.array([v[c] for v in found], pa.list_(pa.int32())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], *lists, pa.array([v[2] for v in found], pa.float64())], ["id", "y", "t", "n", "rest"])
+
+    examples = written(taught.mapInArrow(count, "id bigint, y int, t array<int>, n array<int>, rest double"), "toxic-examples", compression="zstd")
+    got = examples.select("id", "y", "t", "n").toArrow()  # bounded by ``labelled``
+    ends = np.cumsum(pc.list_value_length(got["t"]).to_numpy()) if got.num_rows else np.zeros(0, np.int64)
+    t, n = (pc.list_flatten(got[c]).to_numpy() for c in ("t", "n"))
+    vectors = [(t[a:b], n[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+    ids, ys = got["id"].to_pylist(), got["y"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], xxhash.xxh3_64_intdigest(vectors[k][0].tobytes() + vectors[k][1].tobytes())))
+    shared = spark.sparkContext.broadcast(BlockMaxIndex([ids[k] for k in order], [ys[k] for k in order], [vectors[k] for k in order], weights, unseen))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [round(shared.value.vote(t, n, but=i)[0], 3) for i, t, n in zip(*(batch[c].to_pylist() for c in ("id", "t", "n")))]
+            vectors = [(t.values.to_numpy(), n.values.to_numpy(), r) for t, n, r in zip(batch["t"], batch["n"], batch["rest"].to_pylist())]
+            votes = [round(v, 3) for v, _ in shared.value.votes(vectors, batch["id"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch["y"]], ["raw", "y"])
 
     votes = examples.mapInArrow(alone, "raw double, y int").groupBy("raw").agg(F.sum("y").alias("hits"), F.count("*").alias("rows")).collect()
@@ -204,21 +246,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
+        known: dict[bytes, tuple] = {}
         for batch in batches:
-            found = []
-            for t, n in zip(batch["t"].to_pylist(), batch["n"].to_pylist()):
-                key = (*t, *n)
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    raw, evidence = shared.value.vote(t, n)
-                    known[key] = float(np.interp(raw, xs, ys)), [{"id": i, "similarity": s, "toxic": y} for i, s, y in evidence]
-                found.append(known[key])
+            texts = batch["text"].to_pylist()
+            keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]  # copies are scored once
+            if len(known) > 50_000:
+                known.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in known}
+            for k, (raw, evidence) in zip(new, shared.value.votes([count_terms(t, place.value) for t in new.values()])):
+                known[k] = float(np.interp(raw, xs, ys)), [{"id": i, "similarity": s, "toxic": y} for i, s, y in evidence]
+            found = [known[k] for k in keys]
             kinds = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kinds)], ["id", "score", "evidence"])
 
-    scored = counted.mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:bigint,similarity:double,toxic:int>>")
+    scored = named.mapInArrow(run, f"id {kind}, score double, evidence array<struct<id:bigint,similarity:double,toxic:int>>")
     return scored.withColumnRenamed("id", id_col)
 
 

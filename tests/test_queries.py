@@ -47,3 +47,10 @@ def test_folds_do_not_depend_on_partitions(spark, sf, name):
     few, many = rows(1), rows(7)
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert few == many and few
+
+
+def test_anchors_of_all_frames(spark, sf):
+    rows = catalog.QUERIES["m2_fit_anchor"](spark, sf).collect()
+    assert {(r["match_id"], r["frame"]) for r in rows} == {tuple(r) for r in fixtures.view(spark, sf, "fx_keypoints").select("match_id", "frame").distinct().collect()}
+    assert all(abs(r["x_cm"] - 10.0 * (910 - r["frame"] % 30)) < 0.01 and abs(r["y_cm"] - 6375) < 0.01 for r in rows if r["x_cm"] is not None)
+    assert any(r["x_cm"] is not None for r in rows)

@@ -148,7 +148,7 @@ def _(v):
 
 @query("m2_fit_anchor", "match_id frame", "x_cm y_cm")
 def _(v):
-    k = p.keypoint_select(v.fx_keypoints, v.fx_vertices).filter("frame % 50 = 0")
+    k = p.keypoint_select(v.fx_keypoints, v.fx_vertices)
     a = k.groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(F.struct("label", "x", "y", "x_cm", "y_cm"))).alias("l"))
     a = a.select("match_id", "frame", F.transform("l", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("image_pts"), F.transform("l", lambda q: F.struct(q["x_cm"].cast("double").alias("x"), q["y_cm"].cast("double").alias("y"))).alias("pitch_pts"))
     x, y = hg.project(F.col("h"), F.lit(960.0), F.lit(540.0))

@@ -136,6 +136,9 @@ def test_links_in_tiles_and_chains(spark):
     for tile in (40, 1 << 15):
         got = {r["key"]: r["root"] for r in simhash.components(simhash.class_edges(classes, 1, 4, tile)).collect()}
         assert {k: got.get(k, k) for k in want} == want
+    sizes = rng.integers(1, 60, len(unique))
+    got = sum(len(i) for i, _ in simhash.links(np.array(unique, np.uint64)[:, None], None, 12, (sizes, None), 0.8))
+    assert got == sum(bin(a ^ b).count("1") <= 12 and min(sizes[k], sizes[j]) >= 0.8 * max(sizes[k], sizes[j]) for k, a in enumerate(unique) for j, b in enumerate(unique[:k])) > 0
     i, j = (np.concatenate(x) for x in zip(*simhash.links(np.array(unique, np.uint64)[:, None], None, 4)))
     assert len(i) == sum(bin(a ^ b).count("1") <= 4 for k, a in enumerate(unique) for b in unique[:k])
 
@@ -176,8 +179,32 @@ def test_without_copies(spark, documents, texts, odd, none):
         assert gone == {i: r for i, r in root.items() if i != r}
     assert {9001, 9002, 9003} <= set(gone) and 9004 not in gone
     stay = dedup.without_copies(odd)
-    assert stay.columns == odd.columns and {r["doc_id"] for r in stay.collect()} == {1, 3, 6, 7, 8, 9, 10, None}
+    assert stay.columns == odd.columns and sorted(r["doc_id"] or 0 for r in stay.collect()) == [0, 1, 3, 6, 7, 8, 9, 10]  # both rows of id 10 have one text
     assert dedup.without_copies(none).count() == 0
+    same = spark.createDataFrame([(None, base), (None, changed(1)), ("b", changed(2)), ("a", base), (None, far)], "doc_id string, text string")
+    assert sorted(r["doc_id"] or "" for r in dedup.without_copies(same).collect()) == ["", "a"]
+
+
+def test_links_across_blocks(spark, texts):
+    """Groups cut into blocks of a few texts: a chain of drifting copies, and a group around one text, give what all pairs give."""
+    rng = np.random.default_rng(9)
+    words = " ".join(texts.values()).split()
+    made, last = {}, words[:300]
+    for k in range(60):  # each is near the one before, the ends are far apart
+        made[k] = " ".join(last)
+        last = [w if rng.random() > 0.012 else f"new{k}" for w in last]
+    for k in range(60, 120):
+        made[k] = " ".join(w if rng.random() > 0.02 else f"other{k}" for w in words[400:700])
+    root = {i: i for i in made}
+    near = [(a, b) for a in made for b in range(a) if jaccard(made[a], made[b]) >= 0.8]
+    for _ in range(60):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    want = {i: r for i, r in root.items() if i != r}
+    assert len(want) > 60
+    for block in (5, 16, 4096):
+        assert {r["id"]: r["lead"] for r in dedup.copies(df, block=block).collect()} == want
 
 
 def test_copies_with_a_repeated_footer(spark, texts):

@@ -1,16 +1,19 @@
 """Operator 10: near-duplicates by SimHash, all pairs within a radius found exactly, in tiles.
 
-Fingerprints: XXH64 (seed 42, then 43 for further 64-bit lanes) of each word shingle, repeats included (the pipeline
-counts each once); a bit is set if it is set in over half of the hashes. Texts with the same fingerprint form one class, so copies cost nothing.
+Fingerprints: XXH64 (seed 42, then 43 for further 64-bit lanes) of each word shingle, repeats included; a bit is set if
+it is set in over half of the hashes. Texts with the same fingerprint form one class, so copies cost nothing.
 Classes are put in order of the population counts of a fingerprint's halves, quarters and bytes, and cut into
 tiles. Since two fingerprints differ in at least as many bits as their population counts differ, summed over the bytes,
 a pair of tiles whose count ranges lie farther apart than the radius is skipped; so are pairs of small blocks inside a
-pair of tiles. All others are compared bit by bit with numpy's exclusive-or and bit counts: no link is missed.
+pair of tiles. All others are compared bit by bit with numpy's exclusive-or and bit counts: no link is missed. Where
+links also demand similar sizes (``ratio``), classes are put in order of size first, and tiles and blocks whose sizes
+lie too far apart are skipped as well.
 
 Each pair of tiles returns only a spanning forest of its links (at most one edge a class), which keeps every
 component and never lists the pairs within a group. Components come from star contraction, written to the shared
-folder every round. The number of tile pairs grows with the square of the number of classes, but each holds
-``TILE`` classes of 8 bytes, so the data moved is (classes / TILE)^2 x TILE x 16 bytes before skipping.
+folder every round. There are about ``PAIRS`` pairs of tiles for each core of the cluster, so a class is moved about as
+often as the square root of that says, whatever the number of classes, until a tile reaches ``MOST`` classes (6 MB); from
+there on the number of pairs, the data moved and the comparisons grow with the square of the number of classes.
 
 Defined results: null or empty texts and those without words have the fingerprint zero, linked like any other; fewer
 words than a shingle make one shingle of all of them; repeated ids stay, row for row; a null id belongs to its
@@ -19,6 +22,7 @@ fingerprint's class and is never the smallest; an empty table gives no rows. Onl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 WORDS, RADIUS, SEED = 4, 4, 42
-#: Classes a tile, and a block inside a tile.
-TILE, BLOCK = 1 << 15, 256
+#: Pairs of tiles for each core, least and most classes of a tile, classes of a block inside a tile.
+PAIRS, LEAST, MOST, BLOCK = 12, 1 << 11, 1 << 18, 256
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -57,14 +61,13 @@ def fingerprint(pieces: list[bytes], lanes: int = 1, step: int = 1 << 14) -> lis
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(id, f0 .. f<lanes - 1>): fingerprints as signed 64-bit numbers; ``distinct``: repeats of a shingle count once. No shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """(id, f0 .. f<lanes - 1>): fingerprints as signed 64-bit numbers. No shuffle."""
     names = [f"f{i}" for i in range(lanes)]
-    pieces = (lambda t: list(set(shingles(t, words)))) if distinct else lambda t: shingles(t, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(pieces(t.as_py() or ""), lanes) for t in batch["text"]], np.uint64).reshape(-1, lanes).view(np.int64)
+            marks = np.array([fingerprint(shingles(t.as_py() or "", words), lanes) for t in batch["text"]], np.uint64).reshape(-1, lanes).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(marks[:, i]) for i in range(lanes))], ["id", *names])
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -77,12 +80,13 @@ def _counts(marks: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(marks).view(np.uint8).reshape(len(marks), -1)).astype(np.int16)
 
 
-def _order(marks: np.ndarray) -> np.ndarray:
+def _order(marks: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """By size, then by the counts of halves, quarters and bytes."""
     c = _counts(marks)
     q = c.reshape(len(c), -1, 2).sum(2)
     h = q.reshape(len(c), -1, 2).sum(2)
     keys = np.concatenate([h, q[:, ::2], c[:, ::2]], 1)
-    return np.lexsort(keys.T[::-1])
+    return np.lexsort([*keys.T[::-1], *([] if sizes is None else [sizes])])
 
 
 def _boxes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +94,22 @@ def _boxes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(counts, at), np.maximum.reduceat(counts, at)
 
 
-def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with at most ``radius`` differing bits, block by block; ``right`` None: within ``left``, i < j."""
+def links(left: np.ndarray, right: np.ndarray | None, radius: int, sizes: tuple[np.ndarray, np.ndarray | None] | None = None, ratio: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with at most ``radius`` differing bits, block by block; ``right`` None: within ``left``, i < j.
+
+    With ``sizes`` (of both sides) the smaller size of a pair must be at least ``ratio`` of the larger one.
+    """
     other = left if right is None else right
     (lo, hi), (lo2, hi2) = _boxes(_counts(left)), _boxes(_counts(other))
+    if sizes is not None:
+        n, n2 = sizes[0], sizes[0] if right is None else sizes[1]
+        (least, most), (least2, most2) = _boxes(n), _boxes(n2)
     for p in range(len(lo)):
-        gap = np.maximum(np.maximum(lo2 - hi[p], lo[p] - hi2), 0).sum(1)
+        near = np.maximum(np.maximum(lo2 - hi[p], lo[p] - hi2), 0).sum(1) <= radius
+        if sizes is not None:
+            near &= (least2 * ratio <= most[p]) & (least[p] * ratio <= most2)
         a = left[p * BLOCK : (p + 1) * BLOCK]
-        for q in np.flatnonzero(gap <= radius):
+        for q in np.flatnonzero(near):
             if right is None and q < p:
                 continue
             b = other[q * BLOCK : (q + 1) * BLOCK]
@@ -108,6 +120,9 @@ def links(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[t
             i, j = i + p * BLOCK, j + q * BLOCK
             if right is None:
                 i, j = i[i < j], j[i < j]
+            if sizes is not None:
+                fits = np.minimum(n[i], n2[j]) >= ratio * np.maximum(n[i], n2[j])
+                i, j = i[fits], j[fits]
             if len(i):
                 yield i, j
 
@@ -141,14 +156,27 @@ def _tile_key(lanes: int) -> list[Column]:
     return [*(ones(c, s, 32) for c in cols for s in (0, 32)), *(ones(c, s, 16) for c in cols for s in (0, 32)), *(ones(c, s, 8) for c in cols for s in (0, 16, 32, 48)), *cols]
 
 
-def class_edges(classes: DataFrame, lanes: int, radius: int, tile: int = TILE) -> DataFrame:
-    """(src, dst) with dst < src: a spanning forest of all links between classes (key, f0 ..) within the radius."""
+def tile_size(classes: int, cores: int) -> int:
+    """So many classes a tile that about ``PAIRS`` pairs of tiles meet each core; bounded on both sides."""
+    return min(MOST, max(LEAST, -(-classes // math.ceil(math.sqrt(2 * PAIRS * cores)))))
+
+
+def class_edges(classes: DataFrame, lanes: int, radius: int, tile: int | None = None, ratio: float | None = None) -> DataFrame:
+    """(src, dst) with dst < src: a spanning forest of all links between classes (key, f0 ..) within the radius.
+
+    ``ratio``: classes have a size ``n`` too, and of a link the smaller one must be at least ``ratio`` of the larger one.
+    """
     names = [f"f{i}" for i in range(lanes)]
     count = classes.count()
+    tile = tile or tile_size(count, classes.sparkSession.sparkContext.defaultParallelism)
     tiles = max(1, -(-count // tile))
+    sized = ratio is not None
+    # tiles meet on a place that their order makes nearly constant in a tile, and that a link shifts by ``reach`` at most
+    reach = 1 if sized else radius
+    step = math.log(1 / ratio) if sized else 1.0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A tile as one row: keys, marks and the ranges of its counts; no more than ``tile`` classes each."""
+        """A tile as one row: keys, marks, sizes and the ranges of its counts; no more than ``tile`` classes each."""
         from pyspark import TaskContext
 
         held = [b for b in batches if b.num_rows]
@@ -156,45 +184,55 @@ def class_edges(classes: DataFrame, lanes: int, radius: int, tile: int = TILE) -
             return
         whole = pa.Table.from_batches(held)
         marks = np.stack([whole[n].to_numpy() for n in names], 1).view(np.uint64)
-        keys = whole["key"].to_numpy()
-        order = _order(marks)
-        marks, keys = marks[order], keys[order]
+        keys, sizes = whole["key"].to_numpy(), whole["n"].to_numpy()
+        order = _order(marks, sizes)
+        marks, keys, sizes = marks[order], keys[order], sizes[order]
         for part, a in enumerate(range(0, len(keys), tile)):
-            m = marks[a : a + tile]
+            m, n = marks[a : a + tile], sizes[a : a + tile]
             c = _counts(m)
-            half = c[:, :4].sum(1)
-            row = [[TaskContext.get().partitionId() * 1_000_000 + part], [keys[a : a + tile].astype("<i8").tobytes()], [m.astype("<u8").tobytes()], [c.min(0).tolist()], [c.max(0).tolist()], [int(half.min())], [int(half.max())]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()))], ["tile", "keys", "marks", "lo", "hi", "ones_lo", "ones_hi"])
-
-    dealt = classes.select("key", *names).repartitionByRange(tiles, *_tile_key(lanes)) if tiles > 1 else classes.select("key", *names).coalesce(1)
-    cuts = written(dealt.mapInArrow(cut, "tile bigint, keys binary, marks binary, lo array<int>, hi array<int>, ones_lo int, ones_hi int"), "simhash-tiles")
-    # tiles meet on the population count of the first half, which their order makes nearly constant in a tile
-    ranges = cuts.select("tile", "lo", "hi", "ones_lo", "ones_hi")
-    a = ranges.withColumn("ones", F.explode(F.sequence("ones_lo", "ones_hi")))
-    b = ranges.select(F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.explode(F.sequence(F.col("ones_lo") - radius, F.col("ones_hi") + radius)).alias("ones"))
+            at = np.floor(np.log(np.maximum(n, 1)) / step).astype(int) if sized else c[:, :4].sum(1)
+            row = [[TaskContext.get().partitionId() * 1_000_000 + part], [keys[a : a + tile].astype("<i8").tobytes()], [m.astype("<u8").tobytes()], [n.astype("<i8").tobytes()], [c.min(0).tolist()], [c.max(0).tolist()], [int(n.min())], [int(n.max())], [int(at.min())], [int(at.max())]]
+            kinds = (pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.int32())] * 2, *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], ["tile", "keys", "marks", "sizes", "lo", "hi", "least", "most", "first", "last"])
+
+    dealt = classes.select("key", *names, F.col("n").cast("bigint").alias("n") if sized else F.lit(0).cast("bigint").alias("n"))
+    dealt = dealt.repartitionByRange(tiles, "n", *_tile_key(lanes)) if tiles > 1 else dealt.coalesce(1)
+    cuts = written(dealt.mapInArrow(cut, "tile bigint, keys binary, marks binary, sizes binary, lo array<int>, hi array<int>, least bigint, most bigint, first bigint, last bigint"), "simhash-tiles")
+    # two ranges of places meet if one begins inside the other's, widened by the reach
+    ranges = cuts.select("tile", "lo", "hi", "least", "most", "first", "last")
+    a = ranges.withColumn("at", F.explode(F.sequence(F.col("first") - reach, F.col("last") + reach)))
+    b = ranges.select(F.col("first").alias("at"), *[F.col(c).alias(c + "2") for c in ("tile", "lo", "hi", "least", "most")])
     gap = F.aggregate(F.arrays_zip("lo", "hi", "lo2", "hi2"), F.lit(0), lambda acc, x: acc + F.greatest(x["lo2"] - x["hi"], x["lo"] - x["hi2"], F.lit(0)))
-    near = written(a.join(b, "ones").filter("tile <= tile2").filter(gap <= radius).select("tile", "tile2").distinct(), "simhash-pairs")
-    left = near.join(cuts.select("tile", "keys", "marks"), "tile").select("tile", "tile2", "keys", "marks")
-    right = near.join(cuts.select(F.col("tile").alias("tile2"), "keys", "marks"), "tile2").select(F.col("tile").alias("a"), F.col("tile2").alias("b"), F.col("keys").alias("keys2"), F.col("marks").alias("marks2"))
+    meet = a.join(b, "at").filter(gap <= radius)
+    if sized:
+        meet = meet.filter((F.col("least2") * ratio <= F.col("most")) & (F.col("least") * ratio <= F.col("most2")))
+    near = written(meet.select(F.least("tile", "tile2").alias("tile"), F.greatest("tile", "tile2").alias("tile2")).distinct(), "simhash-pairs")
+    data = ["keys", "marks", "sizes"]
+    left = near.join(cuts.select("tile", *data), "tile").select("tile", "tile2", *data)
+    right = near.join(cuts.select(F.col("tile").alias("tile2"), *data), "tile2").select(F.col("tile").alias("a"), F.col("tile2").alias("b"), *[F.col(c).alias(c + "2") for c in data])
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        (t, t2), (k, k2), (m, m2) = ([a[c][0].as_py(), b[d][0].as_py()] for c, d in (("tile", "b"), ("keys", "keys2"), ("marks", "marks2")))
-        key, marks, others = np.frombuffer(k, "<i8"), np.frombuffer(m, "<u8").reshape(-1, lanes), None
-        if t != t2:
-            key = np.concatenate([key, np.frombuffer(k2, "<i8")])
-            others = np.frombuffer(m2, "<u8").reshape(-1, lanes)
+        take = lambda t, c: np.frombuffer(t[c][0].as_py(), "<u8" if c.startswith("marks") else "<i8")
+        key, marks, n, others, n2 = take(a, "keys"), take(a, "marks").reshape(-1, lanes), take(a, "sizes"), None, None
+        if a["tile"][0] != b["b"][0]:
+            keys, others, n2 = take(b, "keys2"), take(b, "marks2").reshape(-1, lanes), take(b, "sizes2")
+            key = np.concatenate([key, keys])
         rank = np.argsort(key)  # the smallest place is the smallest key
         at = np.empty(len(key), np.int64)
         at[rank] = np.arange(len(key))
         shift = 0 if others is None else len(marks)
-        member, root = forest(len(key), ((at[i], at[j + shift]) for i, j in links(marks, others, radius)))
+        pairs = links(marks, others, radius, (n, n2) if sized else None, ratio or 0.0)
+        member, root = forest(len(key), ((at[i], at[j + shift]) for i, j in pairs))
         return pa.table({"src": key[rank[member]], "dst": key[rank[root]]})
 
-    return left.groupBy("tile", "tile2").cogroup(right.groupBy("a", "b")).applyInArrow(compare, "src bigint, dst bigint")
+    edges = left.groupBy("tile", "tile2").cogroup(right.groupBy("a", "b")).applyInArrow(compare, "src bigint, dst bigint")
+    edges = written(edges.distinct(), "simhash-edges")
+    discard(cuts, near)
+    return edges
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, root): each key that has an edge, and the smallest key that it reaches. ``edges``: (src, dst) with dst < src.
+    """(key, root): each key that reaches a smaller one, and the smallest that it reaches. ``edges``: (src, dst) with dst < src.
 
     Each round links all larger neighbours of a key to its smallest one, then all smaller ones; it ends when no edge
     changes. Rounds grow with the logarithm of the longest chain. Hot keys are reduced by partial aggregation.
@@ -211,15 +249,17 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select("src", F.col("m").alias("dst")).unionByName(small.filter("dst != m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))).distinct()
         after = written(small, "components")
         shape = lambda e: e.agg(F.count("*"), F.sum(F.hash("src", "dst").cast("bigint")), F.sum("dst")).first()
-        if shape(edges) == shape(after):
-            return after.select(F.col("src").alias("key"), F.col("dst").alias("root"))
+        done = shape(edges) == shape(after)
+        discard(edges, least, large, low)
         edges = after
+        if done:
+            return edges.select(F.col("src").alias("key"), F.col("dst").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, lanes: int = 1, tile: int = TILE, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, lanes: int = 1, tile: int | None = None) -> DataFrame:
     """(id, f0 .., component_id) for every row: the smallest id that its fingerprint reaches by links within the radius."""
     names = [f"f{i}" for i in range(lanes)]
-    marks = written(fingerprints(docs, id_col, text_col, words, lanes, distinct), "simhash-marks")
+    marks = written(fingerprints(docs, id_col, text_col, words, lanes), "simhash-marks")
     classes = written(marks.groupBy(*names).agg(F.min("id").cast("bigint").alias("key")).filter("key IS NOT NULL"), "simhash-classes")
     roots = components(class_edges(classes, lanes, radius, tile))
     found = classes.join(roots, "key", "left").select(*names, F.coalesce("root", "key").alias("component_id"))

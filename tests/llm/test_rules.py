@@ -134,11 +134,23 @@ def test_quality_keeps_good_and_rejects_bad(spark, odd):
     bad, good = [r["doc_id"] for r in labels if r["quality"] == 0], [r["doc_id"] for r in labels if r["quality"] == 1]
     assert sum(got[i]["kept"] for i in good) >= 0.98 * len(good) and sum(got[i]["kept"] for i in bad) <= 0.3 * len(bad)
     none = spark.createDataFrame([], "doc_id bigint, quality int")
-    assert quality.fit_rules(quality.text_stats(odd, keep=("doc_id",)), none) == []
+    assert quality.fit_rules(quality.text_stats(odd, keep=("doc_id",)), quality.known_labels(none)) == []
+    many = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (3, None)], "doc_id bigint, quality int")
+    assert sorted(map(tuple, quality.known_labels(many).collect())) == [(1, 0), (2, 1)]
     kept = quality.good_documents(odd, none)
     assert kept.columns == odd.columns and kept.count() < len(TEXTS)
 
 
+def test_repeated_labelled_rows_teach_once(spark, monkeypatch):
+    """However often a labelled document stands in the table, the driver gets one row of it."""
+    rows = [(1, f"some good text {k % 3} " * 30) for k in range(500)] + [(2, "another text of words " * 20)]
+    seen = []
+    monkeypatch.setattr(quality, "learn_rules", lambda x, bad, names: seen.append(len(x)) or [])
+    monkeypatch.setattr(quality, "base_failed", lambda prefix="": F.lit(False))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert quality.good_documents(docs, spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id bigint, quality int")).count() == 501 and seen == [2]
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(3)
     vectors = []

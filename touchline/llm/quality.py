@@ -5,12 +5,14 @@ covering: rules are conjunctions of thresholds, grown on two thirds of the label
 the last third, kept while they are precise there, and each removes the bad rows it covers before the next is grown.
 ``rule_number`` turns the list into one ordered Spark conditional expression, so applying it needs no Python.
 
-The list is learnt from at most about ``LABELLED`` labelled rows (a hash of the id chooses them); only their numeric
-statistics come to the driver. Everything else covers all rows.
+The list is learnt from at most about ``LABELLED`` labelled ids (a hash of the id chooses them), one row each; only their
+numeric statistics come to the driver. Everything else covers all rows.
 
 Defined results: null text has no words; texts under 50 words or with more than half of their words in repeated
 three-word windows fail the base rules and are not kept; without labels, or with labels of one kind only, the list is
-empty and the base rules decide. Repeated rows and ids stay, row for row. Labels that are null are ignored.
+empty and the base rules decide. Repeated rows and ids stay, row for row; of an id's labels the lowest counts. Labels
+and labelled ids that are null are ignored. The columns of a result (``_q_`` before those of ``good_documents``) replace
+none of the input's, of which only the named ones are read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 #: About so many labelled rows are used for learning.
 LABELLED = 50_000
@@ -188,13 +190,20 @@ def rule_number(rules: list[Rule], prefix: str = "") -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
-def fit_rules(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED) -> list[Rule]:
-    """Rules from counted texts (id, BASE, MORE) and labels (0: reject). Rows that fail the base rules teach nothing."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("y IS NOT NULL")
+def known_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED) -> DataFrame:
+    """(id, y) of at most about ``labelled`` ids, one row each: the lowest of an id's labels."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+    known = known.groupBy("id").agg(F.min("y").alias("y"))
     share = max(1, known.count() / labelled)
-    known = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) / share))
-    rows = known.join(counted.filter(~base_failed()).select(F.col(id_col).alias("id"), *[v.alias(k) for k, v in ratios().items()]), "id")
-    got = rows.orderBy("id", *RATIOS).select("y", *RATIOS).toPandas()  # at most about ``labelled`` rows of numbers
+    return written(known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) / share)), "quality-labels")
+
+
+def fit_rules(counted: DataFrame, known: DataFrame, id_col: str = "doc_id") -> list[Rule]:
+    """Rules from counted texts (id, BASE, MORE) and ``known_labels`` (0: reject). Rows that fail the base rules teach
+    nothing; of rows that share an id one teaches, the same in every run."""
+    rows = counted.filter(~base_failed()).select(F.col(id_col).alias("id"), F.struct(*[v.alias(k) for k, v in ratios().items()]).alias("x"))
+    one = rows.join(F.broadcast(known), "id").groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"))  # bounded by ``labelled``
+    got = one.orderBy("id").select("y", "x.*").toPandas()  # a row of numbers an id
     return learn_rules(got[list(RATIOS)].to_numpy(float), (got["y"] == 0).to_numpy(bool), list(RATIOS))
 
 
@@ -205,12 +214,15 @@ def judge(counted: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     counted = written(text_stats(table(spark, sf_dir, "documents"), keep=("doc_id",)), "quality-stats")
-    return judge(counted, fit_rules(counted, table(spark, sf_dir, "labels"))).select("doc_id", *BASE, "base_failed", "kept", "rule")
+    return judge(counted, fit_rules(counted, known_labels(table(spark, sf_dir, "labels")))).select("doc_id", *BASE, "base_failed", "kept", "rule")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they were."""
-    counted = written(text_stats(docs, text_col, keep=(id_col,)), "quality-stats")
-    rules = fit_rules(counted.withColumnRenamed(id_col, "doc_id"), labels)
+def good_documents(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they were. The first pass counts labelled rows only."""
+    known = known_labels(labels, label_id, label_col)
+    taught = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.select("id")), "id")
+    counted = written(text_stats(taught, keep=("id",)), "quality-stats")
+    rules = fit_rules(counted, known, "id")
+    discard(counted, known)
     marked = text_stats(docs, text_col, keep=tuple(docs.columns), prefix="_q_")
     return marked.filter(~base_failed("_q_") & rule_number(rules, "_q_").isNull()).select(*docs.columns)

@@ -3,6 +3,7 @@
 import functools
 import hashlib
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -59,6 +60,24 @@ def test_long_runs_of_digits_and_letters(spark):
     assert got == {i: brute_spans(t) for i, t in texts.items()}
 
 
+def test_many_matches_in_one_text(spark):
+    """A text of a megabyte that is all numbers, or all addresses, takes seconds."""
+    texts = {1: "12, " * 260_000, 2: "a@b.co, " * 130_000, 3: "+1 555 123 4567; " * 3000 + "x" * 300 + "1a2b3c4d5e"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_spans(df, weights=[-2.0, *[1.0] * 12]).collect()}
+    assert {i: {k: [(x["start"], x["end"]) for x in r[f"_pii_{k}"]] for k in pii.BASE} for i, r in got.items()} == {i: brute_spans(t) for i, t in texts.items()}
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert out[1] == texts[1] and out[2] == "<email>, " * 130_000 and out[3].startswith("<phone>; <phone>; ") and out[3].count("<phone>") == 3000
+    assert time.time() - began < 60
+
+
+def test_long_tokens_are_candidates(spark):
+    token = "a1B2" * 75
+    df = spark.createDataFrame([(k, f"session token: {token}{k} end") for k in range(20)], "doc_id bigint, text string")
+    assert all(t == f"session token: <secret> end" for t in (r["text"] for r in pii.redacted(df).collect()))
+
+
 def test_estimated_reliabilities_order_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(5000) < 0.4

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from touchline.llm import dedup, pii, simhash
+from touchline.llm.common import sieve, sift
 
 from .conftest import TEXTS
 
@@ -204,6 +205,14 @@ def test_without_copies(spark, documents, texts, odd, none):
     assert sorted(r["doc_id"] or "" for r in dedup.without_copies(same).collect()) == ["", "a"]
 
 
+def test_sieve_lets_every_key_through(spark):
+    keys = spark.range(0, 30_000, 3).withColumnRenamed("id", "key")
+    got = sift(spark.range(60_000).withColumnRenamed("id", "key"), sieve(keys)).collect()
+    hit = {r["key"] for r in got if r["_hit"]}
+    assert len(got) == 60_000 and hit >= set(range(0, 30_000, 3)) and len(hit) < 10_000 + 60
+    assert not sift(keys, sieve(keys.filter("false"))).filter("_hit").count()
+
+
 def test_links_across_blocks(spark, texts):
     """Groups cut into blocks of a few texts: a chain of drifting copies, and a group around one text, give what all pairs give."""
     rng = np.random.default_rng(9)

@@ -13,7 +13,8 @@ compared with the other blocks, so a group of near copies of any size is moved o
 blocks. Tasks skip pairs that are already connected and return a spanning forest, never the pairs of a group.
 
 Scale: rows are written once with their marks; 40 bytes a class take part in the tiled comparison (see ``simhash``), sets
-only of classes that have a candidate. Every table is removed when what needs it is written, but for the rows themselves.
+only of classes that have a candidate. Texts that have none are told by a bitmap of 8 MB and never moved. Every table is
+removed when what needs it is written, but for the rows themselves.
 
 Defined results: texts without words are alike; fewer than five words count as one shingle; rows have a number of their
 own, so rows without an id or with the same id are compared like any other; a row with an id stays before one without;
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, sieve, sift, written
 from .simhash import class_edges, components, links
 
 WORDS, LANES, RADIUS, SIMILARITY = 5, 2, 30, 0.8
@@ -219,10 +220,12 @@ def class_groups(rows: DataFrame, similarity: float, block: int) -> DataFrame:
     place = groups.select("root", F.when(small, -1 - F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.col("root")).alias("task"), blocks.alias("blocks"), F.when(~small, F.col("root")).alias("first"))
     members = linked.join(place, "root").select("key", "task", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("blk"), "blocks", "first", "n", *names)
     members = written(members, "dedup-members")
-    sets = written(shingle_sets(rows.select("text", "key").join(members, "key").select("text", *members.columns)), "dedup-sets", compression="uncompressed")
+    bits = sieve(members)
+    texts = sift(rows.select("text", "key"), bits).filter("_hit")
+    sets = written(shingle_sets(texts.join(members, "key").select("text", *members.columns)), "dedup-sets", compression="uncompressed")
     roots = confirmed(sets, similarity=similarity, block=block)
     grouped = written(classes.join(roots, "key", "left").select("h0", "h1", F.coalesce("root", "key").alias("grp")), "dedup-grouped")
-    discard(classes, candidates, groups, members, sets, roots)
+    discard(classes, candidates, groups, members, bits, sets, roots)
     return grouped
 
 
@@ -250,4 +253,6 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay: one document of each group."""
     rows = written(marked_rows(docs, text_col), "dedup-rows")
     gone = _copies(rows, f"k{docs.columns.index(id_col)}", f"k{docs.columns.index(text_col)}", similarity, block)
-    return rows.join(gone.select("key"), "key", "left_anti").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    sifted = sift(rows, sieve(gone))
+    stay = sifted.filter("NOT _hit").unionByName(sifted.filter("_hit").join(gone.select("key"), "key", "left_anti"))
+    return stay.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

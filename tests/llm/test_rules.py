@@ -1,7 +1,9 @@
 """URL filters, mixing, quality rules, toxicity."""
 
+import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -158,7 +160,7 @@ def test_nearest_examples_are_exact():
         t = sorted(rng.choice(40, rng.integers(0, 7), replace=False).tolist())
         vectors.append((t, rng.integers(1, 4, len(t)).tolist()))
     idf = rng.random(40) + 0.5
-    index = toxicity.BlockMaxIndex(list(range(700)), rng.integers(0, 2, 700).tolist(), vectors, idf)
+    index = toxicity.ExampleIndex(list(range(700)), rng.integers(0, 2, 700).tolist(), vectors, idf)
 
     def dense(v):
         out = np.zeros(40)
@@ -172,9 +174,12 @@ def test_nearest_examples_are_exact():
         if not vectors[k][0]:
             continue
         sims = whole @ dense(vectors[k])
-        want = sorted([(-round(s, 9), i) for i, s in enumerate(sims) if s > 1e-12])[:15]
+        want = sorted((round(s, 6) for s in sims if s > 1e-12), reverse=True)
+        want = {i for i, s in enumerate(sims) if s > 1e-12 and round(s, 6) >= want[: 15][-1] - 1e-9}
         places, got = index.nearest(*vectors[k])
-        assert np.allclose(-np.array([w[0] for w in want]), got) and [w[1] for w in want] == index.ids[places].tolist()
+        found = {index.ids[p] for p in places}
+        near = {i for i in want ^ found if abs(sims[i] - got[-1]) > 2e-6}  # places at the cut may differ by rounding
+        assert not near and len(found) >= 15 and np.allclose(got, sims[[index.ids[p] for p in places]], atol=2e-6) and (np.diff(got) <= 0).all()
 
 
 def test_isotonic():
@@ -189,20 +194,83 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
     test = [i for i in labels if got[i]["held_out"]]
     right = [got[i]["predicted"] == labels[i] for i in test]
+    hit = [got[i]["predicted"] for i in test if labels[i]]
+    assert sum(right) >= 0.9 * len(right) and sum(hit) >= 0.8 * len(hit)
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
-    hit = [got[i]["predicted"] for i in test if labels[i] and lang[i] == "en"]  # at this size other languages' toxic rows hold no toxic words
-    assert sum(right) >= 0.9 * len(right) and sum(hit) >= 0.7 * len(hit)
+    other = [got[i]["predicted"] for i in test if labels[i] and lang[i] != "en"]
+    assert sum(other) >= 0.6 * len(other)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
     empty = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r["score"] for r in toxicity.score_toxicity(odd, empty).collect()] == [0.0] * len(TEXTS)
     assert toxicity.score_toxicity(none, spark.read.parquet(f"{sf}/labels.parquet")).count() == 0
 
 
-def test_toxic_rows_of_all_languages(spark):
-    sf = "/root/testdata/sf0.01"
-    got = {r["doc_id"]: r["predicted"] for r in toxicity.op7_toxicity(spark, sf).filter("held_out").collect()}
-    toxic = [r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic > 0").collect() if r["doc_id"] in got]
-    assert sum(got[i] for i in toxic) >= 0.8 * len(toxic)
+def brute_votes(docs, labels):
+    """Votes of the k nearest by plain dictionaries: id -> share of toxic neighbours, or None without a common term."""
+    def terms(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return Counter([*words, *(w[:n] + "-" for w in words for n in (4, 5) if len(w) >= n)])
+
+    counts = {i: terms(t) for i, t in docs.items()}
+    teach = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2}
+    na, n = sum(teach.values()), len(teach)
+    df, toxic = Counter(t for i in teach for t in counts[i]), Counter(t for i in teach if teach[i] for t in counts[i])
+
+    def weight(t):
+        d, a = df[t] or 1, toxic[t]
+        out = math.log((1 + n) / (1 + d)) + 1
+        b = d - a
+        if df[t] and a * (n - na) > b * na:
+            out *= 1 + math.sqrt(n * (a * (n - na - b) - b * (na - a)) ** 2 / (d * max(n - d, 0.5) * na * (n - na)))
+        return out
+
+    vectors = {}
+    for i, c in counts.items():
+        v = {t: (1 + math.log(k)) * weight(t) for t, k in c.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        vectors[i] = {t: x / length for t, x in v.items()}
+    out, share = {}, na / n
+    for i, v in vectors.items():
+        sims = [(round(sum(x * vectors[j].get(t, 0) for t, x in v.items()), 6), y) for j, y in teach.items()]
+        sims = sorted((s for s in sims if s[0] > 0), reverse=True)
+        sims = [s for s in sims if s[0] >= sims[min(15, len(sims)) - 1][0]]
+        w = [1 / (1.05 - min(s, 1)) for s, _ in sims]
+        out[i] = (sum(a * y for a, (_, y) in zip(w, sims)) + 0.5 * share) / (sum(w) + 0.5) if sims else None
+    return out
+
+
+def test_toxicity_against_brute_force(spark, sf, documents, texts):
+    """Scores are a non-decreasing function of the votes that plain dictionaries give; evidence is the nearest example."""
+    labels = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in texts and r["toxic"] is not None}
+    want = brute_votes(texts, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op7_toxicity(spark, sf).collect()}
+    assert set(got) == set(want)
+    ranked = sorted((v, got[i]) for i, v in want.items() if v is not None)
+    best = -1.0
+    for vote, score in ranked:
+        assert score >= best - 2e-3
+        best = max(best, score)
+    renamed = documents.withColumn("doc_id", -F.col("doc_id"))  # other ids, the same teachers: scores stay as they are
+    teach = [(-i, y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2]
+    known = spark.createDataFrame(teach, "doc_id bigint, toxic int")
+    keep, toxicity.held_out = toxicity.held_out, lambda key: F.lit(False)
+    try:
+        again = {-r["doc_id"]: r["score"] for r in toxicity.score_toxicity(renamed, known).collect()}
+    finally:
+        toxicity.held_out = keep
+    assert all(abs(got[i] - again[i]) < 1e-9 for i in got)
+
+
+def test_labelled_copies_teach_once_and_ids_may_be_strings(spark):
+    docs = spark.createDataFrame([("a", "bad bad words")] * 50 + [("b", "good words here"), ("c", "bad words"), (None, "good")], "doc_id string, text string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("b", 0), (None, 1)], "doc_id string, toxic int")
+    keep, toxicity.held_out = toxicity.held_out, lambda key: F.lit(False)
+    try:
+        assert toxicity.teaching_rows(docs.withColumnRenamed("doc_id", "id"), labels, "doc_id", "toxic", 100).count() == 2
+        rows = toxicity.score_toxicity(docs, labels).collect()
+    finally:
+        toxicity.held_out = keep
+    assert len(rows) == 53 and {e["id"] for r in rows for e in r["evidence"]} == {"a", "b"}
 
 
 def test_common_words_count(spark):

@@ -42,7 +42,7 @@ from .common import table, written
 #: About so many labelled rows teach.
 LABELLED = 20_000
 #: Neighbours, terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
-K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 512, 64, 0.5, 0.05, 3
+K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 1024, 64, 0.5, 0.05, 3
 #: Words whose terms a worker remembers.
 MEMORY = 300_000
 CUT = 0.3
@@ -111,11 +111,11 @@ class TermCounter:
             if got is None:
                 parts = word_terms(w)
                 got = known[w] = tuple(place[p] for p in parts if p in place), tuple(p for p in parts if p not in place)
-            for k in got[0]:
-                at.append(k)
-                n.append(times)
-            for p in got[1]:
-                other[p] = other.get(p, 0) + times
+            at += got[0]
+            n += (times,) * len(got[0])
+            if got[1]:
+                for p in got[1]:
+                    other[p] = other.get(p, 0) + times
         rest = sum((1 + math.log(k)) ** 2 for k in other.values())
         if not at:
             return np.zeros(0, np.int32), np.zeros(0, np.int32), rest

@@ -18,7 +18,7 @@ Defined results: null and empty texts, and texts without letters, get the calibr
 those without letters; texts that share no term with an example get the share among all. Cosines count to six places;
 all examples that tie with the k-th vote, so no id decides. Repeated rows are scored row for row; of labelled rows that
 share an id one teaches. Without labels of both kinds every score is the share of toxic labels (0 if there are none).
-Null labels and ids do not teach. Only the named columns are read.
+Null labels and ids do not teach; a term counts 65,535 times at most. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -138,15 +138,18 @@ class ExampleIndex:
         self.share = sum(labels) / max(1, len(labels))
         self.bare = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
         lengths = [len(vectors[k][0]) for k in full]
-        term, count = np.zeros(sum(lengths), np.int32), np.zeros(sum(lengths), np.uint32)
+        # one number a posting (term, example, count), sorted in place: the driver holds little more than the index
+        key = np.zeros(sum(lengths), np.uint64)
         self.length = np.ones(len(full))
         for row, (a, k) in enumerate(zip(np.cumsum([0, *lengths]), full)):
             t, n, *rest = vectors[k]
-            term[a : a + len(t)], count[a : a + len(t)] = t, n
-            self.length[row] = self.norm(self.raw(t, n), *rest)
-        order = np.argsort(term, kind="stable")
-        self.count, self.example = count[order], np.repeat(np.arange(len(full), dtype=np.int32), lengths)[order]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+            key[a : a + len(t)] = np.asarray(t, np.uint64) << np.uint64(38) | np.uint64(row) << np.uint64(16) | np.minimum(n, 65_535).astype(np.uint64)
+            self.length[row] = self.norm(self.raw(t, np.minimum(n, 65_535)), *rest)
+        key.sort()
+        self.count, self.example = (key & np.uint64(65_535)).astype(np.uint16), (key >> np.uint64(16) & np.uint64((1 << 22) - 1)).astype(np.int32)
+        key >>= np.uint64(38)
+        self.start = np.searchsorted(key, np.arange(len(idf) + 1, dtype=np.uint64))
+        del key
         self.weight = self._matrix = None
 
     def __getstate__(self) -> dict:
@@ -157,7 +160,7 @@ class ExampleIndex:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.example = np.cumsum(np.frombuffer(zlib.decompress(self.example), np.int32), dtype=np.int32)
-        self.count = np.frombuffer(zlib.decompress(self.count), np.uint32)
+        self.count = np.frombuffer(zlib.decompress(self.count), np.uint16)
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray]:
         """(row of each term or -1, rows): the postings of the most common terms; made in each worker."""
@@ -180,7 +183,7 @@ class ExampleIndex:
         return np.sqrt((w * w).sum() + rest * self.unseen**2)
 
     def unit(self, t, n, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        w = self.raw(t, n)
+        w = self.raw(t, np.minimum(n, 65_535))
         return np.asarray(t, np.int64), w / self.norm(w, rest)
 
     def cosines(self, vectors: list[tuple]) -> np.ndarray:
@@ -268,6 +271,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], *lists, pa.array([v[2] for v in found], pa.float64())], ["id", "y", "t", "n", "rest"])
 
     examples = written(taught.mapInArrow(count, f"id {kind}, y int, t array<int>, n array<int>, rest double"), "toxic-examples", compression="zstd")
+    del vocabulary
     got = examples.select("id", "y", "t", "n").toArrow()  # bounded by ``labelled``
     ends = np.cumsum(pc.list_value_length(got["t"]).to_numpy()) if got.num_rows else np.zeros(0, np.int64)
     t, n = (pc.list_flatten(got[c]).to_numpy() for c in ("t", "n"))

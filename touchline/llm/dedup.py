@@ -35,8 +35,8 @@ from .common import discard, sieve, sift, written
 from .simhash import class_edges, components, links
 
 WORDS, LANES, RADIUS, SIMILARITY = 5, 2, 30, 0.8
-#: Classes and shingles of a block, and words that a worker remembers.
-BLOCK, ELEMENTS, MEMORY = 4096, 1 << 24, 1 << 19
+#: Classes and shingles of a block.
+BLOCK, ELEMENTS = 4096, 1 << 24
 #: Odd numbers that spread bits (fixed values).
 SPREAD, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -47,16 +47,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_hashes(text: str, memory: dict[bytes, int], words: int = WORDS) -> np.ndarray:
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's runs of ``words`` words, A-Z lower-cased (fewer words: all of them)."""
     found = text.encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    if len(memory) > MEMORY:
-        memory.clear()
-    for w in set(found).difference(memory):
-        memory[w] = xxhash.xxh3_64_intdigest(w)
-    codes = np.array([memory[w] for w in found], np.uint64)
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     width = min(words, len(codes))
     h = np.full(len(codes) - width + 1, width, np.uint64)
     for k in range(width):
@@ -84,11 +80,10 @@ def marked_rows(docs: DataFrame, text_col: str, words: int = WORDS, lanes: int =
     names = [*named.columns, *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, int] = {}
         for batch in batches:
             rows = []
             for t in batch[place].cast(pa.string()):
-                h = shingle_hashes(t.as_py() or "", memory, words)
+                h = shingle_hashes(t.as_py() or "", words)
                 whole = xxhash.xxh3_128_intdigest(h.tobytes())
                 rows.append((whole >> 64, whole & (1 << 64) - 1, len(h), *set_mark(h, lanes)))
             marks = np.array(rows, np.uint64).reshape(-1, len(more)).view(np.int64)
@@ -103,9 +98,8 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     names = [*docs.columns[1:], "s"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory: dict[bytes, int] = {}
         for batch in batches:
-            sets = [np.unique((shingle_hashes(t.as_py() or "", memory, words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch["text"]]
+            sets = [np.unique((shingle_hashes(t.as_py() or "", words) >> np.uint64(32)).astype("<u4")).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], names)
 
     return docs.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[1:]) + ", s binary")

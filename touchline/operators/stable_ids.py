@@ -2,8 +2,8 @@
 
 A frame's detections pass six stages; each takes what the stages before left over: continuity with the frame before,
 the raw tracker's own id, a cheapest assignment, a rescue by motion alone, then new ids, or at the cap the reuse of an
-old one. ``assign_reason`` says which stage decided. Costs of a frame are matrices (detections x people), at most about
-22 x 22, so a step is a handful of small numpy operations.
+old one. ``assign_reason`` says which stage decided. The looks of all people of a crowd stand in one array, so a detection
+meets all of them in one product, once a frame; the other costs are a few numbers a pair that is near enough.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ class Person:
     seen: int
     raw: int
     velocity: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    looks: np.ndarray | None = None  # the average look, then the gallery
+    row: int = 0  # of its looks
     team: int = -1
     votes: int = 0
     lock_until: int = -1
@@ -82,24 +82,54 @@ class Person:
     def differs(self, team: int) -> bool:
         return team >= 0 and self.team >= 0 and self.votes >= 3 and team != self.team
 
-    def distance(self, look: np.ndarray | None) -> float | None:
-        """Three quarters of the best, one quarter of the mean half distance to the average look and the gallery."""
-        if look is None or self.looks is None:
-            return None
-        d = np.sqrt(((self.looks - look) ** 2).sum(1)) / 2
-        return float(0.75 * d.min() + 0.25 * d.mean())
 
-    def show(self, look: np.ndarray | None, r: Rules) -> None:
+class Looks:
+    """Each person's average look and gallery (newest last), and their squared lengths, in one array."""
+
+    def __init__(self) -> None:
+        self.data, self.square, self.n = np.zeros((0, 0, 0)), np.zeros((0, 0)), np.zeros(0, np.int64)
+
+    def distances(self, look: np.ndarray | None) -> list[float | None]:
+        """Of a look to each person: three quarters of the best, one quarter of the mean half distance; None without looks."""
+        if look is None or not self.data.size:
+            return [None] * len(self.n)
+        k = len(self.n)
+        d = self._halves(self.data[:k] @ look, self.square[:k], look)
+        inside = np.arange(d.shape[1]) < self.n[:, None]
+        out = 0.75 * np.where(inside, d, np.inf).min(1) + 0.25 * np.where(inside, d, 0).sum(1) / np.maximum(self.n, 1)
+        return [float(x) if n else None for x, n in zip(out, self.n)]
+
+    @staticmethod
+    def _halves(product: np.ndarray, square: np.ndarray, look: np.ndarray) -> np.ndarray:
+        far = square + float(look @ look) - 2 * product
+        return np.sqrt(np.where(far > 1e-12, far, 0)) / 2
+
+    def add(self) -> int:
+        """A row for one more person."""
+        self.n = np.append(self.n, 0)
+        if len(self.n) > len(self.data):
+            more = max(8, len(self.data))
+            self.data = np.concatenate([self.data, np.zeros((more, *self.data.shape[1:]))])
+            self.square = np.concatenate([self.square, np.zeros((more, self.square.shape[1]))])
+        return len(self.n) - 1
+
+    def show(self, row: int, look: np.ndarray | None, r: Rules) -> None:
         if look is None:
             return
-        if self.looks is None:
-            self.looks = np.stack([look, look])
+        if not self.data.size:
+            self.data, self.square = np.zeros((len(self.data), 1 + r.gallery, len(look))), np.zeros((len(self.data), 1 + r.gallery))
+        own, square, n = self.data[row], self.square[row], int(self.n[row])
+        if not n:
+            own[:2], square[:2], self.n[row] = look, look @ look, 2
             return
-        gallery = self.looks[1:]
-        if len(gallery) < 4 or np.sqrt(((gallery - look) ** 2).sum(1)).min() / 2 >= r.gallery_step:
-            self.looks = np.concatenate([self.looks[:1], gallery[max(0, len(gallery) + 1 - r.gallery) :], look[None]])
-        mixed = r.app_keep * self.looks[0] + (1 - r.app_keep) * look
-        self.looks[0] = mixed / max(math.sqrt(float(mixed @ mixed)), 1e-6)
+        if n < 5 or self._halves(own[1:n] @ look, square[1:n], look).min() >= r.gallery_step:
+            if n > r.gallery:  # the oldest goes
+                own[1 : n - 1], square[1 : n - 1] = own[2:n].copy(), square[2:n].copy()
+                n -= 1
+            own[n], square[n], self.n[row] = look, look @ look, n + 1
+        mixed = r.app_keep * own[0] + (1 - r.app_keep) * look
+        own[0] = mixed / max(math.sqrt(float(mixed @ mixed)), 1e-6)
+        square[0] = own[0] @ own[0]
 
 
 @dataclass
@@ -107,6 +137,7 @@ class Crowd:
     """State of one (match, role): people by id, raw ids' people, the frame before."""
 
     people: dict[int, Person] = field(default_factory=dict)
+    looks: Looks = field(default_factory=Looks)
     by_raw: dict[int, int] = field(default_factory=dict)
     next: int = 1
     frame: int = -(10**9)
@@ -121,6 +152,13 @@ class Detection:
         self.look = None if r["appearance"] is None else np.asarray(r["appearance"], float)
         self.team = -1 if r["team_id"] is None else int(r["team_id"])
         self.id, self.reason = 0, ""
+        self.far: list[float | None] | None = None
+
+    def unlike(self, p: Person, looks: Looks) -> float | None:
+        """How much it differs in look from a person that this frame has not changed yet."""
+        if self.far is None:
+            self.far = looks.distances(self.look)
+        return self.far[p.row] if p.row < len(self.far) else None
 
 
 def away(p: Person, d: Detection, frames: float) -> float:
@@ -129,7 +167,7 @@ def away(p: Person, d: Detection, frames: float) -> float:
     return math.hypot(x - a - u * frames, y - b - v * frames)
 
 
-def cost(p: Person, d: Detection, frame: int, r: Rules) -> float:
+def cost(p: Person, d: Detection, frame: int, r: Rules, looks: Looks) -> float:
     gap = frame - p.seen
     if gap < 0 or gap > r.relink_frames:
         return np.inf
@@ -137,7 +175,7 @@ def cost(p: Person, d: Detection, frame: int, r: Rules) -> float:
     room = r.relink_px * min(2.6, 1 + 0.18 * max(gap, 1))
     if far > room:
         return np.inf
-    look = p.distance(d.look)
+    look = d.unlike(p, looks)
     if look is None:
         if gap > r.unknown_gap or far > r.unknown_space * r.relink_px:
             return np.inf
@@ -161,14 +199,14 @@ def stable_step(r: Rules) -> Step:
             p.velocity = 0.7 * p.velocity + 0.3 * (d.at - p.at) / max(frame - p.seen, 1)
             p.at, p.seen, p.raw, p.lock_until = d.at, frame, d.raw, frame + r.lock
             p.vote(d.team)
-            p.show(d.look, r)
+            s.looks.show(p.row, d.look, r)
             if d.raw >= 0:
                 s.by_raw[d.raw] = sid
             d.id, d.reason = sid, reason
             used.add(sid)
             left.remove(d)
 
-        # 1. the frame before: clear overlap, no veto by team or look
+        # 1. the frame before: clear overlap, unless team or look speak against it
         if s.frame == frame - 1:
             found = []
             for k, d in enumerate(left):
@@ -176,7 +214,7 @@ def stable_step(r: Rules) -> Step:
                 if not over or over[0][0] < r.iou or (len(over) > 1 and over[0][0] - over[1][0] < r.iou_margin):
                     continue
                 p = s.people.get(-over[0][1])
-                look = p.distance(d.look) if p else None
+                look = d.unlike(p, s.looks) if p else None
                 if p and not p.differs(d.team) and not (look is not None and look > r.veto_app):
                     found.append((-over[0][0], k, -over[0][1], d))
             for _, _, sid, d in sorted(found, key=lambda f: f[:3]):
@@ -188,8 +226,8 @@ def stable_step(r: Rules) -> Step:
             if sid is None or sid in used:
                 continue
             p = s.people.get(sid)
-            look = p.distance(d.look) if p else None
-            if p is None or p.differs(d.team) or (look is not None and look > r.veto_app) or cost(p, d, frame, r) > r.most_cost + 0.25:
+            look = d.unlike(p, s.looks) if p else None
+            if p is None or p.differs(d.team) or (look is not None and look > r.veto_app) or cost(p, d, frame, r, s.looks) > r.most_cost + 0.25:
                 s.by_raw.pop(d.raw)
                 continue
             take(d, sid, "raw")
@@ -197,7 +235,7 @@ def stable_step(r: Rules) -> Step:
         window = max(r.relink_frames, r.memory_frames)
         free = [i for i, p in s.people.items() if i not in used and frame - p.seen <= window]
         if left and free:
-            c = np.array([[np.inf if s.people[i].differs(d.team) else cost(s.people[i], d, frame, r) for i in free] for d in left])
+            c = np.array([[np.inf if s.people[i].differs(d.team) else cost(s.people[i], d, frame, r, s.looks) for i in free] for d in left])
             pairs = list(zip(*assign(np.where(np.isfinite(c), c, 1e6))))
             todo = []
             for a, b in pairs:
@@ -229,7 +267,7 @@ def stable_step(r: Rules) -> Step:
                 for i, p in s.people.items():
                     gap = max(1, frame - p.seen)
                     if i not in used and gap >= r.reuse_gap:
-                        look = p.distance(d.look)
+                        look = d.unlike(p, s.looks)
                         far = away(p, d, gap) / (r.relink_px * min(4.5, 1 + 0.35 * gap))
                         scores.append((far + 0.35 * (r.unknown_app if look is None else look) + 0.008 * gap, i))
                 pick = min(scores)[1] if scores else min(((p.seen, i) for i, p in s.people.items() if i not in used), default=(0, None))[1]
@@ -237,7 +275,7 @@ def stable_step(r: Rules) -> Step:
                     take(d, pick, "reuse")
                     continue
             sid, s.next = s.next, s.next + 1
-            s.people[sid] = Person(d.at, frame, d.raw)
+            s.people[sid] = Person(d.at, frame, d.raw, row=s.looks.add())
             take(d, sid, "new")
         # 6. raw ids of people seen within three windows; the newest wins
         s.by_raw = {}

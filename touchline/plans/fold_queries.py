@@ -30,7 +30,8 @@ def stable(v):
     vectors = v.table("embeddings").select((F.col("vec_id") % 20).alias("display_track_id"), F.col("embedding").alias("appearance")).groupBy("display_track_id").agg(F.min_by("appearance", F.hash("appearance")).alias("appearance"))
     t = v.fx_tracks.withColumn("tracker_id", F.col("display_track_id"))
     norm = F.sqrt(F.aggregate("appearance", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return stable_ids.stabilise_ids(t.join(vectors, "display_track_id", "left").withColumn("appearance", F.transform("appearance", lambda x: x / norm)))
+    unit = vectors.select("display_track_id", F.zip_with("appearance", F.array_repeat(norm, F.size("appearance")), lambda x, n: x / n).alias("appearance"))
+    return stable_ids.stabilise_ids(t.join(unit, "display_track_id", "left"))
 
 
 @query("t2_stabilise_ids", "match_id frame class_id track_id", BOX, "assign_reason")

@@ -128,11 +128,20 @@ def test_team_votes_of_a_person():
 
 
 def test_gallery_and_distance():
-    one = stable_ids.Person(np.zeros(2), 0, 1)
+    looks = stable_ids.Looks()
+    one, other = looks.add(), looks.add()
     for look in (A, A, A, A, A, B):
-        one.show(np.array(look), stable_ids.PLAYERS)
-    assert len(one.looks) == 1 + 5 and one.distance(None) is None
-    assert 0 < one.distance(np.array(A)) < one.distance(np.array([0.0, 0.0, 1.0]))
+        looks.show(one, np.array(look), stable_ids.PLAYERS)
+    assert looks.n[one] == 1 + 5 and looks.distances(None) == [None, None] and looks.distances(np.array(A))[other] is None
+    assert 0 < looks.distances(np.array(A))[one] < looks.distances(np.array([0.0, 0.0, 1.0]))[one]
+    rng = np.random.default_rng(2)
+    shown = [x / np.linalg.norm(x) for x in rng.normal(size=(60, 3))]
+    for look in shown:
+        looks.show(other, look, stable_ids.PLAYERS)
+    held, probe = looks.data[other, : looks.n[other]], np.array([0.6, 0.8, 0.0])
+    d = np.sqrt(((held - probe) ** 2).sum(1)) / 2
+    assert looks.n[other] == 1 + stable_ids.PLAYERS.gallery and (held[-1] == shown[-1]).all()
+    assert abs(looks.distances(probe)[other] - 0.75 * d.min() - 0.25 * d.mean()) < 1e-9
 
 
 def test_colours_and_poses():

@@ -54,3 +54,53 @@ def test_anchors_of_all_frames(spark, sf):
     assert {(r["match_id"], r["frame"]) for r in rows} == {tuple(r) for r in fixtures.view(spark, sf, "fx_keypoints").select("match_id", "frame").distinct().collect()}
     assert all(abs(r["x_cm"] - 10.0 * (910 - r["frame"] % 30)) < 0.01 and abs(r["y_cm"] - 6375) < 0.01 for r in rows if r["x_cm"] is not None)
     assert any(r["x_cm"] is not None for r in rows)
+
+
+def test_team_votes_of_stable_ids(spark, sf):
+    """``stable_team`` is what a plain count of each id's labels gives: up to 999 votes, one off for another team."""
+    rows = catalog.QUERIES["t10_team_hysteresis"](spark, sf).collect()
+    held = {}
+    for r in sorted(rows, key=lambda r: (r["match_id"], r["track_id"], r["frame"])):
+        team, votes = held.get((r["match_id"], r["track_id"]), (-1, 0))
+        if r["team_id"] == team and team >= 0:
+            votes = min(votes + 1, 999)
+        elif r["team_id"] >= 0:
+            votes -= 1
+            team, votes = (r["team_id"], 1) if team < 0 or votes <= 0 else (team, votes)
+        held[r["match_id"], r["track_id"]] = team, votes
+        assert r["stable_team"] == team
+    assert len({r["stable_team"] for r in rows}) == 3 and any(r["stable_team"] != r["team_id"] >= 0 for r in rows)
+
+
+def test_rescued_officials(spark, sf):
+    """A rescued row has the class under which its id was last seen, and no other row of its frame has that id."""
+    rows = catalog.QUERIES["j18_rescue_official"](spark, sf).collect()
+    assert all(r["class_id"] in (1, 3) for r in rows) and any(r["rescued_from"] >= 50 for r in rows)
+    assert len({(r["match_id"], r["frame"], r["class_id"], r["track_id"]) for r in rows}) == len(rows)
+    tracks = {(r["match_id"], r["display_track_id"], r["class_id"]) for r in fixtures.view(spark, sf, "fx_tracks").select("match_id", "display_track_id", "class_id").collect()}
+    assert all((r["match_id"], r["track_id"], r["class_id"]) in tracks for r in rows)
+
+
+@pytest.mark.parametrize("alpha", [0.5, 0.02])
+def test_ema_is_exact(spark, alpha):
+    from touchline.operators import windows
+
+    rows = [(1, k % 3, k, None if k % 97 == 5 else float(k * k % 101)) for k in range(900)]
+    got = windows.ema(spark.createDataFrame(rows, "match_id bigint, display_track_id bigint, frame bigint, v double").repartition(5), "v", alpha).collect()
+    old, want = {}, {}
+    for _, t, f, v in rows:
+        before = old.get(t)
+        old[t] = want[f] = v if before is None or v is None else alpha * v + (1 - alpha) * before
+    assert len(got) == 900 and all(r["ema"] == want[r["frame"]] or abs(r["ema"] - want[r["frame"]]) < 1e-9 for r in got)
+
+
+def test_alias_rules_of_two_matches(spark):
+    """A rule with a match holds there only; one without holds everywhere; protected ids of a match stay."""
+    from touchline.operators import joins
+
+    tracks = spark.createDataFrame([(m, 10, i, 2, 0.0, 0.0, 2.0, 2.0) for m in (0, 1) for i in (5, 6, 7, 5)], "match_id bigint, frame bigint, display_track_id bigint, class_id int, x1 double, y1 double, x2 double, y2 double")
+    rules = spark.createDataFrame([(1, 0, 5, "", 50), (2, 1, 5, "", 51), (3, None, 6, "P", 60), (4, 1, 7, "GK", 70)], "rule_no int, match_id bigint, id bigint, cls string, target bigint").selectExpr("*", "CAST(NULL AS BIGINT) fs", "CAST(NULL AS BIGINT) fe")
+    got = sorted((r["match_id"], r["display_track_id"], r["new_id"], r["action"]) for r in joins.apply_alias_rules(tracks, rules).collect())
+    assert got == [(0, 5, 50, "single"), (0, 5, 50, "single"), (0, 6, 60, "single"), (0, 7, 7, "none"), (1, 5, 51, "single"), (1, 5, 51, "single"), (1, 6, 60, "single"), (1, 7, 7, "none")]
+    kept = joins.apply_alias_rules(tracks, rules, spark.createDataFrame([(1, 6, "")], "match_id bigint, id bigint, cls string")).filter("action = 'protected'")
+    assert [(r["match_id"], r["new_id"]) for r in kept.collect()] == [(1, 6)]

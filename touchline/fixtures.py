@@ -5,22 +5,35 @@ Each is one SQL text that Spark and DuckDB read alike; ``{table}`` marks a table
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-FRAME = "CAST(FLOOR({k} / 4) AS BIGINT)"
+#: Frames a match: the number of matches grows with the tables.
+FRAMES = 3000
+
+
+def _frame(key: str) -> str:
+    return f"CAST(FLOOR({key} / 4) AS BIGINT) % {FRAMES}"
+
+
+def _place(key: str) -> str:
+    return f"{key} % 4 + 4 * CAST(FLOOR({key} / {4 * FRAMES}) AS BIGINT) AS match_id, {_frame(key)} AS frame"
+
+
 VERTICES = [(1, 0, 0), (2, 0, 7000), (3, 2000, 1500), (4, 2000, 5500), (5, 6000, 0), (6, 6000, 3500), (7, 6000, 7000), (8, 10000, 1500), (9, 10000, 5500), (10, 12000, 0), (11, 12000, 7000), (12, 9000, 3500)]
 _V = "(SELECT * FROM (VALUES " + ",".join(map(str, VERTICES)) + ") t(label, x_cm, y_cm))"
 
 VIEWS = {
     "fx_frames": """
-SELECT o_orderkey % 4 AS match_id, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS frame,
-       CASE WHEN CAST(FLOOR(o_orderkey / 4) AS BIGINT) % 17 = 0 THEN 'none' ELSE 'ok' END AS homography_state,
+SELECT @PLACE(o_orderkey)@,
+       CASE WHEN @FRAME(o_orderkey)@ % 17 = 0 THEN 'none' ELSE 'ok' END AS homography_state,
        CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS detector_ran,
-       CAST(FLOOR(o_orderkey / 4) AS BIGINT) % 17 <> 0 AS homography_ok, CAST(o_orderkey % 9 AS INT) AS kp_used
+       @FRAME(o_orderkey)@ % 17 <> 0 AS homography_ok, CAST(o_orderkey % 9 AS INT) AS kp_used
 FROM {orders}""",
     "fx_tracks": """
 WITH b AS (
-  SELECT l_orderkey % 4 AS match_id, CAST(FLOOR(l_orderkey / 4) AS BIGINT) AS frame, CAST(l_suppkey % 20 AS BIGINT) AS tid,
+  SELECT @PLACE(l_orderkey)@, CAST(l_suppkey % 20 AS BIGINT) AS tid,
          CASE WHEN l_linenumber = 7 THEN 0 WHEN l_suppkey % 20 = 0 THEN 1 WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN 3 ELSE 2 END AS class_id,
          CASE WHEN l_discount >= 0.10 THEN 600.0 ELSE 0.0 END AS jump, l.*
   FROM {lineitem} l)
@@ -34,13 +47,13 @@ SELECT match_id, frame, CASE WHEN class_id = 0 THEN -1 ELSE tid END AS display_t
        CASE WHEN class_id = 0 AND l_linestatus = 'F' THEN 1 ELSE 0 END AS ball_interpolated, l_partkey, l_linenumber
 FROM b""",
     "fx_pass_events": """
-SELECT event_id AS pass_id, event_id % 4 AS match_id, CAST(FLOOR(event_id / 4) AS BIGINT) AS departure_frame,
-       CAST(FLOOR(event_id / 4) AS BIGINT) + 1 + user_id % 12 AS arrival_frame, user_id % 20 AS passer_id, (user_id + 7) % 20 AS receiver_id,
+SELECT event_id AS pass_id, @MATCH(event_id)@, @FRAME(event_id)@ AS departure_frame,
+       @FRAME(event_id)@ + 1 + user_id % 12 AS arrival_frame, user_id % 20 AS passer_id, (user_id + 7) % 20 AS receiver_id,
        CASE user_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'incomplete' ELSE 'unknown' END AS outcome,
        CASE WHEN value < 20 THEN 'interp' ELSE 'tracker' END AS dep_src
 FROM {events} WHERE event_type = 'purchase'""",
     "fx_ball_overrides": """
-SELECT event_id % 4 AS match_id, CAST(FLOOR(event_id / 4) AS BIGINT) AS frame, CAST(value * 10 AS DOUBLE) AS cx, CAST(220.0 + user_id AS DOUBLE) AS cy
+SELECT @PLACE(event_id)@, CAST(value * 10 AS DOUBLE) AS cx, CAST(220.0 + user_id AS DOUBLE) AS cy
 FROM {events} WHERE event_type = 'signup'""",
     "fx_segment_map": """
 SELECT r_regionkey AS match_id, CAST(s_suppkey % 20 AS BIGINT) AS tracker_id, CAST(FLOOR(s_suppkey / 20) * 200 AS BIGINT) AS frame_start,
@@ -51,17 +64,18 @@ FROM {supplier} CROSS JOIN {region} WHERE r_regionkey < 4""",
 SELECT n_nationkey AS rule_no,
        CASE n_nationkey % 4 WHEN 0 THEN CONCAT(CAST(n_nationkey % 20 AS VARCHAR(9)), ' REF') WHEN 1 THEN CONCAT('GK', CAST(n_nationkey % 20 AS VARCHAR(9)))
             WHEN 2 THEN CONCAT(CAST(n_nationkey % 20 AS VARCHAR(9)), ' P') ELSE CONCAT(CAST(n_nationkey % 20 AS VARCHAR(9)), ' PT1') END AS cell,
-       CASE n_nationkey % 4 WHEN 0 THEN '100-900' WHEN 1 THEN '500-' WHEN 2 THEN '321' ELSE NULL END AS frame_range, CAST((n_nationkey * 3) % 20 AS BIGINT) AS target
+       CASE n_nationkey % 4 WHEN 0 THEN '100-900' WHEN 1 THEN '500-' WHEN 2 THEN '321' ELSE NULL END AS frame_range, CAST((n_nationkey * 3) % 20 AS BIGINT) AS target,
+       CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey % 4 AS BIGINT) END AS match_id
 FROM {nation}""",
     "fx_gt": """
 SELECT match_id, frame, gt_id, x1, y1, x2, y2 FROM (
-  SELECT l_orderkey % 4 AS match_id, CAST(FLOOR(l_orderkey / 4) AS BIGINT) AS frame, CAST(l_suppkey % 20 AS BIGINT) AS gt_id,
+  SELECT @PLACE(l_orderkey)@, CAST(l_suppkey % 20 AS BIGINT) AS gt_id,
          CAST(60.0 * (l_suppkey % 20) AS DOUBLE) AS x1, CAST(200.0 AS DOUBLE) AS y1, CAST(60.0 * (l_suppkey % 20) + 30.0 AS DOUBLE) AS x2, CAST(260.0 AS DOUBLE) AS y2,
          ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_suppkey % 20 ORDER BY l_extendedprice, l_partkey, l_linenumber) AS rn
   FROM {lineitem} WHERE l_discount < 0.08) q WHERE rn = 1""",
     "fx_pred": """
 SELECT match_id, frame, pred_id, x1, y1, x2, y2 FROM (
-  SELECT l_orderkey % 4 AS match_id, CAST(FLOOR(l_orderkey / 4) AS BIGINT) AS frame,
+  SELECT @PLACE(l_orderkey)@,
          CAST(CASE WHEN l_orderkey % 1000 < 300 THEN (l_suppkey + 1) % 20 ELSE l_suppkey % 20 END AS BIGINT) AS pred_id,
          CAST(60.0 * (l_suppkey % 20) + l_partkey % 5 AS DOUBLE) AS x1, CAST(200.0 AS DOUBLE) AS y1, CAST(60.0 * (l_suppkey % 20) + l_partkey % 5 + 30.0 AS DOUBLE) AS x2, CAST(260.0 AS DOUBLE) AS y2,
          ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_suppkey % 20 ORDER BY l_extendedprice, l_partkey, l_linenumber) AS rn
@@ -70,13 +84,17 @@ SELECT match_id, frame, pred_id, x1, y1, x2, y2 FROM (
     "fx_keypoints": f"""
 SELECT f.match_id, f.frame, 0 AS det_id, CAST(0.9 AS DOUBLE) AS det_conf, v.label, CAST(v.x_cm / 10.0 + 50.0 + f.frame % 30 AS DOUBLE) AS x, CAST(v.y_cm / 12.5 + 30.0 AS DOUBLE) AS y,
        CAST(0.3 + ((v.label * 7 + f.frame) % 10) * 0.07 AS DOUBLE) AS conf
-FROM (SELECT o_orderkey % 4 AS match_id, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS frame FROM {{orders}}) f CROSS JOIN {_V} v""",
+FROM (SELECT @PLACE(o_orderkey)@ FROM {{orders}}) f CROSS JOIN {_V} v""",
     "fx_homography": """
-SELECT o_orderkey % 4 AS match_id, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS frame,
-       CAST(10.0 AS DOUBLE) AS h0, CAST(0.0 AS DOUBLE) AS h1, CAST(-500.0 - 10.0 * (FLOOR(o_orderkey / 4) % 30) AS DOUBLE) AS h2,
+SELECT @PLACE(o_orderkey)@,
+       CAST(10.0 AS DOUBLE) AS h0, CAST(0.0 AS DOUBLE) AS h1, CAST(-500.0 - 10.0 * (@FRAME(o_orderkey)@ % 30) AS DOUBLE) AS h2,
        CAST(0.0 AS DOUBLE) AS h3, CAST(12.5 AS DOUBLE) AS h4, CAST(-375.0 AS DOUBLE) AS h5, CAST(0.0001 AS DOUBLE) AS h6, CAST(0.0 AS DOUBLE) AS h7, CAST(1.0 AS DOUBLE) AS h8
-FROM {orders} WHERE FLOOR(o_orderkey / 4) % 17 <> 0""",
+FROM {orders} WHERE @FRAME(o_orderkey)@ % 17 <> 0""",
 }
+for _name, _text in VIEWS.items():
+    _text = re.sub(r"@PLACE\((\w+)\)@", lambda m: _place(m[1]), _text)
+    _text = re.sub(r"@MATCH\((\w+)\)@", lambda m: _place(m[1]).split(",")[0], _text)
+    VIEWS[_name] = re.sub(r"@FRAME\((\w+)\)@", lambda m: f"({_frame(m[1])})", _text)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -273,7 +273,7 @@ def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
                 if 0 < gap <= horizon and sid not in claimed and (over := iou(xyxy(r), at)) >= 0.20:
                     best = max(best or (-math.inf, 0, 0), (over - 0.01 * gap, -sid, cls))
             if best:
-                r["track_id"], r["class_id"] = -best[1], best[2]
+                r["rescued_from"], r["track_id"], r["class_id"] = r["track_id"], -best[1], best[2]
                 claimed.add(r["track_id"])
         placed = lambda r: r["gate_x"] is not None and r["gate_y"] is not None
         out_of = lambda r, mx, my: not (-mx <= r["gate_x"] <= p.pitch_length + mx and -my <= r["gate_y"] <= p.pitch_width + my)
@@ -318,16 +318,17 @@ def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
             if sid not in fresh and frame - when <= horizon:
                 fresh[sid] = cls, at, when, max(1, streak - 1)
         s.memory = fresh
-        return [{c: r[c] for c in ("match_id", "frame", "track_id", "class_id", "conf", "x1", "y1", "x2", "y2")} for r in unique]
+        return [{c: r.get(c) for c in ("match_id", "frame", "track_id", "class_id", "conf", "x1", "y1", "x2", "y2", "rescued_from")} for r in unique]
 
     return step
 
 
 def clean_frames(tracks: DataFrame, p: Params = DEFAULTS, horizon: int = 600) -> DataFrame:
-    """People rows after all frame rules. ``gate_x, gate_y``: pitch place by the frame before's homography (may be absent)."""
+    """People rows after all frame rules. ``gate_x, gate_y``: pitch place by the frame before's homography (may be absent).
+    ``rescued_from``: the id that a row had as a player before a remembered official's memory claimed it."""
     gate = [F.col(c).cast("double") if c in tracks.columns else F.lit(None).cast("double").alias(c) for c in ("gate_x", "gate_y")]
     rows = tracks.filter(F.col("class_id") != BALL).select(*KEY, "track_id", "class_id", "conf", "x1", "y1", "x2", "y2", *gate)
-    return fold(rows, ["match_id"], ["-conf", "x1", "y1", "x2", "y2", "track_id"], Officials, clean_step(p, horizon), "match_id bigint, frame bigint, track_id bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double")
+    return fold(rows, ["match_id"], ["-conf", "x1", "y1", "x2", "y2", "track_id"], Officials, clean_step(p, horizon), "match_id bigint, frame bigint, track_id bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double, rescued_from bigint")
 
 
 # ---- T5: team colours ---------------------------------------------------------------------------------------------
@@ -519,7 +520,8 @@ def auto_repair(tracks: DataFrame, purity: DataFrame, p: Params = DEFAULTS, id_c
     flag = purity.select("match_id", id_col, "is_clean")
     people = tracks.filter(F.col("class_id") != BALL).join(flag, ["match_id", id_col]).withColumns({"cx": cx, "cy": cy})
     key = F.sha2(F.to_json(F.struct(*[c for c in tracks.columns])), 256)  # names a row by its values, the same on every run
-    people = people.withColumn("_row", key)
+    same = Window.partitionBy("match_id", "frame", "_key").orderBy("_key")  # identical rows are told apart by number
+    people = people.withColumn("_key", key).withColumn("_row", F.concat_ws("#", "_key", F.row_number().over(same))).drop("_key")
     clean, junk = people.filter("is_clean"), people.filter("NOT is_clean")
     referee = junk.filter(F.col("class_id") == REFEREE)
     other = junk.filter(F.col("class_id") != REFEREE)
@@ -528,7 +530,7 @@ def auto_repair(tracks: DataFrame, purity: DataFrame, p: Params = DEFAULTS, id_c
     cols = ["match_id", "frame", "display_track_id", "team_id", "cx", "cy", "conf", "is_clean", "_row", *tie]
     rows = clean.unionByName(left).withColumn("display_track_id", F.col(id_col)).select(*dict.fromkeys(cols))
     stitched = fold(rows, ["match_id"], ["-conf", *tie], Seen, stitch_step(p), "_row string, stitched bigint")
-    done = left.join(stitched.groupBy("_row").agg(F.first("stitched").alias("stitched")), "_row", "left")
+    done = left.join(stitched, "_row", "left")
     tag = lambda df, action, new: df.withColumns({"action": action, "new_id": new}).select(*tracks.columns, "action", "new_id")
     nothing = F.lit(None).cast("bigint")
     parts = [tag(clean, F.lit("clean"), F.col(id_col)), tag(referee, F.lit("referee"), F.lit(p.referee_id).cast("bigint")), tag(duplicate, F.lit("duplicate"), nothing),

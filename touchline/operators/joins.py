@@ -6,7 +6,7 @@ side may be large, so a hot match still spreads and no nested loop appears.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import box, centre, distance, iou
@@ -53,12 +53,11 @@ def apply_segment_map(tracks: DataFrame, segments: DataFrame, id_col: str = "dis
 
     ``segments``: match_id, tracker_id, frame_start, frame_end, canonical_id, team, and ``rule_no``: the last rule wins.
     """
-    s = segments.filter("canonical_id IS NOT NULL").select(F.col("match_id").alias("_m"), F.col("tracker_id").alias("_t"), F.col("frame_start").alias("_f0"), F.col("frame_end").alias("_f1"), F.struct("rule_no", "canonical_id", "team").alias("_rule"))
-    rows = tracks.withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", F.floor(F.col("frame") / BUCKET))
-    people = rows.filter(F.col("class_id") != BALL)
-    hits = people.join(_bucketed(s, "_f0", "_f1"), (F.col("match_id") == F.col("_m")) & (F.col(id_col) == F.col("_t")) & (F.col("_b") == F.col("_bucket")) & F.col("frame").between(F.col("_f0"), F.col("_f1")), "left")
-    w = Window.partitionBy("_row")
-    one = hits.withColumn("_best", F.max("_rule").over(w)).withColumn("_k", F.row_number().over(w.orderBy("_t"))).filter("_k = 1")
+    s = _bucketed(segments.filter("canonical_id IS NOT NULL"), "frame_start", "frame_end")
+    s = s.groupBy(F.col("match_id").alias("_m"), F.col("tracker_id").alias("_t"), "_bucket").agg(F.collect_list(F.struct("rule_no", "canonical_id", "team", "frame_start", "frame_end")).alias("_rules"))
+    people = tracks.filter(F.col("class_id") != BALL).withColumn("_b", F.floor(F.col("frame") / BUCKET))
+    hits = people.join(s, (F.col("match_id") == F.col("_m")) & (F.col(id_col) == F.col("_t")) & (F.col("_b") == F.col("_bucket")), "left")
+    one = hits.withColumn("_best", F.array_max(F.filter("_rules", lambda r: F.col("frame").between(r["frame_start"], r["frame_end"]))))
     canon = F.col("_best.canonical_id")
     kept = one.filter(F.coalesce(canon != 0, F.lit(True))).withColumns({id_col: F.coalesce(canon, F.col(id_col)), "team_id": F.when(canon.isNotNull(), F.coalesce(F.col("_best.team"), F.col("team_id"))).otherwise(F.col("team_id"))})
     return kept.select(*tracks.columns).unionByName(tracks.filter(F.col("class_id") == BALL))
@@ -67,45 +66,63 @@ def apply_segment_map(tracks: DataFrame, segments: DataFrame, id_col: str = "dis
 def alias_candidates(tracks: DataFrame, rules: DataFrame, protected: DataFrame | None = None, min_frame: int = 0, id_col: str = "display_track_id", p: Params = DEFAULTS) -> DataFrame:
     """People from ``min_frame`` on with their ``action`` and ordered ``targets``.
 
-    ``rules``: rule_no, id, cls ('' for any), target, fs, fe (null: open). ``protected``: id, cls (canonical ids keep their
-    rows). Actions: protected, none, single, split (several targets).
+    ``rules``: rule_no, id, cls ('' for any), target, fs, fe (null: open), and match_id (null or absent: every match).
+    ``protected``: id, cls and perhaps match_id (canonical ids keep their rows). Actions: protected, none, single, split
+    (several targets). A match's rules of an id come as one array, so rows are neither multiplied nor named.
     """
     letter = F.when(F.col("class_id") == KEEPER, "GK").when(F.col("class_id") == PLAYER, "P").when(F.col("class_id") == REFEREE, "REF")
-    people = tracks.filter((F.col("class_id") != BALL) & (F.col("frame") >= min_frame)).withColumn("_letter", letter).withColumn("_row", F.monotonically_increasing_id())
-    if protected is not None:
-        keep = protected.select(F.col("id").alias("_pid"), F.col("cls").alias("_pcls")).groupBy("_pid").agg(F.collect_set("_pcls").alias("_pcls"))
-        people = people.join(keep, F.col(id_col) == F.col("_pid"), "left").withColumn("_keep", F.coalesce(F.array_contains("_pcls", "") | F.array_contains(F.col("_pcls"), F.col("_letter")), F.lit(False))).drop("_pid", "_pcls")
-    else:
-        people = people.withColumn("_keep", F.lit(False))
-    r = rules.select("rule_no", F.col("id").alias("_rid"), F.col("cls").alias("_rcls"), "target", F.col("fs").alias("_fs"), F.col("fe").alias("_fe"))
-    fits = (F.col(id_col) == F.col("_rid")) & ((F.col("_rcls") == "") | (F.col("_rcls") == F.col("_letter"))) & (F.col("_fs").isNull() | (F.col("frame") >= F.col("_fs") - p.alias_tolerance)) & (F.col("_fe").isNull() | (F.col("frame") <= F.col("_fe") + p.alias_tolerance)) & ~F.col("_keep")
-    hits = people.join(r, fits, "left").groupBy("_row").agg(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("rule_no", "target"))).alias("_t"))
-    targets = F.array_distinct(F.transform(F.array_sort("_t"), lambda x: x["target"]))
-    out = people.join(hits.select("_row", targets.alias("targets")), "_row")
+    people = tracks.filter((F.col("class_id") != BALL) & (F.col("frame") >= min_frame)).withColumn("_letter", letter)
+    people = _with_lists(people, protected, id_col, "cls", "_p") if protected is not None else people.withColumn("_p", F.array().cast("array<struct<cls:string>>"))
+    people = _with_lists(people, rules, id_col, "rule_no cls target fs fe", "_r")
+    mine = lambda x: (x["cls"] == "") | (x["cls"] == F.col("_letter"))
+    fits = lambda x: mine(x) & (x["fs"].isNull() | (F.col("frame") >= x["fs"] - p.alias_tolerance)) & (x["fe"].isNull() | (F.col("frame") <= x["fe"] + p.alias_tolerance))
+    out = people.withColumn("_keep", F.coalesce(F.exists("_p", mine), F.lit(False)))
+    targets = F.array_distinct(F.transform(F.array_sort(F.filter("_r", fits)), lambda x: x["target"]))
+    out = out.withColumn("targets", F.when(F.col("_keep"), F.slice(targets, 1, 0)).otherwise(targets))
     n = F.size("targets")
-    return out.withColumn("action", F.when(F.col("_keep"), "protected").when(n == 0, "none").when(n == 1, "single").otherwise("split")).drop("_keep", "_letter")
+    return out.withColumn("action", F.when(F.col("_keep"), "protected").when(n == 0, "none").when(n == 1, "single").otherwise("split")).drop("_keep", "_letter", "_p", "_r")
+
+
+def _with_lists(df: DataFrame, rules: DataFrame, id_col: str, fields: str, name: str) -> DataFrame:
+    """``df`` with the array ``name`` of the rules for its id: those of its match, then those of every match."""
+    if "match_id" not in rules.columns:
+        rules = rules.withColumn("match_id", F.lit(None).cast("bigint"))
+    lists = rules.groupBy("match_id", F.col("id").alias("_id")).agg(F.collect_list(F.struct(*fields.split())).alias("_l"))
+    own = lists.filter("match_id IS NOT NULL").select(F.col("match_id").alias("_m"), "_id", F.col("_l").alias("_own"))
+    every = lists.filter("match_id IS NULL").select("_id", F.col("_l").alias("_every"))
+    out = df.join(own, (F.col("match_id") == F.col("_m")) & (F.col(id_col) == F.col("_id")), "left").drop("_m", "_id")
+    out = out.join(every, F.col(id_col) == F.col("_id"), "left").drop("_id")
+    nothing = F.slice(F.coalesce("_own", "_every"), 1, 0)
+    none = F.array().cast(lists.schema["_l"].dataType)
+    return out.withColumn(name, F.coalesce(F.concat(F.coalesce("_own", nothing), F.coalesce("_every", nothing)), none)).drop("_own", "_every")
+
+
+#: What decides between several targets; rows that agree in it get the same one.
+SPOT = ["match_id", "frame", "_x", "_y", "targets"]
 
 
 def nearest_target(split: DataFrame, positions: DataFrame, id_col: str = "display_track_id", p: Params = DEFAULTS) -> DataFrame:
-    """(_row, target): of several targets the one whose box is nearest in pixels within 12 frames, else within 50; a
-    target without such boxes cannot win. Frames are bucketed by 50, so the join stays an equi-join."""
+    """(match_id, frame, _x, _y, targets, target): of several targets the one whose box is nearest in pixels to the centre
+    (_x, _y) within 12 frames, else within 50; a target without such boxes cannot win. Frames are bucketed by 50, so the
+    join stays an equi-join."""
     cx, cy = centre()
-    c = split.select("_row", "match_id", "frame", cx.alias("_x"), cy.alias("_y"), F.posexplode("targets").alias("_ord", "target"))
+    c = split.select("match_id", "frame", cx.alias("_x"), cy.alias("_y"), "targets").distinct().select(*SPOT, F.posexplode("targets").alias("_ord", "target"))
     c = c.withColumn("_b", F.explode(F.array(*[F.floor(F.col("frame") / p.far_frames) + k for k in (-1, 0, 1)])))
     pos = positions.filter(F.col("class_id") != BALL).select(F.col("match_id").alias("_m"), F.col(id_col).alias("_id"), F.col("frame").alias("_f"), cx.alias("_px"), cy.alias("_py"), F.floor(F.col("frame") / p.far_frames).alias("_pb"))
     hit = c.join(pos, (F.col("match_id") == F.col("_m")) & (F.col("target") == F.col("_id")) & (F.col("_b") == F.col("_pb")) & (F.abs(F.col("frame") - F.col("_f")) <= p.far_frames))
     near = F.abs(F.col("frame") - F.col("_f")) <= p.near_frames
     d = distance(F.col("_x"), F.col("_y"), F.col("_px"), F.col("_py"))
-    each = hit.groupBy("_row", "_ord", "target").agg(F.min(F.when(near, d)).alias("_near"), F.min(d).alias("_far"))
-    return each.groupBy("_row").agg(F.min(F.struct(F.coalesce("_near", "_far").alias("d"), F.col("_ord"), F.col("target"))).alias("m")).select("_row", F.col("m.target").alias("target"))
+    each = hit.groupBy(*SPOT, "_ord", "target").agg(F.min(F.when(near, d)).alias("_near"), F.min(d).alias("_far"))
+    return each.groupBy(*SPOT).agg(F.min(F.struct(F.coalesce("_near", "_far").alias("d"), F.col("_ord"), F.col("target"))).alias("m")).select(*SPOT, F.col("m.target").alias("target"))
 
 
 def apply_alias_rules(tracks: DataFrame, rules: DataFrame, protected: DataFrame | None = None, min_frame: int = 0, id_col: str = "display_track_id", p: Params = DEFAULTS) -> DataFrame:
     """People with ``new_id`` and ``action``; a split without any near box takes its first target."""
-    c = alias_candidates(tracks, rules, protected, min_frame, id_col, p)
+    cx, cy = centre()
+    c = alias_candidates(tracks, rules, protected, min_frame, id_col, p).withColumns({"_x": cx, "_y": cy})
     pick = nearest_target(c.filter("action = 'split'"), tracks, id_col, p).withColumnRenamed("target", "_near")
     first = F.when(F.size("targets") > 0, F.try_element_at("targets", F.lit(1)))
-    return c.join(pick, "_row", "left").withColumn("new_id", F.coalesce(F.when(F.col("action") == "split", F.col("_near")), first, F.col(id_col))).drop("_row", "_near", "targets")
+    return c.join(pick, SPOT, "left").withColumn("new_id", F.coalesce(F.when(F.col("action") == "split", F.col("_near")), first, F.col(id_col))).select(*tracks.columns, "action", "new_id")
 
 
 def tag_passes(tracks: DataFrame, events: DataFrame, id_col: str = "display_track_id") -> DataFrame:
@@ -114,14 +131,22 @@ def tag_passes(tracks: DataFrame, events: DataFrame, id_col: str = "display_trac
     Later passes overwrite earlier ones; within a pass receiver beats passer beats flight. A role survives a later flight,
     which sets id and phase only.
     """
-    e = events.select(F.col("match_id").alias("_m"), F.col("pass_id").alias("_pass"), F.col("departure_frame").alias("_dep"), F.col("arrival_frame").alias("_arr"), "passer_id", "receiver_id")
-    rows = tracks.withColumn("_row", F.monotonically_increasing_id())
-    mark = lambda role, phase, rank: F.struct(F.col("_pass"), F.lit(rank).alias("rank"), F.lit(role).cast("string").alias("role"), F.lit(phase).alias("phase"))
-    flight = rows.filter(F.col("class_id") == BALL).withColumn("_b", F.floor(F.col("frame") / BUCKET)).join(_bucketed(e, "_dep", "_arr"), (F.col("match_id") == F.col("_m")) & (F.col("_b") == F.col("_bucket")) & F.col("frame").between(F.col("_dep"), F.col("_arr"))).select("_row", mark(None, "in_flight", 0).alias("_mark"))
-    passer = rows.join(e, (F.col("match_id") == F.col("_m")) & (F.col("frame") == F.col("_dep")) & (F.col(id_col) == F.col("passer_id"))).select("_row", mark("passer", "departure", 1).alias("_mark"))
-    receiver = rows.join(e, (F.col("match_id") == F.col("_m")) & (F.col("frame") == F.col("_arr")) & (F.col(id_col) == F.col("receiver_id"))).select("_row", mark("receiver", "arrival", 2).alias("_mark"))
-    marks = flight.unionByName(passer).unionByName(receiver).groupBy("_row").agg(F.max("_mark").alias("_last"), F.max(F.when(F.col("_mark.role").isNotNull(), F.col("_mark"))).alias("_role"))
-    return rows.join(marks, "_row", "left").withColumns({"pass_id": F.col("_last._pass"), "pass_role": F.col("_role.role"), "pass_phase": F.col("_last.phase")}).drop("_row", "_last", "_role")
+    mark = lambda role, phase, rank: F.max(F.struct(F.col("pass_id").alias("id"), F.lit(rank).alias("rank"), F.lit(role).cast("string").alias("role"), F.lit(phase).alias("phase")))
+    ball = F.col("class_id") == BALL
+    # marks depend on the frame, or on frame and id, so they join back on these and rows need no name
+    frames = tracks.filter(ball).select(*KEY).distinct()
+    flight = _inside(frames, events).groupBy(*KEY).agg(mark(None, "in_flight", 0).alias("_flight"))
+    end = lambda frame, who, name, *how: events.groupBy("match_id", F.col(frame).alias("frame"), F.col(who).alias(id_col)).agg(mark(*how).alias(name)).filter(F.col(id_col).isNotNull())
+    out = tracks.join(flight, KEY, "left").join(end("departure_frame", "passer_id", "_passer", "passer", "departure", 1), [*KEY, id_col], "left").join(end("arrival_frame", "receiver_id", "_receiver", "receiver", "arrival", 2), [*KEY, id_col], "left")
+    out = out.withColumn("_role", F.greatest("_passer", "_receiver")).withColumn("_last", F.greatest(F.when(ball, F.col("_flight")), F.col("_passer"), F.col("_receiver")))
+    return out.select(*tracks.columns, F.col("_last.id").alias("pass_id"), F.col("_role.role").alias("pass_role"), F.col("_last.phase").alias("pass_phase"))
+
+
+def _inside(frames: DataFrame, events: DataFrame) -> DataFrame:
+    """(match_id, frame) with each event whose flight holds the frame."""
+    e = _bucketed(events.withColumnRenamed("match_id", "_m"), "departure_frame", "arrival_frame")
+    on = (F.col("match_id") == F.col("_m")) & (F.col("_b") == F.col("_bucket")) & F.col("frame").between(F.col("departure_frame"), F.col("arrival_frame"))
+    return frames.withColumn("_b", F.floor(F.col("frame") / BUCKET)).join(e, on)
 
 
 def denormalise_passes(tagged: DataFrame, events: DataFrame, fps: float = DEFAULTS.fps) -> DataFrame:
@@ -134,16 +159,15 @@ def denormalise_passes(tagged: DataFrame, events: DataFrame, fps: float = DEFAUL
 def retag_synthesised(tracks: DataFrame, events: DataFrame, fill: bool = False, fps: float = DEFAULTS.fps) -> DataFrame:
     """Ball rows without a pass that lie inside one get its id and phase; times stay null unless ``fill``. The first such
     pass wins, since it leaves nothing for a later one."""
-    rows = tracks.withColumn("_row", F.monotonically_increasing_id())
-    e = events.select(F.col("match_id").alias("_m"), F.col("pass_id").alias("_pass"), F.col("departure_frame").alias("_dep"), F.col("arrival_frame").alias("_arr"), F.col("outcome").alias("_out"))
-    open_ = rows.filter((F.col("class_id") == BALL) & F.col("pass_id").isNull()).withColumn("_b", F.floor(F.col("frame") / BUCKET))
-    hit = open_.join(_bucketed(e, "_dep", "_arr"), (F.col("match_id") == F.col("_m")) & (F.col("_b") == F.col("_bucket")) & F.col("frame").between(F.col("_dep"), F.col("_arr")))
-    first = hit.groupBy("_row").agg(F.min(F.struct("_pass", "_dep", "_arr", "_out")).alias("_e"))
-    out = rows.join(first, "_row", "left").withColumns({"pass_id": F.coalesce("pass_id", "_e._pass"), "pass_phase": F.when(F.col("_e").isNotNull(), "in_flight").otherwise(F.col("pass_phase"))})
+    bare = (F.col("class_id") == BALL) & F.col("pass_id").isNull()
+    e = events.withColumnRenamed("pass_id", "_pass")
+    first = _inside(tracks.filter(bare).select(*KEY).distinct(), e).groupBy(*KEY).agg(F.min(F.struct("_pass", F.col("departure_frame").alias("_dep"), F.col("arrival_frame").alias("_arr"), F.col("outcome").alias("_out"))).alias("_e"))
+    out = tracks.withColumn("_bare", bare).join(first, KEY, "left").withColumn("_e", F.when(F.col("_bare"), F.col("_e"))).drop("_bare")
+    out = out.withColumns({"pass_id": F.coalesce("pass_id", "_e._pass"), "pass_phase": F.when(F.col("_e").isNotNull(), "in_flight").otherwise(F.col("pass_phase"))})
     if fill:
         new = {"departure_time": F.round(F.col("_e._dep") / fps, 3), "arrival_time": F.round(F.col("_e._arr") / fps, 3), "duration_s": F.round((F.col("_e._arr") - F.col("_e._dep")) / fps, 3), "outcome": F.col("_e._out")}
         out = out.withColumns({k: F.coalesce(F.col(k), v) for k, v in new.items()})
-    return out.drop("_row", "_e")
+    return out.select(*tracks.columns)
 
 
 def upsert_ball(tracks: DataFrame, points: DataFrame, half: DataFrame, source: str = "manual") -> DataFrame:
@@ -201,17 +225,28 @@ def match_boxes(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame
     return x.filter("_clear").drop("_alone", "_clear").unionByName(assign_frames(x.filter("NOT _clear").drop("_alone", "_clear")))
 
 
+#: A pitch has some 32 vertices; a longer list is no pitch.
+VERTICES = 256
+
+
+def vertex_array(vertices: DataFrame) -> Column:
+    """The pitch's vertices as a literal array of (label, x, y)."""
+    rows = vertices.select("label", F.col("x_cm").cast("double"), F.col("y_cm").cast("double")).limit(VERTICES + 1).collect()
+    if len(rows) > VERTICES:
+        raise ValueError(f"more than {VERTICES} vertices")
+    return F.array(*[F.struct(F.lit(r[0]).alias("label"), F.lit(r[1]).alias("x"), F.lit(r[2]).alias("y")) for r in sorted(rows)])
+
+
 def snap_to_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Points (x_cm, y_cm) with the nearest pitch vertex. The vertex list is the pitch's fixed one (some 32 rows): it goes
-    along as an array in each row, so nothing is joined."""
-    v = vertices.agg(F.collect_list(F.struct("label", F.col("x_cm").alias("vx"), F.col("y_cm").alias("vy"))).alias("_v"))
-    ranked = F.array_sort(F.transform("_v", lambda a: F.struct(distance(F.col("x_cm"), F.col("y_cm"), a["vx"], a["vy"]).alias("d"), a["label"].alias("label"))))
-    return points.join(F.broadcast(v.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")).withColumn("_n", ranked[0]).withColumns({"vertex": F.col("_n.label"), "vertex_dist": F.col("_n.d")}).drop("_v", "_one", "_n")
+    """Points (x_cm, y_cm) with the nearest pitch vertex; the vertices stand in the expression, nothing is joined."""
+    nearest = F.array_min(F.transform(vertex_array(vertices), lambda a: F.struct(distance(F.col("x_cm"), F.col("y_cm"), a["x"], a["y"]).alias("d"), a["label"].alias("label"))))
+    return points.withColumn("_n", nearest).withColumns({"vertex": F.col("_n.label"), "vertex_dist": F.col("_n.d")}).drop("_n")
 
 
 def anchor_points(anchors: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Anchors (match_id, frame, image_pts, vertex_ids 1-based) with pitch_pts in the same order; unknown vertices lose their point."""
-    v = F.broadcast(vertices.select(F.col("label").alias("_v"), F.struct(F.col("x_cm").cast("double").alias("x"), F.col("y_cm").cast("double").alias("y")).alias("_p")))
-    pts = anchors.select("match_id", "frame", F.posexplode(F.arrays_zip("image_pts", "vertex_ids")).alias("_n", "_z")).join(v, F.col("_z.vertex_ids") == F.col("_v"))
-    both = F.array_sort(F.collect_list(F.struct("_n", F.col("_z.image_pts").alias("i"), F.col("_p").alias("p"))))
-    return pts.groupBy("match_id", "frame").agg(both.alias("_l")).select("match_id", "frame", F.transform("_l", lambda x: x["i"]).alias("image_pts"), F.transform("_l", lambda x: x["p"]).alias("pitch_pts"))
+    """Anchors (match_id, frame, image_pts, vertex_ids 1-based) with pitch_pts in the same order; unknown vertices lose their
+    point, anchors without any point are gone."""
+    known = lambda label: F.filter(vertex_array(vertices), lambda v: v["label"] == label)
+    pairs = F.transform(F.arrays_zip("image_pts", "vertex_ids"), lambda z: F.struct(z["image_pts"].alias("i"), F.transform(known(z["vertex_ids"]), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))[0].alias("p")))
+    out = anchors.select("match_id", "frame", F.filter(pairs, lambda x: x["p"].isNotNull()).alias("_l")).filter(F.size("_l") > 0)
+    return out.select("match_id", "frame", F.transform("_l", lambda x: x["i"]).alias("image_pts"), F.transform("_l", lambda x: x["p"]).alias("pitch_pts"))

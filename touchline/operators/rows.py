@@ -95,15 +95,15 @@ def keypoint_select(keypoints: DataFrame, vertices: DataFrame, least: float = DE
     """Keypoints of each frame's most confident pitch object above the threshold, with their pitch points.
 
     Labels name vertices; a frame none of whose labels is a vertex falls back on the points' order. ``vertices`` is the
-    pitch's fixed list (some 32 rows), so it is broadcast.
+    pitch's fixed list (some 32 rows), small enough for Spark to broadcast by its own size rule.
     """
     best = Window.partitionBy(*KEY).orderBy(F.desc("det_conf"), "det_id")
     kept = keypoints.withColumn("_first", F.first("det_id").over(best)).filter((F.col("det_id") == F.col("_first")) & (F.col("conf") > least)).drop("_first")
-    named = F.broadcast(vertices.select(F.col("label").alias("_l"), F.col("x_cm").alias("_x"), F.col("y_cm").alias("_y")))
+    named = vertices.select(F.col("label").alias("_l"), F.col("x_cm").alias("_x"), F.col("y_cm").alias("_y"))
     order = Window.partitionBy(*KEY).orderBy("label", "x", "y")
     placed = kept.withColumn("_pos", F.row_number().over(order)).join(named, F.col("label") == F.col("_l"), "left")
     placed = placed.withColumn("_any", F.max(F.col("_l").isNotNull()).over(Window.partitionBy(*KEY)))
-    spot = F.broadcast(vertices.select(F.row_number().over(Window.orderBy("label")).alias("_p"), F.col("x_cm").alias("_px"), F.col("y_cm").alias("_py")))
+    spot = vertices.select(F.row_number().over(Window.orderBy("label")).alias("_p"), F.col("x_cm").alias("_px"), F.col("y_cm").alias("_py"))
     both = placed.join(spot, ~F.col("_any") & (F.col("_pos") == F.col("_p")), "left")
     out = both.withColumns({"x_cm": F.when(F.col("_any"), F.col("_x")).otherwise(F.col("_px")), "y_cm": F.when(F.col("_any"), F.col("_y")).otherwise(F.col("_py"))})
     return out.filter("x_cm IS NOT NULL").drop("_l", "_x", "_y", "_pos", "_any", "_p", "_px", "_py")

@@ -284,12 +284,12 @@ def stable_step(r: Rules) -> Step:
                 s.by_raw[p.raw] = sid
         s.frame, s.boxes = frame, [(d.id, d.box) for d in dets]
         keep = ("match_id", "class_id", "conf", "x1", "y1", "x2", "y2", "team_id", "tracker_id")
-        return [{c: d.row[c] for c in keep} | {"frame": frame, "track_id": r.offset + d.id, "assign_reason": d.reason} for d in dets]
+        return [{c: d.row[c] for c in keep} | {"frame": frame, "track_id": r.offset + d.id, "assign_reason": d.reason, "stable_team": s.people[d.id].team} for d in dets]
 
     return step
 
 
-SCHEMA = "match_id bigint, frame bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double, team_id int, tracker_id bigint, track_id bigint, assign_reason string"
+SCHEMA = "match_id bigint, frame bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double, team_id int, tracker_id bigint, track_id bigint, assign_reason string, stable_team int"
 
 
 def role_step(rules: dict[int, Rules] | None = None) -> Step:
@@ -298,7 +298,8 @@ def role_step(rules: dict[int, Rules] | None = None) -> Step:
 
 
 def stabilise_ids(detections: DataFrame, rules: dict[int, Rules] | None = None) -> DataFrame:
-    """People with ``track_id`` (players from 1, keepers from 1001, referees from 2001) and ``assign_reason``.
+    """People with ``track_id`` (players from 1, keepers from 1001, referees from 2001), ``assign_reason`` and ``stable_team``,
+    the team that the id's votes hold after the frame (-1: none yet).
 
     ``detections``: match_id, frame, class_id, conf, box, and where present tracker_id, team_id, appearance (unit vector).
     """

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import centre, distance
@@ -112,11 +115,23 @@ def hold_last_good(frames: DataFrame, h: str = "h", degenerate: str = "degenerat
     return x.withColumn("held_h", held).withColumn("ok", F.col("held_h").isNotNull()).drop("_run", "_last", "_spent")
 
 
-def ema(df: DataFrame, value: str, alpha: float, keys: list[str] = TRACK, horizon: int = 64) -> DataFrame:
-    """Adds ``ema``: new = alpha x value + (1 - alpha) x old over the last ``horizon`` rows (the rest weighs below (1 - alpha)^horizon)."""
-    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(1 - horizon, 0)
+def ema(df: DataFrame, value: str, alpha: float, keys: list[str] = TRACK, order: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Adds ``ema``: new = alpha x value + (1 - alpha) x old, from a track's first row on; after a null it starts anew.
+
+    A recursion over all rows before, so no window frame expresses it: one sort by key, then a task holds one number a track.
+    """
+    from pyspark.sql.types import DoubleType, StructType
+
+    schema = StructType([*df.schema.fields]).add("ema", DoubleType())
 
-    def step(acc: Column, v: Column) -> Column:
-        return F.when(acc.isNull(), v).otherwise(alpha * v + (1 - alpha) * acc)
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old = None
+        for piece in pieces:
+            out = []
+            for v in piece["_value"].to_pylist():
+                old = v if old is None or v is None else alpha * v + (1 - alpha) * old
+                out.append(old)
+            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(out, pa.float64())], schema.names)
 
-    return df.withColumn("ema", F.aggregate(F.collect_list(F.col(value).cast("double")).over(w), F.lit(None).cast("double"), step))
+    rows = df.withColumn("_value", F.col(value).cast("double")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.groupBy(*keys).applyInArrow(run, schema)

@@ -44,14 +44,10 @@ def _(v):
     return reports.action_counts(stable(v), "match_id", "class_id", "assign_reason")
 
 
-@query("t10_team_hysteresis", "match_id track_id flips")
+@query("t10_team_hysteresis", "match_id frame track_id team_id stable_team")
 def _(v):
-    """Team flips that stable ids see: an id's team label against its row before."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("match_id", "track_id").orderBy("frame", "x1")
-    x = stable(v).filter("team_id >= 0").withColumn("flip", (F.lag("team_id").over(w) != F.col("team_id")).cast("int"))
-    return x.groupBy("match_id", "track_id").agg(F.coalesce(F.sum("flip"), F.lit(0)).alias("flips"))
+    """The team that each stable id's votes hold, beside the label of the row."""
+    return stable(v)
 
 
 @query("t3_display_slots", "match_id frame class_id track_id display_track_id evicted")
@@ -71,11 +67,12 @@ def _(v):
     return folds.clean_frames(t)
 
 
-@query("j18_rescue_official", "match_id track_id class_id n")
+@query("j18_rescue_official", "match_id frame track_id class_id rescued_from")
 def _(v):
-    """Rows of each official id after rescue and all frame rules."""
-    t = v.fx_tracks.withColumn("track_id", F.col("display_track_id"))
-    return folds.clean_frames(t).filter("class_id IN (1, 3)").groupBy("match_id", "track_id", "class_id").agg(F.count("*").alias("n"))
+    """Rows that an official's memory claimed, with the id that they had as players. Some officials are seen as players at times."""
+    seen_as_player = F.col("class_id").isin(1, 3) & (F.col("l_partkey") % 3 == 0)
+    t = v.fx_tracks.withColumns({"track_id": F.when(seen_as_player, 50 + F.col("display_track_id")).otherwise(F.col("display_track_id")), "class_id": F.when(seen_as_player, 2).otherwise(F.col("class_id"))})
+    return folds.clean_frames(t).filter("rescued_from IS NOT NULL")
 
 
 @query("j2_suppress_overlaps", "match_id frame display_track_id class_id l_partkey l_linenumber")

@@ -68,15 +68,15 @@ def _(v):
 def alias_rules(v):
     c, (i, cls), (a, b) = v.fx_alias_cells, p.parse_alias_cell(F.col("cell")), p.parse_frame_range(F.col("frame_range"))
     target = (F.col("target") + F.when(F.col("rule_no") >= 20, 1).otherwise(0)) % 20  # ids with two rules get two targets
-    return c.select("rule_no", i.alias("id"), F.when(F.col("rule_no") >= 20, F.lit("")).otherwise(cls).alias("cls"), target.alias("target"), F.when(F.col("rule_no") < 20, a).alias("fs"), F.when(F.col("rule_no") < 20, b).alias("fe"))
+    return c.select("match_id", "rule_no", i.alias("id"), F.when(F.col("rule_no") >= 20, F.lit("")).otherwise(cls).alias("cls"), target.alias("target"), F.when(F.col("rule_no") < 20, a).alias("fs"), F.when(F.col("rule_no") < 20, b).alias("fe"))
 
 
 ALIAS = ONE + r""",
-r AS (SELECT rule_no, coalesce(TRY_CAST(regexp_extract(cell, '^GK\s*(\d+)', 1) AS BIGINT), TRY_CAST(regexp_extract(cell, '^(\d+)', 1) AS BIGINT)) AS id,
+r AS (SELECT match_id, rule_no, coalesce(TRY_CAST(regexp_extract(cell, '^GK\s*(\d+)', 1) AS BIGINT), TRY_CAST(regexp_extract(cell, '^(\d+)', 1) AS BIGINT)) AS id,
  CASE WHEN rule_no >= 20 THEN '' WHEN cell LIKE 'GK%' THEN 'GK' WHEN cell LIKE '%REF%' THEN 'REF' WHEN regexp_matches(cell, '^\d+\s*P$') THEN 'P' ELSE '' END AS cls, (target + CASE WHEN rule_no >= 20 THEN 1 ELSE 0 END) % 20 AS target,
  CASE WHEN rule_no < 20 THEN TRY_CAST(split_part(frame_range, '-', 1) AS BIGINT) END AS fs, CASE WHEN rule_no < 20 THEN TRY_CAST(CASE WHEN contains(frame_range, '-') THEN split_part(frame_range, '-', 2) ELSE frame_range END AS BIGINT) END AS fe FROM fx_alias_cells),
 w AS (SELECT *, display_track_id IN (4, 9) AS prot, CASE class_id WHEN 1 THEN 'GK' WHEN 2 THEN 'P' ELSE 'REF' END AS letter FROM t WHERE frame >= 50),
-c AS (SELECT w.match_id, w.frame, w.display_track_id, r.target, min(rule_no) AS rule_no FROM w JOIN r ON NOT prot AND w.display_track_id = r.id AND (r.cls = '' OR r.cls = letter) AND (fs IS NULL OR frame >= fs - 10) AND (fe IS NULL OR frame <= fe + 10) GROUP BY ALL),
+c AS (SELECT w.match_id, w.frame, w.display_track_id, r.target, min(rule_no) AS rule_no FROM w JOIN r ON NOT prot AND (r.match_id IS NULL OR r.match_id = w.match_id) AND w.display_track_id = r.id AND (r.cls = '' OR r.cls = letter) AND (fs IS NULL OR frame >= fs - 10) AND (fe IS NULL OR frame <= fe + 10) GROUP BY ALL),
 d AS (SELECT c.*, min(CASE WHEN abs(o.frame - w.frame) <= 12 THEN sqrt(((o.x1+o.x2)/2-(w.x1+w.x2)/2)**2 + ((o.y1+o.y2)/2-(w.y1+w.y2)/2)**2) END) AS near,
   min(sqrt(((o.x1+o.x2)/2-(w.x1+w.x2)/2)**2 + ((o.y1+o.y2)/2-(w.y1+w.y2)/2)**2)) AS far
  FROM c JOIN w USING (match_id, frame, display_track_id) LEFT JOIN t o ON o.match_id = c.match_id AND o.display_track_id = c.target AND abs(o.frame - c.frame) <= 50 GROUP BY ALL),
@@ -198,9 +198,9 @@ def _(v):
     return joins.snap_to_vertex(v.fx_tracks.filter("x_m IS NOT NULL").withColumns({"x_cm": F.col("x_m"), "y_cm": F.col("y_m")}), v.fx_vertices)
 
 
-@query("j17_anchor_points", "match_id frame n", "ix px py", views="fx_keypoints fx_vertices", sql="SELECT match_id, frame, row_number() OVER (PARTITION BY match_id, frame ORDER BY k.label) - 1 AS n, k.x AS ix, v.x_cm AS px, v.y_cm AS py FROM fx_keypoints k JOIN fx_vertices v ON k.label = v.label WHERE frame % 50 = 0")
+@query("j17_anchor_points", "match_id frame n", "ix px py", views="fx_keypoints fx_vertices", sql="SELECT match_id, frame, row_number() OVER (PARTITION BY match_id, frame ORDER BY k.label) - 1 AS n, k.x AS ix, v.x_cm AS px, v.y_cm AS py FROM fx_keypoints k JOIN fx_vertices v ON k.label = v.label")
 def _(v):
-    k = v.fx_keypoints.filter("frame % 50 = 0").groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(F.struct("label", "x", "y"))).alias("l"))
+    k = v.fx_keypoints.groupBy("match_id", "frame").agg(F.array_sort(F.collect_list(F.struct("label", "x", "y"))).alias("l"))
     a = k.select("match_id", "frame", F.transform("l", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("image_pts"), F.transform("l", lambda q: q["label"]).alias("vertex_ids"))
     return joins.anchor_points(a, v.fx_vertices).select("match_id", "frame", F.posexplode(F.arrays_zip("image_pts", "pitch_pts")).alias("n", "z")).select("match_id", "frame", "n", F.col("z.image_pts.x").alias("ix"), F.col("z.pitch_pts.x").alias("px"), F.col("z.pitch_pts.y").alias("py"))
 
@@ -489,9 +489,9 @@ def _(v):
 
 
 @query("m4_template_reprojection", "match_id frame label", "ix iy", views="fx_homography fx_vertices", sql="""
-SELECT match_id, frame, label, (a*x_cm+b*y_cm+c)/(g*x_cm+k*y_cm+l) AS ix, (d*x_cm+e*y_cm+f)/(g*x_cm+k*y_cm+l) AS iy FROM (SELECT *, h4*h8-h5*h7 AS a, h2*h7-h1*h8 AS b, h1*h5-h2*h4 AS c, h5*h6-h3*h8 AS d, h0*h8-h2*h6 AS e, h2*h3-h0*h5 AS f, h3*h7-h4*h6 AS g, h1*h6-h0*h7 AS k, h0*h4-h1*h3 AS l FROM fx_homography WHERE frame % 10 = 1), fx_vertices""")
+SELECT match_id, frame, label, (a*x_cm+b*y_cm+c)/(g*x_cm+k*y_cm+l) AS ix, (d*x_cm+e*y_cm+f)/(g*x_cm+k*y_cm+l) AS iy FROM (SELECT *, h4*h8-h5*h7 AS a, h2*h7-h1*h8 AS b, h1*h5-h2*h4 AS c, h5*h6-h3*h8 AS d, h0*h8-h2*h6 AS e, h2*h3-h0*h5 AS f, h3*h7-h4*h6 AS g, h1*h6-h0*h7 AS k, h0*h4-h1*h3 AS l FROM fx_homography), fx_vertices""")
 def _(v):
-    frames = h_array(v.fx_homography).filter("frame % 10 = 1").withColumn("inv", hg.inverse(F.col("h")))
+    frames = h_array(v.fx_homography).withColumn("inv", hg.inverse(F.col("h")))
     pitch = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(float(b)).alias("x"), F.lit(float(c)).alias("y")) for a, b, c in VERTICES])
     return hg_points(frames.select("match_id", "frame", "inv", F.explode(pitch).alias("q")))
 

@@ -43,8 +43,8 @@ from .common import table, written
 LABELLED = 20_000
 #: Neighbours, terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
 K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 1024, 64, 0.5, 0.05, 3
-#: Words whose terms a worker remembers.
-MEMORY = 300_000
+#: Words whose terms, and texts whose scores, a worker remembers.
+MEMORY, COPIES = 60_000, 10_000
 CUT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of beginnings; they are marked with a hyphen.
@@ -301,7 +301,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             texts = batch["text"].to_pylist()
             keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]  # copies are scored once
-            if len(known) > 50_000:
+            if len(known) > COPIES:
                 known.clear()
             new = {k: t for k, t in zip(keys, texts) if k not in known}
             for k, (raw, evidence) in zip(new, shared.value.votes([counter.count(t) for t in new.values()])):

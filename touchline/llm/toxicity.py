@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +44,13 @@ LABELLED = 20_000
 #: Neighbours, terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
 K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 1024, 64, 0.5, 0.05, 3
 #: Words whose terms, and texts whose scores, a worker remembers.
-MEMORY, COPIES = 60_000, 10_000
+MEMORY, COPIES = 150_000, 10_000
 CUT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of beginnings; they are marked with a hyphen.
 BEGINNINGS = (4, 5)
+#: Terms of a word at most.
+WIDTH = 1 + len(BEGINNINGS)
 
 
 def held_out(key: Column) -> Column:
@@ -56,10 +58,6 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def word_terms(word: str) -> tuple[str, ...]:
-    return (word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n))
-
-
 def teaching_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, labelled: int) -> DataFrame:
     """(id, text, y) of about ``labelled`` ids at most, one row each; ``docs``: id, text."""
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").filter(~held_out(F.col("id")))
@@ -75,15 +73,16 @@ def weigh_terms(texts: DataFrame) -> tuple[list[str], np.ndarray, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [Counter(), Counter()]
+            counter, seen = TermCounter({}, math.inf), [[], []]
             for text, y in zip(batch["text"], batch["y"].to_pylist()):
-                words = set(LETTERS.findall((text.as_py() or "").lower()))
-                seen[y].update({"", *words, *(w[:n] + "-" for n in BEGINNINGS for w in words if len(w) >= n)})
-            words = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([s[w] for w in words], pa.int64()) for s in seen)], ["term", "n0", "n1"])
+                seen[y].append(counter.places(text.as_py())[0])
+            terms = counter.words.others
+            n = [np.bincount(np.concatenate([np.zeros(0, np.int32), *s]), minlength=len(terms)) for s in seen]
+            whole = [[len(s)] for s in seen]  # every text has the empty term
+            yield pa.RecordBatch.from_arrays([pa.array(["", *terms], pa.string()), *(pa.array(np.concatenate([w, k]), pa.int64()) for w, k in zip(whole, n))], ["term", "n0", "n1"])
 
     sums = written(texts.mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-terms")
-    whole = sums.filter("term = ''").first()  # every text has the empty term once
+    whole = sums.filter("term = ''").first()
     if not whole or not whole["n0"] or not whole["n1"]:
         return [], np.zeros(0), 1.0
     got = sums.filter("term != ''").toArrow().sort_by("term")  # the terms of ``labelled`` texts
@@ -94,36 +93,59 @@ def weigh_terms(texts: DataFrame) -> tuple[list[str], np.ndarray, float]:
     return got["term"].to_pylist(), idf(df) * (1 + np.sqrt(chi2) * (a * nb > b * na)), float(idf(1))
 
 
-class TermCounter:
-    """``count(text)``: which of the known terms a text has, ascending, and how often; and the squared length of its others."""
+class Words(dict):
+    """Words met so far -> their row among ``terms``, the numbers of their terms (-1: none).
+
+    A term's number is its place among the known ones, or follows from its place in ``others``.
+    """
 
     def __init__(self, place: dict[str, int]):
-        self.place = place
-        self.memory: dict[str, tuple[tuple[int, ...], tuple[str, ...]]] = {}
+        self.place, self.others, self.heads, self.terms = place, [], {}, array("i")
+
+    def number(self, term: str) -> int:
+        at = self.place.get(term)
+        if at is None:
+            at = len(self.place) + len(self.others)
+            self.others.append(term)
+        return at
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        found = [self.number(word)]
+        for n in BEGINNINGS:
+            head = word[:n] if len(word) >= n else None
+            at = self.heads.get(head, -1) if head else -1
+            if head and at < 0:
+                at = self.heads[head] = self.number(head + "-")  # marked, so it is no word
+            found.append(at)
+        self.terms.extend(found)
+        return row
+
+
+class TermCounter:
+    """``count(text)``: which of the known terms a text has, ascending, and how often; and the squared length of its others.
+
+    Others are numbered from the last known term on, until the memory is full and starts anew.
+    """
+
+    def __init__(self, place: dict[str, int], memory: float = MEMORY):
+        self.place, self.memory, self.words = place, memory, Words(place)
+
+    def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all terms of a text, ascending, and how often it has each."""
+        if len(self.words) > self.memory:
+            self.words = Words(self.place)
+        words = LETTERS.findall((text or "").lower())
+        rows = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        at = np.frombuffer(self.words.terms, np.int32).reshape(-1, WIDTH)[rows].ravel() if words else rows
+        at = np.sort(at[at >= 0])
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        return at[first], np.diff(first, append=len(at)).astype(np.int32)
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
-        words = Counter(LETTERS.findall((text or "").lower()))
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        known, place, at, n, other = self.memory, self.place, [], [], {}
-        for w, times in words.items():
-            got = known.get(w)
-            if got is None:
-                parts = word_terms(w)
-                got = known[w] = tuple(place[p] for p in parts if p in place), tuple(p for p in parts if p not in place)
-            at += got[0]
-            n += (times,) * len(got[0])
-            if got[1]:
-                for p in got[1]:
-                    other[p] = other.get(p, 0) + times
-        rest = sum((1 + math.log(k)) ** 2 for k in other.values())
-        if not at:
-            return np.zeros(0, np.int32), np.zeros(0, np.int32), rest
-        at, n = np.array(at, np.int32), np.array(n, np.int32)
-        order = np.argsort(at, kind="stable")
-        at, n = at[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return at[first], np.add.reduceat(n, first).astype(np.int32), rest
+        at, n = self.places(text)
+        end = np.searchsorted(at, len(self.place))
+        return at[:end], n[:end], float(((1 + np.log(n[end:])) ** 2).sum())
 
 
 class ExampleIndex:
@@ -138,44 +160,43 @@ class ExampleIndex:
         self.share = sum(labels) / max(1, len(labels))
         self.bare = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
         lengths = [len(vectors[k][0]) for k in full]
-        # one number a posting (term, example, count), sorted in place: the driver holds little more than the index
+        # one number a posting (term, count, example), sorted in place: the driver holds little more than the index
         key = np.zeros(sum(lengths), np.uint64)
-        self.length = np.ones(len(full))
+        self.scale = np.ones(len(full))
         for row, (a, k) in enumerate(zip(np.cumsum([0, *lengths]), full)):
             t, n, *rest = vectors[k]
-            key[a : a + len(t)] = np.asarray(t, np.uint64) << np.uint64(38) | np.uint64(row) << np.uint64(16) | np.minimum(n, 65_535).astype(np.uint64)
-            self.length[row] = self.norm(self.raw(t, np.minimum(n, 65_535)), *rest)
+            n = np.minimum(n, 65_535)
+            key[a : a + len(t)] = np.asarray(t, np.uint64) << np.uint64(38) | n.astype(np.uint64) << np.uint64(22) | np.uint64(row)
+            self.scale[row] = 1 / self.norm(self.raw(t, n), *rest)
         key.sort()
-        self.count, self.example = (key & np.uint64(65_535)).astype(np.uint16), (key >> np.uint64(16) & np.uint64((1 << 22) - 1)).astype(np.int32)
-        key >>= np.uint64(38)
-        self.start = np.searchsorted(key, np.arange(len(idf) + 1, dtype=np.uint64))
-        del key
-        self.weight = self._matrix = None
+        self.example = (key & np.uint64((1 << 22) - 1)).astype(np.int32)
+        key >>= np.uint64(22)
+        # a run: the postings of a term with one count; they weigh alike until the example's length divides them
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        head = key[first]
+        self.size = np.diff(first, append=len(key)).astype(np.int32)
+        self.gain = (1 + np.log((head & np.uint64(65_535)).astype(np.float64))).astype(np.float32)
+        self.run = np.searchsorted(head >> np.uint64(16), np.arange(len(idf) + 1, dtype=np.uint64)).astype(np.int32)
+        self.start = np.append(first, len(key))[self.run]
+        self._matrix, self._room = None, np.zeros(0, np.intp)
 
     def __getstate__(self) -> dict:
-        """For the broadcast: gaps between examples, and counts, compressed; weights are made in each worker."""
-        packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(self.example, prepend=np.int32(0)), self.count)]
-        return self.__dict__ | {"example": packed[0], "count": packed[1], "weight": None, "_matrix": None}
+        """For the broadcast: gaps between examples, compressed; the matrix is made in each worker."""
+        return self.__dict__ | {"example": zlib.compress(np.diff(self.example, prepend=np.int32(0)).tobytes(), 1), "_matrix": None, "_room": np.zeros(0, np.intp)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.example = np.cumsum(np.frombuffer(zlib.decompress(self.example), np.int32), dtype=np.int32)
-        self.count = np.frombuffer(zlib.decompress(self.count), np.uint16)
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray]:
         """(row of each term or -1, rows): the postings of the most common terms; made in each worker."""
         if self._matrix is None:
-            weight = np.log(self.count, dtype=np.float32)  # in place and in single precision: a posting takes 14 bytes at most
-            weight += 1
-            weight *= np.repeat(self.idf.astype(np.float32), np.diff(self.start))
-            weight /= self.length.astype(np.float32)[self.example]
-            self.weight, self.count = weight, None
             common = np.argsort(-np.diff(self.start), kind="stable")[:COMMON]
-            row, rows = np.full(len(self.idf), -1), np.zeros((len(common), len(self.ids)), np.float32)
+            row, rows = np.full(len(self.idf), -1, np.int32), np.zeros((len(common), len(self.ids)), np.float32)
             row[common] = np.arange(len(common))
             for r, t in enumerate(common):
-                at = slice(self.start[t], self.start[t + 1])
-                rows[r, self.example[at]] = self.weight[at]
+                runs = slice(self.run[t], self.run[t + 1])
+                rows[r, self.example[self.start[t] : self.start[t + 1]]] = self.idf[t] * np.repeat(self.gain[runs], self.size[runs])
             self._matrix = row, rows
         return self._matrix
 
@@ -201,12 +222,16 @@ class ExampleIndex:
         for score, (at, w) in zip(out, units):
             other = row[at] < 0
             at, w = at[other], w[other]
-            lo, hi = self.start[at].tolist(), self.start[at + 1].tolist()
-            if lo:  # the terms' postings, one run after the other
-                example = np.concatenate([self.example[i:j] for i, j in zip(lo, hi)])
-                weight = np.concatenate([self.weight[i:j] for i, j in zip(lo, hi)])
-                weight *= np.repeat(w.astype(np.float32), np.subtract(hi, lo))
+            lo, hi = self.start[at], self.start[at + 1]
+            if len(at):  # the terms' postings, one run after the other
+                runs = self.run[at + 1] - self.run[at]
+                run = np.arange(runs.sum()) + np.repeat(self.run[at] - np.cumsum(runs) + runs, runs)
+                weight = np.repeat(self.gain[run] * np.repeat(w * self.idf[at], runs), self.size[run])
+                if len(weight) > len(self._room):
+                    self._room = np.empty(2 * len(weight), np.intp)
+                example = np.concatenate([self.example[i:j] for i, j in zip(lo.tolist(), hi.tolist())], out=self._room[: len(weight)])
                 score += np.bincount(example, weight, len(score))
+        out *= self.scale
         return out
 
     def best(self, score: np.ndarray, k: int = K, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -42,7 +42,7 @@ from .common import table, written
 #: About so many labelled rows teach.
 LABELLED = 20_000
 #: Neighbours, terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
-K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 1024, 64, 0.5, 0.05, 3
+K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 1024, 128, 0.5, 0.05, 3
 #: Words whose terms, and texts whose scores, a worker remembers.
 MEMORY, COPIES = 150_000, 10_000
 CUT = 0.3
@@ -169,10 +169,12 @@ class ExampleIndex:
             key[a : a + len(t)] = np.asarray(t, np.uint64) << np.uint64(38) | n.astype(np.uint64) << np.uint64(22) | np.uint64(row)
             self.scale[row] = 1 / self.norm(self.raw(t, n), *rest)
         key.sort()
-        self.example = (key & np.uint64((1 << 22) - 1)).astype(np.int32)
+        self.example = key.astype(np.uint32)  # the low half
+        self.example &= np.uint32((1 << 22) - 1)
+        self.example = self.example.view(np.int32)
         key >>= np.uint64(22)
         # a run: the postings of a term with one count; they weigh alike until the example's length divides them
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
         head = key[first]
         self.size = np.diff(first, append=len(key)).astype(np.int32)
         self.gain = (1 + np.log((head & np.uint64(65_535)).astype(np.float64))).astype(np.float32)
@@ -308,7 +310,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     order = sorted(range(len(ids)), key=lambda k: (xxhash.xxh3_64_intdigest(vectors[k][0].tobytes() + vectors[k][1].tobytes()), ys[k], ids[k]))
     index = ExampleIndex([ids[k] for k in order], [ys[k] for k in order], [vectors[k] for k in order], weights, unseen)
     shared = spark.sparkContext.broadcast(index)
-    del got, t, n, vectors
+    del got, t, n, vectors, index
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = {i: k for k, i in enumerate(shared.value.ids)}

@@ -51,6 +51,59 @@ def test_media_round_trip(odd, none):
     assert media.media_columns(media.text_media(none), keep=("doc_id",)).count() == 0
 
 
+def fragmented(samples, keys, cut, version):
+    """One video track whose samples, all in fragments of ``cut`` samples, follow each fragment's box."""
+    box, full = media._box, media._full
+    empty = [full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")]
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78))), *empty, full(b"stsz", struct.pack(">II", 0, 0)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 50, 0, 0, 0)), full(b"hdlr", struct.pack(">I4s12s", 0, b"vide", bytes(12))), box(b"minf", stbl))
+    trak = box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0)), mdia)
+    moov = box(b"moov", trak, box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 2, 0, 0x10000))))
+    out = box(b"ftyp", b"iso5", bytes(4)) + moov
+    places = []
+    for a in range(0, len(samples), cut):
+        part = samples[a : a + cut]
+
+        def moof(offset):
+            marks = [0 if a + k in keys else 0x10000 for k in range(len(part))]
+            if version == 0:  # sizes and marks a sample, counted from the fragment's box
+                tfhd = full(b"tfhd", struct.pack(">I", 7), flags=0x20000)
+                rows = [struct.pack(">II", len(x), m) for x, m in zip(part, marks)]
+                run = full(b"trun", struct.pack(">Ii", len(part), offset), *rows, flags=0x601)
+                return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", tfhd, run))
+            # an absolute base, a default duration, the first sample's own mark, composition offsets; two runs, the second without offset
+            tfhd = full(b"tfhd", struct.pack(">IQI", 7, len(out) + offset, 2), flags=0x9)
+            runs = [full(b"trun", struct.pack(">II", 1, marks[0]), struct.pack(">II", len(part[0]), 9), flags=0xA04)]
+            runs.append(full(b"trun", struct.pack(">I", len(part) - 1), *(struct.pack(">III", 2, len(x), m) for x, m in zip(part[1:], marks[1:])), flags=0x700))
+            return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", tfhd, *runs))
+
+        head = moof(len(moof(0)) + 8)
+        at = len(out) + len(head) + 8
+        for x in part:
+            places.append((at, len(x)))
+            at += len(x)
+        out += head + box(b"mdat", *part)
+    return out, [places[k] for k in sorted(keys)]
+
+
+@pytest.mark.parametrize("version", [0, 1])
+def test_media_fragments(spark, version):
+    rng = np.random.default_rng(4)
+    samples = [rng.bytes(int(n)) for n in rng.integers(0, 90, 23)]
+    keys = {0, 5, 6, 17, 22}
+    data, want = fragmented(samples, keys, 5, version)
+    files = [(0, data), (1, data[:-1]), (2, data.replace(struct.pack(">I", 7) + bytes(3), struct.pack(">I", 8) + bytes(3))), (3, fragmented([], set(), 5, version)[0])]
+    rows = {r["id"]: r for r in media.media_columns(spark.createDataFrame(files, "id int, media binary"), keep=("id",), payload=True).collect()}
+    (track,) = rows[0]["tracks"]
+    assert rows[0]["status"] == "ok" and rows[0]["payload"] == b"".join(samples)
+    assert (track["track_id"], track["codec"], track["n_samples"], track["sample_bytes"], track["duration"], track["duration_s"]) == (7, "avc1", 23, sum(map(len, samples)), 46, 0.92)
+    assert [(k["start"], k["length"]) for k in track["keyframes"]] == want and track["n_keyframes"] == 5
+    assert rows[1]["status"] == "damaged" and rows[3]["status"] == "ok" and rows[3]["tracks"][0]["n_samples"] == 0
+    for cut in range(0, len(data), 7):  # never another error, whatever is cut or overwritten
+        assert media.parse(data[:cut])[0] in ("empty", "damaged", "no tracks", "ok")
+        assert media.parse(data[:cut] + b"\xff" * 4 + data[cut + 4 :])[0] in ("damaged", "no tracks", "ok")
+
+
 def test_media_tables_of_several_kinds_and_damage(spark):
     box, full = media._box, media._full
 

@@ -1,11 +1,14 @@
 """Operator 1: media columns of ISO base media files (MP4, MOV, M4A), payloads left undecoded.
 
 ``media_columns`` walks the nested boxes of each binary value and decodes the sample tables (``stts``, ``stss``,
-``stsc``, ``stsz``/``stz2``, ``stco``/``co64``) of every track into codec, timing and keyframe byte ranges.
+``stsc``, ``stsz``/``stz2``, ``stco``/``co64``) of every track, and the runs of movie fragments (``moof``), into codec,
+timing and keyframe byte ranges.
 ``text_media`` is the writing side: it stores a text's bytes as 8-bit samples of one sound track.
 
 Defined results: null media gives status ``null`` and no tracks; empty bytes give ``empty``; bytes that end inside a
-box or whose tables point outside the file give ``damaged`` with the tracks read until then. Both operators work row
+box or whose tables point outside the file give ``damaged`` with the tracks read until then. A track's duration is the
+media header's and that of its fragments; the header's does not count where all samples are in fragments. Fragments that
+name no track of the file, or come before its tracks, are damage; the codec is that of the first sample entry. Both operators work row
 by row (no shuffle), so ties, repeated rows and skewed keys need no care; only the named columns are kept, so extra
 columns cannot clash. Memory: one Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``) at a time, its rows
 handled in slices of at most ``SLICE_BYTES`` (or one row).
@@ -35,6 +38,9 @@ SLICE_BYTES = 16 << 20
 #: Fixed values of the format: boxes that hold other boxes.
 CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"])
 
+#: Fixed value of the format: the mark of a sample that is no keyframe.
+NOT_SYNC = 0x10000
+
 RANGE = "array<struct<start:bigint,length:bigint>>"
 TRACK = (
     "struct<track_id:bigint,kind:string,codec:string,timescale:bigint,duration:bigint,duration_s:double,"
@@ -141,8 +147,8 @@ def _track(data: memoryview, start: int, end: int) -> dict:
         return struct.unpack_from(form, data, boxes[kind][0] + offset)[0]
 
     def entries(kind: bytes, form: str, width: int) -> np.ndarray:
-        at, to = boxes[kind]
         n = word(kind, 4)
+        at, to = boxes[kind]
         return _numbers(data, at + 8, to, n * width, form).reshape(n, width)
 
     late = data[boxes[b"mdhd"][0]] == 1 if word(b"mdhd", 0) is not None else False
@@ -188,18 +194,85 @@ def _track(data: memoryview, start: int, end: int) -> dict:
     }
 
 
+def _extend(data: memoryview, track: dict, place: int, sizes: np.ndarray, keys: np.ndarray) -> int:
+    """Adds a run of samples that starts at ``place`` to ``track``; where the run ends."""
+    starts = place + np.cumsum(sizes) - sizes
+    end = place + int(sizes.sum())
+    if place < 0 or end > len(data):
+        raise _Damaged("a fragment's samples lie outside the file")
+    track["n_samples"] += len(sizes)
+    track["sample_bytes"] += end - place
+    track["n_keyframes"] += len(keys)
+    track["keyframes"] += [{"start": int(a), "length": int(b)} for a, b in zip(starts[keys], sizes[keys])]
+    track["chunks"] += [{"start": place, "length": end - place}] if len(sizes) else []
+    return end
+
+
+def _fragment(data: memoryview, start: int, a: int, b: int, tracks: dict[int, dict], preset: dict[int, list[int]], ticks: dict[int, int]) -> None:
+    """Adds the samples of the ``moof`` box that begins at ``start`` to their tracks, and their durations to ``ticks``."""
+    end = start  # of the samples of the track fragment before
+    for outer, at, to in _walk(data, a, b):
+        number, base = None, end
+        for kind, at, to in _walk(data, at, to) if outer == b"traf" else ():
+            if kind not in (b"tfhd", b"trun"):
+                continue
+            flags, second = _numbers(data, at, to, 2, ">u4").tolist()
+            at += 8
+
+            def take(bit: int, form: str, otherwise: int) -> int:
+                nonlocal at
+                if not flags & bit:
+                    return otherwise
+                value = int(_numbers(data, at, to, 1, form)[0])
+                at += np.dtype(form).itemsize
+                return value
+
+            if kind == b"tfhd":
+                number = second
+                if number not in tracks:
+                    raise _Damaged("a fragment of no track")
+                base = end = take(0x1, ">i8", start if flags & 0x20000 else end)
+                take(0x2, ">u4", 0)
+                length, size, mark = (take(bit, ">u4", v) for bit, v in zip((0x8, 0x10, 0x20), preset.get(number, (0, 0, 0))))
+            elif number is None or second > len(data):
+                raise _Damaged("a run of samples without a head, or of more samples than bytes")
+            else:
+                end = base + take(0x1, ">i4", end - base)
+                first = take(0x4, ">u4", -1)
+                given = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+                columns = dict(zip(given, _numbers(data, at, to, second * len(given), ">u4").reshape(second, len(given)).T))
+                lengths, sizes, marks = (columns.get(bit, np.full(second, v, np.int64)) for bit, v in ((0x100, length), (0x200, size), (0x400, mark)))
+                if first >= 0:
+                    marks[:1] = first
+                end = _extend(data, tracks[number], end, sizes, np.flatnonzero(marks & NOT_SYNC == 0))
+                ticks[number] = ticks.get(number, 0) + int(lengths.sum())
+
+
 def parse(data: bytes | None) -> tuple[str, list[dict]]:
     """Status and tracks of one file."""
     if not data:
         return "null" if data is None else "empty", []
-    view, tracks = memoryview(data), []
+    view, tracks, start, preset, ticks, status = memoryview(data), [], 0, {}, {}, "ok"
     try:
         for kind, at, to in _walk(view, 0, len(view)):
             if kind == b"moov":
-                tracks += [_track(view, a, b) for k, a, b in _walk(view, at, to) if k == b"trak"]
+                for inner, a, b in _walk(view, at, to):
+                    if inner == b"trak":
+                        tracks.append(_track(view, a, b))
+                    elif inner == b"mvex":  # defaults of the fragments' samples: duration, size, flags
+                        preset |= {n[1]: n[3:] for n in (_numbers(view, x, y, 6, ">u4").tolist() for k, x, y in _walk(view, a, b) if k == b"trex")}
+                named = {t["track_id"]: t for t in tracks if t["track_id"] is not None}
+                whole = {n: t["duration"] if t["n_samples"] else 0 for n, t in named.items()}
+            elif kind == b"moof":
+                _fragment(view, start, at, to, named if tracks else {}, preset, ticks)
+            start = to
     except (_Damaged, struct.error):
-        return "damaged", tracks
-    return "ok" if tracks else "no tracks", tracks
+        status = "damaged"
+    for n, more in ticks.items():
+        if more:
+            named[n]["duration"] = whole[n] + more
+            named[n]["duration_s"] = named[n]["duration"] / named[n]["timescale"] if named[n]["timescale"] else None
+    return status if tracks or status != "ok" else "no tracks", tracks
 
 
 def read_samples(data: bytes, track: dict) -> bytes:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -52,12 +53,48 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-@functools.cache
-def splitter(pattern: str):
-    """The pattern as the ``regex`` module reads it; white space is Unicode's, without the information separators."""
-    import regex
+class Splitter:
+    """``words(text)``: the matches of the pattern, as the library splits.
+
+    White space is Unicode's, without the information separators. Libraries follow different versions of Unicode, so a
+    character that Python's own tables do not know yet is shown to the library (as the second of a pair that is one
+    token if the pattern joins it) and stood in for, while splitting, by a character of the class that the library gives it.
+    """
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.pattern = pattern
+        self.match = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.sure: set[str] = set()
+        self.stand_ins: dict[int, str] = {}
+
+    def _like(self, c: str) -> str:
+        """A letter, a numeral or a sign that no pattern names, whichever the library takes ``c`` for."""
+        import tiktoken
 
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        for before, like in (("a", "\u00e9"), ("1", "\u0663")):
+            pair = before + c
+            probe = tiktoken.Encoding("probe", pat_str=self.pattern, mergeable_ranks={bytes([b]): b for b in range(256)} | {pair.encode(): 256}, special_tokens={})
+            if len(probe.encode_ordinary(pair)) == 1:
+                return like
+        return "\u00a7"
+
+    def words(self, text: str) -> list[str]:
+        new = set(text) - self.sure
+        if new:
+            unknown = {c for c in new if unicodedata.category(c) == "Cn"}
+            self.sure |= new - unknown
+            self.stand_ins |= {ord(c): self._like(c) for c in unknown if ord(c) not in self.stand_ins}
+            if unknown:
+                return [text[a:b] for a, b in (m.span() for m in self.match.finditer(text.translate(self.stand_ins)))]
+        return self.match.findall(text)
+
+
+@functools.cache
+def splitter(pattern: str) -> Splitter:
+    """The worker's splitter for this pattern."""
+    return Splitter(pattern)
 
 
 @functools.cache
@@ -142,7 +179,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets: i
     """A row for each block and bucket with its distinct words, and one a block with positions and documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, serial = splitter(pattern).findall, _serial()
+        split, serial = splitter(pattern).words, _serial()
         known: defaultdict[str, int] = defaultdict()
         known.default_factory = known.__len__
         ids: list[pa.Array] = []
@@ -169,7 +206,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets: i
 
         for batch in batches:
             for i, text in enumerate(batch["text"]):
-                words = find(text.as_py() or "")
+                words = split(text.as_py() or "")
                 if held and held + len(words) > block:
                     yield flush()
                     known.clear()

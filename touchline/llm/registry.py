@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, pii, quality, rans, simhash, toxicity, url_filters, warc
+from . import bpe, media, mixing, packing, pii, quality, rans, repair, shallot, simhash, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_rans": rans.op8_rans,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
+    "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_shallot": shallot.op12_shallot,
+    "op13_byte_bpe": bpe.op13_byte_bpe,
 }
-SQL = {"op2_url_filters": url_filters.OP2_SQL, "op4_mixing": mixing.OP4_SQL}
+SQL = {"op2_url_filters": url_filters.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op12_shallot": shallot.OP12_SQL}

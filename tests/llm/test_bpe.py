@@ -1,6 +1,8 @@
 """Byte-level BPE against the library, and there and back."""
 
 import hashlib
+import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -41,6 +43,31 @@ def test_words_are_the_librarys(library):
         assert [x for w in split(text) for x in merge(w)] == library.encode_ordinary(text)
 
 
+def test_units_have_the_words_of_the_whole():
+    rnd = random.Random(2)
+    split = bpe.splitter(bpe.split_pattern()).words
+    signs = ["a", "B", "é", "1", "٣", ".", "'s", "'", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "日", "!"]
+    known = defaultdict()
+    known.default_factory = known.__len__
+    units = bpe.Units(split, known)
+    for text in [*MORE, *("".join(rnd.choices(signs, k=rnd.randint(0, 12))) for _ in range(20_000))]:
+        assert [*units.numbers(text)] == [known[w] for w in split(text)], text
+
+
+def test_packed_numbers():
+    for a in ([], [0], [254, 255, 256, 0, 70_000, (1 << 32) - 1], range(1000)):
+        assert bpe._unpack(bpe._pack(np.array(a, np.uint32))).tolist() == list(a)
+
+
+def test_another_pattern(spark):
+    """Patterns whose words hold spaces are not taken apart at spaces."""
+    pattern = r"[a-z ]+|[^a-z ]+"
+    texts = [(1, "one two 3four five"), (2, "a  b\n c")]
+    whole = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=bpe.ranks(bpe.vocabulary()), special_tokens={})
+    got = bpe.encode(spark.createDataFrame(texts, "doc_id bigint, text string"), pattern=pattern).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in got} == {i: whole.encode_ordinary(t) for i, t in texts}
+
+
 def test_odd_texts_small_blocks(spark, odd, none, library):
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(MORE)], "doc_id bigint, text string")).withColumns({"ids": F.lit("x"), "block": F.lit(1), "n": F.lit(2)})
     want = sorted(map(repr, ((i, *expected(library, t)) for i, t in [(r["doc_id"], r["text"]) for r in docs.collect()])))

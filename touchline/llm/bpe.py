@@ -28,6 +28,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Pre-tokens (or ids, in decoding) of a block; buckets a shuffle partition; most tokens that are broadcast.
-BLOCK, BUCKETS, BROADCAST = 1 << 22, 4, 1 << 20
+BLOCK, BUCKETS, BROADCAST = 1 << 21, 4, 1 << 20
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -120,15 +121,19 @@ def token_bytes(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Whole numbers as compressed bytes, all lowest bytes first, then all second ones: high bytes are mostly zero."""
-    raw = np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(a).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """Whole numbers as compressed bytes: one byte each, with 255 for those above 254, whose rest follows by bytes' rank."""
+    a = np.asarray(a, np.uint32)
+    rest = np.ascontiguousarray(a[a >= 255] - 255, "<u4").view(np.uint8).reshape(-1, 4).T
+    raw = np.minimum(a, 255).astype(np.uint8).tobytes() + rest.tobytes()
+    return len(a).to_bytes(8, "little") + rest.shape[1].to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").reshape(n)
+    n, more = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    raw = np.frombuffer(pa.decompress(data[16:], n + 4 * more, "zstd", asbytes=True), np.uint8)
+    out = raw[:n].astype(np.uint32)
+    out[raw[:n] == 255] += np.ascontiguousarray(raw[n:].reshape(4, more).T).view("<u4").reshape(more)
+    return out
 
 
 def _pack_words(words: list[bytes]) -> bytes:
@@ -172,48 +177,79 @@ def _serial() -> Iterator[int]:
         k += 1
 
 
-PIECES = "block bigint, bucket int, words binary, places binary, docs binary"
+class Units(dict):
+    """What stands between two spaces -> the numbers of its words (with the space before it), None if it is not apart.
+
+    Words of the public pattern hold no space but before their first character, so between spaces next to no other white
+    space texts fall apart into units, each with words of its own. A recurring unit is split once a block.
+    """
+
+    def __init__(self, split, known: dict[str, int]):
+        self.split, self.known = split, known
+
+    def __missing__(self, unit: str) -> tuple[int, ...] | None:
+        apart = unit and not unit[0].isspace() and not unit[-1].isspace()
+        self[unit] = found = tuple([self.known[w] for w in self.split(" " + unit)]) if apart else None
+        return found
+
+    def numbers(self, text: str) -> np.ndarray:
+        head, *units = text.split(" ")
+        found = list(map(self.__getitem__, units))
+        if None in found or (head and head[-1].isspace()):
+            return np.array([self.known[w] for w in self.split(text)], np.uint32)
+        return np.array([*(self.known[w] for w in self.split(head)), *chain.from_iterable(found)], np.uint32)
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets: int, block: int) -> DataFrame:
-    """A row for each block and bucket with its distinct words, and one a block with positions and documents."""
+PIECES = "block bigint, bucket int, words binary, places binary, buckets binary, docs binary"
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets: int, block: int, by_spaces: bool = True) -> DataFrame:
+    """A row for each block and bucket with its distinct words, and one a block with positions and documents.
+
+    In its positions a block numbers its words by how often they stand, so most numbers are small; ``buckets`` tells
+    each word's bucket, in which they keep that order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, serial = splitter(pattern).words, _serial()
         known: defaultdict[str, int] = defaultdict()
         known.default_factory = known.__len__
+        units = Units(split, known)
         ids: list[pa.Array] = []
         places: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             words = [w.encode() for w in known]
-            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
-            order = np.argsort(bucket, kind="stable")  # a word's number in the block is its place by bucket
+            seq = np.concatenate([np.zeros(0, np.uint32), *places])
+            often = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
+            rank[often] = np.arange(len(words), dtype=np.uint32)
+            bucket = (np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets)[often]
+            order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
             ends = [*first[1:].tolist(), len(words)]
-            rows = [_pack_words([words[i] for i in order[a:b]]) for a, b in zip(first.tolist(), ends)]
-            at = next(serial)
+            rows = [_pack_words([words[i] for i in often[order[a:b]]]) for a, b in zip(first.tolist(), ends)]
+            at, n = next(serial), len(rows) + 1
             head = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array([len(p) for p in places], pa.int64())], ["id", "n"])
-            seq = rank[np.concatenate([np.zeros(0, np.int64), *places])]
-            n = len(rows) + 1
+            last = lambda data: pa.array([None] * (n - 1) + [data], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([at] * n, pa.int64()), pa.array([*found.tolist(), at % buckets], pa.int32()), pa.array([*rows, None], pa.binary()), pa.array([None] * (n - 1) + [_pack(seq)], pa.binary()), pa.array([None] * (n - 1) + [_shelve(head)], pa.binary())],
-                ["block", "bucket", "words", "places", "docs"],
+                [pa.array([at] * n, pa.int64()), pa.array([*found.tolist(), at % buckets], pa.int32()), pa.array([*rows, None], pa.binary()), last(_pack(rank[seq])), last(_pack(bucket)), last(_shelve(head))],
+                ["block", "bucket", "words", "places", "buckets", "docs"],
             )
 
         for batch in batches:
-            for i, text in enumerate(batch["text"]):
-                words = split(text.as_py() or "")
-                if held and held + len(words) > block:
+            for i, cell in enumerate(batch["text"]):
+                text = cell.as_py() or ""
+                # no more pre-tokens than characters
+                if held and held + len(text) > block:
                     yield flush()
                     known.clear()
+                    units.clear()
                     ids, places, held = [], [], 0
                 ids.append(batch["id"][i : i + 1])
-                places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-                held += len(words)
+                places.append(units.numbers(text) if by_spaces else np.array([known[w] for w in split(text)], np.uint32))
+                held += len(places[-1])
         if ids:
             yield flush()
 
@@ -222,7 +258,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, pattern: str, buckets: i
 
 
 def encode_words(rows: DataFrame, path: str) -> DataFrame:
-    """``pieces`` dealt by bucket, with each distinct word's ids in place of the word: (block, bucket, lens, ids, places, docs)."""
+    """``pieces`` dealt by bucket, with each distinct word's ids in place of the word: (block, bucket, lens, ids, places, buckets, docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = merger(path)
@@ -245,15 +281,16 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
                 found = [known[w] for w in words]
                 lens.append(_pack(np.fromiter(map(len, found), np.uint32, len(found))))
                 ids.append(_pack(np.array([x for f in found for x in f], np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch["block"], batch["bucket"], pa.array(lens, pa.binary()), pa.array(ids, pa.binary()), batch["places"], batch["docs"]], ["block", "bucket", "lens", "ids", "places", "docs"])
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["bucket"], pa.array(lens, pa.binary()), pa.array(ids, pa.binary()), batch["places"], batch["buckets"], batch["docs"]], ["block", "bucket", "lens", "ids", "places", "buckets", "docs"])
 
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block bigint, bucket int, lens binary, ids binary, places binary, docs binary")
+    return dealt.mapInArrow(run, "block bigint, bucket int, lens binary, ids binary, places binary, buckets binary, docs binary")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, block: int = BLOCK) -> DataFrame:
     """(id, n_tokens, ids): every document's ids as little-endian unsigned 32-bit numbers."""
-    path, pattern = path or vocabulary(), pattern or split_pattern()
+    path, by_spaces = path or vocabulary(), pattern in (None, split_pattern())
+    pattern = pattern or split_pattern()
     kind = docs.schema[id_col].dataType
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -261,18 +298,21 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         rows = rows.sort_by("bucket")
         whole = rows.filter(pa.compute.is_valid(rows["docs"]))
         words = rows.filter(pa.compute.is_valid(rows["lens"]))
-        lens = np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py()).astype(np.int64) for x in words["lens"])])
+        lens = np.concatenate([np.zeros(0, np.int32), *(_unpack(x.as_py()).astype(np.int32) for x in words["lens"])])
         ids = np.concatenate([np.zeros(0, "<u4"), *(_unpack(x.as_py()) for x in words["ids"])])
         head, places = _unshelve(whole["docs"][0].as_py()), _unpack(whole["places"][0].as_py())
-        starts = np.cumsum(lens) - lens
-        n = lens[places]
-        ends = np.cumsum(n)
-        out = ids[np.repeat(starts[places] - (ends - n), n) + np.arange(int(n.sum()))]
+        order = np.argsort(_unpack(whole["buckets"][0].as_py()), kind="stable")  # words by bucket, as numbers by frequency
+        start, size = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
+        start[order], size[order] = np.cumsum(lens) - lens, lens
+        n = size[places]
+        ends = np.cumsum(n, dtype=np.int64)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        at += np.repeat((start[places] - (ends - n)).astype(np.int32), n)
         before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(head["n"].to_numpy())])]
         tokens = np.diff(before)
-        return pa.table({id_col: head["id"], "n_tokens": pa.array(tokens, pa.int64()), "ids": _cells(out.astype("<u4").tobytes(), 4 * tokens)})
+        return pa.table({id_col: head["id"], "n_tokens": pa.array(tokens, pa.int64()), "ids": _cells(ids[at].tobytes(), 4 * tokens)})
 
-    coded = encode_words(pieces(docs, id_col, text_col, pattern, buckets, block), path)
+    coded = encode_words(pieces(docs, id_col, text_col, pattern, buckets, block, by_spaces), path)
     return coded.groupBy("block").applyInArrow(assemble, f"{id_col} {kind.simpleString()}, n_tokens bigint, ids binary")
 
 
@@ -288,7 +328,7 @@ def decode(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", block: i
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
-            order = np.argsort(ids, kind="stable").astype("<u4")
+            order = np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable").astype("<u4")
             found, first = np.unique(ids[order], return_index=True)
             cells = _cells(order.tobytes(), 4 * np.diff([*first.tolist(), len(ids)]) if len(found) else np.zeros(0, np.int64))
             at, n = next(serial), len(found) + 1
@@ -319,11 +359,11 @@ def decode(encoded: DataFrame, tokens: DataFrame, ids_col: str = "ids", block: i
         def done() -> pa.RecordBatch:
             whole = _unshelve(docs).combine_chunks()
             n = whole["_n"].to_numpy()
-            lens = np.zeros(int(n.sum()), np.int64)
+            lens = np.zeros(int(n.sum()), np.int32)
             for data, places in rows:
                 lens[places] = len(data)
-            ends = np.cumsum(lens)
-            out = np.empty(int(lens.sum()), np.uint8)
+            ends = np.cumsum(lens, dtype=np.int64)
+            out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
             for data, places in rows:
                 if data:
                     out[(ends[places] - len(data))[:, None] + np.arange(len(data))] = np.frombuffer(data, np.uint8)

@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import layouts
+from .sidecars import read_anchors, read_homographies, write_anchors, write_homographies  # noqa: F401
 
 #: Columns of the tracks table, in the order of its files.
 TRACKS = {
@@ -23,21 +25,15 @@ def require_columns(df: DataFrame, needed=REQUIRED) -> DataFrame:
     return df
 
 
-def delimiter(header: str) -> str:
-    """The commonest of ``, ; tab |`` in a header line; a comma if none occurs."""
-    return max(",;\t|", key=header.count)
-
+def read_tracks(spark: SparkSession, path: str | list[str], match_id: int | None = None, pattern: str | None = None, marks: bool = False) -> DataFrame:
+    """Delimited tracks (also gzipped) of one file or of a folder whose files differ in delimiter, column order and columns.
 
-def read_tracks(spark: SparkSession, path: str, match_id: int | None = None) -> DataFrame:
-    """Delimited tracks (also gzipped) with the delimiter of their header; bad lines are kept as far as they parse.
-
-    Known columns get their types, '' and NaN become null, others stay text. Only one header line comes to the driver.
+    Every file follows its own header. Known columns get their types, '' and NaN become null, others stay text; a column
+    that a file lacks is null there. A line with too few or too many fields is kept as far as it parses. Lines equal to
+    their file's header and blank lines are no rows. A file without ``match_id`` takes it from its path (``pattern`` with
+    one group), else ``match_id``. ``marks`` adds ``source_file`` and ``bad_line`` (see ``line_report``).
     """
-    header = spark.read.text(path).limit(1).first()
-    sep = delimiter(header[0] if header else "")
-    names = [n.strip().strip('"').lstrip("﻿") for n in (header[0].split(sep) if header else [])]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.options(header=True, sep=sep, mode="PERMISSIVE", encoding="UTF-8", enforceSchema=True).schema(schema).csv(path)
+    raw, names = layouts.split_lines(spark, path)
 
     def typed(c: str):
         text = F.trim(F.col(c))
@@ -47,8 +43,19 @@ def read_tracks(spark: SparkSession, path: str, match_id: int | None = None) ->
             return text.try_cast("double").try_cast(kind).alias(c)
         return (text.try_cast(kind) if kind and kind != "string" else text).alias(c)
 
-    out = raw.select(*[typed(c) for c in names])
-    return out if match_id is None or "match_id" in names else out.select(F.lit(match_id).cast("bigint").alias("match_id"), "*")
+    out = raw.select("source_file", "bad_line", *[typed(c) for c in names])
+    given = [F.lit(match_id).cast("bigint")] if match_id is not None else []
+    if pattern is not None:
+        given.insert(0, F.regexp_extract(F.url_decode("source_file"), pattern, 1).try_cast("bigint"))
+    if given:
+        own = [F.col("match_id")] if "match_id" in names else []
+        out = out.select(F.coalesce(*own, *given).alias("match_id"), *[c for c in out.columns if c != "match_id"])
+    return out if marks else out.drop("source_file", "bad_line")
+
+
+def line_report(marked: DataFrame) -> DataFrame:
+    """(source_file, lines, bad_lines) of tracks that were read with ``marks``."""
+    return marked.groupBy("source_file").agg(F.count("*").alias("lines"), F.count_if("bad_line").alias("bad_lines"))
 
 
 def read_table(spark: SparkSession, path: str, needed: tuple[str, ...] = ()) -> DataFrame:
@@ -102,31 +109,3 @@ def read_segment_template(df: DataFrame) -> DataFrame:
     out = df.toDF(*[re.sub(r"\s+", "_", c.strip().lower()) for c in df.columns])
     require_columns(out, ("tracker_id", "frame_start", "frame_end", "canonical_id"))
     return out.withColumns({c: F.col(c).try_cast("double").try_cast("bigint") for c in ("canonical_id", "team") if c in out.columns})
-
-
-def read_homographies(spark: SparkSession, path: str, match_id: int) -> DataFrame:
-    """(match_id, frame, h) of a JSON sidecar ``{meta, frames: {frame: 3 x 3}}``."""
-    raw = spark.read.schema("frames map<string,array<array<double>>>").option("multiLine", True).json(path)
-    rows = raw.select(F.explode("frames").alias("f", "m"))
-    return rows.select(F.lit(match_id).cast("bigint").alias("match_id"), F.col("f").cast("bigint").alias("frame"), F.flatten("m").alias("h"))
-
-
-def write_homographies(df: DataFrame, path: str, fps: float | None = None) -> None:
-    """One sidecar a match: its meta and its frames, as one JSON object a line."""
-    rows = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.slice("h", k * 3 + 1, 3))
-    f = df.filter("h IS NOT NULL").groupBy("match_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("string"), rows)))).alias("frames"), F.count("*").alias("n"), F.min("frame").alias("a"), F.max("frame").alias("b"))
-    f.select("match_id", F.struct(F.lit(fps).alias("fps"), F.col("n").alias("covered_frames"), F.array("a", "b").alias("range")).alias("meta"), "frames").write.mode("overwrite").partitionBy("match_id").json(path)
-
-
-def read_anchors(spark: SparkSession, path: str, match_id: int) -> DataFrame:
-    """(match_id, frame, image_pts, pitch_pts, h) of ``{anchors: {frame: {image_pts, pitch_pts, H}}}``."""
-    raw = spark.read.schema("anchors map<string,struct<image_pts:array<array<double>>,pitch_pts:array<array<double>>,H:array<array<double>>>>").option("multiLine", True).json(path)
-    points = lambda c: F.transform(c, lambda q: F.struct(q[0].alias("x"), q[1].alias("y")))
-    return raw.select(F.explode("anchors").alias("f", "a")).select(F.lit(match_id).cast("bigint").alias("match_id"), F.col("f").cast("bigint").alias("frame"), points(F.col("a.image_pts")).alias("image_pts"), points(F.col("a.pitch_pts")).alias("pitch_pts"), F.flatten("a.H").alias("h"))
-
-
-def write_anchors(df: DataFrame, path: str) -> None:
-    points = lambda c: F.transform(c, lambda q: F.array(q["x"], q["y"]))
-    h = F.when(F.col("h").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.slice("h", k * 3 + 1, 3)))
-    one = F.struct(points(F.col("image_pts")).alias("image_pts"), points(F.col("pitch_pts")).alias("pitch_pts"), h.alias("H"))
-    df.groupBy("match_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("frame").cast("string").alias("k"), one.alias("v"))))).alias("anchors")).write.mode("overwrite").partitionBy("match_id").json(path)

@@ -3,18 +3,29 @@
 A key's rows wait in a buffer until the watermark has passed their frame's time, then go through the same step function
 as in batch, in frame order. Rows that come later than the watermark are not folded; they come out flagged ``late`` so
 they can be counted. The stream must have ``event_ts`` and a watermark; state is in the RocksDB store.
+
+The buffer is sorted by construction: rows are kept in chunks of ``CHUNK_MS`` of event time, beside the sorted list of
+chunk numbers. A key has one timer, for its earliest waiting rows; when it fires, chunks are taken from the front until
+the watermark, so a release costs what it releases, whatever else waits. The fold's state is kept in parts (of the crowd
+of ``stabilise_ids``: each person, and each look of a person's gallery; of slots: each id), and only parts that a
+trigger has changed are written. A key that has been idle for ``idle_ms`` of event time after its last row (a match that has
+ended) gives up its state; if it comes back, it starts afresh.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..operators import folds, stable_ids
 from ..operators.windows import team_memory  # noqa: F401  the batch form that stream_team_memory equals
@@ -22,6 +33,8 @@ from ..params import BALL, DEFAULTS, Params
 
 #: Settings a session needs for these operators.
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Event time of a chunk of the buffer, and after which an idle key is given up, in milliseconds.
+CHUNK_MS, IDLE_MS = 1000, 3_600_000
 
 
 def with_event_time(df: DataFrame, start: str = "2024-01-01 00:00:00", fps: float = DEFAULTS.fps, delay: str = "2 seconds") -> DataFrame:
@@ -30,60 +43,166 @@ def with_event_time(df: DataFrame, start: str = "2024-01-01 00:00:00", fps: floa
     return df.withColumn("event_ts", F.timestamp_micros(micros)).withWatermark("event_ts", delay)
 
 
+def crowd_parts(s: stable_ids.Crowd) -> dict[str, bytes]:
+    """A crowd as parts: what all share, each person with its average look, each look of a gallery."""
+    looks = s.looks
+    out = {"": pickle.dumps((s.by_raw, s.next, s.frame, s.boxes, looks.data.shape[1:]))}
+    for sid, p in s.people.items():
+        own = looks.data[p.row, : int(looks.n[p.row])] if looks.data.size else []
+        names = []
+        for look in own[1:]:
+            raw = look.tobytes()
+            names.append(f"{sid}:{hashlib.blake2b(raw, digest_size=12).hexdigest()}")
+            out[names[-1]] = raw
+        mean = own[0].tobytes() if len(own) else None
+        out[str(sid)] = pickle.dumps((sid, p.at.tolist(), p.seen, p.raw, p.velocity.tolist(), p.row, p.team, p.votes, p.lock_until, mean, names))
+    return out
+
+
+def crowd_of(parts: dict[str, bytes]) -> stable_ids.Crowd:
+    s = stable_ids.Crowd()
+    s.by_raw, s.next, s.frame, s.boxes, shape = pickle.loads(parts[""])
+    people = sorted((pickle.loads(v) for k, v in parts.items() if k and ":" not in k), key=lambda x: x[0])
+    looks = s.looks
+    looks.data, looks.square, looks.n = np.zeros((len(people), *shape)), np.zeros((len(people), shape[0])), np.zeros(len(people), np.int64)
+    for sid, at, seen, raw, velocity, row, team, votes, lock, mean, names in people:
+        s.people[sid] = stable_ids.Person(np.array(at), seen, raw, np.array(velocity), row, team, votes, lock)
+        for k, data in enumerate([mean, *(parts[n] for n in names)] if mean is not None else []):
+            look = np.frombuffer(data)
+            looks.data[row, k], looks.square[row, k], looks.n[row] = look, look @ look, k + 1
+    return s
+
+
+def slot_parts(s: folds.Slots) -> dict[str, bytes]:
+    return {str(i): pickle.dumps((s.slot.get(i), seen)) for i, seen in s.seen.items()}
+
+
+def slots_of(parts: dict[str, bytes]) -> folds.Slots:
+    s = folds.Slots()
+    for i, data in parts.items():
+        slot, s.seen[int(i)] = pickle.loads(data)
+        if slot is not None:
+            s.slot[int(i)] = slot
+    return s
+
+
+#: How states are taken apart and put together; others are one part.
+PARTS = {stable_ids.Crowd: (crowd_parts, crowd_of), folds.Slots: (slot_parts, slots_of)}
+WHOLE = (lambda s: {"": pickle.dumps(s)}, lambda parts: pickle.loads(parts[""]))
+
+
 class Fold(StatefulProcessor):
-    """Buffers rows by frame; frames before the watermark go through ``step`` in order."""
+    """Buffers rows by time; rows before the watermark go through ``step``, frame by frame."""
 
-    def __init__(self, state: Callable[[], object], step: folds.Step, names: list[str], order: list[str]):
-        self.make, self.step, self.names, self.order = state, step, names, order
+    def __init__(self, state: Callable[[], object], step: folds.Step, names: list[str], order: list[str], idle_ms: int = IDLE_MS):
+        self.make, self.step, self.names, self.order, self.idle_ms = state, step, names, order, idle_ms
+        self.apart, self.together = PARTS.get(state, WHOLE)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         blob = StructType([StructField("v", BinaryType())])
-        self.held = handle.getValueState("held", blob)
-        self.frames = handle.getMapState("frames", StructType([StructField("ms", LongType())]), blob)
+        self.handle = handle
+        self.parts = handle.getMapState("parts", StructType([StructField("part", StringType())]), blob)
+        self.chunks = handle.getMapState("chunks", StructType([StructField("chunk", LongType())]), blob)
+        self.index = handle.getValueState("index", blob)
 
     def _out(self, rows: list[dict], late: int = 0) -> pd.DataFrame:
         return pd.DataFrame([r | {"late": late} for r in rows], columns=[*self.names, "late"])
 
+    def _rank(self, r: dict) -> tuple:
+        return tuple((r[c[1:]] is None, -(r[c[1:]] or 0)) if c[0] == "-" else (r[c] is None, r[c] or 0) for c in self.order)
+
+    def _read(self) -> tuple[list[int], int | None, int]:
+        """Waiting chunks in order, the timer's time, the latest row's time."""
+        if not self.index.exists():
+            return [], None, 0
+        waiting = np.frombuffer(self.index.get()[0], "<i8").tolist()
+        return waiting[2:], waiting[0], waiting[1]
+
+    def _save(self, waiting: list[int], old: int | None, timer: int, last: int) -> None:
+        if timer != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
+        self.index.update((np.array([timer, last, *waiting], "<i8").tobytes(),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        new: dict[int, list[dict]] = {}
+        new: dict[int, list[tuple[int, dict]]] = {}
         late: list[dict] = []
+        first, latest = None, 0
         for piece in rows:
-            times = piece["event_ts"].astype("datetime64[ms]").astype("int64").tolist()
             clean = piece.astype(object).where(piece.notna(), None)
-            for ms, r in zip(times, clean.drop(columns="event_ts").to_dict("records")):
+            for r in clean.to_dict("records"):
+                ms = int(r.pop("event_ms"))
                 if ms <= mark:
                     late.append({c: r.get(c) for c in self.names})
                 else:
-                    new.setdefault(ms, []).append(r)
-        for ms, add in new.items():
-            old = pickle.loads(self.frames.getValue((ms,))[0]) if self.frames.containsKey((ms,)) else []
-            self.frames.updateValue((ms,), (pickle.dumps(old + add),))
-            self.handle.registerTimer(ms)
+                    new.setdefault(ms // CHUNK_MS, []).append((ms, r))
+                    first, latest = ms if first is None else min(first, ms), max(latest, ms)
+        if new:
+            waiting, timer, last = self._read()
+            known = set(waiting)
+            for chunk, add in new.items():
+                held = pickle.loads(self.chunks.getValue((chunk,))[0]) if chunk in known else []
+                self.chunks.updateValue((chunk,), (pickle.dumps(held + add),))
+            # a timer of a key without waiting rows is the one that gives the key up
+            due = first if not waiting else min(first, timer)
+            self._save(sorted(known.union(new)), timer, due, max(last, latest))
         yield self._out(late, 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted(k[0] for k in self.frames.keys() if k[0] <= until)
-        state = pickle.loads(self.held.get()[0]) if self.held.exists() else self.make()
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting, _, last = self._read()
+        if not waiting:
+            for state in (self.parts, self.chunks, self.index):
+                state.clear()
+            return
+        due: list[tuple[int, dict]] = []
+        gone, timer = 0, None
+        for chunk in waiting[: bisect_left(waiting, mark // CHUNK_MS + 1)]:
+            held = pickle.loads(self.chunks.getValue((chunk,))[0])
+            due += [x for x in held if x[0] <= mark]
+            if rest := [x for x in held if x[0] > mark]:
+                timer = min(ms for ms, _ in rest)
+                if len(rest) < len(held):
+                    self.chunks.updateValue((chunk,), (pickle.dumps(rest),))
+            else:
+                self.chunks.removeKey((chunk,))
+                gone += 1
+        waiting = waiting[gone:]
+        yield self._out(self._fold(due))
+        if timer is None:
+            timer = waiting[0] * CHUNK_MS if waiting else last + self.idle_ms
+        self._save(waiting, None, max(timer, mark + 1), last)  # the timer that fired is gone
+
+    def _fold(self, due: list[tuple[int, dict]]) -> list[dict]:
+        if not due:
+            return []
+        old = {k[0]: bytes(v[0]) for k, v in self.parts.iterator()}
+        state = self.together(old) if old else self.make()
         out: list[dict] = []
-        for ms in due:
-            rows = pickle.loads(self.frames.getValue((ms,))[0])
-            rows.sort(key=lambda r: tuple((r[c[1:]] is None, -(r[c[1:]] or 0)) if c[0] == "-" else (r[c] is None, r[c] or 0) for c in self.order))
-            out += self.step(state, rows[0]["frame"], rows)
-            self.frames.removeKey((ms,))
-        self.held.update((pickle.dumps(state),))
-        yield self._out(out)
+        due.sort(key=lambda x: (x[0], *self._rank(x[1])))
+        for _, rows in groupby(due, key=lambda x: x[0]):
+            frame = [r for _, r in rows]
+            out += self.step(state, frame[0]["frame"], frame)
+        new = self.apart(state)
+        for k, v in new.items():
+            if old.get(k) != v:
+                self.parts.updateValue((k,), (v,))
+        for k in old.keys() - new.keys():
+            self.parts.removeKey((k,))
+        return out
 
     def close(self) -> None:
         pass
 
 
-def stream_fold(df: DataFrame, keys: list[str], order: list[str], state: Callable[[], object], step: folds.Step, schema: str) -> DataFrame:
+def stream_fold(df: DataFrame, keys: list[str], order: list[str], state: Callable[[], object], step: folds.Step, schema: str, idle_ms: int = IDLE_MS) -> DataFrame:
     """``folds.fold`` over a stream with ``event_ts`` and a watermark; one more column ``late`` (1: came too late)."""
     names = [c.split()[0] for c in schema.split(",")]
-    return df.groupBy(*keys).transformWithStateInPandas(Fold(state, step, names, order), schema + ", late int", "append", "EventTime")
+    # the time goes on as a number, so Spark does not drop late rows before they can be counted
+    rows = df.withColumn("event_ms", F.unix_millis("event_ts")).drop("event_ts")
+    return rows.groupBy(*keys).transformWithStateInPandas(Fold(state, step, names, order, idle_ms), schema + ", late int", "append", "EventTime")
 
 
 def stream_smooth_ball(candidates: DataFrame) -> DataFrame:

@@ -337,3 +337,13 @@ def test_sources_round_trip(spark, tmp_path):
     assert tables.read_anchors(spark, str(tmp_path / "aout/match_id=1"), 1).collect() == a.collect()
     tables.write_kpi(df.select("frame"), str(tmp_path / "kpi"))
     assert spark.read.json(str(tmp_path / "kpi/json")).count() == 3
+
+
+def test_matches_without_predictions_count_as_missed(spark):
+    from touchline.operators import scoring
+
+    box = ("0.0D AS x1", "0.0D AS y1", "10.0D AS x2", "10.0D AS y2")
+    gt = spark.range(6).selectExpr("id DIV 2 AS match_id", "id % 2 AS frame", "5L AS gt_id", *box)
+    pred = spark.range(2, 8).selectExpr("id DIV 2 AS match_id", "id % 2 AS frame", "9L AS pred_id", *box)
+    got = {r["match_id"]: (r["gt"], r["pred"], r["idtp"], r["idp"], r["idr"], r["idf1"]) for r in scoring.id_score(pred, gt).collect()}
+    assert got == {0: (2, 0, 0, None, 0.0, 0.0), 1: (2, 2, 2, 1.0, 1.0, 1.0), 2: (2, 2, 2, 1.0, 1.0, 1.0), 3: (0, 2, 0, 0.0, None, 0.0)}

@@ -104,3 +104,23 @@ def test_alias_rules_of_two_matches(spark):
     assert got == [(0, 5, 50, "single"), (0, 5, 50, "single"), (0, 6, 60, "single"), (0, 7, 7, "none"), (1, 5, 51, "single"), (1, 5, 51, "single"), (1, 6, 60, "single"), (1, 7, 7, "none")]
     kept = joins.apply_alias_rules(tracks, rules, spark.createDataFrame([(1, 6, "")], "match_id bigint, id bigint, cls string")).filter("action = 'protected'")
     assert [(r["match_id"], r["new_id"]) for r in kept.collect()] == [(1, 6)]
+
+
+def test_rules_meet_the_same_share_of_rows_at_every_size(spark, sf):
+    """Matches with segment and alias rules are the tracks' own."""
+    for view in ("fx_segment_map", "fx_alias_cells"):
+        share = []
+        for folder in (sf, sf.replace("0.001", "0.01")):
+            tracks, rules = fixtures.view(spark, folder, "fx_tracks"), fixtures.view(spark, folder, view).filter("match_id IS NOT NULL").select("match_id").distinct()
+            share.append(tracks.join(rules, "match_id", "left_semi").count() / tracks.count())
+        assert share == [1.0, 1.0]
+
+
+def test_people_meet_many_looks(spark, sf):
+    from touchline.plans.fold_queries import with_looks
+    from touchline.plans.registry import Views
+
+    v = Views(spark, sf)
+    rows = with_looks(v, v.fx_tracks)
+    assert rows.count() == v.fx_tracks.count() and rows.filter("look IS NULL").count() == 0
+    assert rows.select("look").distinct().count() > 0.5 * v.table("embeddings").count()

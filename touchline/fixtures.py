@@ -56,17 +56,17 @@ FROM {events} WHERE event_type = 'purchase'""",
 SELECT @PLACE(event_id)@, CAST(value * 10 AS DOUBLE) AS cx, CAST(220.0 + user_id AS DOUBLE) AS cy
 FROM {events} WHERE event_type = 'signup'""",
     "fx_segment_map": """
-SELECT r_regionkey AS match_id, CAST(s_suppkey % 20 AS BIGINT) AS tracker_id, CAST(FLOOR(s_suppkey / 20) * 200 AS BIGINT) AS frame_start,
-       CAST(FLOOR(s_suppkey / 20) * 200 + 149 AS BIGINT) AS frame_end, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE CAST((s_suppkey * 7) % 23 AS BIGINT) END AS canonical_id,
-       CAST(s_suppkey % 2 AS INT) AS team, s_suppkey AS rule_no
-FROM {supplier} CROSS JOIN {region} WHERE r_regionkey < 4""",
+SELECT m.match_id, CAST(k.k % 20 AS BIGINT) AS tracker_id, CAST(FLOOR(k.k / 20) * 200 AS BIGINT) AS frame_start,
+       CAST(FLOOR(k.k / 20) * 200 + 149 AS BIGINT) AS frame_end, CASE WHEN k.k % 11 = 0 THEN NULL ELSE CAST((k.k * 7) % 23 AS BIGINT) END AS canonical_id,
+       CAST(k.k % 2 AS INT) AS team, k.k AS rule_no
+FROM (SELECT DISTINCT @MATCH(o_orderkey)@ FROM {orders}) m
+CROSS JOIN (SELECT n_nationkey + 25 * j AS k FROM {nation} CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11)) t(j)) t) k""",
     "fx_alias_cells": """
-SELECT n_nationkey AS rule_no,
+SELECT n_nationkey + 25 * COALESCE(m.match_id, 0) AS rule_no,
        CASE n_nationkey % 4 WHEN 0 THEN CONCAT(CAST(n_nationkey % 20 AS VARCHAR(9)), ' REF') WHEN 1 THEN CONCAT('GK', CAST(n_nationkey % 20 AS VARCHAR(9)))
             WHEN 2 THEN CONCAT(CAST(n_nationkey % 20 AS VARCHAR(9)), ' P') ELSE CONCAT(CAST(n_nationkey % 20 AS VARCHAR(9)), ' PT1') END AS cell,
-       CASE n_nationkey % 4 WHEN 0 THEN '100-900' WHEN 1 THEN '500-' WHEN 2 THEN '321' ELSE NULL END AS frame_range, CAST((n_nationkey * 3) % 20 AS BIGINT) AS target,
-       CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey % 4 AS BIGINT) END AS match_id
-FROM {nation}""",
+       CASE n_nationkey % 4 WHEN 0 THEN '100-900' WHEN 1 THEN '500-' WHEN 2 THEN '321' ELSE NULL END AS frame_range, CAST((n_nationkey * 3) % 20 AS BIGINT) AS target, m.match_id
+FROM {nation} LEFT JOIN (SELECT DISTINCT @MATCH(o_orderkey)@ FROM {orders}) m ON n_nationkey % 4 = m.match_id % 4 AND n_nationkey % 3 <> 0""",
     "fx_gt": """
 SELECT match_id, frame, gt_id, x1, y1, x2, y2 FROM (
   SELECT @PLACE(l_orderkey)@, CAST(l_suppkey % 20 AS BIGINT) AS gt_id,

@@ -55,11 +55,12 @@ def id_mapping(matches: DataFrame) -> DataFrame:
 
 
 def id_score(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
-    """idtp, idp, idr, idf1 of each match."""
+    """gt, pred, idtp, idp, idr, idf1 of each match; one without predictions or without labels counts with zeros."""
     right = id_mapping(match_boxes(pred, gt, least)).groupBy("match_id").agg(F.sum("n").alias("idtp"))
-    out = gt.groupBy("match_id").agg(F.count("*").alias("gt")).join(pred.groupBy("match_id").agg(F.count("*").alias("pred")), "match_id").join(right, "match_id", "left").fillna(0, ["idtp"])
+    out = gt.groupBy("match_id").agg(F.count("*").alias("gt")).join(pred.groupBy("match_id").agg(F.count("*").alias("pred")), "match_id", "full_outer").join(right, "match_id", "left").fillna(0, ["gt", "pred", "idtp"])
     t = F.col("idtp")
-    return out.withColumns({"idp": t / F.col("pred"), "idr": t / F.col("gt"), "idf1": 2 * t / (F.col("gt") + F.col("pred"))})
+    some = lambda c: F.when(F.col(c) > 0, t / F.col(c))
+    return out.withColumns({"idp": some("pred"), "idr": some("gt"), "idf1": 2 * t / (F.col("gt") + F.col("pred"))})
 
 
 def merged_pred_ids(matches: DataFrame, least: int = 1) -> DataFrame:

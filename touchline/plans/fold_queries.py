@@ -26,12 +26,18 @@ def _(v):
     return folds.smooth_ball(shifted, v.fx_frames)
 
 
+def with_looks(v, t, frames: int = 50):
+    """Each row with a vector of ``embeddings``, of the whole table: an id has another one every ``frames`` frames."""
+    e = v.table("embeddings")
+    vectors = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
+    spot = F.pmod(F.hash("match_id", "display_track_id", F.floor(F.col("frame") / frames)), F.lit(vectors))
+    return t.withColumn("vec_id", spot.cast("bigint")).join(e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("look")), "vec_id", "left").drop("vec_id")
+
+
 def stable(v):
-    vectors = v.table("embeddings").select((F.col("vec_id") % 20).alias("display_track_id"), F.col("embedding").alias("appearance")).groupBy("display_track_id").agg(F.min_by("appearance", F.hash("appearance")).alias("appearance"))
-    t = v.fx_tracks.withColumn("tracker_id", F.col("display_track_id"))
-    norm = F.sqrt(F.aggregate("appearance", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = vectors.select("display_track_id", F.zip_with("appearance", F.array_repeat(norm, F.size("appearance")), lambda x, n: x / n).alias("appearance"))
-    return stable_ids.stabilise_ids(t.join(unit, "display_track_id", "left"))
+    norm = F.sqrt(F.aggregate("look", F.lit(0.0), lambda s, x: s + x * x))
+    t = with_looks(v, v.fx_tracks.withColumn("tracker_id", F.col("display_track_id")))
+    return stable_ids.stabilise_ids(t.withColumn("appearance", F.zip_with("look", F.array_repeat(norm, F.size("look")), lambda x, n: x / n)).drop("look"))
 
 
 @query("t2_stabilise_ids", "match_id frame class_id track_id", BOX, "assign_reason")
@@ -83,8 +89,7 @@ def _(v):
 
 @query("t5_team_colours", "match_id frame track_id team")
 def _(v):
-    e = v.table("embeddings").select((F.col("vec_id") % 20).alias("track_id"), F.transform("embedding", lambda x: x.cast("double")).alias("feature")).groupBy("track_id").agg(F.min_by("feature", F.hash("feature")).alias("feature"))
-    return folds.team_colours(one(v).filter("class_id = 2").withColumn("track_id", F.col("display_track_id")).join(e, "track_id", "left"))
+    return folds.team_colours(with_looks(v, one(v).filter("class_id = 2")).withColumnsRenamed({"display_track_id": "track_id", "look": "feature"}))
 
 
 @query("t7_homography_states", "match_id frame", "h2", "state")
@@ -123,8 +128,8 @@ def _(v):
 
 @query("t12_team_clusters", "match_id row_id team")
 def _(v):
-    e = v.table("embeddings").select((F.col("vec_id") % 4).alias("match_id"), F.col("vec_id").alias("row_id"), F.col("vec_id").alias("frame"), F.when(F.col("vec_id") % 29 != 0, F.transform("embedding", lambda x: x.cast("double"))).alias("feature"))
-    return kernels.team_clusters(e, stride=5)
+    t = with_looks(v, one(v).filter("class_id = 2"))
+    return kernels.team_clusters(t.select("match_id", "frame", (F.col("frame") * 20 + F.col("display_track_id")).alias("row_id"), F.when(F.col("l_partkey") % 29 != 0, F.col("look")).alias("feature")), stride=5)
 
 
 @query("w4_spline_fill", "match_id frame", "cx cy")

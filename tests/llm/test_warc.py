@@ -74,6 +74,36 @@ def test_codings_digests_and_ids():
     assert [r["kind"] for r in warc.derive(made(page, WARC_Record_ID=""))] == ["damaged"]
 
 
+def coded(body, *fields):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + b"".join(f + b"\r\n" for f in fields) + b"\r\n" + body
+    return [(r["kind"], bytes(r["block"]).decode() if r["kind"] == "conversion" else "") for r in warc.derive(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")], block)) if r["kind"] != "metadata"]
+
+
+def test_nothing_of_a_coded_body_is_lost():
+    """Members, codings in a row, large bodies: whole; cut, broken, unknown or beyond the bound: damaged."""
+    a, b, z = gzip.compress(b"<p>one</p>"), gzip.compress(b"<p>two</p>"), b"Content-Encoding: gzip"
+    both, damaged = [("conversion", "one\ntwo")], [("damaged", "")]
+    assert coded(a + b, z) == coded(a + b + b"\0" * 20, z) == coded(a + gzip.compress(b"") + b, z) == both
+    assert coded(a + b"x", z) == coded(a + b[:-3], z) == coded(a[:15], z) == coded(b"<p>one</p>", z) == damaged
+    assert coded(b"", z) == [("conversion", "")] and coded(gzip.compress(b""), z) == [("conversion", "")]
+    assert coded(a + b, b"Content-Encoding: GZIP , identity") == coded(gzip.compress(zlib.compress(b"<p>one</p><p>two")), b"Content-Encoding: deflate, gzip") == both
+    assert coded(a, b"Content-Encoding: br") == coded(a, b"Content-Encoding: br, gzip") == coded(zlib.compress(b"<p>one")[:-2], b"Content-Encoding: deflate") == damaged
+    large = b"<p>" + b"word " * 14_000_000 + b"</p><p>end"
+    assert len(large) > 64 << 20 and coded(gzip.compress(large, 1), z)[0][1].endswith("\nend")
+    assert warc.unpacked(gzip.compress(b"x" * 1000), ["gzip"], most=1000) == b"x" * 1000 and warc.unpacked(gzip.compress(b"x" * 1001), ["gzip"], most=1000) is None
+    assert warc.unpacked(gzip.compress(b"x" * 600) * 2, ["gzip"], most=1000) is None
+
+
+def test_chunks_are_whole_or_damaged():
+    te, whole = b"Transfer-Encoding: chunked", b"5\r\n<p>on\r\n1\r\ne\r\n0\r\n\r\n"
+    assert coded(whole, te) == [("conversion", "one")]
+    for cut in (whole[:-5], whole[:-9], whole[:9], b"5\r\n<p>on\r\nzz\r\ne\r\n0\r\n\r\n", b"5\r\n<p>one\r\n0\r\n\r\n"):
+        assert coded(cut, te) == [("damaged", "")], cut
+    assert coded(b"<p>not in chunks", te) == [("conversion", "not in chunks")] and coded(b"", te) == [("conversion", "")]
+    packed = gzip.compress(b"<p>one")
+    assert coded(b"%x\r\n" % len(packed) + packed + b"\r\n0\r\n\r\n", b"Transfer-Encoding: gzip, chunked") == [("conversion", "one")]
+
+
 def test_query_against_a_plain_reading(spark, sf):
     """Every page gives two records; links, digests and text are those that another parser finds."""
     from html.parser import HTMLParser

@@ -6,11 +6,13 @@ records for it: ``metadata`` (application/warc-fields: the source's HTTP status
 SHA-1 in base 32, as the format has them. Record ids follow from kind and source id, so a lost task writes the same
 records again. Row by row, no shuffle: hot hosts and repeated rows need no care.
 
-Bodies in chunks and with gzip or deflate coding are undone before they are converted.
+Bodies in chunks and with gzip (all members) or deflate codings, several in a row too, are undone before they are converted.
 
 Defined results: a null page has an empty payload, a null URL an empty target; null and empty record values give a row
 of kind ``null``, other values that are no whole response record, have no record id, or whose block or payload digest
-differs, one of kind ``damaged``; a response whose body is empty gives an empty text. Very long pages take time and
+differs, one of kind ``damaged``; so have responses whose chunks or codings end early or break, have something else
+behind their end, are unknown here (``br``), or unpack to more than ``MOST`` bytes: half a page never stands for a whole
+one. A body that says it is in chunks and does not begin with one is taken as it is; an empty body is empty in any coding; a response whose body is empty gives an empty text. Very long pages take time and
 memory in proportion to their length. Repeated rows give repeated records; only the named columns are read.
 """
 
@@ -38,8 +40,8 @@ CLOSED = ("noscript", "template")
 IN_HEAD = frozenset(["title", "meta", "link", "script", "style", "base", "noscript", "template", "bgsound", "basefont"])
 CELLS = frozenset(["td", "th", "dt", "dd", "option"])
 ASCII_UPPER = re.compile("[A-Z]+")
-#: Bytes of a page once its content coding is undone.
-MOST = 64 << 20
+#: Bytes of a page once a coding is undone; more are taken for damage, so that a bomb does not end an executor.
+MOST = 1 << 30
 LINES = frozenset(["p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "blockquote", "pre", "header", "footer", "nav"])
 COLUMNS = ["kind", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "source_block_digest", "source_payload_digest", "source_headers", "block", "record"]
 
@@ -159,33 +161,57 @@ def html_text(html: str) -> tuple[str, list[str]]:
     return "\n".join(x for x in lines if x), links
 
 
-def chunked(body: bytes) -> bytes:
-    """The data of a body in chunks, as far as they are whole."""
+def chunked(body: bytes) -> bytes | None:
+    """The data of a body in chunks; None if they break before the last one, the body itself if it is not in chunks."""
     out, at = [], 0
-    while (end := body.find(b"\r\n", at)) >= 0:
-        size = body[at:end].split(b";")[0].strip()
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
         if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
-            return b"".join(out) if out else body  # not in chunks, or damaged from here on
+            return None if at else body
         n = int(size, 16)
         if not n:
-            break
+            return b"".join(out)
         out.append(body[end + 2 : end + 2 + n])
         at = end + 4 + n
-    return b"".join(out)
+        if body[at - 2 : at] != b"\r\n":
+            return None
 
 
-def unpacked(body: bytes, coding: str) -> bytes:
-    """The body without its content coding, as far as it is whole; at most ``MOST`` bytes. Unknown codings stay."""
-    bits = {"gzip": 31, "x-gzip": 31, "deflate": 47}.get(coding)
-    if bits is None:
-        return body
-    for wbits in (bits, -15) if coding == "deflate" else (bits,):
-        d = zlib.decompressobj(wbits)
+def inflated(body: bytes, bits: int, members: bool, most: int) -> bytes | None:
+    """Everything that ``body`` holds; None if it ends early, is something else, or holds more than ``most`` bytes."""
+    out, size = [], 0
+    while True:
+        d = zlib.decompressobj(bits)
         try:
-            return d.decompress(body, MOST)
+            out.append(d.decompress(body, most - size + 1))
         except zlib.error:
+            return None
+        size += len(out[-1])
+        if size > most or not d.eof:
+            return None
+        body = d.unused_data.lstrip(b"\0") if members else d.unused_data  # members may be filled up with zeros
+        if not body:
+            return b"".join(out)
+        if not members:
+            return None
+
+
+def unpacked(body: bytes, codings: list[str], most: int = MOST) -> bytes | None:
+    """The body without its codings, the last one first; None if one of them is unknown or not whole."""
+    for coding in reversed(codings):
+        if not body or coding in ("", "identity"):
             continue
-    return b""
+        if coding in ("gzip", "x-gzip"):
+            body = inflated(body, 31, True, most)
+        elif coding == "deflate":  # with the format's header, or as some servers have it, without
+            whole = inflated(body, 15, False, most)
+            body = inflated(body, -15, False, most) if whole is None else whole
+        else:
+            return None
+        if body is None:
+            return None
+    return body
 
 
 def derive(data: bytes | None) -> list[dict]:
@@ -204,10 +230,14 @@ def derive(data: bytes | None) -> list[dict]:
     lines = head.split(b"\r\n")
     http = _fields(lines[1:])
     named = {k.lower(): v for k, v in http}
-    plain = chunked(body) if named.get("transfer-encoding", "").lower() == "chunked" else body
-    if payload.startswith("sha1:") and payload not in (digest(body), digest(plain)):  # writers differ in which one they name
+    listed = lambda name: [c.strip().lower() for c in named.get(name, "").split(",")]
+    moved = listed("transfer-encoding")
+    plain = chunked(body) if moved[-1] == "chunked" else body
+    if plain is None or (payload.startswith("sha1:") and payload not in (digest(body), digest(plain))):  # writers differ in which one they name
+        return [{"kind": "damaged"}]
+    plain = unpacked(plain, listed("content-encoding") + (moved[:-1] if moved[-1] == "chunked" else moved))
+    if plain is None:
         return [{"kind": "damaged"}]
-    plain = unpacked(plain, named.get("content-encoding", "").strip().lower())
     charset = re.search(r"charset=\"?([\w-]+)", named.get("content-type", ""))
     try:
         html = plain.decode(charset[1] if charset else "utf-8", "replace")

@@ -73,6 +73,40 @@ def test_many_matches_in_one_text(spark):
     assert time.time() - began < 60
 
 
+def test_many_added_spans_in_one_text(spark, tmp_path):
+    """A megabyte of base and added spans in turn: the query, the masked text, and the added spans alone."""
+    mixed = "a@b.co tok1a2b3c4d5e6f7g8 " * 40_000
+    docs = spark.createDataFrame([(1, mixed), (2, "tok1a2b3c4d5e6f7g8 " * 1000)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    weights = pii.fit_spans(docs)[0]
+    pii.redacted(docs.limit(0)).collect()
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    first, began = time.time() - began, time.time()
+    assert (got[1]["n_email"], got[1]["n_secret"], got[2]["n_secret"]) == (40_000, 40_000, 1000)
+    alone = pii.find_spans(docs, weights=weights).select(F.size("_pii_added").alias("n")).orderBy("n").collect()
+    second, began = time.time() - began, time.time()
+    assert [r["n"] for r in alone] == [1000, 40_000]
+    assert pii.redacted(docs).filter("doc_id = 1").first()["text"] == "<email> <secret> " * 40_000
+    third = time.time() - began
+    print("seconds: query, added spans alone, masked text:", round(first), round(second), round(third))
+    assert max(first, second, third) < 60
+
+
+def test_added_spans_stay_apart_from_base_spans(spark):
+    """Against a plain loop, with spans of any length and order of kinds."""
+    rnd = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        at = np.cumsum(rnd.integers(0, 9, 500))
+        base = [[(int(a), int(a + rnd.integers(1, 8))) for a in at[j::20]] for j in range(2)]
+        rows.append((k, [(int(a), int(a + rnd.integers(1, 12))) for a in np.sort(rnd.integers(0, at[-1], 300))], base[0], base[1]))
+    span = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"k int, added {span}, a {span}, b {span}")
+    for r in df.withColumn("got", pii.apart(F.col("added"), [F.col("a"), F.col("b")])).collect():
+        assert r["got"] == [x for x in r["added"] if not any(x["start"] < y["end"] and y["start"] < x["end"] for y in [*r["a"], *r["b"]])]
+
+
 def test_long_tokens_are_candidates(spark):
     token = "a1B2" * 75
     df = spark.createDataFrame([(k, f"session token: {token}{k} end") for k in range(20)], "doc_id bigint, text string")

@@ -347,3 +347,32 @@ def test_matches_without_predictions_count_as_missed(spark):
     pred = spark.range(2, 8).selectExpr("id DIV 2 AS match_id", "id % 2 AS frame", "9L AS pred_id", *box)
     got = {r["match_id"]: (r["gt"], r["pred"], r["idtp"], r["idp"], r["idr"], r["idf1"]) for r in scoring.id_score(pred, gt).collect()}
     assert got == {0: (2, 0, 0, None, 0.0, 0.0), 1: (2, 2, 2, 1.0, 1.0, 1.0), 2: (2, 2, 2, 1.0, 1.0, 1.0), 3: (0, 2, 0, 0.0, None, 0.0)}
+
+
+def test_segments_of_a_match_give_what_the_whole_gives(spark):
+    """Balls after long gaps and failures behind solved frames, folded apart, against one fold a match."""
+    rng = np.random.default_rng(11)
+    rows, frames = [], []
+    for match in range(4):
+        seen = np.repeat(rng.random(60) < 0.5, rng.integers(1, 26, 60))
+        for f, s in enumerate(seen):
+            frames.append((match, int(f * (1 + match % 2))))
+            for _ in range(int(rng.integers(0, 3)) if s else int(rng.random() < 0.1)):
+                x = float(300 + 5 * f + rng.normal() * 20)
+                rows.append((match, int(f * (1 + match % 2)), 0, x, 100.0, x + 12, 112.0, float(rng.random()) if s else 0.11, float(rng.choice([100.0, -900.0])), 50.0))
+    t = spark.createDataFrame(rows, "match_id bigint, frame bigint, class_id int, x1 double, y1 double, x2 double, y2 double, conf double, x_m double, y_m double")
+    log = spark.createDataFrame(frames, "match_id bigint, frame bigint")
+    x = folds.ball_input(t, log)
+    key = lambda df: sorted(map(repr, df.collect()))
+    whole = folds.fold(x, ["match_id"], ["-conf", "x1", "y1"], folds.Ball, folds.ball_step, folds.BALL_SCHEMA)
+    assert key(folds.smooth_ball(t, log)) == key(whole) and folds.ball_segments(x).select("match_id", "_segment").distinct().count() > 12
+    h = [(m, f, None if rng.random() < 0.6 else [1.0, 0.0, float(f), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for m in range(3) for f in range(500)]
+    solves = spark.createDataFrame(h, "match_id bigint, frame bigint, h array<double>")
+    motion = spark.createDataFrame([(m, f, [1.0, 0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0] if rng.random() < 0.9 else None) for m in range(3) for f in range(500)], "match_id bigint, frame bigint, m array<double>")
+    schema = "match_id bigint, frame bigint, h array<double>, state string"
+    old = folds.SOLVES
+    for size, reinit, most in ((old, 5, 6), (7, 3, 2), (1, 90, 0)):
+        folds.SOLVES = size
+        want = folds.fold(solves.join(motion, ["match_id", "frame"], "left"), ["match_id"], [], folds.Pose, folds.state_step(reinit, most), schema)
+        assert key(folds.homography_states(solves, motion, reinit, most)) == key(want)
+    folds.SOLVES = old

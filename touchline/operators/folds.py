@@ -146,8 +146,25 @@ def ball_input(tracks: DataFrame, frames: DataFrame, p: Params = DEFAULTS) -> Da
     return frames.select(*KEY).distinct().join(ball, KEY, "left")
 
 
+#: Missed frames after which the smoother has forgotten everything, and the least confidence of a candidate.
+FORGETS, LEAST = 11, 0.12
+
+
+def ball_segments(candidates: DataFrame) -> DataFrame:
+    """Adds ``_segment``: a new one begins where candidates come back after so many frames without any that the smoother is fresh."""
+    seen = F.col("x1").isNotNull() & (F.col("conf") >= LEAST)
+    by_frame = Window.partitionBy("match_id").orderBy("frame")
+    n = F.dense_rank().over(by_frame)
+    before = F.max(F.when(F.col("_seen"), F.col("_n"))).over(by_frame.rangeBetween(Window.unboundedPreceding, -1))
+    numbered = candidates.withColumns({"_n": n, "_seen": F.coalesce(seen, F.lit(False))})
+    begins = numbered.withColumn("_begins", F.coalesce(F.col("_seen") & (F.col("_n") - before > FORGETS), F.lit(False)).cast("int"))
+    # all rows of a frame count, so its rows stay together
+    return begins.withColumn("_segment", F.sum("_begins").over(by_frame.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_n", "_seen", "_begins")
+
+
 def smooth_ball(tracks: DataFrame, frames: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    return fold(ball_input(tracks, frames, p), ["match_id"], ["-conf", "x1", "y1"], Ball, ball_step, BALL_SCHEMA)
+    """The smoothed ball of every match; a match is folded in the segments of ``ball_segments``, apart from one another."""
+    return fold(ball_segments(ball_input(tracks, frames, p)), ["match_id", "_segment"], ["-conf", "x1", "y1"], Ball, ball_step, BALL_SCHEMA)
 
 
 # ---- T3: display slots ------------------------------------------------------------------------------------------
@@ -419,11 +436,23 @@ def state_step(reinit: int = 90, most: int = 0) -> Step:
     return step
 
 
+#: Solved frames whose failures behind them are folded in one group.
+SOLVES = 1000
+
+
 def homography_states(solves: DataFrame, motion: DataFrame | None = None, reinit: int = 90, most: int = 0) -> DataFrame:
-    """(match_id, frame, h, state) of every frame of ``solves`` (h null where the solve failed); ``motion``: m maps a frame to the one before."""
-    x = solves.select(*KEY, "h")
+    """(match_id, frame, h, state) of every frame of ``solves`` (h null where the solve failed); ``motion``: m maps a frame to the one before.
+
+    A solved frame is its own answer and leaves nothing of what was before, so only failed frames and the solved ones right
+    before them are folded, and a match in groups of ``SOLVES`` solved frames.
+    """
+    by_frame = Window.partitionBy("match_id").orderBy("frame")
+    x = solves.select(*KEY, "h").withColumns({"_solves": F.count("h").over(by_frame), "_next": F.lead(F.col("h").isNull()).over(by_frame)})
+    solved = x.filter("h IS NOT NULL").select(*KEY, F.transform("h", lambda v: v.cast("double")).alias("h"), F.lit("ok").alias("state"))
+    x = x.filter("h IS NULL OR _next").withColumn("_group", F.floor(F.col("_solves") / SOLVES)).drop("_solves", "_next")
     x = x.join(motion.select(*KEY, "m"), KEY, "left") if motion is not None else x.withColumn("m", F.lit(None).cast("array<double>"))
-    return fold(x, ["match_id"], [], Pose, state_step(reinit, most), "match_id bigint, frame bigint, h array<double>, state string")
+    told = fold(x, ["match_id", "_group"], [], Pose, state_step(reinit, most), "match_id bigint, frame bigint, h array<double>, state string")
+    return solved.unionByName(told.filter("state <> 'ok'"))
 
 
 # ---- T8: dense homographies between anchors -----------------------------------------------------------------------

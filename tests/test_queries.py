@@ -124,3 +124,30 @@ def test_people_meet_many_looks(spark, sf):
     rows = with_looks(v, v.fx_tracks)
     assert rows.count() == v.fx_tracks.count() and rows.filter("look IS NULL").count() == 0
     assert rows.select("look").distinct().count() > 0.5 * v.table("embeddings").count()
+
+
+def test_ema_in_pieces_is_the_fold(spark):
+    """Pieces of any length, nulls, gaps of pieces, null keys and repeated places give what one run gives."""
+    import random
+
+    from touchline.operators import windows
+
+    rnd = random.Random(3)
+    rows = [(m, t, f, rnd.choice([None, *[rnd.random() * 100] * 9]), f"r{f}") for m in (1, 2) for t in (1, None) for f in sorted(rnd.choices(range(-50, 400), k=300))]
+    df = spark.createDataFrame(rows, "match_id bigint, display_track_id bigint, frame bigint, v double, piece string").repartition(5)
+    want = {}
+    for m in (1, 2):
+        for t in (1, None):
+            old = None
+            for r in sorted((r for r in rows if r[:2] == (m, t)), key=lambda r: (r[2], r[3] is not None, r[3] or 0)):
+                old = r[3] if old is None or r[3] is None else 0.3 * r[3] + 0.7 * old
+                want.setdefault((m, t, r[2], r[3]), []).append(old)
+    for piece in (1, 7, 100, 10_000):
+        got = {}
+        for r in windows.ema(df, "v", 0.3, piece=piece).collect():
+            got.setdefault((r["match_id"], r["display_track_id"], r["frame"], r["v"]), []).append(r["ema"])
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert all(a is b if b is None or a is None else abs(a - b) < 1e-9 for a, b in zip(sorted(got[k], key=lambda x: (x is None, x or 0)), sorted(w, key=lambda x: (x is None, x or 0))))
+    with pytest.raises(ValueError, match="columns are taken: ema"):
+        windows.ema(df.withColumnRenamed("piece", "ema"), "v", 0.3)

@@ -115,23 +115,68 @@ def hold_last_good(frames: DataFrame, h: str = "h", degenerate: str = "degenerat
     return x.withColumn("held_h", held).withColumn("ok", F.col("held_h").isNotNull()).drop("_run", "_last", "_spent")
 
 
-def ema(df: DataFrame, value: str, alpha: float, keys: list[str] = TRACK, order: tuple[str, ...] = ("frame",)) -> DataFrame:
+#: Units of the first order column (frames) that a task takes of a track at a time.
+EMA_PIECE = 10_000
+
+
+def ema(df: DataFrame, value: str, alpha: float, keys: list[str] = TRACK, order: tuple[str, ...] = ("frame",), piece: int = EMA_PIECE) -> DataFrame:
     """Adds ``ema``: new = alpha x value + (1 - alpha) x old, from a track's first row on; after a null it starts anew.
 
-    A recursion over all rows before, so no window frame expresses it: one sort by key, then a task holds one number a track.
+    A recursion over all rows before, so no window frame expresses it. A row's effect is old -> a x old + b, and so is that
+    of any run of rows; after a null the run forgets what was before. Tracks are cut into pieces of ``piece`` units of the
+    first order column (a number). Each piece gives its effect, a pass over these few numbers gives each piece the average
+    before it, and pieces are then run through apart, so no task holds a whole track. Equal places in the order are ranked
+    by value, nulls first. The table may have no column ``ema`` and none that begins with ``_ema_``.
     """
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*df.schema.fields]).add("ema", DoubleType())
-
-    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old = None
-        for piece in pieces:
+    if taken := [c for c in df.columns if c == "ema" or c.startswith("_ema_")]:
+        raise ValueError(f"columns are taken: {', '.join(taken)}")
+    rows = df.withColumns({"_ema_value": F.col(value).cast("double"), "_ema_piece": F.floor(F.col(order[0]) / piece)})
+    place = [*keys, "_ema_piece"]
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
+
+    def effects(key: tuple, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b, c): with an average before, what comes out is a x average + b; without one it is c."""
+        a, b, c = 1.0, 0.0, None
+        for batch in pieces:
+            for v in batch["_ema_value"].to_pylist():
+                if v is None:
+                    a, b, c = None, None, None  # whatever was before is forgotten
+                else:
+                    c = v if c is None else alpha * v + (1 - alpha) * c
+                    if a is not None:
+                        a, b = (1 - alpha) * a, alpha * v + (1 - alpha) * b
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], k.type) for k in key[:-1]), pa.array([key[-1].as_py()], pa.int64()), *(pa.array([x], pa.float64()) for x in (a, b, c))], [*names, "piece", "a", "b", "c"])
+
+    def chain(key: tuple, summary: pa.Table) -> pa.Table:
+        summary = summary.sort_by("piece")
+        old, before = None, []
+        for a, b, c in zip(*(summary[n].to_pylist() for n in "abc")):
+            before.append(old)
+            old = c if old is None or a is None else a * old + b
+        return summary.select([*names, "piece"]).append_column("_ema_before", pa.array(before, pa.float64()))
+
+    columns, schema = df.columns, StructType([*df.schema.fields]).add("ema", DoubleType())
+
+    def run(key: tuple, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, begun = None, False
+        for batch in pieces:
             out = []
-            for v in piece["_value"].to_pylist():
+            if not begun and batch.num_rows:
+                old, begun = batch["_ema_before"][0].as_py(), True
+            for v in batch["_ema_value"].to_pylist():
                 old = v if old is None or v is None else alpha * v + (1 - alpha) * old
                 out.append(old)
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(out, pa.float64())], schema.names)
-
-    rows = df.withColumn("_value", F.col(value).cast("double")).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return rows.groupBy(*keys).applyInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(out, pa.float64())], [*columns, "ema"])
+
+    by = [*place, *order, "_ema_value"]
+    sorted_ = lambda x: x.repartition(*place).sortWithinPartitions(*by)
+    effect = sorted_(rows.select(*dict.fromkeys(by))).groupBy(*place).applyInArrow(effects, f"{kinds}, piece bigint, a double, b double, c double")
+    entering = effect.groupBy(*names).applyInArrow(chain, f"{kinds}, piece bigint, _ema_before double")
+    on = F.lit(True)
+    for k, n in zip([*keys, "_ema_piece"], [*names, "piece"]):
+        on = on & F.col(f"x.{k}").eqNullSafe(F.col(f"e.{n}"))
+    joined = rows.alias("x").join(entering.alias("e"), on, "left").select("x.*", "_ema_before")
+    return sorted_(joined).groupBy(*place).applyInArrow(run, schema)

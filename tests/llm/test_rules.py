@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def sql(name, sf):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return c.sql(registry.SQL[name])
 

@@ -153,33 +153,43 @@ def test_repeated_labelled_rows_teach_once(spark, monkeypatch):
     assert quality.good_documents(docs, spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id bigint, quality int")).count() == 501 and seen == [2]
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("block,common,terms", [(8, 5, 40), (64, 0, 40), (16, 30, 400), (4, 1024, 40)])
+def test_nearest_examples_are_exact(monkeypatch, block, common, terms):
+    """Whatever is skipped, the nearest of each label are those of all cosines."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rng = np.random.default_rng(3)
     vectors = []
-    for _ in range(700):
-        t = sorted(rng.choice(40, rng.integers(0, 7), replace=False).tolist())
+    for _ in range(1500):
+        low = rng.integers(0, terms - 20)  # topics: like examples share terms
+        t = sorted((low + rng.choice(20, rng.integers(0, 7), replace=False)).tolist())
         vectors.append((t, rng.integers(1, 4, len(t)).tolist()))
-    idf = rng.random(40) + 0.5
-    index = toxicity.ExampleIndex(list(range(700)), rng.integers(0, 2, 700).tolist(), vectors, idf)
+    idf, labels = rng.random(terms) + 0.5, rng.integers(0, 2, 1500)
+    index = toxicity.ExampleIndex(list(range(1500)), labels.tolist(), vectors, idf)
 
     def dense(v):
-        out = np.zeros(40)
+        out = np.zeros(terms)
         if v[0]:
             at, w = index.unit(*v)
             out[at] = w
         return out
 
     whole = np.array([dense(v) for v in vectors])
-    for k in range(0, 700, 9):
+    for k in range(0, 1500, 9):
         if not vectors[k][0]:
             continue
         sims = whole @ dense(vectors[k])
-        want = sorted((round(s, 6) for s in sims if s > 1e-12), reverse=True)
-        want = {i for i, s in enumerate(sims) if s > 1e-12 and round(s, 6) >= want[: 15][-1] - 1e-9}
         places, got = index.nearest(*vectors[k])
         found = {index.ids[p] for p in places}
-        near = {i for i in want ^ found if abs(sims[i] - got[-1]) > 2e-6}  # places at the cut may differ by rounding
-        assert not near and len(found) >= 15 and np.allclose(got, sims[[index.ids[p] for p in places]], atol=2e-6) and (np.diff(got) <= 0).all()
+        assert np.allclose(got, sims[[index.ids[p] for p in places]], atol=2e-6) and (np.diff(got) <= 0).all()
+        for y in (0, 1):
+            every = sorted((round(s, 6) for s, l in zip(sims, labels) if l == y and s > 1e-12), reverse=True)
+            cut = every[min(15, len(every)) - 1]
+            want = {i for i, s in enumerate(sims) if labels[i] == y and s > 1e-12 and round(s, 6) >= cut - 1e-9}
+            mine = {i for i in found if labels[i] == y}
+            assert all(abs(sims[i] - cut) <= 2e-6 for i in want ^ mine) and len(mine) >= min(15, len(every))  # at the cut rounding may differ
+    if common < 1024:
+        assert index.opened < index.blocks and index.read < index.postings
 
 
 def test_isotonic():
@@ -205,8 +215,8 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.score_toxicity(none, spark.read.parquet(f"{sf}/labels.parquet")).count() == 0
 
 
-def brute_votes(docs, labels):
-    """Votes of the k nearest by plain dictionaries: id -> share of toxic neighbours, or None without a common term."""
+def brute_votes(docs, labels, k):
+    """Votes of the k nearest of each label by plain dictionaries: id -> share of toxic neighbours, or None without a common term."""
     def terms(text):
         words = re.findall(r"[^\W\d_]+", (text or "").lower())
         return Counter([*words, *(w[:n] + "-" for w in words for n in (4, 5) if len(w) >= n)])
@@ -216,40 +226,50 @@ def brute_votes(docs, labels):
     na, n = sum(teach.values()), len(teach)
     df, toxic = Counter(t for i in teach for t in counts[i]), Counter(t for i in teach if teach[i] for t in counts[i])
 
-    def weight(t):
-        d, a = df[t] or 1, toxic[t]
-        out = math.log((1 + n) / (1 + d)) + 1
+    def lean(t):
+        d, a = df[t], toxic[t]
         b = d - a
-        if df[t] and a * (n - na) > b * na:
-            out *= 1 + math.sqrt(n * (a * (n - na - b) - b * (na - a)) ** 2 / (d * max(n - d, 0.5) * na * (n - na)))
-        return out
+        if d and a * (n - na) > b * na:
+            return math.sqrt(n * (a * (n - na - b) - b * (na - a)) ** 2 / (d * max(n - d, 0.5) * na * (n - na)))
+        return 0.0
 
     vectors = {}
     for i, c in counts.items():
-        v = {t: (1 + math.log(k)) * weight(t) for t, k in c.items()}
+        v = {t: (1 + math.log(k)) * (math.log((1 + n) / (1 + (df[t] or 1))) + 1) for t, k in c.items()}
         length = math.sqrt(sum(x * x for x in v.values())) or 1
         vectors[i] = {t: x / length for t, x in v.items()}
-    out, share = {}, na / n
+    out, share, leaning = {}, na / n, {t: lean(t) for t in df}
     for i, v in vectors.items():
-        sims = [(round(sum(x * vectors[j].get(t, 0) for t, x in v.items()), 6), y) for j, y in teach.items()]
-        sims = sorted((s for s in sims if s[0] > 0), reverse=True)
-        sims = [s for s in sims if s[0] >= sims[min(15, len(sims)) - 1][0]]
-        w = [1 / (1.05 - min(s, 1)) for s, _ in sims]
-        out[i] = (sum(a * y for a, (_, y) in zip(w, sims)) + 0.5 * share) / (sum(w) + 0.5) if sims else None
+        near = []
+        for label in (0, 1):
+            sims = [(round(sum(x * vectors[j].get(t, 0) for t, x in v.items()), 6), j) for j, y in teach.items() if y == label]
+            sims = sorted((s for s in sims if s[0] > 0), reverse=True)
+            near += [s for s in sims if s[0] >= sims[min(k, len(sims)) - 1][0]]
+        w = [(1 + sum(x * vectors[j].get(t, 0) * leaning.get(t, 0) for t, x in v.items()) / s) ** 2 / (1.05 - min(s, 1)) for s, j in near]
+        out[i] = (sum(a * teach[j] for a, (_, j) in zip(w, near)) + 0.5 * share) / (sum(w) + 0.5) if near else None
     return out
 
 
 def test_toxicity_against_brute_force(spark, sf, documents, texts):
     """Scores are a non-decreasing function of the votes that plain dictionaries give; evidence is the nearest example."""
     labels = {r["doc_id"]: int(r["toxic"] > 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in texts and r["toxic"] is not None}
-    want = brute_votes(texts, labels)
     got = {r["doc_id"]: r["score"] for r in toxicity.op7_toxicity(spark, sf).collect()}
-    assert set(got) == set(want)
-    ranked = sorted((v, got[i]) for i, v in want.items() if v is not None)
-    best = -1.0
-    for vote, score in ranked:
-        assert score >= best - 2e-3
-        best = max(best, score)
+
+    def rises(k):
+        want, best = brute_votes(texts, labels, k), -1.0
+        assert set(got) == set(want)
+        for _, score in sorted((v, got[i]) for i, v in want.items() if v is not None):
+            if score < best - 2e-3:
+                return False
+            best = max(best, score)
+        return True
+
+    assert [k for k in toxicity.KS if rises(k)]
+    for k in toxicity.KS:
+        one = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(documents, spark.read.parquet(f"{sf}/labels.parquet"), ks=(k,)).collect()}
+        got = one
+        assert rises(k)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op7_toxicity(spark, sf).collect()}
     renamed = documents.withColumn("doc_id", -F.col("doc_id"))  # other ids, the same teachers: scores stay as they are
     teach = [(-i, y) for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 != 2]
     known = spark.createDataFrame(teach, "doc_id bigint, toxic int")
@@ -267,6 +287,7 @@ def test_labelled_copies_teach_once_and_ids_may_be_strings(spark):
     keep, toxicity.held_out = toxicity.held_out, lambda key: F.lit(False)
     try:
         assert toxicity.teaching_rows(docs.withColumnRenamed("doc_id", "id"), labels, "doc_id", "toxic", 100).count() == 2
+        assert toxicity.teaching_rows(docs.withColumnRenamed("doc_id", "id"), labels, "doc_id", "toxic", 100, chars=1).count() < 2
         rows = toxicity.score_toxicity(docs, labels).collect()
     finally:
         toxicity.held_out = keep

@@ -1,22 +1,22 @@
 """Operator 7: toxicity by nearest labelled examples, exact TF-IDF cosine of whole texts over an inverted index.
 
-Terms are the lower-cased runs of letters, and their beginnings of four and five letters (for inflected words). All of
-them count: a term weighs its inverse document frequency among the labelled texts, times one plus the root of its
-chi-square if toxic texts have it more often, so what sets toxic texts apart stands out but nothing is left out. Terms
-that no labelled text has weigh like those of one, and lengthen the vector. The labelled examples stand in an inverted
-index; the postings of the most common terms are a matrix and the others are gathered, every example is scored, so
-the k nearest are exact. No block of examples is skipped by the maxima of its weights: with all terms counted, and the
-examples put in order of likeness, blocks of 16 leave a third of the blocks to be scored even if the k-th cosine were
-known beforehand (blocks of 64: 46 %), and scoring them apart costs more than the matrix. Votes weigh by distance; isotonic
-calibration on leave-one-out votes makes scores probabilities, and the nearest examples are returned as evidence.
-
-Examples and terms come from at most about ``LABELLED`` labelled ids (chosen by a hash of the id), one row each, which
-bounds the vocabulary and the index that are broadcast; every text is scored whole. Two passes over the labelled texts
-and one over all texts; only labelled texts are shuffled.
+Terms are the lower-cased runs of letters, and their beginnings of four and five letters (for inflected words); all of
+them count, by their inverse document frequency among the labelled texts. Terms that no labelled text has weigh like
+those of one, and lengthen the vector. The labelled examples stand in a block-max inverted index, blocks of like examples
+of one label; the most common terms are a matrix product, the other postings are read only in blocks whose largest weights
+can reach the k-th cosine, so the k nearest of each label are exact. Votes weigh by distance, and by how far the terms
+that two texts share lean to toxic texts (root of chi-square among the teaching rows); isotonic calibration on
+leave-one-out votes makes scores probabilities, and the nearest examples are returned as evidence. The number of
+neighbours, one of ``KS``, is that whose leave-one-out votes give the teaching rows the least log loss; ``LEANING`` was
+chosen in the same way.
+
+Examples and terms come from at most about ``LABELLED`` labelled ids with about ``CHARS`` characters in all (both chosen
+by hashes of the id), one row each, which bounds the vocabulary and the index that are broadcast; every text is scored
+whole. Two passes over the labelled texts and one over all texts; only labelled texts are shuffled.
 
 Defined results: null and empty texts, and texts without letters, get the calibrated share of toxic examples among
 those without letters; texts that share no term with an example get the share among all. Cosines count to six places;
-all examples that tie with the k-th vote, so no id decides. Repeated rows are scored row for row; of labelled rows that
+all examples of a label that tie with its k-th vote, so no id decides. Repeated rows are scored row for row; of labelled rows that
 share an id one teaches. Without labels of both kinds every score is the share of toxic labels (0 if there are none).
 Null labels and ids do not teach; a term counts 65,535 times at most. Only the named columns are read.
 """
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -39,10 +38,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table, written
 
-#: About so many labelled rows teach.
-LABELLED = 20_000
-#: Neighbours, terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
-K, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = 15, 1024, 128, 0.5, 0.05, 3
+#: About so many labelled rows, with about so many characters, teach.
+LABELLED, CHARS = 20_000, 1 << 26
+#: Neighbours of each label (the choices), terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
+KS, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = (5, 15), 1024, 128, 0.5, 0.05, 3
+#: Power of the leaning of shared terms in a vote.
+LEANING = 2
+#: Examples a block (at most 256), blocks of each label opened first, room for rounding in bounds.
+BLOCK, FIRST, SLACK = 64, 4, 2e-5
 #: Words whose terms, and texts whose scores, a worker remembers.
 MEMORY, COPIES = 150_000, 10_000
 CUT = 0.3
@@ -58,18 +61,21 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def teaching_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, labelled: int) -> DataFrame:
-    """(id, text, y) of about ``labelled`` ids at most, one row each; ``docs``: id, text."""
+def teaching_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, labelled: int, chars: int = CHARS) -> DataFrame:
+    """(id, text, y) of about ``labelled`` ids and ``chars`` characters at most, one row each; ``docs``: id, text."""
     known = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     share = max(1, known.count() / labelled)
     teach = F.broadcast(known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) / share)))  # bounded by ``labelled``
     one = docs.join(teach, "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.min("y").alias("y"))
-    return written(one.select("id", "t.text", "y"), "toxic-taught")
+    taught = written(one.select("id", "t.text", "y"), "toxic-taught")
+    share = max(1, (taught.agg(F.sum(F.length("text"))).first()[0] or 0) / chars)
+    return taught.filter(F.pmod(F.xxhash64("id", F.lit("chars")), F.lit(1 << 20)) < int((1 << 20) / share)) if share > 1 else taught
 
 
-def weigh_terms(texts: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """All terms of (text, y) rows, their weights, and the weight of a term that none of the rows has."""
+def weigh_terms(texts: DataFrame) -> tuple[list[str], np.ndarray, float, dict]:
+    """All terms of (text, y) rows, their weights, the weight of a term that none of the rows has, and how many rows have
+    each (for ``ExampleIndex``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,13 +90,12 @@ def weigh_terms(texts: DataFrame) -> tuple[list[str], np.ndarray, float]:
     sums = written(texts.mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-terms")
     whole = sums.filter("term = ''").first()
     if not whole or not whole["n0"] or not whole["n1"]:
-        return [], np.zeros(0), 1.0
+        return [], np.zeros(0), 1.0, {}
     got = sums.filter("term != ''").toArrow().sort_by("term")  # the terms of ``labelled`` texts
     b, a, nb, na = got["n0"].to_numpy().astype(float), got["n1"].to_numpy().astype(float), float(whole["n0"]), float(whole["n1"])
     n, df = na + nb, a + b
-    chi2 = n * (a * (nb - b) - b * (na - a)) ** 2 / (df * np.maximum(n - df, 0.5) * na * nb)
     idf = lambda df: np.log((1 + n) / (1 + df)) + 1
-    return got["term"].to_pylist(), idf(df) * (1 + np.sqrt(chi2) * (a * nb > b * na)), float(idf(1))
+    return got["term"].to_pylist(), idf(df), float(idf(1)), {"toxic": a, "all_": df, "rows": (na, n)}
 
 
 class Words(dict):
@@ -148,57 +153,105 @@ class TermCounter:
         return at[:end], n[:end], float(((1 + np.log(n[end:])) ** 2).sum())
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+def likeness_order(vectors: np.ndarray, size: int) -> np.ndarray:
+    """Rows, like ones side by side: halves along the direction of largest spread until ``size`` rows are left."""
+    out, stack = [np.zeros(0, np.int64)], [np.arange(len(vectors))]
+    while stack:
+        part = stack.pop()
+        if len(part) <= size:
+            out.append(part)
+            continue
+        x = vectors[part] - vectors[part].mean(0)
+        part = part[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+        half = size * -(-len(part) // (2 * size))
+        stack += [part[half:], part[:half]]
+    return np.concatenate(out)
+
+
 class ExampleIndex:
-    """Examples as sparse unit vectors; ``nearest`` finds the k of largest cosine, exactly. Every example is scored."""
+    """Examples as sparse unit vectors in a block-max inverted index: the k of largest cosine of each label, exactly.
+
+    Places are dealt in blocks of ``BLOCK`` like examples of one label. The postings of the ``COMMON`` most common terms are
+    a matrix that counts for every example. The other postings lie by term and block, an entry of each (term, block) with the
+    largest weight in it. A block whose common part and largest weights cannot reach the k-th cosine is not opened.
+    """
 
-    def __init__(self, ids: list, labels: list[int], vectors: list[tuple], idf: np.ndarray, unseen: float = 1.0):
+    def __init__(self, ids: list, labels: list[int], vectors: list[tuple], idf: np.ndarray, unseen: float = 1.0, toxic: np.ndarray | None = None, all_: np.ndarray | None = None, rows: tuple[int, int] = (0, 0)):
+        """``toxic`` and ``all_``: toxic and all teaching texts with each term, of ``rows``: toxic and all teaching texts."""
         self.idf, self.unseen = idf, unseen
-        full = [k for k, v in enumerate(vectors) if len(v[0])]
-        self.ids = [ids[k] for k in full]
-        self.labels = np.array([labels[k] for k in full], np.float64)
+        self.toxic, self.all, self.rows = (np.zeros(len(idf)) if toxic is None else toxic), (np.zeros(len(idf)) if all_ is None else all_), rows
+        if len(idf) >= 1 << 26 or len(ids) >= 1 << 21:
+            raise ValueError("the index holds up to 2^26 terms of 2^21 examples: give a smaller ``labelled`` or ``chars``")
         bare = [labels[k] for k, v in enumerate(vectors) if not len(v[0])]
         self.share = sum(labels) / max(1, len(labels))
         self.bare = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
-        lengths = [len(vectors[k][0]) for k in full]
-        # one number a posting (term, count, example), sorted in place: the driver holds little more than the index
+        toss = np.random.default_rng(7).standard_normal((len(idf), 8), np.float32)
+        kinds, dealt = [], []
+        for y in (1, 0):
+            full = [k for k, v in enumerate(vectors) if len(v[0]) and labels[k] == y]
+            sketch = np.array([(u := self.unit(*vectors[k]))[1] @ toss[u[0]] for k in full]).reshape(len(full), 8)
+            some = [full[i] for i in likeness_order(sketch, BLOCK)]
+            some += [-1] * (-len(some) % BLOCK)
+            kinds.append(slice(len(dealt), len(dealt) + len(some)))
+            dealt += some
+        del toss
+        self.kinds = kinds
+        self.ids = [ids[k] if k >= 0 else None for k in dealt]
+        self.where = {i: place for place, i in enumerate(self.ids) if dealt[place] >= 0}
+        self.labels = np.array([labels[k] if k >= 0 else 0 for k in dealt], np.float64)
+        lengths = [len(vectors[k][0]) if k >= 0 else 0 for k in dealt]
+        # one number a posting (term, place, count), sorted in place: the driver holds little more than the index
         key = np.zeros(sum(lengths), np.uint64)
-        self.scale = np.ones(len(full))
-        for row, (a, k) in enumerate(zip(np.cumsum([0, *lengths]), full)):
-            t, n, *rest = vectors[k]
-            n = np.minimum(n, 65_535)
-            key[a : a + len(t)] = np.asarray(t, np.uint64) << np.uint64(38) | n.astype(np.uint64) << np.uint64(22) | np.uint64(row)
-            self.scale[row] = 1 / self.norm(self.raw(t, n), *rest)
+        self.scale = np.ones(len(dealt), np.float32)
+        for place, (a, k) in enumerate(zip(np.cumsum([0, *lengths]), dealt)):
+            if k >= 0:
+                t, n, *rest = vectors[k]
+                n = np.minimum(n, 65_535)
+                key[a : a + len(t)] = np.asarray(t, np.uint64) << np.uint64(38) | np.uint64(place << 16) | n.astype(np.uint64)
+                self.scale[place] = 1 / self.norm(self.raw(t, n), *rest)
         key.sort()
-        self.example = key.astype(np.uint32)  # the low half
-        self.example &= np.uint32((1 << 22) - 1)
-        self.example = self.example.view(np.int32)
-        key >>= np.uint64(22)
-        # a run: the postings of a term with one count; they weigh alike until the example's length divides them
+        self.count = key.astype(np.uint16)  # the low bits
+        key >>= np.uint64(16)
+        at = key.astype(np.uint32)
+        at &= np.uint32((1 << 22) - 1)
+        self.local = (at % BLOCK).astype(np.uint8)
+        self.gain = (1 + np.log(np.maximum(np.arange(65_536), 1))).astype(np.float32)
+        weight = self.gain[self.count]
+        weight *= self.scale[at]
+        del at
+        key //= np.uint64(BLOCK)
         first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
-        head = key[first]
-        self.size = np.diff(first, append=len(key)).astype(np.int32)
-        self.gain = (1 + np.log((head & np.uint64(65_535)).astype(np.float64))).astype(np.float32)
-        self.run = np.searchsorted(head >> np.uint64(16), np.arange(len(idf) + 1, dtype=np.uint64)).astype(np.int32)
-        self.start = np.append(first, len(key))[self.run]
-        self._matrix, self._room = None, np.zeros(0, np.intp)
+        self.peak = np.maximum.reduceat(weight, first) if len(first) else weight
+        key = key[first]
+        per_term = np.uint64((1 << 22) // BLOCK)
+        self.block = (key % per_term).astype(np.int32)
+        term = (key // per_term).astype(np.int64)
+        self.peak *= idf[term].astype(np.float32)
+        self.first = np.append(first, len(weight)).astype(np.int64)
+        self.entry = np.searchsorted(term, np.arange(len(idf) + 1)).astype(np.int64)
+        self.opened = self.blocks = self.read = self.postings = 0
+        self._matrix = None
 
     def __getstate__(self) -> dict:
-        """For the broadcast: gaps between examples, compressed; the matrix is made in each worker."""
-        return self.__dict__ | {"example": zlib.compress(np.diff(self.example, prepend=np.int32(0)).tobytes(), 1), "_matrix": None, "_room": np.zeros(0, np.intp)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.example = np.cumsum(np.frombuffer(zlib.decompress(self.example), np.int32), dtype=np.int32)
+        """For the broadcast: the matrix is made in each worker."""
+        return self.__dict__ | {"_matrix": None}
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each term or -1, rows): the postings of the most common terms; made in each worker."""
+        """(row of each term or -1, rows): the weights of the most common terms in unit vectors; made in each worker."""
         if self._matrix is None:
-            common = np.argsort(-np.diff(self.start), kind="stable")[:COMMON]
+            common = np.argsort(-np.diff(self.first[self.entry]), kind="stable")[:COMMON]
             row, rows = np.full(len(self.idf), -1, np.int32), np.zeros((len(common), len(self.ids)), np.float32)
             row[common] = np.arange(len(common))
             for r, t in enumerate(common):
-                runs = slice(self.run[t], self.run[t + 1])
-                rows[r, self.example[self.start[t] : self.start[t + 1]]] = self.idf[t] * np.repeat(self.gain[runs], self.size[runs])
+                e = slice(self.entry[t], self.entry[t + 1])
+                p = slice(self.first[e.start], self.first[e.stop])
+                place = np.repeat(self.block[e] * BLOCK, np.diff(self.first[e.start : e.stop + 1])) + self.local[p]
+                rows[r, place] = self.idf[t] * self.gain[self.count[p]] * self.scale[place]
             self._matrix = row, rows
         return self._matrix
 
@@ -212,62 +265,116 @@ class ExampleIndex:
         w = self.raw(t, np.minimum(n, 65_535))
         return np.asarray(t, np.int64), w / self.norm(w, rest)
 
-    def cosines(self, vectors: list[tuple]) -> np.ndarray:
-        """(texts, examples)."""
+    def lean(self, at: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Root of chi-square of terms that toxic teaching texts have more often, else 0; ``own``: label of a teaching text
+        that is left out."""
+        a, df, (na, n) = self.toxic[at], self.all[at], self.rows
+        if own is not None:
+            a, df, na, n = a - own, df - 1, na - own, n - 1
+        b, nb = df - a, n - na
+        chi2 = n * (a * (nb - b) - b * (na - a)) ** 2 / (np.maximum(df, 0.5) * np.maximum(n - df, 0.5) * max(na, 1) * max(nb, 1))
+        return np.sqrt(chi2) * ((a * nb > b * na) & (df > 0))
+
+    def search(self, vectors: list[tuple], k: int = max(KS), but: list[int | None] | None = None, own: list[int | None] | None = None):
+        """For each text (places, cosines, lean): of each label the k nearest examples with a cosine above 0, and all that
+        tie with the last, nearest first; lean: the cosine's parts times the leaning of their terms, summed. ``but``
+        leaves out one place, ``own`` its label."""
         row, rows = self.matrix()
         units = [self.unit(*v) for v in vectors]
         dense = np.zeros((len(units), len(rows)), np.float32)
         for q, (at, w) in zip(dense, units):
             r = row[at]
             q[r[r >= 0]] = w[r >= 0]
-        out = (dense @ rows).astype(np.float64)
-        for score, (at, w) in zip(out, units):
-            other = row[at] < 0
-            at, w = at[other], w[other]
-            lo, hi = self.start[at], self.start[at + 1]
-            if len(at):  # the terms' postings, one run after the other
-                runs = self.run[at + 1] - self.run[at]
-                run = np.arange(runs.sum()) + np.repeat(self.run[at] - np.cumsum(runs) + runs, runs)
-                weight = np.repeat(self.gain[run] * np.repeat(w * self.idf[at], runs), self.size[run])
-                if len(weight) > len(self._room):
-                    self._room = np.empty(2 * len(weight), np.intp)
-                example = np.concatenate([self.example[i:j] for i, j in zip(lo.tolist(), hi.tolist())], out=self._room[: len(weight)])
-                score += np.bincount(example, weight, len(score))
-        out *= self.scale
-        return out
-
-    def best(self, score: np.ndarray, k: int = K, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the nearest with a cosine above 0, nearest first: k, and all that tie with the last. ``but``
-        leaves out one place."""
+        common = (dense @ rows).astype(np.float64)
+        for j, (score, (at, w)) in enumerate(zip(common, units)):
+            r = row[at]
+            lean = self.lean(at, own[j] if own else None)
+            rare = np.flatnonzero(r < 0)
+            place, cos, part = self._near(score, at[rare], w[rare], lean[rare], k, but[j] if but else None)
+            matched = np.flatnonzero((r >= 0) & (lean > 0))
+            part += (w[matched] * lean[matched]) @ rows[np.ix_(r[matched], place)]
+            yield place, cos, part
+
+    def _near(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, lean: np.ndarray, k: int, but: int | None):
+        """``score``: the common terms' part of each cosine; the other terms are added in the blocks that are opened."""
+        runs = self.entry[at + 1] - self.entry[at]
+        e, of = spread(self.entry[at], runs), np.repeat(np.arange(len(at)), runs)
+        block = self.block[e]
+        bound = score.reshape(-1, BLOCK).max(1) + np.bincount(block, self.peak[e] * w[of], len(score) // BLOCK)
+        opened = np.zeros(len(bound), bool)
+        found = []
+
+        def open_(which: np.ndarray) -> None:
+            opened[which] = True
+            pick = np.flatnonzero(which[block])
+            size = self.first[e[pick] + 1] - self.first[e[pick]]
+            p, of_ = spread(self.first[e[pick]], size), np.repeat(of[pick], size)
+            place = np.repeat(block[pick] * BLOCK, size) + self.local[p]
+            weight = self.gain[self.count[p]] * (w * self.idf[at])[of_] * self.scale[place]
+            np.add(score, np.bincount(place, weight, len(score)), out=score)
+            found.append((place, weight, of_))
+
+        kinds = [(part, slice(part.start // BLOCK, part.stop // BLOCK)) for part in self.kinds if part.stop > part.start]
+        which = np.zeros(len(bound), bool)
+        for _, blocks in kinds:  # those of the largest bounds first: they give the k-th cosine that others must reach
+            high = min(FIRST, blocks.stop - blocks.start)
+            which[blocks.start + np.argpartition(-bound[blocks], high - 1)[:high]] = True
+        open_(which)
+        which = np.zeros(len(bound), bool)
+        for part, blocks in kinds:
+            if but is not None:
+                score[but] = -1
+            least = np.partition(score[part], -k)[-k] if part.stop - part.start > k else 0
+            which[blocks] = (bound[blocks] >= least - SLACK) & ~opened[blocks]
+        open_(which)
+        self.opened, self.blocks = self.opened + int(opened.sum()), self.blocks + len(opened)
+        self.read, self.postings = self.read + sum(len(f[0]) for f in found), self.postings + int((self.first[self.entry[at + 1]] - self.first[self.entry[at]]).sum())
         if but is not None:
-            score[but] = 0
+            score[but] = -1
+        near = [self.best(score[part], k) for part, _ in kinds]
+        place = np.concatenate([np.zeros(0, np.int64), *(n + part.start for (n, _), (part, _) in zip(near, kinds))])
+        cos = np.concatenate([np.zeros(0), *(c for _, c in near)])
+        order = np.argsort(-cos, kind="stable")
+        place, cos = place[order], cos[order]
+        slot = np.full(len(score), -1)
+        slot[place] = np.arange(len(place))
+        part = np.zeros(len(place))
+        for at_, weight, of_ in found:
+            hit = np.flatnonzero(slot[at_] >= 0)
+            part += np.bincount(slot[at_[hit]], weight[hit] * lean[of_[hit]], len(place)) if len(hit) else 0
+        return place, cos, part
+
+    @staticmethod
+    def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k largest above 0 to six places, and all that tie with the last."""
         least = np.partition(score, -k)[-k] if len(score) > k else 0
         place = np.flatnonzero(score >= least - 1e-5)
         near = np.round(score[place], 6)
         if len(near) > k:
             place, near = place[near >= (cut := np.partition(near, -k)[-k])], near[near >= cut]
-        place, near = place[near > 0], near[near > 0]
-        order = np.argsort(-near, kind="stable")
-        return place[order], near[order]
-
-    def nearest(self, t, n, k: int = K, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        return self.best(self.cosines([(t, n)])[0], k, but)
-
-    def votes(self, vectors: list[tuple], but: list[int | None] | None = None) -> list[tuple[float, list[tuple[object, float, int]]]]:
-        """The distance-weighted share of toxic neighbours, and the evidence, of each text."""
-        out = []
-        for a in range(0, len(vectors), BATCH):
-            some = vectors[a : a + BATCH]
-            scored = [k for k, (t, _, _) in enumerate(some) if len(t)]
-            rows = dict(zip(scored, self.cosines([some[k] for k in scored]))) if scored else {}
-            for k, (_, _, rest) in enumerate(some):
-                if k not in rows:
-                    out.append((self.share if rest else self.bare, []))
-                    continue
-                near, sims = self.best(rows[k], but=but[a + k] if but else None)
-                w = 1 / (NEAR + 1 - np.minimum(sims, 1))
-                raw = ((w * self.labels[near]).sum() + PRIOR * self.share) / (w.sum() + PRIOR)
-                out.append((float(raw), [(self.ids[p], float(s), int(self.labels[p])) for p, s in zip(near[:EVIDENCE], sims)]))
+        return place[near > 0], near[near > 0]
+
+    def nearest(self, t, n, k: int = max(KS)) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.search([(t, n)], k))[:2]
+
+    def votes(self, vectors: list[tuple], ks: tuple[int, ...], but: list[int | None] | None = None, own: list[int] | None = None) -> list[tuple[list[float], list[tuple[object, float, int]]]]:
+        """For each text the distance-weighted share of toxic neighbours, for each number of neighbours, and the evidence."""
+        out: list = [None] * len(vectors)
+        for k, (t, _, rest) in enumerate(vectors):
+            if not len(t) or not self.ids:
+                out[k] = ([self.share if len(t) or rest else self.bare] * len(ks), [])
+        scored = [k for k, v in enumerate(out) if v is None]
+        for a in range(0, len(scored), BATCH):
+            some = scored[a : a + BATCH]
+            pick = lambda xs: [xs[k] for k in some] if xs else None
+            for at, (near, sims, part) in zip(some, self.search([vectors[k] for k in some], max(ks), pick(but), pick(own))):
+                w, y = (1 + part / np.maximum(sims, 1e-9)) ** LEANING / (NEAR + 1 - np.minimum(sims, 1)), self.labels[near]
+                raws = []
+                for k in ks:
+                    cut = [c[min(k, len(c)) - 1] if len(c := sims[y == label]) else 0.0 for label in (0, 1)]
+                    v = w * (sims >= np.where(y > 0, cut[1], cut[0]))
+                    raws.append(float(((v * y).sum() + PRIOR * self.share) / (v.sum() + PRIOR)))
+                out[at] = (raws, [(self.ids[p], float(s), int(self.labels[p])) for p, s in zip(near[:EVIDENCE], sims)])
         return out
 
 
@@ -284,13 +391,13 @@ def isotonic(raw: np.ndarray, hits: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return np.array([p[0] for p in pools]), np.array([(p[1]) / p[2] for p in pools])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, chars: int = CHARS, ks: tuple[int, ...] = KS) -> DataFrame:
     """(id, score, evidence array<struct<id, similarity, toxic>>) for every row."""
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    taught = teaching_rows(named, labels, id_col, label_col, labelled)
+    taught = teaching_rows(named, labels, id_col, label_col, labelled, chars)
     kind, arrow_kind = named.schema["id"].dataType.simpleString(), to_arrow_type(named.schema["id"].dataType)
-    vocabulary, weights, unseen = weigh_terms(taught.select("text", "y"))
+    vocabulary, weights, unseen, seen = weigh_terms(taught.select("text", "y"))
     place = spark.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,19 +415,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     vectors = [(t[a:b], n[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
     ids, ys = got["id"].to_pylist(), got["y"].to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (xxhash.xxh3_64_intdigest(vectors[k][0].tobytes() + vectors[k][1].tobytes()), ys[k], ids[k]))
-    index = ExampleIndex([ids[k] for k in order], [ys[k] for k in order], [vectors[k] for k in order], weights, unseen)
+    index = ExampleIndex([ids[k] for k in order], [ys[k] for k in order], [vectors[k] for k in order], weights, unseen, **seen)
     shared = spark.sparkContext.broadcast(index)
     del got, t, n, vectors, index
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = {i: k for k, i in enumerate(shared.value.ids)}
         for batch in batches:
             vectors = [(t.values.to_numpy(), n.values.to_numpy(), r) for t, n, r in zip(batch["t"], batch["n"], batch["rest"].to_pylist())]
-            votes = [round(v, 3) for v, _ in shared.value.votes(vectors, [where.get(i) for i in batch["id"].to_pylist()])]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch["y"]], ["raw", "y"])
-
-    votes = examples.mapInArrow(alone, "raw double, y int").groupBy("raw").agg(F.sum("y").alias("hits"), F.count("*").alias("rows")).collect()
-    xs, ys = isotonic(*(np.array([float(v[c]) for v in votes]) for c in ("raw", "hits", "rows"))) if votes else (np.zeros(1), np.zeros(1))
+            votes = [v for v, _ in shared.value.votes(vectors, ks, [shared.value.where.get(i) for i in batch["id"].to_pylist()], batch["y"].to_pylist())]
+            for c, k in enumerate(ks):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(votes), pa.int32()), pa.array([round(v[c], 3) for v in votes], pa.float64()), batch["y"]], ["k", "raw", "y"])
+
+    votes = examples.mapInArrow(alone, "k int, raw double, y int").groupBy("k", "raw").agg(F.sum("y").alias("hits"), F.count("*").alias("rows")).collect()
+    fits = []
+    for k in ks:
+        raw, hits, rows = (np.array([float(v[c]) for v in votes if v["k"] == k]) for c in ("raw", "hits", "rows"))
+        xs, ys = isotonic(raw, hits, rows) if len(raw) else (np.zeros(1), np.zeros(1))
+        sure = np.clip(np.interp(raw, xs, ys), 1e-3, 1 - 1e-3)
+        fits.append((-(hits * np.log(sure) + (rows - hits) * np.log(1 - sure)).sum(), k, xs, ys))
+    _, best, xs, ys = min(fits, key=lambda fit: fit[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
@@ -331,7 +444,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             if len(known) > COPIES:
                 known.clear()
             new = {k: t for k, t in zip(keys, texts) if k not in known}
-            for k, (raw, evidence) in zip(new, shared.value.votes([counter.count(t) for t in new.values()])):
+            for k, ((raw,), evidence) in zip(new, shared.value.votes([counter.count(t) for t in new.values()], (best,))):
                 known[k] = float(np.interp(raw, xs, ys)), [{"id": i, "similarity": s, "toxic": y} for i, s, y in evidence]
             found = [known[k] for k in keys]
             kinds = pa.list_(pa.struct([("id", arrow_kind), ("similarity", pa.float64()), ("toxic", pa.int32())]))

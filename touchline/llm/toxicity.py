@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -41,11 +42,11 @@ from .common import table, written
 #: About so many labelled rows, with about so many characters, teach.
 LABELLED, CHARS = 20_000, 1 << 26
 #: Neighbours of each label (the choices), terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
-KS, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = (5, 15), 1024, 128, 0.5, 0.05, 3
+KS, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = (5, 15), 2048, 128, 0.5, 0.05, 3
 #: Power of the leaning of shared terms in a vote.
 LEANING = 2
-#: Examples a block (at most 256), blocks of each label opened first, room for rounding in bounds.
-BLOCK, FIRST, SLACK = 64, 4, 2e-5
+#: Examples a block (a power of two, at most 128), blocks of each label opened first, room for rounding in bounds.
+BLOCK, FIRST, SLACK = 8, 16, 2e-5
 #: Words whose terms, and texts whose scores, a worker remembers.
 MEMORY, COPIES = 150_000, 10_000
 CUT = 0.3
@@ -185,8 +186,8 @@ class ExampleIndex:
         """``toxic`` and ``all_``: toxic and all teaching texts with each term, of ``rows``: toxic and all teaching texts."""
         self.idf, self.unseen = idf, unseen
         self.toxic, self.all, self.rows = (np.zeros(len(idf)) if toxic is None else toxic), (np.zeros(len(idf)) if all_ is None else all_), rows
-        if len(idf) >= 1 << 26 or len(ids) >= 1 << 21:
-            raise ValueError("the index holds up to 2^26 terms of 2^21 examples: give a smaller ``labelled`` or ``chars``")
+        if len(idf) >= 1 << 26 or len(ids) >= 1 << 21 or sum(len(v[0]) for v in vectors) >= 1 << 31:
+            raise ValueError("the index holds up to 2^26 terms and 2^31 postings of 2^21 examples: give a smaller ``labelled`` or ``chars``")
         bare = [labels[k] for k, v in enumerate(vectors) if not len(v[0])]
         self.share = sum(labels) / max(1, len(labels))
         self.bare = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
@@ -202,7 +203,7 @@ class ExampleIndex:
         del toss
         self.kinds = kinds
         self.ids = [ids[k] if k >= 0 else None for k in dealt]
-        self.where = {i: place for place, i in enumerate(self.ids) if dealt[place] >= 0}
+        self.where = {i: place for place, i in enumerate(self.ids) if i is not None}
         self.labels = np.array([labels[k] if k >= 0 else 0 for k in dealt], np.float64)
         lengths = [len(vectors[k][0]) if k >= 0 else 0 for k in dealt]
         # one number a posting (term, place, count), sorted in place: the driver holds little more than the index
@@ -220,26 +221,45 @@ class ExampleIndex:
         at = key.astype(np.uint32)
         at &= np.uint32((1 << 22) - 1)
         self.local = (at % BLOCK).astype(np.uint8)
-        self.gain = (1 + np.log(np.maximum(np.arange(65_536), 1))).astype(np.float32)
-        weight = self.gain[self.count]
-        weight *= self.scale[at]
         del at
         key //= np.uint64(BLOCK)
         first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
-        self.peak = np.maximum.reduceat(weight, first) if len(first) else weight
+        self.first = np.append(first, len(key)).astype(np.int32)
         key = key[first]
         per_term = np.uint64((1 << 22) // BLOCK)
         self.block = (key % per_term).astype(np.int32)
-        term = (key // per_term).astype(np.int64)
-        self.peak *= idf[term].astype(np.float32)
-        self.first = np.append(first, len(weight)).astype(np.int64)
-        self.entry = np.searchsorted(term, np.arange(len(idf) + 1)).astype(np.int64)
+        key //= per_term
+        self.entry = np.searchsorted(key, np.arange(len(idf) + 1, dtype=np.uint64)).astype(np.int32)
+        del key, first
+        self.measure()
         self.opened = self.blocks = self.read = self.postings = 0
         self._matrix = None
 
+    def measure(self) -> None:
+        """What follows from the postings: gains by count, the largest weight of each entry."""
+        self.gain = (1 + np.log(np.maximum(np.arange(65_536), 1))).astype(np.float32)
+        self.peak = np.zeros(len(self.block), np.float32)
+        for a in range(0, len(self.block), 1 << 19):
+            e = slice(a, min(a + (1 << 19), len(self.block)))
+            p = slice(self.first[e.start], self.first[e.stop])
+            place = np.repeat(self.block[e] * BLOCK, np.diff(self.first[e.start : e.stop + 1])) + self.local[p]
+            self.peak[e] = np.maximum.reduceat(self.gain[self.count[p]] * self.scale[place], self.first[e] - p.start)
+        runs = np.diff(self.entry)
+        self.peak *= np.repeat(self.idf.astype(np.float32), runs)
+
     def __getstate__(self) -> dict:
-        """For the broadcast: the matrix is made in each worker."""
-        return self.__dict__ | {"_matrix": None}
+        """For the broadcast: gaps and counts, compressed; largest weights and the matrix are made in each worker."""
+        packed = {"first": np.diff(self.first).astype(np.uint8), "block": np.diff(self.block, prepend=np.int32(0)), "count": self.count, "local": self.local}
+        return self.__dict__ | {name: zlib.compress(x, 1) for name, x in packed.items()} | {"peak": None, "gain": None, "where": None, "_matrix": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        read = lambda x, kind: np.frombuffer(zlib.decompress(x), kind)
+        self.first = np.append(0, np.cumsum(read(self.first, np.uint8), dtype=np.int32)).astype(np.int32)
+        self.block = np.cumsum(read(self.block, np.int32), dtype=np.int32)
+        self.count, self.local = read(self.count, np.uint16), read(self.local, np.uint8)
+        self.where = {i: place for place, i in enumerate(self.ids) if i is not None}
+        self.measure()
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray]:
         """(row of each term or -1, rows): the weights of the most common terms in unit vectors; made in each worker."""
@@ -310,8 +330,8 @@ class ExampleIndex:
             size = self.first[e[pick] + 1] - self.first[e[pick]]
             p, of_ = spread(self.first[e[pick]], size), np.repeat(of[pick], size)
             place = np.repeat(block[pick] * BLOCK, size) + self.local[p]
-            weight = self.gain[self.count[p]] * (w * self.idf[at])[of_] * self.scale[place]
-            np.add(score, np.bincount(place, weight, len(score)), out=score)
+            weight = self.gain[self.count[p]] * (w * self.idf[at])[of_]
+            np.add(score, np.bincount(place, weight, len(score)) * self.scale, out=score)
             found.append((place, weight, of_))
 
         kinds = [(part, slice(part.start // BLOCK, part.stop // BLOCK)) for part in self.kinds if part.stop > part.start]
@@ -341,7 +361,7 @@ class ExampleIndex:
         part = np.zeros(len(place))
         for at_, weight, of_ in found:
             hit = np.flatnonzero(slot[at_] >= 0)
-            part += np.bincount(slot[at_[hit]], weight[hit] * lean[of_[hit]], len(place)) if len(hit) else 0
+            part += np.bincount(slot[at_[hit]], weight[hit] * lean[of_[hit]], len(place)) * self.scale[place] if len(hit) else 0
         return place, cos, part
 
     @staticmethod

@@ -269,6 +269,27 @@ def test_links_across_blocks(spark, texts):
         assert {r["id"]: r["lead"] for r in dedup.copies(df, block=block).collect()} == want
 
 
+def test_copies_of_few_words_are_found_exactly(spark):
+    """Sets of 4 to 13 shingles, all links between them counted by all pairs; fingerprints alone lose some."""
+    rng = np.random.default_rng(17)
+    made = {}
+    for g in range(400):
+        base = [f"w{x}" for x in rng.integers(0, 10**9, rng.integers(8, 18))]
+        for k in range(3):  # a word more at an end, a word fewer, another word at an end
+            made[4 * g + k] = " ".join([base + ["more"], base[1:], ["else"] + base[1:]][k])
+        made[4 * g + 3] = " ".join(base)
+    root = {i: i for i in made}
+    for g in range(400):
+        near = [(a, b) for a in range(4 * g, 4 * g + 4) for b in range(4 * g, a) if jaccard(made[a], made[b]) >= 0.8]
+        for _ in range(4):
+            for a, b in near:
+                root[a] = root[b] = min(root[a], root[b])
+    want = {i: r for i, r in root.items() if i != r}
+    assert len(want) > 600 and len(want) < 1200
+    df = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    assert {r["id"]: r["lead"] for r in dedup.copies(df).collect()} == want
+
+
 def test_copies_with_a_repeated_footer(spark, texts):
     words = " ".join(texts.values()).split()
     made, size, footer = {}, 0, "read more about this and other things on our page"

@@ -4,7 +4,12 @@ Texts with equal sets of five-word shingles form one class, so copies cost nothi
 distinct shingles link classes within 30 bits whose set sizes allow the similarity at all: texts of Jaccard similarity 0.8
 differ in 19.4 bits on average (standard deviation 4.1), so 99.6 % of such pairs are candidates, and unrelated texts about
 once in a billion pairs. A candidate pair is a link if its shingle sets have a Jaccard similarity of 0.8 or more, counted
-exactly; of each group that links connect, the smallest id stays.
+exactly (over the upper 32 bits of the shingles' hashes); of each group that links connect, the smallest id stays.
+
+Fingerprints of very few shingles spread too widely (sets of 4 and 5 shingles: 92 % found). Sets of at most ``FEW`` (13)
+shingles are therefore linked exactly as well, without fingerprints: at similarity 0.8 two of them differ by at most two
+shingles, so each set names itself and its subsets of one or two shingles less by 128-bit hashes (at most 92), and what
+meets in a name is a link by its sizes alone. Each name's sets are tied to one of them, so no pairs are made.
 
 Candidates are confirmed inside their components only. Small components share a task; one of more than ``BLOCK`` classes
 or ``ELEMENTS`` shingles is cut into blocks by a hash of the key. First every block is joined in itself and with the
@@ -24,6 +29,7 @@ an empty table gives no rows. Columns of any name are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ from .simhash import class_edges, components, links
 WORDS, LANES, RADIUS, SIMILARITY = 5, 2, 30, 0.8
 #: Classes and shingles of a block.
 BLOCK, ELEMENTS = 4096, 1 << 24
+#: Sets of at most so many shingles are linked by their subsets: two differ by at most (13 + 13) / 9 < 3 shingles.
+FEW = 13
 #: Odd numbers that spread bits (fixed values).
 SPREAD, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -218,11 +226,56 @@ def class_groups(rows: DataFrame, similarity: float, block: int) -> DataFrame:
     texts = sift(rows.select("text", "key"), bits).filter("_hit")
     sets = written(shingle_sets(texts.join(members, "key").select("text", *members.columns)), "dedup-sets", compression="uncompressed")
     roots = confirmed(sets, similarity=similarity, block=block)
+    few = few_links(rows, classes, similarity)
+    if not few.isEmpty():
+        both = written(components(roots.select(F.col("key").alias("src"), F.col("root").alias("dst")).filter("src != dst").unionByName(few)), "dedup-roots")
+        discard(roots)
+        roots = both
     grouped = written(classes.join(roots, "key", "left").select("h0", "h1", F.coalesce("root", "key").alias("grp")), "dedup-grouped")
-    discard(classes, candidates, groups, members, bits, sets, roots)
+    discard(classes, candidates, groups, members, bits, sets, roots, few)
     return grouped
 
 
+def subset_names(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, s0, s1, size, less) from (text, key): 128-bit names of a set of shingles and of its subsets of ``less`` (0 to
+    2) shingles fewer, as far as a set of ``size`` can be similar to another one by them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, int, int]] = []
+            for text, key in zip(batch["text"].to_pylist(), batch["key"].to_pylist()):
+                h = shingle_hashes(text or "", words)
+                for less, fewest in ((0, 4), (1, 4), (2, 8)):
+                    if len(h) - less < fewest:
+                        continue
+                    for left_out in combinations(range(len(h)), less):
+                        name = xxhash.xxh3_128_intdigest(np.delete(h, left_out).tobytes())
+                        out.append((key, name >> 64, name & (1 << 64) - 1, len(h) - less, less))
+            key, s0, s1, size, less = zip(*out) if out else ((),) * 5
+            named = [np.array(x, np.uint64).view(np.int64) for x in (s0, s1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *map(pa.array, named), pa.array(size, pa.int32()), pa.array(less, pa.int32())], ["key", "s0", "s1", "size", "less"])
+
+    return texts.mapInArrow(run, "key bigint, s0 bigint, s1 bigint, size int, less int")
+
+
+def few_links(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst) that connect classes of at most ``FEW`` shingles as all links between them do; exact for ``similarity``
+    of 0.8 or more. A set and one with another shingle share size / (size + 1), two with one of their own each or a set
+    and one with two more size / (size + 2)."""
+    few = classes.filter(F.col("n").between(4, FEW)).select("key")
+    names = subset_names(rows.filter(F.col("n").between(4, FEW)).select("text", "key").join(few, "key").select("text", "key"))
+    one, two = F.col("size") >= similarity * (F.col("size") + 1), F.col("size") >= similarity * (F.col("size") + 2)
+    names = written(names.filter(one), "dedup-names")
+    whole, near = F.min(F.when(F.col("less") == 0, F.col("key"))), F.min(F.when(F.col("less") < 2, F.col("key")))
+    lead = names.groupBy("s0", "s1", "size").agg(whole.alias("whole"), F.when(two, near).alias("near"), F.count("*").alias("sets")).filter("sets > 1 AND (whole IS NOT NULL OR near IS NOT NULL)").drop("sets")
+    # sets with one shingle fewer or none are alike among themselves if that is near enough; the others only like the whole set
+    to = F.when(F.col("less") == 2, F.when(two, F.col("whole"))).otherwise(F.coalesce("near", "whole"))
+    tied = names.join(lead, ["s0", "s1", "size"]).select(F.col("key").alias("src"), to.alias("dst")).filter("src != dst").distinct()
+    edges = written(tied, "dedup-few")
+    discard(names)
+    return edges
+
+
 def _copies(rows: DataFrame, id_name: str, text_name: str, similarity: float, block: int) -> DataFrame:
     """(key, id, lead) of the rows to drop, and the id of the row that stays in their group."""
     plain = rows.select("key", F.col(id_name).alias("id"), F.col(text_name).cast("string").alias("text"), "h0", "h1", "n", *[f"f{k}" for k in range(LANES)])

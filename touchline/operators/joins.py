@@ -173,13 +173,14 @@ def retag_synthesised(tracks: DataFrame, events: DataFrame, fill: bool = False,
 def upsert_ball(tracks: DataFrame, points: DataFrame, half: DataFrame, source: str = "manual") -> DataFrame:
     """Ball boxes at the points (match_id, frame, cx, cy): existing rows move and lose their pitch place, others are new.
 
-    ``half``: match_id, half_w, half_h. New rows take homography_ok and kp_used from their frame, if the frame has rows.
+    ``half``: match_id, half_w, half_h. New rows take homography_ok and kp_used from their frame, if the frame has rows
+    (the largest, if its rows disagree).
     """
     cols = tracks.columns
     ball = F.col("class_id") == BALL
     p = points.join(half, "match_id", "left").select(*KEY, F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.coalesce("half_w", F.lit(8.0)).alias("_w"), F.coalesce("half_h", F.lit(8.0)).alias("_h"))
     context = [c for c in ("homography_ok", "kp_used") if c in cols]
-    frames = tracks.groupBy(*KEY).agg(*[F.first(c, ignorenulls=True).alias(f"_{c}") for c in context], F.count("*").alias("_n"))
+    frames = tracks.groupBy(*KEY).agg(*[F.max(c).alias(f"_{c}") for c in context], F.count("*").alias("_n"))
     joined = tracks.filter(ball).withColumn("_old", F.lit(True)).join(p, KEY, "full_outer").join(frames, KEY, "left")
     hit, new = F.col("_cx").isNotNull(), F.col("_old").isNull()
     put = {"x1": F.col("_cx") - F.col("_w"), "y1": F.col("_cy") - F.col("_h"), "x2": F.col("_cx") + F.col("_w"), "y2": F.col("_cy") + F.col("_h"), "x_m": F.lit(None), "y_m": F.lit(None), "ball_source": F.lit(source)}
@@ -246,7 +247,8 @@ def snap_to_vertex(points: DataFrame, vertices: DataFrame) -> DataFrame:
 def anchor_points(anchors: DataFrame, vertices: DataFrame) -> DataFrame:
     """Anchors (match_id, frame, image_pts, vertex_ids 1-based) with pitch_pts in the same order; unknown vertices lose their
     point, anchors without any point are gone."""
-    known = lambda label: F.filter(vertex_array(vertices), lambda v: v["label"] == label)
+    pitch = vertex_array(vertices)
+    known = lambda label: F.filter(pitch, lambda v: v["label"] == label)
     pairs = F.transform(F.arrays_zip("image_pts", "vertex_ids"), lambda z: F.struct(z["image_pts"].alias("i"), F.transform(known(z["vertex_ids"]), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))[0].alias("p")))
     out = anchors.select("match_id", "frame", F.filter(pairs, lambda x: x["p"].isNotNull()).alias("_l")).filter(F.size("_l") > 0)
     return out.select("match_id", "frame", F.transform("_l", lambda x: x["i"]).alias("image_pts"), F.transform("_l", lambda x: x["p"]).alias("pitch_pts"))

@@ -249,6 +249,23 @@ def test_assignment_against_all_permutations():
             assert c[rows, cols].sum() == best and len(set(rows)) == len(rows) == min(n, m)
 
 
+def test_spline_in_pieces_is_the_spline_of_the_whole_match(spark):
+    """Pieces of 70 anchors with margins of 64, irregular gaps and jumps: what one group gives, to 1e-9."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for match, many in ((1, 1500), (2, 71), (3, 3), (4, 1)):
+        frames = np.cumsum(rng.choice([1, 2, 5, 17, 29, 400], many, p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05]))
+        rows += [(match, int(f), 0, 0.5, float(x), float(y), float(x) + 10, float(y) + 10, 0) for f, x, y in zip(frames, rng.uniform(0, 1900, many), rng.uniform(0, 1000, many))]
+    tracks = spark.createDataFrame(rows, "match_id bigint, frame bigint, class_id int, conf double, x1 double, y1 double, x2 double, y2 double, ball_interpolated int")
+    manual = spark.createDataFrame([(1, rows[700][1], 5.0, 6.0), (2, rows[1500][1] - 3, 7.0, 8.0)], "match_id bigint, frame bigint, cx double, cy double")
+    got, whole = ({(r["match_id"], r["frame"]): (r["cx"], r["cy"]) for r in kernels.spline_fill(tracks, manual, piece=k).collect()} for k in (70, 10**6))
+    at = sorted(f for m, f in whole if m == 1)
+    anchors = {r[1]: (r[4] + 5, r[5] + 5) for r in rows if r[0] == 1} | {rows[700][1]: (5.0, 6.0)}
+    x, (cx, cy) = np.array(sorted(anchors), float), np.array([anchors[f] for f in sorted(anchors)]).T
+    assert np.allclose([whole[1, f] for f in at], np.stack([kernels.spline_values(x, c, np.array(at, float)) for c in (cx, cy)], 1), atol=1e-9)
+    assert len(at) > 3000 and sorted(got) == sorted(whole) and np.allclose([got[k] for k in sorted(got)], [whole[k] for k in sorted(got)], rtol=1e-9, atol=1e-9)
+
+
 def test_spline_is_exact_on_cubics_and_linear_below_four():
     x = np.array([0.0, 1, 4, 5, 9, 12, 20])
     cubic = lambda t: 2 - t + 0.3 * t**2 - 0.01 * t**3

@@ -204,27 +204,47 @@ def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return y[k] + t * (b + t * (c[k] + t * (c[k + 1] - c[k]) / (3 * h[k])))
 
 
-def spline_fill(tracks: DataFrame, overrides: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+#: Anchors of a piece of a match, and anchors beyond either end that are solved with it.
+SPLINE_PIECE, SPLINE_MARGIN = 4096, 64
+
+
+def spline_pieces(anchors: DataFrame, piece: int = SPLINE_PIECE, margin: int = SPLINE_MARGIN) -> DataFrame:
+    """Anchors (match_id, frame, ..) as ``nth``, their number in the match from 0, and each ``part`` that needs them: their
+    own, nth / piece, and the next one within ``margin`` anchors. Numbers come from counts of spans of frames, so no task
+    sorts a match."""
+    spans = anchors.withColumn("_span", F.floor(F.col("frame") / piece))
+    before = Window.partitionBy("match_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = spans.groupBy("match_id", "_span").agg(F.count("*").alias("_n")).select("match_id", "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    on = F.col("a.match_id").eqNullSafe(F.col("c.match_id")) & F.col("a._span").eqNullSafe(F.col("c._span"))
+    place = Window.partitionBy("match_id", "_span").orderBy("frame")
+    numbered = spans.alias("a").join(counts.alias("c"), on).select("a.*", "_before").withColumn("nth", F.col("_before") + F.row_number().over(place) - 1)
+    part = lambda x: F.floor(x / piece).cast("int")
+    parts = F.sequence(F.greatest(part(F.col("nth") - margin), F.lit(0)), part(F.col("nth") + margin))
+    return numbered.withColumn("part", F.explode(parts)).drop("_span", "_before")
+
+
+def spline_fill(tracks: DataFrame, overrides: DataFrame, p: Params = DEFAULTS, piece: int = SPLINE_PIECE) -> DataFrame:
     """(match_id, frame, cx, cy) inside gaps of 2 to 30 frames between real or manual ball positions (manual wins).
 
-    The curve of a match depends on all of its anchors, so a match's ball positions (a frame, x and y each) are one group.
+    The curve of a match depends on all of its anchors, but what is ``k`` anchors away counts at most 2 ** -k of its own
+    size: each row of the spline's equations has a diagonal twice the sum of the others. So a match is solved in pieces of
+    ``piece`` anchors with 64 more on either side (2 ** -64 is below a double's precision), each in a task of its own.
     """
     cx, cy = centre()
     real = tracks.filter((F.col("class_id") == BALL) & (F.col("ball_interpolated") == 0)).groupBy(*KEY).agg(F.max_by(F.struct(cx.alias("cx"), cy.alias("cy")), F.struct("conf", -F.col("x1"))).alias("p"))
     real = real.select(*KEY, F.col("p.cx").alias("cx"), F.col("p.cy").alias("cy"), F.lit(0).alias("rank"))
     manual = overrides.groupBy(*KEY).agg(F.max("cx").alias("cx"), F.max("cy").alias("cy")).withColumn("rank", F.lit(1))
-    anchors = real.unionByName(manual)
-    anchors = anchors.withColumn("_k", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("rank")))).filter("_k = 1").select(*KEY, "cx", "cy")
+    anchors = real.unionByName(manual).groupBy(*KEY).agg(F.max_by(F.struct("cx", "cy"), "rank").alias("p")).select(*KEY, "p.cx", "p.cy")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         f = pdf["frame"].to_numpy(float)
-        gap = np.diff(f)
-        holes = [np.arange(a + 1, b) for a, b, g in zip(f[:-1], f[1:], gap) if 1 < g <= p.spline_max_gap]
+        own = (pdf["nth"] // piece == pdf["part"]).to_numpy()
+        holes = [np.arange(a + 1, b) for a, b, o in zip(f[:-1], f[1:], own) if o and 1 < b - a <= p.spline_max_gap]
         at = np.concatenate(holes) if holes else np.zeros(0)
         return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "frame": at.astype(np.int64), "cx": spline_values(f, pdf["cx"].to_numpy(float), at), "cy": spline_values(f, pdf["cy"].to_numpy(float), at)})
 
-    return anchors.groupBy("match_id").applyInPandas(run, "match_id bigint, frame bigint, cx double, cy double")
+    return spline_pieces(anchors, piece).groupBy("match_id", "part").applyInPandas(run, "match_id bigint, frame bigint, cx double, cy double")
 
 
 def two_means(x: np.ndarray, rounds: int = 20) -> np.ndarray:

@@ -137,6 +137,34 @@ def _(v):
     return kernels.spline_fill(v.fx_tracks, v.fx_ball_overrides)
 
 
+#: Ball paths that a cubic spline must follow exactly, by thousands of frames (the last number keeps clear of halves).
+CUBICS = {"cx": (400.0, -1500.0, 1800.0, 300.0001234565), "cy": (-200.0, 900.0, -700.0, 500.0001234565)}
+
+
+def cubic_sql(name: str, frame: str) -> str:
+    a, b, c, d = CUBICS[name]
+    u = f"({frame} / 1000.0::DOUBLE)"
+    return f"(({a}::DOUBLE * {u} + {b}::DOUBLE) * {u} + {c}::DOUBLE) * {u} + {d}::DOUBLE"
+
+
+CUBIC_FILL = """a AS (SELECT match_id, frame FROM fx_tracks WHERE class_id = 0 AND ball_interpolated = 0 UNION SELECT match_id, frame FROM fx_ball_overrides),
+g AS (SELECT match_id, frame AS f0, lead(frame) OVER (PARTITION BY match_id ORDER BY frame) AS f1, count(*) OVER (PARTITION BY match_id) AS n FROM a),
+h AS (SELECT match_id, f0, f1, n, unnest(range(f0 + 1, f1)) AS frame FROM g WHERE f1 - f0 BETWEEN 2 AND 30)"""
+
+
+@query(
+    "w4_spline_on_cubics", "match_id frame", "cx cy", views="fx_tracks fx_ball_overrides", extra=CUBIC_FILL,
+    sql="SELECT match_id, frame, " + ", ".join(f"round(CASE WHEN n >= 4 THEN {cubic_sql(c, 'frame')} ELSE {cubic_sql(c, 'f0')} + ({cubic_sql(c, 'f1')} - ({cubic_sql(c, 'f0')})) * (frame - f0) / (f1 - f0) END, 3) AS {c}" for c in CUBICS) + " FROM h",
+)
+def _(v):
+    """The spline over balls that move along cubics: SQL knows every value between the anchors."""
+    u = F.col("frame") / F.lit(1000.0)
+    at = {name: ((a * u + b) * u + c) * u + d for name, (a, b, c, d) in CUBICS.items()}
+    tracks = v.fx_tracks.withColumns({"x1": at["cx"] - 8, "x2": at["cx"] + 8, "y1": at["cy"] - 8, "y2": at["cy"] + 8})
+    filled = kernels.spline_fill(tracks, v.fx_ball_overrides.withColumns(at))
+    return filled.select("match_id", "frame", *[F.round(c, 3).alias(c) for c in CUBICS])
+
+
 def fitted(v):
     return kernels.fit_homography(p.keypoint_select(v.fx_keypoints, v.fx_vertices))
 

@@ -56,6 +56,31 @@ def test_anchors_of_all_frames(spark, sf):
     assert any(r["x_cm"] is not None for r in rows)
 
 
+def test_anchors_in_stacks_are_the_single_fits():
+    """Exact, noisy, wrong, degenerate and non-finite pairs; exact ones do not go through every four."""
+    import numpy as np
+
+    from touchline.operators import kernels
+
+    rnd = np.random.default_rng(1)
+    h = np.array([[10, 0.3, -500], [0.1, 12.5, -375], [1e-4, 2e-5, 1.0]])
+    for n in (3, 4, 5, 8):
+        image = rnd.random((24, n, 2)) * 1000
+        q = np.concatenate([image, np.ones((24, n, 1))], 2) @ h.T
+        pitch = q[..., :2] / q[..., 2:]
+        pitch[1::4, 0] += 400
+        pitch[2::4] += rnd.normal(size=pitch[2::4].shape) * 8
+        pitch[3, 1, 0], image[7], image[11, :, 1], image[15, :3], pitch[15, :3] = np.nan, image[7, 0], 5, image[15, 0], pitch[15, 0]
+        got, want = kernels.solve_anchors(image, pitch), [kernels.solve_anchor(a, b) for a, b in zip(image, pitch)]
+        assert all((a is None) == (b is None) and (a is None or np.array_equal(a, b)) for a, b in zip(got, want))
+    vertices = np.array([v[1:] for v in fixtures.VERTICES], float)
+    single, kernels.solve_anchor = kernels.solve_anchor, None
+    try:
+        assert all(h is not None for h in kernels.solve_anchors(np.stack([vertices / 10 + k for k in range(5)]), np.stack([vertices] * 5)))
+    finally:
+        kernels.solve_anchor = single
+
+
 def test_team_votes_of_stable_ids(spark, sf):
     """``stable_team`` is what a plain count of each id's labels gives: up to 999 votes, one off for another team."""
     rows = catalog.QUERIES["t10_team_hysteresis"](spark, sf).collect()

@@ -152,17 +152,99 @@ def solve_anchor(image: np.ndarray, pitch: np.ndarray, threshold: float = DEFAUL
         return h if np.isfinite(q[:, :2] / q[:, 2:]).all() else None
 
 
+#: Numbers in the stacked equations of anchors that are solved at a time.
+STACK = 2_000_000
+
+
+def solve_anchors(image: np.ndarray, pitch: np.ndarray, threshold: float = DEFAULTS.anchor_threshold_cm) -> list[np.ndarray | None]:
+    """``solve_anchor`` of k anchors of n pairs each, (k, n, 2).
+
+    Where one four's fit has all pairs within the threshold no four can have more, so all pairs choose the final fit and the
+    other fours need no try. A few widely spread fours are tried in stacks; anchors that none of them settles take every four.
+    """
+    out: list[np.ndarray | None] = [None] * len(image)
+    n = image.shape[1]
+    if n < 4:
+        return out
+    whole = np.isfinite(image).all((1, 2)) & np.isfinite(pitch).all((1, 2))
+    todo = np.flatnonzero(whole)
+    ones = np.ones((len(image), n, 1))
+    with np.errstate(all="ignore"):
+        settled = [todo] if n == 4 else []
+        for turn in range(3 if n > 4 else 0):
+            if not len(todo):
+                break
+            four = spread_four(image[todo], turn)
+            at = np.arange(len(todo))[:, None]
+            sure = np.zeros(len(todo), bool)
+            # three of the four near one line have no fit of their own
+            firm = np.flatnonzero(firm_four(image[todo][at, four]) & firm_four(pitch[todo][at, four]))
+            tries = four_fit(*(x[todo[firm][:, None], four[firm]] for x in (image, pitch)))
+            q = np.concatenate([image[todo[firm]], ones[todo[firm]]], 2) @ np.swapaxes(tries, 1, 2)
+            error = np.sqrt(((q[..., :2] / q[..., 2:] - pitch[todo[firm]]) ** 2).sum(2))
+            sure[firm] = (error <= threshold).all(1)  # not so for nan
+            settled.append(todo[sure])
+            todo = todo[~sure]
+        for at in settled:
+            if not len(at):
+                continue
+            h = _unit(dlt(image[at], pitch[at]))
+            q = np.concatenate([image[at], ones[at]], 2) @ np.swapaxes(h, 1, 2)
+            good = np.isfinite(h).all((1, 2)) & np.isfinite(q[..., :2] / q[..., 2:]).all((1, 2))
+            good[good] = ~(np.linalg.cond(h[good]) > 1e14)
+            for k, x, g in zip(at, h, good):
+                out[k] = x if g else None
+    if n > 4:
+        for k in todo:
+            out[k] = solve_anchor(image[k], pitch[k], threshold)
+    return out
+
+
+def spread_four(points: np.ndarray, turn: int) -> np.ndarray:
+    """Places (k, 4) of four points each that lie far out in four directions, another cross of directions a ``turn``."""
+    angle = turn * np.pi / 6 + 0.3
+    u, v = np.array([np.cos(angle), np.sin(angle)]), np.array([-np.sin(angle), np.cos(angle)])
+    a, b = points @ u, points @ v
+    return np.stack([a.argmin(1), a.argmax(1), b.argmin(1), b.argmax(1)], 1)
+
+
+def firm_four(points: np.ndarray) -> np.ndarray:
+    """Whether no three of four points (k, 4, 2) are near one line (or one point)."""
+    size = ((points - points.mean(1, keepdims=True)) ** 2).sum((1, 2))
+    ok = size > 0
+    for i, j, k in combinations(range(4), 3):
+        d, e = points[:, j] - points[:, i], points[:, k] - points[:, i]
+        ok &= np.abs(d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]) > 1e-3 * size
+    return ok
+
+
+def four_fit(image: np.ndarray, pitch: np.ndarray) -> np.ndarray:
+    """Homographies (k, 3, 3) of four firm pairs (k, 4, 2): both fours are seen from the same frame of reference."""
+
+    def frame(p: np.ndarray) -> np.ndarray:
+        h = np.concatenate([p, np.ones((len(p), 4, 1))], 2).swapaxes(1, 2)
+        return h[..., :3] * np.linalg.solve(h[..., :3], h[..., 3:]).swapaxes(1, 2)
+
+    return frame(pitch) @ np.linalg.inv(frame(image))
+
+
 def fit_anchor(anchors: DataFrame, threshold: float = DEFAULTS.anchor_threshold_cm) -> DataFrame:
     """Anchors (match_id, frame, image_pts, pitch_pts arrays of struct<x, y>) with ``h`` (null where there is no fit)."""
     flat = anchors.select(*KEY, *[F.expr(f"transform({c}, q -> cast(q.{a} as double))").alias(f"{c}_{a}") for c in ("image_pts", "pitch_pts") for a in "xy"])
+    names = ["image_pts_x", "image_pts_y", "pitch_pts_x", "pitch_pts_y"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                a, b = ([] if x is None else list(zip(x, y)) for x, y in ((r.image_pts_x, r.image_pts_y), (r.pitch_pts_x, r.pitch_pts_y)))
-                h = solve_anchor(np.array(a), np.array(b), threshold) if a and b else None
-                out.append(None if h is None else h.ravel())
+            out: list[np.ndarray | None] = [None] * len(pdf)
+            size = pdf[names].map(lambda v: -1 if v is None else len(v)).to_numpy().reshape(len(pdf), 4)
+            alike = (size == size[:, :1]).all(1) & (size[:, 0] >= 4)
+            for n in np.unique(size[alike, 0]):
+                at = np.flatnonzero(alike & (size[:, 0] == n))
+                step = max(1, STACK // (18 * int(n)))
+                for k in (at[i : i + step] for i in range(0, len(at), step)):
+                    a, b = (np.stack([np.stack(pdf[c].iloc[k].to_list()).astype(float) for c in cs], -1) for cs in (names[:2], names[2:]))
+                    for i, h in zip(k, solve_anchors(a, b, threshold)):
+                        out[i] = None if h is None else h.ravel()
             yield pd.DataFrame({"match_id": pdf["match_id"], "frame": pdf["frame"], "h": out})
 
     return flat.mapInPandas(run, "match_id bigint, frame bigint, h array<double>")

@@ -393,3 +393,25 @@ def test_segments_of_a_match_give_what_the_whole_gives(spark):
         want = folds.fold(solves.join(motion, ["match_id", "frame"], "left"), ["match_id"], [], folds.Pose, folds.state_step(reinit, most), schema)
         assert key(folds.homography_states(solves, motion, reinit, most)) == key(want)
     folds.SOLVES = old
+
+
+def test_repair_reads_its_tracks_few_times(spark, sf, capsys):
+    """The flow's work must not double with each of its steps: deduped rows once for the purity of ids, once for the repair."""
+    from touchline.plans import catalog
+
+    for name, most in (("t9_auto_repair", 2), ("flow_auto_repair", 3)):
+        catalog.QUERIES[name](spark, sf).explain()
+        assert 0 < capsys.readouterr().out.count("FileScan parquet") <= most
+
+
+def test_repair_of_frames_that_straddle_pieces():
+    import pyarrow as pa
+
+    frames = [1, 1, 2, 2, 2, 3, 5, 5, 6]
+    whole = pa.RecordBatch.from_arrays([pa.array(frames), pa.array(range(9))], ["frame", "n"])
+    for cuts in ([], [1], [2], [3, 4], [1, 2, 3, 4, 5, 6, 7, 8], [0, 5]):
+        ends = [0, *cuts, 9]
+        got = list(folds.whole_frames(whole.slice(a, b - a) for a, b in zip(ends, ends[1:])))
+        assert [n for piece in got for n in piece["n"].to_pylist()] == list(range(9))
+        seen = [set(piece["frame"].to_pylist()) for piece in got]
+        assert sum(map(len, seen)) == len(set(frames))

@@ -30,8 +30,10 @@ def dedupe_tracks(df: DataFrame, id_col: str = "display_track_id", scope: str =
     keys = ["match_id", "frame", id_col]
     if scope == "all":
         return best_of(df, keys, order)
-    people = F.col("class_id") != BALL
-    return best_of(df.filter(people), keys, order).unionByName(df.filter(~people))
+    # one reading of ``df``: the ball's rows stand beside those of people and are not ranked out
+    side = F.col("class_id") == BALL
+    rank = F.row_number().over(Window.partitionBy(*keys, side).orderBy(*ordered_by(order, df)))
+    return df.filter("class_id IS NOT NULL").withColumn("_rank", rank).filter(side | (F.col("_rank") <= 1)).drop("_rank")
 
 
 def resolve_collisions(df: DataFrame, id_col: str = "display_track_id", order: list[str] = BEST) -> tuple[DataFrame, DataFrame]:

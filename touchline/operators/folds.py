@@ -11,26 +11,50 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.boxes import centre
 from ..params import BALL, DEFAULTS, KEEPER, PLAYER, REFEREE, Params
-from .joins import duplicates_of_clean, pairwise_iou
+from .joins import pairwise_iou
 
 KEY = ["match_id", "frame"]
 Step = Callable[[object, int, list[dict]], list[dict]]
 
 
-def frames_of(pieces: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[dict]]]:
+#: Types of the columns that a fold gives.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+
+
+def values_of(column: pa.Array) -> list:
+    """A column's values; null and NaN are None, arrays are numpy arrays."""
+    if pa.types.is_list(column.type):
+        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        return [flat[a:b] if ok else None for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), column.is_valid().to_pylist())]
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_floating(column.type):
+        lone = column.to_numpy(zero_copy_only=False)
+        out = lone.tolist()
+        for k in np.flatnonzero(np.isnan(lone)).tolist():  # a null is a NaN here too
+            out[k] = None
+        return out
+    return column.to_pylist()
+
+
+def frames_of(pieces: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """(frame, rows) in order; a frame that straddles two pieces is put together."""
     held: tuple[int, list[dict]] | None = None
     for piece in pieces:
-        clean = piece.astype(object).where(piece.notna(), None)
-        for frame, rows in groupby(clean.to_dict("records"), key=lambda r: r["frame"]):
+        names = piece.schema.names
+        records = [dict(zip(names, row)) for row in zip(*map(values_of, piece.columns))]
+        for frame, rows in groupby(records, key=itemgetter("frame")):
             rows = list(rows)
             if held and held[0] == frame:
                 held[1].extend(rows)
@@ -44,22 +68,23 @@ def frames_of(pieces: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[dict]]
 
 def fold(df: DataFrame, keys: list[str], order: list[str], state: Callable[[], object], step: Step, schema: str) -> DataFrame:
     """Rows of ``step(state, frame, rows)`` for each key's frames in order; ``order`` ranks the rows of a frame."""
-    names = [c.split()[0] for c in schema.split(",")]
+    types = pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in schema.split(","))])
+
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type, from_pandas=True) for f in types], schema=types)
 
-    def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, out = state(), []
         for frame, rows in frames_of(pieces):
             out += step(s, frame, rows)
             if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=names)
+                yield table(out)
                 out = []
-        yield pd.DataFrame(out, columns=names)
-
-    from pyspark.sql.functions import col
+        yield table(out)
 
     by = [*keys, "frame", *order]
-    ordered = df.repartition(*keys).sortWithinPartitions(*[col(c[1:]).desc() if c[0] == "-" else col(c) for c in by])
-    return ordered.groupBy(*keys).applyInPandas(run, schema)
+    ordered = df.repartition(*keys).sortWithinPartitions(*[F.col(c[1:]).desc() if c[0] == "-" else F.col(c) for c in by])
+    return ordered.groupBy(*keys).applyInArrow(run, schema)
 
 
 def iou(a: tuple, b: tuple) -> float:
@@ -504,66 +529,81 @@ def densify_anchors(anchors: DataFrame, motion: DataFrame) -> DataFrame:
 # ---- T9: automatic repair -----------------------------------------------------------------------------------------
 
 
-@dataclass
-class Seen:
-    """Last place of each clean id: frame, x, y, team."""
-
-    last: dict[int, tuple[int, float, float, int]] = field(default_factory=dict)
-
-
-def stitch_step(p: Params = DEFAULTS) -> Step:
-    def step(s: Seen, frame: int, rows: list[dict]) -> list[dict]:
-        here = set()
-        for r in rows:
-            if r["is_clean"]:
-                s.last[r["display_track_id"]] = frame, r["cx"], r["cy"], r["team_id"]
-                here.add(r["display_track_id"])
-        out = []
-        for r in rows:
-            if r["is_clean"]:
+def whole_frames(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces that no frame straddles."""
+    tail: list[pa.RecordBatch] = []
+    for piece in pieces:
+        if not piece.num_rows:
+            continue
+        frame = piece["frame"].to_numpy(zero_copy_only=False)
+        if tail and frame[0] != tail[-1]["frame"][0].as_py():
+            yield pa.concat_batches(tail)
+            tail = []
+        cut = int(np.flatnonzero(frame != frame[-1])[-1]) + 1 if frame[0] != frame[-1] else 0
+        if cut:
+            yield pa.concat_batches([*tail, piece.slice(0, cut)])
+            tail = []
+        tail.append(piece.slice(cut))
+    if tail:
+        yield pa.concat_batches(tail)
+
+
+def repair_frames(pieces: Iterator[pa.RecordBatch], p: Params) -> Iterator[tuple[pa.RecordBatch, list[str], list[int | None]]]:
+    """Each piece of a match with the actions and new ids of its rows. The state is the last place of each clean id."""
+    last: dict[int, tuple[int, float, float, int]] = {}
+    for piece in whole_frames(pieces):
+        frame, cls, team, cx, cy, ids, clean = (values_of(piece[c]) for c in ("frame", "class_id", "team_id", "_cx", "_cy", "_id", "_clean"))
+        action, new = ["clean"] * len(frame), list(ids)
+        at = 0
+        for now, group in groupby(frame):
+            rows = range(at, at := at + sum(1 for _ in group))
+            here = {ids[k] for k in rows if clean[k]}
+            for k in rows:
+                if clean[k]:
+                    last[ids[k]] = now, cx[k], cy[k], team[k]
+            if len(here) == len(rows):
                 continue
-            best = None
-            for cid, (when, x, y, team) in s.last.items():
-                if cid not in here and team == r["team_id"] and frame - when <= p.restitch_frames:
-                    far = math.hypot(x - r["cx"], y - r["cy"])
-                    if far < p.restitch_px and (best is None or (far, cid) < best):
-                        best = far, cid
-            if best:
-                here.add(best[1])
-                s.last[best[1]] = frame, r["cx"], r["cy"], r["team_id"]
-            out.append({"_row": r["_row"], "stitched": best[1] if best else None})
-        for cid in [c for c, v in s.last.items() if frame - v[0] > p.restitch_frames]:
-            del s.last[cid]
-        return out
-
-    return step
+            for k in rows:
+                if clean[k]:
+                    continue
+                if cls[k] == REFEREE:
+                    action[k], new[k] = "referee", p.referee_id
+                    continue
+                x, y, side = cx[k], cy[k], team[k]
+                if side is not None and any(clean[c] and team[c] == side and math.sqrt((x - cx[c]) * (x - cx[c]) + (y - cy[c]) * (y - cy[c])) < p.duplicate_px for c in rows):
+                    action[k], new[k] = "duplicate", None
+                    continue
+                best = None
+                for cid, (when, px, py, its) in last.items():
+                    if cid not in here and its == side and now - when <= p.restitch_frames:
+                        far = math.hypot(px - x, py - y)
+                        if far < p.restitch_px and (best is None or (far, cid) < best):
+                            best = far, cid
+                action[k], new[k] = ("stitch", best[1]) if best else ("drop", None)
+                if best:
+                    here.add(best[1])
+                    last[best[1]] = now, x, y, side
+            for cid in [c for c, v in last.items() if now - v[0] > p.restitch_frames]:
+                del last[cid]
+        yield piece, action, new
 
 
 def auto_repair(tracks: DataFrame, purity: DataFrame, p: Params = DEFAULTS, id_col: str = "display_track_id", tie: list[str] | None = None) -> DataFrame:
     """People with ``action`` (clean, referee, duplicate, stitch, drop) and ``new_id`` (null where the row goes).
 
-    Referees and duplicates of clean boxes are decided by joins; only the junk that is left and the clean rows are folded.
+    One pass over each match: rows are shuffled once with whether their id is clean, and keep their other columns as they
+    are. A match's ids come as one list, which is small enough for Spark to broadcast by its own size rule.
     """
     tie = tie or ["x1", "y1", "x2", "y2"]
     cx, cy = centre()
-    flag = purity.select("match_id", id_col, "is_clean")
-    people = tracks.filter(F.col("class_id") != BALL).join(flag, ["match_id", id_col]).withColumns({"cx": cx, "cy": cy})
-    key = F.sha2(F.to_json(F.struct(*[c for c in tracks.columns])), 256)  # names a row by its values, the same on every run
-    same = Window.partitionBy("match_id", "frame", "_key").orderBy("_key")  # identical rows are told apart by number
-    people = people.withColumn("_key", key).withColumn("_row", F.concat_ws("#", "_key", F.row_number().over(same))).drop("_key")
-    clean, junk = people.filter("is_clean"), people.filter("NOT is_clean")
-    referee = junk.filter(F.col("class_id") == REFEREE)
-    other = junk.filter(F.col("class_id") != REFEREE)
-    duplicate = duplicates_of_clean(other, clean, "left_semi", p)
-    left = duplicates_of_clean(other, clean, "left_anti", p)
-    cols = ["match_id", "frame", "display_track_id", "team_id", "cx", "cy", "conf", "is_clean", "_row", *tie]
-    rows = clean.unionByName(left).withColumn("display_track_id", F.col(id_col)).select(*dict.fromkeys(cols))
-    stitched = fold(rows, ["match_id"], ["-conf", *tie], Seen, stitch_step(p), "_row string, stitched bigint")
-    done = left.join(stitched, "_row", "left")
-    tag = lambda df, action, new: df.withColumns({"action": action, "new_id": new}).select(*tracks.columns, "action", "new_id")
-    nothing = F.lit(None).cast("bigint")
-    parts = [tag(clean, F.lit("clean"), F.col(id_col)), tag(referee, F.lit("referee"), F.lit(p.referee_id).cast("bigint")), tag(duplicate, F.lit("duplicate"), nothing),
-             tag(done, F.when(F.col("stitched").isNotNull(), "stitch").otherwise("drop"), F.col("stitched"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    known = purity.filter(F.col(id_col).isNotNull() & F.col("is_clean").isNotNull()).groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(id_col, "is_clean"))).alias("_ids"))
+    people = tracks.filter(F.col("class_id") != BALL).join(known, "match_id").withColumns({"_cx": cx, "_cy": cy, "_id": F.col(id_col).cast("bigint"), "_clean": F.try_element_at("_ids", F.col(id_col))})
+    people = people.filter("_clean IS NOT NULL").drop("_ids")
+    columns = tracks.columns
 
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, action, new in repair_frames(pieces, p):
+            yield pa.RecordBatch.from_arrays([*(piece[c] for c in columns), pa.array(action, pa.string()), pa.array(new, pa.int64())], [*columns, "action", "new_id"])
 
+    ordered = people.repartition("match_id").sortWithinPartitions("match_id", "frame", F.col("conf").desc(), *tie)
+    return ordered.groupBy("match_id").applyInArrow(run, StructType([*tracks.schema.fields]).add("action", "string").add("new_id", "long"))

@@ -49,10 +49,18 @@ def kpi_summary(tracks: DataFrame, frames: DataFrame, id_col: str = "display_tra
 def class_purity(tracks: DataFrame, id_col: str = "display_track_id", p: Params = DEFAULTS) -> DataFrame:
     """Share of the commonest class of each id, its mode class and team (lowest of ties), and whether it is clean."""
     people = tracks.filter(F.col("class_id") != BALL)
-    each = people.groupBy("match_id", id_col, "class_id").agg(F.count("*").alias("n"))
-    pure = each.groupBy("match_id", id_col).agg((F.max("n") / F.sum("n")).alias("purity"), F.sum("n").alias("n_rows"))
-    modes = people.groupBy("match_id", id_col).agg(F.mode("class_id", True).alias("mode_class"), F.mode("team_id", True).alias("mode_team"))
-    return pure.join(modes, ["match_id", id_col]).withColumn("is_clean", F.col("purity") >= p.purity)
+    # counts of a few (class, team) pairs an id, from one reading of the rows
+    each = people.groupBy("match_id", id_col, "class_id", "team_id").agg(F.count("*").alias("n"))
+    lists = each.groupBy("match_id", id_col).agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct("class_id", "team_id", "n")).alias("_l"))
+
+    def counts(of: str):
+        total = lambda v: F.aggregate(F.filter("_l", lambda x: x[of] == v), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+        known = F.array_distinct(F.filter(F.transform("_l", lambda x: x[of]), lambda v: v.isNotNull()))
+        return F.array_min(F.transform(known, lambda v: F.struct((-total(v)).alias("n"), v.alias("v"))))  # the commonest, the lowest of ties
+
+    out = lists.withColumns({"_class": counts("class_id"), "_team": counts("team_id")})
+    out = out.select("match_id", id_col, (-F.col("_class.n") / F.col("n_rows")).alias("purity"), "n_rows", F.col("_class.v").alias("mode_class"), F.col("_team.v").alias("mode_team"))
+    return out.withColumn("is_clean", F.col("purity") >= p.purity)
 
 
 def segment_summary(segmented: DataFrame, id_col: str = "display_track_id", bounds: str = "observed", fps: float = DEFAULTS.fps) -> DataFrame:

@@ -39,16 +39,18 @@ def interpolate_gaps(df: DataFrame, p: Params = DEFAULTS, keys: list[str] = TRAC
     Other columns are those of the row before; a coordinate stays at its earlier value where either end is null.
     """
     moving = [c for c in ("x1", "y1", "x2", "y2", "x_m", "y_m", "cx", "cy") if c in df.columns]
-    people = df.filter(F.col("class_id") != BALL)
-    w = Window.partitionBy(*keys).orderBy("frame")
-    ahead = people.withColumns({f"_n{c}": F.lead(c).over(w) for c in ("frame", *moving)})
+    side = F.coalesce(F.col("class_id") == BALL, F.lit(True))  # such rows have no gaps
+    w = Window.partitionBy(*keys, side).orderBy("frame")
+    ahead = df.withColumns({f"_n{c}": F.lead(c).over(w) for c in ("frame", *moving)})
     gap = F.col("_nframe") - F.col("frame")
-    holes = ahead.filter((gap > 1) & (gap <= p.fill_max_gap)).withColumn("_f", F.explode(F.sequence(F.col("frame") + 1, F.col("_nframe") - 1)))
+    hole = ~side & (gap > 1) & (gap <= p.fill_max_gap)
+    # a row and those that fill the gap behind it, so the table is read once
+    each = ahead.select("*", F.posexplode(F.when(hole, F.sequence(F.col("frame"), F.col("_nframe") - 1)).otherwise(F.array("frame"))).alias("_k", "_f"))
+    own = F.col("_k") == 0
     t = (F.col("_f") - F.col("frame")) / gap
     value = {c: F.coalesce(F.col(c) + (F.col(f"_n{c}") - F.col(c)) * t, F.col(c)) for c in moving}
-    fixed = {"conf": F.lit(0.0), "detector_ran": F.lit(0)}
-    filled = holes.select(*[F.col("_f").alias(c) if c == "frame" else value[c].alias(c) if c in value else fixed[c].cast(df.schema[c].dataType).alias(c) if c in fixed else F.col(c) for c in df.columns], F.lit(1).alias("track_filled"))
-    return df.withColumn("track_filled", F.lit(0)).unionByName(filled)
+    value |= {"frame": F.col("_f"), "conf": F.lit(0.0), "detector_ran": F.lit(0)}
+    return each.select(*[F.when(own, F.col(c)).otherwise(value[c].cast(df.schema[c].dataType)).alias(c) if c in value else F.col(c) for c in df.columns], F.when(own, 0).otherwise(1).alias("track_filled"))
 
 
 def team_votes(df: DataFrame, id_col: str = "track_id", p: Params = DEFAULTS) -> DataFrame:

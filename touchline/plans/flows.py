@@ -34,7 +34,7 @@ def repair_ids(tracks: DataFrame, order: list[str] = BEST, p: Params = DEFAULTS)
     one = dedupe.dedupe_tracks(tracks, order=order)
     fixed = folds.auto_repair(one, reports.class_purity(one, p=p), p, tie=[c.lstrip("-") for c in order if c != "-conf"])
     kept = fixed.filter("new_id IS NOT NULL").withColumn("display_track_id", F.col("new_id")).select(*one.columns)
-    kept, _ = dedupe.resolve_collisions(kept.unionByName(one.filter(F.col("class_id") == BALL)), order=order)
+    kept, _ = dedupe.resolve_collisions(kept.unionByName(tracks.filter(F.col("class_id") == BALL)), order=order)
     out = windows.interpolate_gaps(kept, p)
     return out, reports.coverage_per_id(out)
 

@@ -415,3 +415,14 @@ def test_repair_of_frames_that_straddle_pieces():
         assert [n for piece in got for n in piece["n"].to_pylist()] == list(range(9))
         seen = [set(piece["frame"].to_pylist()) for piece in got]
         assert sum(map(len, seen)) == len(set(frames))
+
+
+def test_far_officials_are_not_compared(monkeypatch):
+    """A player meets only the remembered officials whose boxes touch its own; the one it covers most still claims it."""
+    row = lambda i, c, x: {"match_id": 1, "frame": 0, "track_id": i, "class_id": c, "conf": 0.9, "x1": x, "y1": 0.0, "x2": x + 30, "y2": 60.0, "gate_x": None, "gate_y": None}
+    state, step = folds.Officials(), folds.clean_step()
+    state.memory = {k: (3, (100.0 * k, 0.0, 100.0 * k + 30, 60.0), 0, 1) for k in range(20)}
+    calls, iou = [], folds.iou
+    monkeypatch.setattr(folds, "iou", lambda a, b: calls.append(1) or iou(a, b))
+    out = step(state, 1, [row(50, 2, 405.0), row(51, 2, 2500.0)])
+    assert {(r["track_id"], r["class_id"], r["rescued_from"]) for r in out} == {(4, 3, 50), (51, 2, None)} and len(calls) <= 2

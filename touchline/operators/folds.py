@@ -306,13 +306,13 @@ def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
             return m if m and m[0] == r["class_id"] and frame - m[2] <= horizon else None
 
         claimed = {r["track_id"] for r in rows if r["class_id"] in (KEEPER, REFEREE) and r["track_id"] >= 0}
-        for r in rows:  # players on a remembered official's place
+        near = [(sid, cls, at, frame - when) for sid, (cls, at, when, _) in s.memory.items() if 0 < frame - when <= horizon and sid not in claimed]
+        for r in rows if near else []:  # players on a remembered official's place
             if r["class_id"] != PLAYER:
                 continue
-            best = None
-            for sid, (cls, at, when, _) in s.memory.items():
-                gap = frame - when
-                if 0 < gap <= horizon and sid not in claimed and (over := iou(xyxy(r), at)) >= 0.20:
+            best, (x1, y1, x2, y2) = None, xyxy(r)
+            for sid, cls, at, gap in near:
+                if at[0] < x2 and x1 < at[2] and at[1] < y2 and y1 < at[3] and sid not in claimed and (over := iou((x1, y1, x2, y2), at)) >= 0.20:
                     best = max(best or (-math.inf, 0, 0), (over - 0.01 * gap, -sid, cls))
             if best:
                 r["rescued_from"], r["track_id"], r["class_id"] = r["track_id"], -best[1], best[2]

@@ -1,5 +1,6 @@
 """Micro frames for each branch of the order-dependent operators and numeric jobs."""
 
+import math
 from itertools import permutations
 
 import numpy as np
@@ -426,3 +427,11 @@ def test_far_officials_are_not_compared(monkeypatch):
     monkeypatch.setattr(folds, "iou", lambda a, b: calls.append(1) or iou(a, b))
     out = step(state, 1, [row(50, 2, 405.0), row(51, 2, 2500.0)])
     assert {(r["track_id"], r["class_id"], r["rescued_from"]) for r in out} == {(4, 3, 50), (51, 2, None)} and len(calls) <= 2
+
+
+def test_values_of_arrow_columns():
+    import pyarrow as pa
+
+    assert folds.values_of(pa.array([1, None, 3])) == [1, None, 3] and folds.values_of(pa.array([1.5, None, math.nan])) == [1.5, None, None]
+    rows = folds.values_of(pa.array([[9.0], [1.0, None], None, []], pa.list_(pa.float64())).slice(1))
+    assert rows[0][0] == 1.0 and math.isnan(rows[0][1]) and rows[1] is None and len(rows[2]) == 0

@@ -387,7 +387,7 @@ class Colours:
 
 def colour_step(enough: int = 30, keep: float = 0.8, margin: float = 0.08) -> Step:
     def unit(v: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(v)
+        n = math.sqrt(v.dot(v))
         return v / n if n > 1e-9 else v
 
     def step(s: Colours, frame: int, rows: list[dict]) -> list[dict]:

@@ -88,6 +88,16 @@ def test_bad_lines_are_kept_and_counted(spark, tmp_path):
     assert sorted((r["source_file"][-5:], r["lines"], r["bad_lines"]) for r in tables.line_report(df).collect()) == [("a.csv", 5, 2), ("b.csv", 1, 0)]
 
 
+def test_reading_does_no_slow_work_a_field(spark, tmp_path):
+    """Texts for nothing in any mix of cases; no lower-casing and no search for a column's name in each line."""
+    (tmp_path / "a.csv").write_text("frame,conf,note\n1,nAn,NULL\n2,NoNe, nuLL \n3,0.5,nanx\n")
+    (tmp_path / "b.csv").write_text("note;frame\nNONE;4\n")
+    df = tables.read_tracks(spark, str(tmp_path))
+    assert sorted(df.select("frame", "conf", "note").collect()) == [(1, None, None), (2, None, None), (3, 0.5, "nanx"), (4, None, None)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" not in plan and "array_position" not in plan.split("Join")[0]
+
+
 def test_alike_files_need_no_join_and_empty_ones_give_nothing(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"{k}.csv").write_text("frame,class_id\n1,2\n")

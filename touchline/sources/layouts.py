@@ -58,17 +58,20 @@ def split_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame,
         return spark.createDataFrame([], "source_file string, bad_line boolean"), []
     most = row["most"]
     names = list(dict.fromkeys([*most["names"], *row["names"]]))
-    common = F.struct(F.lit(most["line"]).alias("line"), F.lit(most["sep"]).alias("sep"), F.array(*map(F.lit, most["names"])).alias("names"))
+    # places are found once a file, so a line takes its columns by number; a name that the file lacks has place -1
+    places = [most["names"].index(c) if c in most["names"] else -1 for c in names]
+    common = F.struct(F.lit(most["line"]).alias("line"), F.lit(most["sep"]).alias("sep"), F.lit(len(most["names"])).alias("n"), F.array(*map(F.lit, places)).alias("places"))
     if row["n"] > 1:
-        others = heads.filter(F.col("line") != most["line"]).select("source_file", F.struct("line", "sep", "names").alias("_other"))
+        own = F.array(*[(F.array_position("names", F.lit(c)) - 1).cast("int") for c in names])
+        others = heads.filter(F.col("line") != most["line"]).select("source_file", F.struct("line", "sep", F.size("names").alias("n"), own.alias("places")).alias("_other"))
         found = found.join(others, "source_file", "left").withColumn("_layout", F.coalesce("_other", common))
     else:
         found = found.withColumn("_layout", common)
     shape = F.lit(None)
     for s in row["shapes"]:
-        shape = F.when((F.col("_layout.sep") == s["sep"]) & (F.size("_layout.names") == s["n"]), _fields(s["sep"], s["n"])).otherwise(shape)
+        shape = F.when((F.col("_layout.sep") == s["sep"]) & (F.col("_layout.n") == s["n"]), _fields(s["sep"], s["n"])).otherwise(shape)
     rows = found.filter(F.col("value") != F.col("_layout.line")).withColumn("_row", shape)
-    # a null array has no place; a name that the file lacks has place 0
-    column = lambda c: F.get("_row.fields", F.array_position("_layout.names", F.lit(c)).cast("int") - 1).alias(c)
+    # a null array has no place
+    column = lambda k, c: F.get("_row.fields", F.get("_layout.places", F.lit(k))).alias(c)
     clash = [c for c in names if c not in ("source_file", "bad_line")]
-    return rows.select("source_file", F.col("_row.bad").alias("bad_line"), *[column(c) for c in clash]), clash
+    return rows.select("source_file", F.col("_row.bad").alias("bad_line"), *[column(k, c) for k, c in enumerate(names) if c in clash]), clash

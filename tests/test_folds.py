@@ -145,6 +145,33 @@ def test_gallery_and_distance():
     assert abs(looks.distances(probe)[other] - 0.75 * d.min() - 0.25 * d.mean()) < 1e-9
 
 
+def test_a_look_meets_only_people_who_are_possible(monkeypatch):
+    """One person near, many far: the array of all looks is not touched; pair and array give the same distance."""
+    asked = []
+    monkeypatch.setattr(stable_ids.Looks, "distances", lambda self, look: asked.append(look) or [None] * len(self.n))
+    crowd = [seen(150.0 * k, k, A) for k in range(12)]
+    assert [r for _, r in follow([crowd, [seen(4, 0, A)], [seen(130, 99, A)]], gaps=[0, 3, 6])[2]] == ["assign"] and not asked
+    monkeypatch.undo()
+    rng, looks = np.random.default_rng(4), stable_ids.Looks()
+    for row in [looks.add() for _ in range(5)]:
+        for _ in range(9 * row):
+            looks.show(row, rng.normal(size=6), stable_ids.PLAYERS)
+    for probe in [rng.normal(size=6), looks.data[3, 2].copy()]:
+        pairs = [looks.distance(row, probe, float(probe @ probe)) for row in range(5)]
+        assert pairs[0][0] is None and looks.distances(probe) == [None, *(pytest.approx(d, abs=1e-7) for d, _ in pairs[1:])]
+        held = [looks.data[row, 1 : looks.n[row]] for row in range(1, 5)]
+        assert [near for _, near in pairs[1:]] == pytest.approx([np.sqrt(((h - probe) ** 2).sum(1)).min() / 2 for h in held], abs=1e-6)
+
+
+def test_few_rows_are_assigned_as_many():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        c = rng.integers(0, 4, rng.integers(1, 12, 2)) + rng.choice([0.0, 0.25], 1)
+        c[rng.random(c.shape) < 0.3] = np.inf
+        rows, cols = kernels.assign(np.where(np.isfinite(c), c, 1e6))
+        assert stable_ids.assign_few(c.tolist()) == list(zip(rows.tolist(), cols.tolist()))
+
+
 def test_colours_and_poses():
     step, s = folds.colour_step(enough=4), folds.Colours()
     rows = lambda *v: [{"match_id": 1, "track_id": k, "feature": x} for k, x in enumerate(v)]

@@ -2,8 +2,9 @@
 
 A frame's detections pass six stages; each takes what the stages before left over: continuity with the frame before,
 the raw tracker's own id, a cheapest assignment, a rescue by motion alone, then new ids, or at the cap the reuse of an
-old one. ``assign_reason`` says which stage decided. The looks of all people of a crowd stand in one array, so a detection
-meets all of them in one product, once a frame; the other costs are a few numbers a pair that is near enough.
+old one. ``assign_reason`` says which stage decided. A detection's look meets the looks of one person where place and
+time leave that person possible, and of all people (one array) in one product at the cap. The other costs are a few plain
+numbers a pair that is near enough, as arrays of two or three numbers cost more than they save.
 """
 
 from __future__ import annotations
@@ -59,10 +60,10 @@ ROLES = {
 
 @dataclass
 class Person:
-    at: np.ndarray
+    at: tuple[float, float]
     seen: int
     raw: int
-    velocity: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    velocity: tuple[float, float] = (0.0, 0.0)
     row: int = 0  # of its looks
     team: int = -1
     votes: int = 0
@@ -96,8 +97,28 @@ class Looks:
         k = len(self.n)
         d = self._halves(self.data[:k] @ look, self.square[:k], look)
         inside = np.arange(d.shape[1]) < self.n[:, None]
-        out = 0.75 * np.where(inside, d, np.inf).min(1) + 0.25 * np.where(inside, d, 0).sum(1) / np.maximum(self.n, 1)
-        return [float(x) if n else None for x, n in zip(out, self.n)]
+        mean = (d * inside).sum(1) / np.maximum(self.n, 1)
+        d[~inside] = np.inf
+        out = (0.75 * d.min(1) + 0.25 * mean).tolist()
+        for row in np.flatnonzero(self.n == 0).tolist():
+            out[row] = None
+        return out
+
+    def distance(self, row: int, look: np.ndarray | None, length: float = 0.0) -> tuple[float | None, float]:
+        """One of ``distances``, and the least half distance to the person's gallery alone (without the average). ``length``: the look's, squared."""
+        n = int(self.n[row])
+        if look is None or not n:
+            return None, np.inf
+        far = self.data[row, :n] @ look
+        far *= -2
+        far += self.square[row, :n] + length
+        gallery = float(np.minimum.reduce(far[1:]))
+        least = min(gallery, float(far[0]))
+        if least <= 1e-12:
+            far[far <= 1e-12] = 0
+            least, gallery = (x if x > 1e-12 else 0.0 for x in (least, gallery))
+        mean = float(np.add.reduce(np.sqrt(far, out=far))) / (2 * n)
+        return 0.75 * math.sqrt(least) / 2 + 0.25 * mean, math.sqrt(gallery) / 2
 
     @staticmethod
     def _halves(product: np.ndarray, square: np.ndarray, look: np.ndarray) -> np.ndarray:
@@ -113,7 +134,8 @@ class Looks:
             self.square = np.concatenate([self.square, np.zeros((more, self.square.shape[1]))])
         return len(self.n) - 1
 
-    def show(self, row: int, look: np.ndarray | None, r: Rules) -> None:
+    def show(self, row: int, look: np.ndarray | None, r: Rules, near: float | None = None) -> None:
+        """``near``: the look's least half distance to the person's gallery, where that is known."""
         if look is None:
             return
         if not self.data.size:
@@ -122,7 +144,7 @@ class Looks:
         if not n:
             own[:2], square[:2], self.n[row] = look, look @ look, 2
             return
-        if n < 5 or self._halves(own[1:n] @ look, square[1:n], look).min() >= r.gallery_step:
+        if n < 5 or (self._halves(own[1:n] @ look, square[1:n], look).min() if near is None else near) >= r.gallery_step:
             if n > r.gallery:  # the oldest goes
                 own[1 : n - 1], square[1 : n - 1] = own[2:n].copy(), square[2:n].copy()
                 n -= 1
@@ -147,46 +169,96 @@ class Crowd:
 class Detection:
     def __init__(self, r: dict):
         self.row, self.box = r, xyxy(r)
-        self.at = np.array([(self.box[0] + self.box[2]) / 2, (self.box[1] + self.box[3]) / 2])
+        self.at = (self.box[0] + self.box[2]) / 2, (self.box[1] + self.box[3]) / 2
         self.raw = -1 if r["tracker_id"] is None else int(r["tracker_id"])
         self.look = None if r["appearance"] is None else np.asarray(r["appearance"], float)
         self.team = -1 if r["team_id"] is None else int(r["team_id"])
         self.id, self.reason = 0, ""
-        self.far: list[float | None] | None = None
+        self.length = 0.0 if self.look is None else float(self.look @ self.look)
+        self.met: dict[int, tuple[float | None, float]] = {}
 
     def unlike(self, p: Person, looks: Looks) -> float | None:
         """How much it differs in look from a person that this frame has not changed yet."""
-        if self.far is None:
-            self.far = looks.distances(self.look)
-        return self.far[p.row] if p.row < len(self.far) else None
+        if p.row not in self.met:
+            self.met[p.row] = looks.distance(p.row, self.look, self.length)
+        return self.met[p.row][0]
 
 
 def away(p: Person, d: Detection, frames: float) -> float:
     """Pixels between a detection and where a person would be ``frames`` frames on."""
-    (x, y), (u, v), (a, b) = d.at.tolist(), p.velocity.tolist(), p.at.tolist()
+    (x, y), (u, v), (a, b) = d.at, p.velocity, p.at
     return math.hypot(x - a - u * frames, y - b - v * frames)
 
 
 def cost(p: Person, d: Detection, frame: int, r: Rules, looks: Looks) -> float:
     gap = frame - p.seen
     if gap < 0 or gap > r.relink_frames:
-        return np.inf
-    far = away(p, d, max(gap, 1))
-    room = r.relink_px * min(2.6, 1 + 0.18 * max(gap, 1))
+        return math.inf
+    frames = gap if gap > 1 else 1
+    far = away(p, d, frames)
+    room = r.relink_px * min(2.6, 1 + 0.18 * frames)
     if far > room:
-        return np.inf
+        return math.inf
     look = d.unlike(p, looks)
     if look is None:
         if gap > r.unknown_gap or far > r.unknown_space * r.relink_px:
-            return np.inf
+            return math.inf
         look = r.unknown_app
     elif look > r.most_app:
-        return np.inf
+        return math.inf
     same = p.raw == d.raw and d.raw >= 0
     locked = 0.0 if same or frame > p.lock_until else 0.35 * (p.lock_until - frame + 1) / max(r.lock, 1)
     return far / max(room, 1e-6) + r.app_weight * look + (-0.20 if same else 0.04) + 0.02 * gap + locked
 
 
+def lead(costs: list[float]) -> float:
+    """How far the second cheapest is behind the cheapest; infinite if there are not two."""
+    two = sorted(costs)[:2]
+    return two[1] - two[0] if len(two) == 2 and two[1] < math.inf else math.inf
+
+
+def assign_few(cost: list[list[float]], most: float = 1e6) -> list[tuple[int, int]]:
+    """Pairs of ``kernels.assign`` (infinite costs count ``most``), by the same steps on plain numbers: made for a few rows."""
+    c = [[x if x < math.inf else most for x in row] for row in cost]
+    if len(c) == 1:
+        return [(0, c[0].index(min(c[0])))]
+    flipped = len(c) > len(c[0])
+    if flipped:
+        c = [list(row) for row in zip(*c)]
+    if len(c) > 8:  # arrays pay from here on
+        pairs = [(int(a), int(b)) for a, b in zip(*assign(np.array(c)))]
+        return [(b, a) for a, b in pairs] if flipped else pairs
+    n, m = len(c), len(c[0])
+    u, v, owner = [0.0] * n, [0.0] * (m + 1), [-1] * (m + 1)  # column m is the virtual start
+    for row in range(n):
+        owner[m] = row
+        at, least, came, used = m, [math.inf] * m, [m] * m, [False] * (m + 1)
+        while owner[at] >= 0:
+            used[at] = True
+            k = owner[at]
+            costs, uk, nxt, delta = c[k], u[k], -1, math.inf
+            for j in range(m):
+                if not used[j]:
+                    slack = costs[j] - uk - v[j]
+                    if slack < least[j]:
+                        least[j], came[j] = slack, at
+                    if least[j] < delta:
+                        nxt, delta = j, least[j]
+            for j in range(m + 1):
+                if used[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                elif j < m:
+                    least[j] -= delta
+            at = nxt
+        while at != m:
+            owner[at] = owner[came[at]]
+            at = came[at]
+        owner[m] = -1
+    pairs = sorted((k, j) for j, k in enumerate(owner[:m]) if k >= 0)
+    return [(b, a) for a, b in pairs] if flipped else pairs
+
+
 def stable_step(r: Rules) -> Step:
     def step(s: Crowd, frame: int, rows: list[dict]) -> list[dict]:
         dets = [Detection(x) for x in rows]
@@ -196,10 +268,11 @@ def stable_step(r: Rules) -> Step:
             p = s.people[sid]
             if p.raw != d.raw:
                 s.by_raw.pop(p.raw, None)
-            p.velocity = 0.7 * p.velocity + 0.3 * (d.at - p.at) / max(frame - p.seen, 1)
+            (x, y), (u, v), (a, b), gap = d.at, p.velocity, p.at, max(frame - p.seen, 1)
+            p.velocity = 0.7 * u + 0.3 * (x - a) / gap, 0.7 * v + 0.3 * (y - b) / gap
             p.at, p.seen, p.raw, p.lock_until = d.at, frame, d.raw, frame + r.lock
             p.vote(d.team)
-            s.looks.show(p.row, d.look, r)
+            s.looks.show(p.row, d.look, r, d.met[p.row][1] if p.row in d.met else None)
             if d.raw >= 0:
                 s.by_raw[d.raw] = sid
             d.id, d.reason = sid, reason
@@ -235,14 +308,13 @@ def stable_step(r: Rules) -> Step:
         window = max(r.relink_frames, r.memory_frames)
         free = [i for i, p in s.people.items() if i not in used and frame - p.seen <= window]
         if left and free:
-            c = np.array([[np.inf if s.people[i].differs(d.team) else cost(s.people[i], d, frame, r, s.looks) for i in free] for d in left])
-            pairs = list(zip(*assign(np.where(np.isfinite(c), c, 1e6))))
+            people = [s.people[i] for i in free]
+            c = [[math.inf if p.differs(d.team) else cost(p, d, frame, r, s.looks) for p in people] for d in left]
             todo = []
-            for a, b in pairs:
-                gap = frame - s.people[free[b]].seen
+            for a, b in assign_few(c):
+                gap = frame - people[b].seen
                 margin = r.ambiguity * (1 + 0.02 * max(gap, 0))
-                lead = lambda v: np.inf if np.isfinite(v).sum() < 2 else float(np.diff(np.sort(v)[:2])[0])
-                if c[a, b] <= r.most_cost and (gap <= 2 or (lead(c[a]) >= margin and lead(c[:, b]) >= margin)):
+                if c[a][b] <= r.most_cost and (gap <= 2 or (lead(c[a]) >= margin and lead([row[b] for row in c]) >= margin)):
                     todo.append((left[a], free[b]))
             for d, sid in todo:
                 take(d, sid, "assign")
@@ -263,11 +335,11 @@ def stable_step(r: Rules) -> Step:
         # 5. new people, or at the cap old ones again
         for d in list(left):
             if 0 < r.cap <= len(s.people):
-                scores = []
+                scores, looks = [], s.looks.distances(d.look)
                 for i, p in s.people.items():
                     gap = max(1, frame - p.seen)
                     if i not in used and gap >= r.reuse_gap:
-                        look = d.unlike(p, s.looks)
+                        look = looks[p.row]
                         far = away(p, d, gap) / (r.relink_px * min(4.5, 1 + 0.35 * gap))
                         scores.append((far + 0.35 * (r.unknown_app if look is None else look) + 0.008 * gap, i))
                 pick = min(scores)[1] if scores else min(((p.seen, i) for i, p in s.people.items() if i not in used), default=(0, None))[1]

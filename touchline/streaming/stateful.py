@@ -55,7 +55,7 @@ def crowd_parts(s: stable_ids.Crowd) -> dict[str, bytes]:
             names.append(f"{sid}:{hashlib.blake2b(raw, digest_size=12).hexdigest()}")
             out[names[-1]] = raw
         mean = own[0].tobytes() if len(own) else None
-        out[str(sid)] = pickle.dumps((sid, p.at.tolist(), p.seen, p.raw, p.velocity.tolist(), p.row, p.team, p.votes, p.lock_until, mean, names))
+        out[str(sid)] = pickle.dumps((sid, p.at, p.seen, p.raw, p.velocity, p.row, p.team, p.votes, p.lock_until, mean, names))
     return out
 
 
@@ -66,7 +66,7 @@ def crowd_of(parts: dict[str, bytes]) -> stable_ids.Crowd:
     looks = s.looks
     looks.data, looks.square, looks.n = np.zeros((len(people), *shape)), np.zeros((len(people), shape[0])), np.zeros(len(people), np.int64)
     for sid, at, seen, raw, velocity, row, team, votes, lock, mean, names in people:
-        s.people[sid] = stable_ids.Person(np.array(at), seen, raw, np.array(velocity), row, team, votes, lock)
+        s.people[sid] = stable_ids.Person(at, seen, raw, velocity, row, team, votes, lock)
         for k, data in enumerate([mean, *(parts[n] for n in names)] if mean is not None else []):
             look = np.frombuffer(data)
             looks.data[row, k], looks.square[row, k], looks.n[row] = look, look @ look, k + 1

@@ -176,3 +176,10 @@ def test_ema_in_pieces_is_the_fold(spark):
             assert all(a is b if b is None or a is None else abs(a - b) < 1e-9 for a, b in zip(sorted(got[k], key=lambda x: (x is None, x or 0)), sorted(w, key=lambda x: (x is None, x or 0))))
     with pytest.raises(ValueError, match="columns are taken: ema"):
         windows.ema(df.withColumnRenamed("piece", "ema"), "v", 0.3)
+
+
+def test_average_ranks_people_once(spark, sf):
+    """Both passes of w10_ema read the same columns, so Spark takes one shuffle for both."""
+    df = catalog.QUERIES["w10_ema"](spark, sf)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

@@ -139,11 +139,14 @@ def ema(df: DataFrame, value: str, alpha: float, keys: list[str] = TRACK, order:
     names = [f"k{i}" for i in range(len(keys))]
     kinds = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for n, k in zip(names, keys))
 
+    def numbers(column: pa.Array) -> list[float | None]:
+        return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
     def effects(key: tuple, pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b, c): with an average before, what comes out is a x average + b; without one it is c."""
         a, b, c = 1.0, 0.0, None
         for batch in pieces:
-            for v in batch["_ema_value"].to_pylist():
+            for v in numbers(batch["_ema_value"]):
                 if v is None:
                     a, b, c = None, None, None  # whatever was before is forgotten
                 else:
@@ -168,7 +171,7 @@ def ema(df: DataFrame, value: str, alpha: float, keys: list[str] = TRACK, order:
             out = []
             if not begun and batch.num_rows:
                 old, begun = batch["_ema_before"][0].as_py(), True
-            for v in batch["_ema_value"].to_pylist():
+            for v in numbers(batch["_ema_value"]):
                 old = v if old is None or v is None else alpha * v + (1 - alpha) * old
                 out.append(old)
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(out, pa.float64())], [*columns, "ema"])

@@ -190,6 +190,21 @@ def test_release_is_linear_in_what_is_released():
     assert e.calls <= 51 and e.told["read"] < 2 * 2000 + 3 * 51 and time.time() - began < 20
 
 
+def test_few_calls_on_the_state_for_many_rows():
+    """A minute of rows of a key comes in and goes out by a few calls; rows of small triggers share a run."""
+    e = Engine(st.Fold(dict, told_step, ["frame", "n"], []))
+    e.trigger([{"frame": f, "event_ms": 10 + f * 400} for f in range(150)])
+    e.mark = 100_000
+    assert [r["frame"] for r in e.trigger([])] == list(range(150)) and e.told["read"] + e.told["written"] <= 8
+    for f in range(1000, 1600):
+        e.trigger([{"frame": f, "event_ms": f * 400}])
+    assert len(e.stores["runs"].data) <= 1 + 600 // st.RUN
+    e.mark = 500_000
+    assert [r["frame"] for r in e.trigger([])] == list(range(1000, 1251)) and len(e.timers) == 1
+    e.mark = 640_000
+    assert [r["frame"] for r in e.trigger([])] == list(range(1251, 1600)) and not e.stores["runs"].data
+
+
 def test_late_rows_and_idle_keys():
     e = Engine(st.Fold(dict, told_step, ["frame", "n"], [], idle_ms=5000))
     e.trigger([{"frame": 0, "event_ms": 100}, {"frame": 1, "event_ms": 2100}], mark=1500)

@@ -4,9 +4,10 @@ A key's rows wait in a buffer until the watermark has passed their frame's time,
 as in batch, in frame order. Rows that come later than the watermark are not folded; they come out flagged ``late`` so
 they can be counted. The stream must have ``event_ts`` and a watermark; state is in the RocksDB store.
 
-The buffer is sorted by construction: rows are kept in chunks of ``CHUNK_MS`` of event time, beside the sorted list of
-chunk numbers. A key has one timer, for its earliest waiting rows; when it fires, chunks are taken from the front until
-the watermark, so a release costs what it releases, whatever else waits. The fold's state is kept in parts (of the crowd
+Each call on the state is a message to the engine, so rows are kept in few: a trigger's rows of a key go in runs of up to
+``RUN`` rows in order of time, few rows into the newest run while it has room, beside the sorted list of the runs' first times.
+A key has one timer, for its earliest waiting row; when it fires, only runs that begin by the watermark are read, and what
+is left of one is written back, so a release costs what it releases and a part of a run at most, whatever else waits. The fold's state is kept in parts (of the crowd
 of ``stabilise_ids``: each person, and each look of a person's gallery; of slots: each id), and only parts that a
 trigger has changed are written. A key that has been idle for ``idle_ms`` of event time after its last row (a match that has
 ended) gives up its state; if it comes back, it starts afresh.
@@ -16,9 +17,10 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,8 @@ from ..params import BALL, DEFAULTS, Params
 
 #: Settings a session needs for these operators.
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-#: Event time of a chunk of the buffer, and after which an idle key is given up, in milliseconds.
-CHUNK_MS, IDLE_MS = 1000, 3_600_000
+#: Rows of a run of the buffer, and event time after which an idle key is given up, in milliseconds.
+RUN, IDLE_MS = 256, 3_600_000
 
 
 def with_event_time(df: DataFrame, start: str = "2024-01-01 00:00:00", fps: float = DEFAULTS.fps, delay: str = "2 seconds") -> DataFrame:
@@ -91,6 +93,15 @@ PARTS = {stable_ids.Crowd: (crowd_parts, crowd_of), folds.Slots: (slot_parts, sl
 WHOLE = (lambda s: {"": pickle.dumps(s)}, lambda parts: pickle.loads(parts[""]))
 
 
+def records(piece: pd.DataFrame) -> Iterator[dict]:
+    """A dict a row; nulls and NaN are None."""
+    columns = []
+    for c in piece.columns:
+        values, bare = piece[c].tolist(), piece[c].isna()
+        columns.append([None if no else v for v, no in zip(values, bare)] if bare.any() else values)
+    return (dict(zip(piece.columns, row)) for row in zip(*columns))
+
+
 class Fold(StatefulProcessor):
     """Buffers rows by time; rows before the watermark go through ``step``, frame by frame."""
 
@@ -102,78 +113,83 @@ class Fold(StatefulProcessor):
         blob = StructType([StructField("v", BinaryType())])
         self.handle = handle
         self.parts = handle.getMapState("parts", StructType([StructField("part", StringType())]), blob)
-        self.chunks = handle.getMapState("chunks", StructType([StructField("chunk", LongType())]), blob)
+        self.runs = handle.getMapState("runs", StructType([StructField("run", LongType())]), blob)
         self.index = handle.getValueState("index", blob)
 
     def _out(self, rows: list[dict], late: int = 0) -> pd.DataFrame:
-        return pd.DataFrame([r | {"late": late} for r in rows], columns=[*self.names, "late"])
+        return pd.DataFrame({c: [r.get(c) for r in rows] for c in self.names} | {"late": [late] * len(rows)})
 
     def _rank(self, r: dict) -> tuple:
         return tuple((r[c[1:]] is None, -(r[c[1:]] or 0)) if c[0] == "-" else (r[c] is None, r[c] or 0) for c in self.order)
 
-    def _read(self) -> tuple[list[int], int | None, int]:
-        """Waiting chunks in order, the timer's time, the latest row's time."""
+    def _read(self) -> tuple[list[tuple[int, int, int]], int | None, int]:
+        """Waiting runs in order (first time, number, rows), the timer's time, the latest row's time."""
         if not self.index.exists():
             return [], None, 0
-        waiting = np.frombuffer(self.index.get()[0], "<i8").tolist()
-        return waiting[2:], waiting[0], waiting[1]
+        timer, last, *flat = np.frombuffer(self.index.get()[0], "<i8").tolist()
+        return list(zip(flat[::3], flat[1::3], flat[2::3])), timer, last
 
-    def _save(self, waiting: list[int], old: int | None, timer: int, last: int) -> None:
+    def _save(self, waiting: list[tuple[int, int, int]], old: int | None, timer: int, last: int) -> None:
         if timer != old:
             if old is not None:
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(timer)
-        self.index.update((np.array([timer, last, *waiting], "<i8").tobytes(),))
+        self.index.update((np.array([timer, last, *(x for run in waiting for x in run)], "<i8").tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        new: dict[int, list[tuple[int, dict]]] = {}
+        new: list[tuple[int, dict]] = []
         late: list[dict] = []
-        first, latest = None, 0
         for piece in rows:
-            clean = piece.astype(object).where(piece.notna(), None)
-            for r in clean.to_dict("records"):
+            for r in records(piece):
                 ms = int(r.pop("event_ms"))
                 if ms <= mark:
                     late.append({c: r.get(c) for c in self.names})
                 else:
-                    new.setdefault(ms // CHUNK_MS, []).append((ms, r))
-                    first, latest = ms if first is None else min(first, ms), max(latest, ms)
+                    new.append((ms, r))
         if new:
+            new.sort(key=itemgetter(0))
             waiting, timer, last = self._read()
-            known = set(waiting)
-            for chunk, add in new.items():
-                held = pickle.loads(self.chunks.getValue((chunk,))[0]) if chunk in known else []
-                self.chunks.updateValue((chunk,), (pickle.dumps(held + add),))
             # a timer of a key without waiting rows is the one that gives the key up
-            due = first if not waiting else min(first, timer)
-            self._save(sorted(known.union(new)), timer, due, max(last, latest))
-        yield self._out(late, 1)
+            due = new[0][0] if not waiting else min(new[0][0], timer)
+            last = max(last, new[-1][0])
+            newest = max(waiting, key=itemgetter(1), default=(0, -1, RUN))
+            number = newest[1] + 1
+            if newest[2] + len(new) <= RUN:
+                number = newest[1]
+                waiting.remove(newest)
+                new = sorted(pickle.loads(self.runs.getValue((number,))[0]) + new, key=itemgetter(0))
+            for k in range(0, len(new), RUN):
+                run = new[k : k + RUN]
+                self.runs.updateValue((number,), (pickle.dumps(run),))
+                waiting.append((run[0][0], number, len(run)))
+                number += 1
+            self._save(sorted(waiting), timer, due, last)
+        if late:
+            yield self._out(late, 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         waiting, _, last = self._read()
         if not waiting:
-            for state in (self.parts, self.chunks, self.index):
+            for state in (self.parts, self.runs, self.index):
                 state.clear()
             return
+        n = bisect_right(waiting, mark, key=itemgetter(0))
         due: list[tuple[int, dict]] = []
-        gone, timer = 0, None
-        for chunk in waiting[: bisect_left(waiting, mark // CHUNK_MS + 1)]:
-            held = pickle.loads(self.chunks.getValue((chunk,))[0])
-            due += [x for x in held if x[0] <= mark]
-            if rest := [x for x in held if x[0] > mark]:
-                timer = min(ms for ms, _ in rest)
-                if len(rest) < len(held):
-                    self.chunks.updateValue((chunk,), (pickle.dumps(rest),))
+        left = waiting[n:]
+        for _, number, _ in waiting[:n]:
+            held = pickle.loads(self.runs.getValue((number,))[0])
+            cut = bisect_right(held, mark, key=itemgetter(0))
+            due += held[:cut]
+            if rest := held[cut:]:
+                self.runs.updateValue((number,), (pickle.dumps(rest),))
+                left.append((rest[0][0], number, len(rest)))
             else:
-                self.chunks.removeKey((chunk,))
-                gone += 1
-        waiting = waiting[gone:]
+                self.runs.removeKey((number,))
         yield self._out(self._fold(due))
-        if timer is None:
-            timer = waiting[0] * CHUNK_MS if waiting else last + self.idle_ms
-        self._save(waiting, None, max(timer, mark + 1), last)  # the timer that fired is gone
+        left.sort()
+        self._save(left, None, max(left[0][0] if left else last + self.idle_ms, mark + 1), last)  # the timer that fired is gone
 
     def _fold(self, due: list[tuple[int, dict]]) -> list[dict]:
         if not due:

@@ -183,3 +183,9 @@ def test_average_ranks_people_once(spark, sf):
     df = catalog.QUERIES["w10_ema"](spark, sf)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alias_flow_ranks_people_once(spark, sf):
+    """The flow reads the written people; none of its branches goes back to the lines and their ranking."""
+    plan = catalog.QUERIES["flow_alias_map"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import homography as hg
 from ..operators import folds, joins, kernels, reports, stable_ids
 from ..operators import rows as p
+from ..sources.shared import kept
 from . import flows
 from .registry import query
 from .row_queries import TIE, h_array
@@ -206,7 +207,9 @@ def _(v):
 def _(v):
     from .track_queries import alias_rules
 
-    return flows.apply_aliases(one(v), alias_rules(v), None, 50, TIE)
+    # written once: the flow reads people four times, each time with other columns, and would rank them each time
+    t = kept(one(v).select("match_id", "frame", "display_track_id", "class_id", "conf", *BOX.split(), "l_partkey", "l_linenumber"), "alias-people")
+    return flows.apply_aliases(t, alias_rules(v), None, 50, TIE)
 
 
 @query("flow_track_frames", "match_id frame track_id display_track_id class_id", BOX + " x_m")

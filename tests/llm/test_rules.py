@@ -295,6 +295,41 @@ def test_labelled_copies_teach_once_and_ids_may_be_strings(spark):
     assert len(rows) == 53 and {e["id"] for r in rows for e in r["evidence"]} == {"a", "b"}
 
 
+def test_the_driver_holds_neither_terms_nor_vectors(spark, monkeypatch):
+    """Tasks sort and pack the postings; the driver only deals places, and knows terms by their hashes."""
+
+    def fail(*_):
+        raise AssertionError("the driver built the index")
+
+    docs = spark.createDataFrame([(k, f"word{'abcdefghij'[k % 10]} and {'good' if k % 3 else 'bad'} ones") for k in range(60)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) AS toxic")
+    for name in ("__init__", "unpack"):
+        monkeypatch.setattr(toxicity.ExampleIndex, name, fail)
+    assert toxicity.score_toxicity(docs, labels).count() == 60
+    place, *_ = toxicity.weigh_terms(docs.selectExpr("text", "cast(doc_id % 3 = 0 as int) AS y"))
+    assert len(place) == place.high.nbytes // 8 and place.high.nbytes + place.low.nbytes == 16 * len(place)
+    assert sorted(place.numbers(["bad", "good", "ones", "and", "ones-", "worda", "word-"]))[0] >= 0 and place.numbers(["none", "", "bad-"]) == [-1] * 3
+
+
+def test_terms_that_share_half_a_hash():
+    high, low = toxicity.term_hashes(["some", "other"])
+    twice = toxicity.Places(np.repeat(np.sort(high), 3), np.array([1, 2, low[high.argsort()[0]], 3, 4, low[high.argsort()[1]]], np.uint64))
+    assert sorted(twice.numbers(["some", "other"])) == [2, 5] and twice.numbers(["else"]) == [-1]
+
+
+def test_postings_read_straight_give_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(np.sort(rng.choice(900, 12, replace=False)), rng.integers(1, 4, 12)) for _ in range(600)]
+    monkeypatch.setattr(toxicity, "COMMON", 20)
+    got = []
+    for straight in (0.0, 9.0):
+        monkeypatch.setattr(toxicity, "STRAIGHT", straight)
+        index = toxicity.ExampleIndex(list(range(600)), [k % 2 for k in range(600)], vectors, rng.random(900) * 0 + 1.5)
+        assert index.straight == (straight == 0)
+        got.append([v[0] for v, _ in index.votes([(*v, 0.0) for v in vectors[:50]], (5,))])
+    assert np.allclose(*got, atol=1e-5)
+
+
 def test_common_words_count(spark):
     rows = [(k, f"{'good' if k % 2 else 'fair'} day number{'abcdefghij'[k % 10]} all", int(k % 2 == 0)) for k in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "all that is new"), (101, "123")], "doc_id bigint, text string")

@@ -12,7 +12,9 @@ chosen in the same way.
 
 Examples and terms come from at most about ``LABELLED`` labelled ids with about ``CHARS`` characters in all (both chosen
 by hashes of the id), one row each, which bounds the vocabulary and the index that are broadcast; every text is scored
-whole. Two passes over the labelled texts and one over all texts; only labelled texts are shuffled.
+whole. Two passes over the labelled texts and one over all texts; only labelled texts are shuffled. Terms are known by
+their 128-bit hashes; tasks sort the postings by ranges of terms, so the driver holds hashes, counts and packed postings,
+neither terms nor vectors.
 
 Defined results: null and empty texts, and texts without letters, get the calibrated share of toxic examples among
 those without letters; texts that share no term with an example get the share among all. Cosines count to six places;
@@ -47,6 +49,10 @@ KS, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = (5, 15), 2048, 128, 0.5, 0.05, 3
 LEANING = 2
 #: Examples a block (a power of two, at most 128), blocks of each label opened first, room for rounding in bounds.
 BLOCK, FIRST, SLACK = 8, 16, 2e-5
+#: Entries a posting from which on postings are read straight, without bounds.
+STRAIGHT = 0.85
+#: Ranges of terms whose postings are sorted in a task each, and examples whose postings are sent there at a time.
+RANGES, POSTED = 64, 1024
 #: Words whose terms, and texts whose scores, a worker remembers.
 MEMORY, COPIES = 150_000, 10_000
 CUT = 0.3
@@ -74,59 +80,96 @@ def teaching_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: st
     return taught.filter(F.pmod(F.xxhash64("id", F.lit("chars")), F.lit(1 << 20)) < int((1 << 20) / share)) if share > 1 else taught
 
 
-def weigh_terms(texts: DataFrame) -> tuple[list[str], np.ndarray, float, dict]:
+class Places:
+    """Numbers of terms by their 128-bit hashes, which ascend: 16 bytes a term, where a dictionary takes over a hundred."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray):
+        self.high, self.low = high, low
+
+    def __len__(self) -> int:
+        return len(self.high)
+
+    def numbers(self, terms: list[str]) -> list[int]:
+        """The number of each term, -1 if it is not known."""
+        if not len(self) or not terms:
+            return [-1] * len(terms)
+        high, low = term_hashes(terms)
+        at = np.minimum(self.high.searchsorted(high), len(self) - 1)
+        same = self.high[at] == high
+        found = np.where(same & (self.low[at] == low), at, -1).tolist()
+        for k in np.flatnonzero(same & (self.low[at] != low)).tolist():  # others with the same first half
+            found[k] = next((j for j in range(at[k], int(self.high.searchsorted(high[k], "right"))) if self.low[j] == low[k]), -1)
+        return found
+
+
+def term_hashes(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """High and low halves of the terms' 128-bit hashes."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, terms)), ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0], both[:, 1]
+
+
+def weigh_terms(texts: DataFrame) -> tuple[Places, np.ndarray, float, dict]:
     """All terms of (text, y) rows, their weights, the weight of a term that none of the rows has, and how many rows have
     each (for ``ExampleIndex``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counter, seen = TermCounter({}, math.inf), [[], []]
+            counter, seen = TermCounter(Places(*term_hashes([])), math.inf), [[], []]
             for text, y in zip(batch["text"], batch["y"].to_pylist()):
                 seen[y].append(counter.places(text.as_py())[0])
             terms = counter.words.others
             n = [np.bincount(np.concatenate([np.zeros(0, np.int32), *s]), minlength=len(terms)) for s in seen]
             whole = [[len(s)] for s in seen]  # every text has the empty term
-            yield pa.RecordBatch.from_arrays([pa.array(["", *terms], pa.string()), *(pa.array(np.concatenate([w, k]), pa.int64()) for w, k in zip(whole, n))], ["term", "n0", "n1"])
-
-    sums = written(texts.mapInArrow(count, "term string, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxic-terms")
-    whole = sums.filter("term = ''").first()
-    if not whole or not whole["n0"] or not whole["n1"]:
-        return [], np.zeros(0), 1.0, {}
-    got = sums.filter("term != ''").toArrow().sort_by("term")  # the terms of ``labelled`` texts
-    b, a, nb, na = got["n0"].to_numpy().astype(float), got["n1"].to_numpy().astype(float), float(whole["n0"]), float(whole["n1"])
-    n, df = na + nb, a + b
+            hashes = [pa.array(h.view(np.int64)) for h in map(np.ascontiguousarray, term_hashes(["", *terms]))]
+            yield pa.RecordBatch.from_arrays([*hashes, *(pa.array(np.concatenate([w, k]), pa.int64()) for w, k in zip(whole, n))], ["high", "low", "n0", "n1"])
+
+    sums = written(texts.mapInArrow(count, "high bigint, low bigint, n0 bigint, n1 bigint").groupBy("high", "low").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1")), "toxic-terms")
+    got = sums.toArrow()  # the terms of ``labelled`` texts: 24 bytes each
+    high, low, b, a = (got[c].to_numpy() for c in ("high", "low", "n0", "n1"))
+    del got
+    high, low = high.view(np.uint64), low.view(np.uint64)
+    empty = (high == term_hashes([""])[0]) & (low == term_hashes([""])[1])
+    nb, na = int(b[empty].sum()), int(a[empty].sum())
+    if not nb or not na:
+        return Places(high[:0], low[:0]), np.zeros(0), 1.0, {}
+    order = np.lexsort((low, high))
+    order = order[~empty[order]]
+    high, low, a, df = high[order], low[order], a[order], (a + b)[order]
+    n = na + nb
     idf = lambda df: np.log((1 + n) / (1 + df)) + 1
-    return got["term"].to_pylist(), idf(df), float(idf(1)), {"toxic": a, "all_": df, "rows": (na, n)}
+    return Places(high, low), idf(df), float(idf(1)), {"toxic": a, "all_": df, "rows": (na, n)}
 
 
 class Words(dict):
-    """Words met so far -> their row among ``terms``, the numbers of their terms (-1: none).
+    """Words met so far -> their row among ``terms``, the numbers of their terms (-1: none), once ``settle`` has run.
 
     A term's number is its place among the known ones, or follows from its place in ``others``.
     """
 
-    def __init__(self, place: dict[str, int]):
-        self.place, self.others, self.heads, self.terms = place, [], {}, array("i")
-
-    def number(self, term: str) -> int:
-        at = self.place.get(term)
-        if at is None:
-            at = len(self.place) + len(self.others)
-            self.others.append(term)
-        return at
+    def __init__(self, place: Places):
+        self.place, self.others, self.heads, self.terms, self.new = place, [], {}, array("i"), []
 
     def __missing__(self, word: str) -> int:
         row = self[word] = len(self)
-        found = [self.number(word)]
-        for n in BEGINNINGS:
-            head = word[:n] if len(word) >= n else None
-            at = self.heads.get(head, -1) if head else -1
-            if head and at < 0:
-                at = self.heads[head] = self.number(head + "-")  # marked, so it is no word
-            found.append(at)
-        self.terms.extend(found)
+        self.new.append(word)
         return row
 
+    def settle(self) -> None:
+        """Numbers the terms of the words that are new since the last time, all at once."""
+        new, self.new = self.new, []
+        heads = [[word[:n] + "-" if len(word) >= n else None for word in new] for n in BEGINNINGS]  # marked, so they are no words
+        fresh = list({head for row in heads for head in row if head and head not in self.heads})
+        found = []
+        for term, at in zip(new + fresh, self.place.numbers(new + fresh)):
+            if at < 0:
+                at = len(self.place) + len(self.others)
+                self.others.append(term)
+            found.append(at)
+        self.heads.update(zip(fresh, found[len(new) :]))
+        self.heads[None] = -1
+        for row in zip(found, *[map(self.heads.__getitem__, row) for row in heads]):
+            self.terms.extend(row)
+
 
 class TermCounter:
     """``count(text)``: which of the known terms a text has, ascending, and how often; and the squared length of its others.
@@ -134,7 +177,7 @@ class TermCounter:
     Others are numbered from the last known term on, until the memory is full and starts anew.
     """
 
-    def __init__(self, place: dict[str, int], memory: float = MEMORY):
+    def __init__(self, place: Places, memory: float = MEMORY):
         self.place, self.memory, self.words = place, memory, Words(place)
 
     def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +186,8 @@ class TermCounter:
             self.words = Words(self.place)
         words = LETTERS.findall((text or "").lower())
         rows = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        if self.words.new:
+            self.words.settle()
         at = np.frombuffer(self.words.terms, np.int32).reshape(-1, WIDTH)[rows].ravel() if words else rows
         at = np.sort(at[at >= 0])
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
@@ -174,100 +219,175 @@ def likeness_order(vectors: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-class ExampleIndex:
+class Weights:
+    """Texts as unit vectors, by the weights of the terms."""
+
+    def __init__(self, idf: np.ndarray, unseen: float = 1.0):
+        self.idf, self.unseen = idf, unseen
+
+    def raw(self, t, n) -> np.ndarray:
+        return (1 + np.log(np.asarray(n, np.float64))) * self.idf[np.asarray(t, np.int64)]
+
+    def norm(self, w: np.ndarray, rest: float = 0.0) -> float:
+        return np.sqrt((w * w).sum() + rest * self.unseen**2)
+
+    def unit(self, t, n, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        w = self.raw(t, np.minimum(n, 65_535))
+        return np.asarray(t, np.int64), w / self.norm(w, rest)
+
+
+#: Random directions in which examples are laid out.
+SKETCH = 8
+
+
+class Heads(Weights):
+    """What the driver has to know of an example: the scale of its weights, and where it lies in a few random directions."""
+
+    def __init__(self, idf: np.ndarray, unseen: float = 1.0):
+        super().__init__(idf, unseen)
+        self.toss = np.random.default_rng(7).standard_normal((len(idf), SKETCH), np.float32)
+
+    def head(self, t, n, *rest) -> tuple[float, np.ndarray]:
+        if not len(t):
+            return 1.0, np.zeros(SKETCH)
+        t, w = self.unit(t, n)
+        return 1 / self.norm(self.raw(t, np.minimum(n, 65_535)), *rest), w @ self.toss[t]
+
+
+def posting_keys(t, n, place: int) -> np.ndarray:
+    """One number a posting (term, place, count)."""
+    return np.asarray(t, np.uint64) << np.uint64(38) | np.uint64(place << 16) | np.minimum(n, 65_535).astype(np.uint64)
+
+
+def pack_postings(key: np.ndarray, start: int, stop: int) -> dict[str, bytes]:
+    """Postings of the terms from ``start`` to ``stop``, compressed: of each (term, block) its block, less that before, and
+    its number of postings; of each posting its place in the block and its count; of each term its number of blocks."""
+    key = np.sort(key)
+    count = key.astype(np.uint16)  # the low bits
+    key >>= np.uint64(16)
+    local = ((key & np.uint64((1 << 22) - 1)) % np.uint64(BLOCK)).astype(np.uint8)
+    key //= np.uint64(BLOCK)
+    first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    size = np.diff(first, append=len(key)).astype(np.uint8)
+    key = key[first]
+    per_term = np.uint64((1 << 22) // BLOCK)
+    block = np.diff((key % per_term).astype(np.int32), prepend=np.int32(0))
+    entry = np.diff(np.searchsorted(key // per_term, np.arange(start, stop + 1, dtype=np.uint64))).astype(np.int32)
+    return {name: zlib.compress(np.ascontiguousarray(x), 1) for name, x in {"first": size, "block": block, "count": count, "local": local, "entry": entry}.items()}
+
+
+class ExampleIndex(Weights):
     """Examples as sparse unit vectors in a block-max inverted index: the k of largest cosine of each label, exactly.
 
     Places are dealt in blocks of ``BLOCK`` like examples of one label. The postings of the ``COMMON`` most common terms are
     a matrix that counts for every example. The other postings lie by term and block, an entry of each (term, block) with the
-    largest weight in it. A block whose common part and largest weights cannot reach the k-th cosine is not opened.
+    largest weight in it. A block whose common part and largest weights cannot reach the k-th cosine is not opened. Where
+    there are nearly as many entries as postings, bounds cost what they save, and the postings are read straight.
     """
 
     def __init__(self, ids: list, labels: list[int], vectors: list[tuple], idf: np.ndarray, unseen: float = 1.0, toxic: np.ndarray | None = None, all_: np.ndarray | None = None, rows: tuple[int, int] = (0, 0)):
         """``toxic`` and ``all_``: toxic and all teaching texts with each term, of ``rows``: toxic and all teaching texts."""
+        head = Heads(idf, unseen).head
+        heads = [head(*v) for v in vectors]
+        self.lay(ids, labels, [len(v[0]) for v in vectors], [h[0] for h in heads], np.array([h[1] for h in heads], np.float32).reshape(-1, SKETCH), idf, unseen, toxic, all_, rows)
+        keys = [posting_keys(v[0], v[1], self.where[i]) for i, v in zip(ids, vectors) if len(v[0])]
+        self.pieces = [pack_postings(np.concatenate([np.zeros(0, np.uint64), *keys]), 0, len(idf))]
+        self.unpack()
+
+    @classmethod
+    def laid(cls, *args) -> ExampleIndex:
+        """An index whose postings are still to come (``pieces``); arguments as of ``lay``."""
+        index = cls.__new__(cls)
+        index.lay(*args)
+        return index
+
+    def lay(self, ids: list, labels: list[int], lengths: list[int], scales: list[float], sketch: np.ndarray, idf: np.ndarray, unseen: float = 1.0, toxic: np.ndarray | None = None, all_: np.ndarray | None = None, rows: tuple[int, int] = (0, 0)) -> None:
+        """Deals the examples to places, by their numbers of terms, scales and sketches (see ``Heads``)."""
         self.idf, self.unseen = idf, unseen
         self.toxic, self.all, self.rows = (np.zeros(len(idf)) if toxic is None else toxic), (np.zeros(len(idf)) if all_ is None else all_), rows
-        if len(idf) >= 1 << 26 or len(ids) >= 1 << 21 or sum(len(v[0]) for v in vectors) >= 1 << 31:
+        if len(idf) >= 1 << 26 or len(ids) >= 1 << 21 or sum(lengths) >= 1 << 31:
             raise ValueError("the index holds up to 2^26 terms and 2^31 postings of 2^21 examples: give a smaller ``labelled`` or ``chars``")
-        bare = [labels[k] for k, v in enumerate(vectors) if not len(v[0])]
+        bare = [y for y, n in zip(labels, lengths) if not n]
         self.share = sum(labels) / max(1, len(labels))
         self.bare = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
-        toss = np.random.default_rng(7).standard_normal((len(idf), 8), np.float32)
         kinds, dealt = [], []
         for y in (1, 0):
-            full = [k for k, v in enumerate(vectors) if len(v[0]) and labels[k] == y]
-            sketch = np.array([(u := self.unit(*vectors[k]))[1] @ toss[u[0]] for k in full]).reshape(len(full), 8)
-            some = [full[i] for i in likeness_order(sketch, BLOCK)]
+            full = [k for k, n in enumerate(lengths) if n and labels[k] == y]
+            some = [full[i] for i in likeness_order(sketch[full].astype(np.float64), BLOCK)]
             some += [-1] * (-len(some) % BLOCK)
             kinds.append(slice(len(dealt), len(dealt) + len(some)))
             dealt += some
-        del toss
         self.kinds = kinds
         self.ids = [ids[k] if k >= 0 else None for k in dealt]
         self.where = {i: place for place, i in enumerate(self.ids) if i is not None}
         self.labels = np.array([labels[k] if k >= 0 else 0 for k in dealt], np.float64)
-        lengths = [len(vectors[k][0]) if k >= 0 else 0 for k in dealt]
-        # one number a posting (term, place, count), sorted in place: the driver holds little more than the index
-        key = np.zeros(sum(lengths), np.uint64)
-        self.scale = np.ones(len(dealt), np.float32)
-        for place, (a, k) in enumerate(zip(np.cumsum([0, *lengths]), dealt)):
-            if k >= 0:
-                t, n, *rest = vectors[k]
-                n = np.minimum(n, 65_535)
-                key[a : a + len(t)] = np.asarray(t, np.uint64) << np.uint64(38) | np.uint64(place << 16) | n.astype(np.uint64)
-                self.scale[place] = 1 / self.norm(self.raw(t, n), *rest)
-        key.sort()
-        self.count = key.astype(np.uint16)  # the low bits
-        key >>= np.uint64(16)
-        at = key.astype(np.uint32)
-        at &= np.uint32((1 << 22) - 1)
-        self.local = (at % BLOCK).astype(np.uint8)
-        del at
-        key //= np.uint64(BLOCK)
-        first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
-        self.first = np.append(first, len(key)).astype(np.int32)
-        key = key[first]
-        per_term = np.uint64((1 << 22) // BLOCK)
-        self.block = (key % per_term).astype(np.int32)
-        key //= per_term
-        self.entry = np.searchsorted(key, np.arange(len(idf) + 1, dtype=np.uint64)).astype(np.int32)
-        del key, first
-        self.measure()
+        self.scale = np.array([scales[k] if k >= 0 else 1 for k in dealt], np.float32)
         self.opened = self.blocks = self.read = self.postings = 0
         self._matrix = None
 
-    def measure(self) -> None:
-        """What follows from the postings: gains by count, the largest weight of each entry."""
+    @staticmethod
+    def opened_piece(packed: dict[str, bytes]) -> tuple[np.ndarray, ...]:
+        """First posting of each entry, first entry of each term, block of each entry, count and local place of each posting."""
+        read = lambda name, kind: np.frombuffer(zlib.decompress(packed[name]), kind)
+        first, entry = (np.append(np.int32(0), np.cumsum(read(name, kind), dtype=np.int32)) for name, kind in (("first", np.uint8), ("entry", np.int32)))
+        return first, entry, np.cumsum(read("block", np.int32), dtype=np.int32), read("count", np.uint16), read("local", np.uint8)
+
+    def unpack(self) -> None:
+        """The postings from their pieces, one piece at a time."""
         self.gain = (1 + np.log(np.maximum(np.arange(65_536), 1))).astype(np.float32)
+        sizes = [(np.diff(first[entry]), np.diff(entry)) for first, entry, *_ in map(self.opened_piece, self.pieces)]
+        n, entries = (np.concatenate([np.zeros(0, np.int32), *(x[c] for x in sizes)]) for c in (0, 1))
+        self.start = np.append(np.int32(0), np.cumsum(n, dtype=np.int32))  # of each term's postings
+        self.common = np.argsort(-n, kind="stable")[:COMMON]
+        rare = np.ones(len(n), bool)
+        rare[self.common] = False
+        self.straight = bool(entries[rare].sum() > STRAIGHT * n[rare].sum())
+        if self.straight:
+            self.place, self.weight = np.zeros(self.start[-1], np.uint16 if len(self.ids) <= 1 << 16 else np.int32), np.zeros(self.start[-1], np.float32)
+            idf, t, p = self.idf.astype(np.float32), 0, 0
+            for (n, _), (first, _, block, count, local) in zip(sizes, map(self.opened_piece, self.pieces)):
+                place = np.repeat(block * BLOCK, np.diff(first)) + local
+                self.place[p : p + len(place)] = place
+                self.weight[p : p + len(place)] = self.gain[count] * self.scale[place] * np.repeat(idf[t : t + len(n)], n)
+                t, p = t + len(n), p + len(place)
+        else:
+            pieces = list(map(self.opened_piece, self.pieces))
+            whole = lambda c: np.append(np.int32(0), np.cumsum(np.concatenate([np.zeros(0, np.int32), *(np.diff(x[c]) for x in pieces)]), dtype=np.int32))
+            self.first, self.entry = whole(0), whole(1)
+            self.block, self.count, self.local = (np.concatenate([np.zeros(0, kind), *(x[c] for x in pieces)]) for c, kind in ((2, np.int32), (3, np.uint16), (4, np.uint8)))
+            del pieces
+            self.measure()
+
+    def measure(self) -> None:
+        """The largest weight of each entry."""
         self.peak = np.zeros(len(self.block), np.float32)
         for a in range(0, len(self.block), 1 << 19):
             e = slice(a, min(a + (1 << 19), len(self.block)))
             p = slice(self.first[e.start], self.first[e.stop])
             place = np.repeat(self.block[e] * BLOCK, np.diff(self.first[e.start : e.stop + 1])) + self.local[p]
             self.peak[e] = np.maximum.reduceat(self.gain[self.count[p]] * self.scale[place], self.first[e] - p.start)
-        runs = np.diff(self.entry)
-        self.peak *= np.repeat(self.idf.astype(np.float32), runs)
+        self.peak *= np.repeat(self.idf.astype(np.float32), np.diff(self.entry))
 
     def __getstate__(self) -> dict:
-        """For the broadcast: gaps and counts, compressed; largest weights and the matrix are made in each worker."""
-        packed = {"first": np.diff(self.first).astype(np.uint8), "block": np.diff(self.block, prepend=np.int32(0)), "count": self.count, "local": self.local}
-        return self.__dict__ | {name: zlib.compress(x, 1) for name, x in packed.items()} | {"peak": None, "gain": None, "where": None, "_matrix": None}
+        """For the broadcast: packed postings; what follows from them is made in each worker."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "entry", "block", "count", "local", "start", "place", "weight", "peak", "gain", "common", "where")} | {"_matrix": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        read = lambda x, kind: np.frombuffer(zlib.decompress(x), kind)
-        self.first = np.append(0, np.cumsum(read(self.first, np.uint8), dtype=np.int32)).astype(np.int32)
-        self.block = np.cumsum(read(self.block, np.int32), dtype=np.int32)
-        self.count, self.local = read(self.count, np.uint16), read(self.local, np.uint8)
         self.where = {i: place for place, i in enumerate(self.ids) if i is not None}
-        self.measure()
+        self.unpack()
+        self.pieces = None
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray]:
         """(row of each term or -1, rows): the weights of the most common terms in unit vectors; made in each worker."""
         if self._matrix is None:
-            common = np.argsort(-np.diff(self.first[self.entry]), kind="stable")[:COMMON]
-            row, rows = np.full(len(self.idf), -1, np.int32), np.zeros((len(common), len(self.ids)), np.float32)
-            row[common] = np.arange(len(common))
-            for r, t in enumerate(common):
+            row, rows = np.full(len(self.idf), -1, np.int32), np.zeros((len(self.common), len(self.ids)), np.float32)
+            row[self.common] = np.arange(len(self.common))
+            for r, t in enumerate(self.common):
+                if self.straight:
+                    p = slice(self.start[t], self.start[t + 1])
+                    rows[r, self.place[p]] = self.weight[p]
+                    continue
                 e = slice(self.entry[t], self.entry[t + 1])
                 p = slice(self.first[e.start], self.first[e.stop])
                 place = np.repeat(self.block[e] * BLOCK, np.diff(self.first[e.start : e.stop + 1])) + self.local[p]
@@ -275,20 +395,10 @@ class ExampleIndex:
             self._matrix = row, rows
         return self._matrix
 
-    def raw(self, t, n) -> np.ndarray:
-        return (1 + np.log(np.asarray(n, np.float64))) * self.idf[np.asarray(t, np.int64)]
-
-    def norm(self, w: np.ndarray, rest: float = 0.0) -> float:
-        return np.sqrt((w * w).sum() + rest * self.unseen**2)
-
-    def unit(self, t, n, rest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        w = self.raw(t, np.minimum(n, 65_535))
-        return np.asarray(t, np.int64), w / self.norm(w, rest)
-
     def lean(self, at: np.ndarray, own: int | None = None) -> np.ndarray:
         """Root of chi-square of terms that toxic teaching texts have more often, else 0; ``own``: label of a teaching text
         that is left out."""
-        a, df, (na, n) = self.toxic[at], self.all[at], self.rows
+        a, df, (na, n) = self.toxic[at].astype(np.float64), self.all[at].astype(np.float64), self.rows
         if own is not None:
             a, df, na, n = a - own, df - 1, na - own, n - 1
         b, nb = df - a, n - na
@@ -316,7 +426,38 @@ class ExampleIndex:
             yield place, cos, part
 
     def _near(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, lean: np.ndarray, k: int, but: int | None):
-        """``score``: the common terms' part of each cosine; the other terms are added in the blocks that are opened."""
+        """``score``: the common terms' part of each cosine, to which that of the others is added."""
+        found = (self._read if self.straight else self._open)(score, at, w, k, but)
+        if but is not None:
+            score[but] = -1
+        kinds = [part for part in self.kinds if part.stop > part.start]
+        near = [self.best(score[part], k) for part in kinds]
+        place = np.concatenate([np.zeros(0, np.int64), *(n + part.start for (n, _), part in zip(near, kinds))])
+        cos = np.concatenate([np.zeros(0), *(c for _, c in near)])
+        order = np.argsort(-cos, kind="stable")
+        place, cos = place[order], cos[order]
+        slot, part = np.full(len(score), -1), np.zeros(len(place))
+        slot[place] = np.arange(len(place))
+        for at_, weight, of_ in found:
+            hit = np.flatnonzero((slot >= 0)[at_])
+            part += np.bincount(slot[at_[hit]], weight[hit] * lean[of_[hit]], len(place)) if len(hit) else 0
+        return place, cos, part
+
+    def _read(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, *_) -> list[tuple]:
+        """All postings of the terms: (places, parts of the cosine, which of the terms)."""
+        runs = list(zip(self.start[at].tolist(), self.start[at + 1].tolist()))
+        of = np.repeat(np.arange(len(at), dtype=np.int32), self.start[at + 1] - self.start[at])
+        if not len(of):
+            return []
+        place, weight = (np.concatenate([x[a:b] for a, b in runs]) for x in (self.place, self.weight))
+        weight *= w.astype(np.float32)[of]
+        score += np.bincount(place, weight, len(score))
+        self.blocks, self.opened = self.blocks + len(score) // BLOCK, self.opened + len(score) // BLOCK
+        self.postings, self.read = self.postings + len(of), self.read + len(of)
+        return [(place, weight, of)]
+
+    def _open(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, but: int | None) -> list[tuple]:
+        """The same in the blocks that can hold one of the ``k`` nearest of a label."""
         runs = self.entry[at + 1] - self.entry[at]
         e, of = spread(self.entry[at], runs), np.repeat(np.arange(len(at)), runs)
         block = self.block[e]
@@ -330,8 +471,8 @@ class ExampleIndex:
             size = self.first[e[pick] + 1] - self.first[e[pick]]
             p, of_ = spread(self.first[e[pick]], size), np.repeat(of[pick], size)
             place = np.repeat(block[pick] * BLOCK, size) + self.local[p]
-            weight = self.gain[self.count[p]] * (w * self.idf[at])[of_]
-            np.add(score, np.bincount(place, weight, len(score)) * self.scale, out=score)
+            weight = self.gain[self.count[p]] * (w * self.idf[at])[of_] * self.scale[place]
+            np.add(score, np.bincount(place, weight, len(score)), out=score)
             found.append((place, weight, of_))
 
         kinds = [(part, slice(part.start // BLOCK, part.stop // BLOCK)) for part in self.kinds if part.stop > part.start]
@@ -349,20 +490,7 @@ class ExampleIndex:
         open_(which)
         self.opened, self.blocks = self.opened + int(opened.sum()), self.blocks + len(opened)
         self.read, self.postings = self.read + sum(len(f[0]) for f in found), self.postings + int((self.first[self.entry[at + 1]] - self.first[self.entry[at]]).sum())
-        if but is not None:
-            score[but] = -1
-        near = [self.best(score[part], k) for part, _ in kinds]
-        place = np.concatenate([np.zeros(0, np.int64), *(n + part.start for (n, _), (part, _) in zip(near, kinds))])
-        cos = np.concatenate([np.zeros(0), *(c for _, c in near)])
-        order = np.argsort(-cos, kind="stable")
-        place, cos = place[order], cos[order]
-        slot = np.full(len(score), -1)
-        slot[place] = np.arange(len(place))
-        part = np.zeros(len(place))
-        for at_, weight, of_ in found:
-            hit = np.flatnonzero(slot[at_] >= 0)
-            part += np.bincount(slot[at_[hit]], weight[hit] * lean[of_[hit]], len(place)) * self.scale[place] if len(hit) else 0
-        return place, cos, part
+        return found
 
     @staticmethod
     def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -417,27 +545,48 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     taught = teaching_rows(named, labels, id_col, label_col, labelled, chars)
     kind, arrow_kind = named.schema["id"].dataType.simpleString(), to_arrow_type(named.schema["id"].dataType)
-    vocabulary, weights, unseen, seen = weigh_terms(taught.select("text", "y"))
-    place = spark.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})
+    place, weights, unseen, seen = weigh_terms(taught.select("text", "y"))
+    place, terms = spark.sparkContext.broadcast(place), len(weights)
+    weighed = spark.sparkContext.broadcast((weights, unseen))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TermCounter(place.value)
+        counter, heads = TermCounter(place.value), Heads(*weighed.value)
         for batch in batches:
             found = [counter.count(text.as_py()) for text in batch["text"]]
+            head = [heads.head(t, n) for t, n, _ in found]
             lists = [pa.array([v[c] for v in found], pa.list_(pa.int32())) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], *lists, pa.array([v[2] for v in found], pa.float64())], ["id", "y", "t", "n", "rest"])
-
-    examples = written(taught.mapInArrow(count, f"id {kind}, y int, t array<int>, n array<int>, rest double"), "toxic-examples", compression="zstd")
-    del vocabulary
-    got = examples.select("id", "y", "t", "n").toArrow()  # bounded by ``labelled``
-    ends = np.cumsum(pc.list_value_length(got["t"]).to_numpy()) if got.num_rows else np.zeros(0, np.int64)
-    t, n = (pc.list_flatten(got[c]).to_numpy() for c in ("t", "n"))
-    vectors = [(t[a:b], n[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
-    ids, ys = got["id"].to_pylist(), got["y"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda k: (xxhash.xxh3_64_intdigest(vectors[k][0].tobytes() + vectors[k][1].tobytes()), ys[k], ids[k]))
-    index = ExampleIndex([ids[k] for k in order], [ys[k] for k in order], [vectors[k] for k in order], weights, unseen, **seen)
+            mark = pa.array([xxhash.xxh3_64_intdigest(t.tobytes() + n.tobytes()) >> 1 for t, n, _ in found], pa.int64())
+            numbers = [pa.array([float(x) for x in xs], pa.float64()) for xs in ([v[2] for v in found], [h[0] for h in head])]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], *lists, numbers[0], mark, pa.array([len(v[0]) for v in found], pa.int32()), numbers[1], pa.array([h[1] for h in head], pa.list_(pa.float64()))], ["id", "y", "t", "n", "rest", "mark", "size", "scale", "sketch"])
+
+    head_kinds = "mark bigint, size int, scale double, sketch array<double>"
+    examples = written(taught.mapInArrow(count, f"id {kind}, y int, t array<int>, n array<int>, rest double, {head_kinds}"), "toxic-examples", compression="zstd")
+    got = examples.select("id", "y", "mark", "size", "scale", "sketch").toArrow()  # bounded by ``labelled``
+    ids, ys, marks = (got[c].to_pylist() for c in ("id", "y", "mark"))
+    order = sorted(range(len(ids)), key=lambda k: (marks[k], ys[k], ids[k]))
+    got = got.take(pa.array(order, pa.int64()))
+    sketch = pc.list_flatten(got["sketch"]).to_numpy().reshape(-1, SKETCH)
+    index = ExampleIndex.laid([ids[k] for k in order], [ys[k] for k in order], got["size"].to_pylist(), got["scale"].to_pylist(), sketch, weights, unseen, *seen.values())
+    del got, weights, seen
+    dealt, width = spark.sparkContext.broadcast(index.where), max(1, -(-terms // RANGES))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (batch.slice(k, POSTED) for batch in batches for k in range(0, batch.num_rows, POSTED)):
+            keys = [posting_keys(t.values.to_numpy(), n.values.to_numpy(), dealt.value[i]) for i, t, n in zip(batch["id"].to_pylist(), batch["t"], batch["n"]) if len(t)]
+            key = np.sort(np.concatenate([np.zeros(0, np.uint64), *keys]))
+            ends = np.searchsorted(key, np.arange(0, terms + width, width, dtype=np.uint64) << np.uint64(38))
+            parts = [key[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "keys"])
+
+    def pack(part: pa.Table) -> pa.Table:
+        k = part["part"][0].as_py()
+        packed = pack_postings(np.frombuffer(b"".join(part["keys"].to_pylist()), np.uint64), k * width, min(terms, (k + 1) * width))
+        return pa.table({"part": pa.array([k], pa.int32())} | {name: pa.array([x], pa.binary()) for name, x in packed.items()})
+
+    packed = examples.select("id", "t", "n").mapInArrow(post, "part int, keys binary").groupBy("part").applyInArrow(pack, "part int, first binary, block binary, count binary, local binary, entry binary")
+    index.pieces = packed.toArrow().sort_by("part").drop_columns("part").to_pylist()
     shared = spark.sparkContext.broadcast(index)
-    del got, t, n, vectors, index
+    del index
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -462,3 +462,11 @@ def test_values_of_arrow_columns():
     assert folds.values_of(pa.array([1, None, 3])) == [1, None, 3] and folds.values_of(pa.array([1.5, None, math.nan])) == [1.5, None, None]
     rows = folds.values_of(pa.array([[9.0], [1.0, None], None, []], pa.list_(pa.float64())).slice(1))
     assert rows[0][0] == 1.0 and math.isnan(rows[0][1]) and rows[1] is None and len(rows[2]) == 0
+
+
+def test_pass_flow_reads_people_once(spark, sf):
+    """Upserts read ball rows several times, but not the rows of people."""
+    from touchline.plans import catalog
+
+    plan = catalog.QUERIES["flow_pass_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and len([line for line in plan.splitlines() if "Relation" in line and "l_orderkey" in line]) == 1

@@ -125,20 +125,21 @@ def apply_alias_rules(tracks: DataFrame, rules: DataFrame, protected: DataFrame
     return c.join(pick, SPOT, "left").withColumn("new_id", F.coalesce(F.when(F.col("action") == "split", F.col("_near")), first, F.col(id_col))).select(*tracks.columns, "action", "new_id")
 
 
-def tag_passes(tracks: DataFrame, events: DataFrame, id_col: str = "display_track_id") -> DataFrame:
+def tag_passes(tracks: DataFrame, events: DataFrame, id_col: str = "display_track_id", flights: bool = True) -> DataFrame:
     """Adds pass_id, pass_role, pass_phase: the ball in flight between departure and arrival, the passer's and receiver's rows.
 
     Later passes overwrite earlier ones; within a pass receiver beats passer beats flight. A role survives a later flight,
-    which sets id and phase only.
+    which sets id and phase only. ``flights`` false: the rows hold no ball, so flights are not looked for.
     """
     mark = lambda role, phase, rank: F.max(F.struct(F.col("pass_id").alias("id"), F.lit(rank).alias("rank"), F.lit(role).cast("string").alias("role"), F.lit(phase).alias("phase")))
     ball = F.col("class_id") == BALL
     # marks depend on the frame, or on frame and id, so they join back on these and rows need no name
-    frames = tracks.filter(ball).select(*KEY).distinct()
-    flight = _inside(frames, events).groupBy(*KEY).agg(mark(None, "in_flight", 0).alias("_flight"))
+    if flights:
+        frames = tracks.filter(ball).select(*KEY).distinct()
+        out = tracks.join(_inside(frames, events).groupBy(*KEY).agg(mark(None, "in_flight", 0).alias("_flight")), KEY, "left")
     end = lambda frame, who, name, *how: events.groupBy("match_id", F.col(frame).alias("frame"), F.col(who).alias(id_col)).agg(mark(*how).alias(name)).filter(F.col(id_col).isNotNull())
-    out = tracks.join(flight, KEY, "left").join(end("departure_frame", "passer_id", "_passer", "passer", "departure", 1), [*KEY, id_col], "left").join(end("arrival_frame", "receiver_id", "_receiver", "receiver", "arrival", 2), [*KEY, id_col], "left")
-    out = out.withColumn("_role", F.greatest("_passer", "_receiver")).withColumn("_last", F.greatest(F.when(ball, F.col("_flight")), F.col("_passer"), F.col("_receiver")))
+    out = (out if flights else tracks).join(end("departure_frame", "passer_id", "_passer", "passer", "departure", 1), [*KEY, id_col], "left").join(end("arrival_frame", "receiver_id", "_receiver", "receiver", "arrival", 2), [*KEY, id_col], "left")
+    out = out.withColumn("_role", F.greatest("_passer", "_receiver")).withColumn("_last", F.greatest(*([F.when(ball, F.col("_flight"))] if flights else []), F.col("_passer"), F.col("_receiver")))
     return out.select(*tracks.columns, F.col("_last.id").alias("pass_id"), F.col("_role.role").alias("pass_role"), F.col("_last.phase").alias("pass_phase"))
 
 
@@ -170,18 +171,19 @@ def retag_synthesised(tracks: DataFrame, events: DataFrame, fill: bool = False,
     return out.select(*tracks.columns)
 
 
-def upsert_ball(tracks: DataFrame, points: DataFrame, half: DataFrame, source: str = "manual") -> DataFrame:
+def upsert_ball(tracks: DataFrame, points: DataFrame, half: DataFrame, source: str = "manual", others: DataFrame | None = None) -> DataFrame:
     """Ball boxes at the points (match_id, frame, cx, cy): existing rows move and lose their pitch place, others are new.
 
     ``half``: match_id, half_w, half_h. New rows take homography_ok and kp_used from their frame, if the frame has rows
-    (the largest, if its rows disagree).
+    (the largest, if its rows disagree). ``others``: rows of all frames, where ``tracks`` holds balls only.
     """
     cols = tracks.columns
     ball = F.col("class_id") == BALL
     p = points.join(half, "match_id", "left").select(*KEY, F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.coalesce("half_w", F.lit(8.0)).alias("_w"), F.coalesce("half_h", F.lit(8.0)).alias("_h"))
     context = [c for c in ("homography_ok", "kp_used") if c in cols]
-    frames = tracks.groupBy(*KEY).agg(*[F.max(c).alias(f"_{c}") for c in context], F.count("*").alias("_n"))
-    joined = tracks.filter(ball).withColumn("_old", F.lit(True)).join(p, KEY, "full_outer").join(frames, KEY, "left")
+    joined = tracks.filter(ball).withColumn("_old", F.lit(True)).join(p, KEY, "full_outer")
+    if context:
+        joined = joined.join((tracks if others is None else others).groupBy(*KEY).agg(*[F.max(c).alias(f"_{c}") for c in context]), KEY, "left")
     hit, new = F.col("_cx").isNotNull(), F.col("_old").isNull()
     put = {"x1": F.col("_cx") - F.col("_w"), "y1": F.col("_cy") - F.col("_h"), "x2": F.col("_cx") + F.col("_w"), "y2": F.col("_cy") + F.col("_h"), "x_m": F.lit(None), "y_m": F.lit(None), "ball_source": F.lit(source)}
     fresh = {"track_id": F.lit(-1), "display_track_id": F.lit(-1), "class_id": F.lit(BALL), "conf": F.lit(1.0), "team_id": F.lit(-1), "inlier_ratio": F.lit(0.0), "reproj_err": F.lit(0.0), "detector_ran": F.lit(1), "homography_state": F.lit("manual"), "ball_interpolated": F.lit(0), "homography_ok": F.coalesce(F.col("_homography_ok"), F.lit(False)) if "homography_ok" in cols else None, "kp_used": F.coalesce(F.col("_kp_used"), F.lit(0)) if "kp_used" in cols else None}

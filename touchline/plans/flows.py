@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import dedupe, folds, joins, kernels, reports, rows, stable_ids, windows
 from ..operators.dedupe import BEST
 from ..params import BALL, DEFAULTS, Params
+from ..sources.shared import kept
 
 
 def relabel_segments(tracks: DataFrame, segments: DataFrame, order: list[str] = BEST, p: Params = DEFAULTS) -> DataFrame:
@@ -19,14 +20,14 @@ def relabel_segments(tracks: DataFrame, segments: DataFrame, order: list[str] =
 
 def merge_passes(tracks: DataFrame, events: DataFrame, overrides: DataFrame, order: list[str] = BEST, p: Params = DEFAULTS) -> DataFrame:
     """Tracks with passes: one ball a frame, tags, times, source, manual and spline positions, tags of what was added."""
-    ball = dedupe.dedupe_ball(tracks, order)
-    tagged = joins.denormalise_passes(joins.tag_passes(ball, events), events, p.fps)
-    source = F.when(F.col("class_id") == BALL, F.when(F.col("ball_interpolated") == 1, "interp").otherwise("tracker"))
-    tagged = tagged.withColumn("ball_source", source)
-    half = reports.ball_half_size(ball)
-    manual = joins.upsert_ball(tagged, overrides, half, "manual")
-    filled = joins.upsert_ball(manual, kernels.spline_fill(ball, overrides, p), half, "spline")
-    return joins.retag_synthesised(filled, events)
+    ball = F.col("class_id") == BALL
+    tag = lambda t, flights: joins.denormalise_passes(joins.tag_passes(t, events, flights=flights), events, p.fps).withColumn("ball_source", F.when(ball, F.when(F.col("ball_interpolated") == 1, "interp").otherwise("tracker")))
+    # only ball rows are moved, added and tagged again: they are written once, as each of these steps reads them several times
+    balls = kept(tag(dedupe.best_of(tracks.filter(ball), ["match_id", "frame"], order), True), "pass-balls")
+    half = reports.ball_half_size(balls)
+    manual = joins.upsert_ball(balls, overrides, half, "manual", tracks)
+    filled = joins.upsert_ball(manual, kernels.spline_fill(balls, overrides, p), half, "spline", tracks)
+    return joins.retag_synthesised(filled, events).unionByName(tag(tracks.filter(~ball), False))
 
 
 def repair_ids(tracks: DataFrame, order: list[str] = BEST, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:

@@ -470,3 +470,18 @@ def test_pass_flow_reads_people_once(spark, sf):
 
     plan = catalog.QUERIES["flow_pass_merge"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey") and len([line for line in plan.splitlines() if "Relation" in line and "l_orderkey" in line]) == 1
+
+
+def test_restitch_hits_are_moved_once(spark):
+    rows = spark.createDataFrame([(1, 10, 0, 7, 0.0, 0.0, 10.0, 10.0), (1, 50, 0, 8, 5.0, 0.0, 15.0, 10.0)], "match_id bigint, frame bigint, team_id int, display_track_id bigint, x1 double, y1 double, x2 double, y2 double")
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        got = joins.restitch_candidates(rows.filter("frame = 50"), rows.filter("frame = 10"))
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert [(r["junk_id"], r["clean_id"], r["gap"], r["dist"]) for r in got.collect()] == [(8, 7, 40, 5.0)]  # over a bucket's end
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -207,10 +207,12 @@ def covered_range(homography: DataFrame) -> DataFrame:
 def restitch_candidates(junk: DataFrame, clean: DataFrame, id_col: str = "display_track_id", p: Params = DEFAULTS) -> DataFrame:
     """(junk row, clean id, gap, dist): clean ids of the same team last seen at most 45 frames before, within 220 pixels."""
     cx, cy = centre()
-    j = junk.select(*KEY, "team_id", F.col(id_col).alias("junk_id"), cx.alias("_x"), cy.alias("_y")).withColumn("_b", F.explode(F.array(F.floor(F.col("frame") / p.restitch_frames), F.floor(F.col("frame") / p.restitch_frames) - 1)))
-    c = clean.select("match_id", "team_id", F.col("frame").alias("_f"), F.col(id_col).alias("clean_id"), cx.alias("_cx"), cy.alias("_cy"), F.floor(F.col("frame") / p.restitch_frames).alias("_b"))
+    # a junk row stands in one bucket, so its hits are already together and are not moved again to be grouped
+    bucket = F.floor(F.col("frame") / p.restitch_frames)
+    j = junk.select(*KEY, "team_id", F.col(id_col).alias("junk_id"), cx.alias("_x"), cy.alias("_y"), bucket.alias("_b"))
+    c = clean.select("match_id", "team_id", F.col("frame").alias("_f"), F.col(id_col).alias("clean_id"), cx.alias("_cx"), cy.alias("_cy"), F.explode(F.array(bucket, bucket + 1)).alias("_b"))
     hit = j.join(c, ["match_id", "team_id", "_b"]).filter((F.col("_f") <= F.col("frame")) & (F.col("frame") - F.col("_f") <= p.restitch_frames))
-    last = hit.groupBy(*KEY, "team_id", "junk_id", "_x", "_y", "clean_id").agg(F.max(F.struct("_f", "_cx", "_cy")).alias("m"))
+    last = hit.groupBy(*KEY, "team_id", "_b", "junk_id", "_x", "_y", "clean_id").agg(F.max(F.struct("_f", "_cx", "_cy")).alias("m"))
     d = distance(F.col("_x"), F.col("_y"), F.col("m._cx"), F.col("m._cy"))
     return last.select(*KEY, "team_id", "junk_id", "clean_id", (F.col("frame") - F.col("m._f")).alias("gap"), d.alias("dist")).filter((F.col("gap") > 0) & (F.col("dist") < p.restitch_px))
 

@@ -121,7 +121,8 @@ def _(v):
 
 @query("j14_restitch_candidates", "match_id frame team_id junk_id clean_id gap", "dist")
 def _(v):
-    t = noisy(one(v))
+    # written once: purity, junk and clean rows would each rank all people
+    t = kept(noisy(one(v)).select("match_id", "frame", "team_id", "class_id", "display_track_id", *BOX.split()), "restitch-people")
     flag = reports.class_purity(t).select("match_id", "display_track_id", "is_clean")
     t = t.join(flag, ["match_id", "display_track_id"])
     return joins.restitch_candidates(t.filter("NOT is_clean"), t.filter("is_clean"))

@@ -124,7 +124,7 @@ def _(v):
     # written once: purity, junk and clean rows would each rank all people
     t = kept(noisy(one(v)).select("match_id", "frame", "team_id", "class_id", "display_track_id", *BOX.split()), "restitch-people")
     flag = reports.class_purity(t).select("match_id", "display_track_id", "is_clean")
-    t = t.join(flag, ["match_id", "display_track_id"])
+    t = kept(t.join(flag, ["match_id", "display_track_id"]).select("match_id", "frame", "team_id", "display_track_id", *BOX.split(), "is_clean"), "restitch-flagged")
     return joins.restitch_candidates(t.filter("NOT is_clean"), t.filter("is_clean"))
 
 

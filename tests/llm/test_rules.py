@@ -330,6 +330,40 @@ def test_postings_read_straight_give_the_same(monkeypatch):
     assert np.allclose(*got, atol=1e-5)
 
 
+def test_words_are_those_of_the_pattern_and_numbered_together(monkeypatch):
+    texts = ["".join(map(chr, range(256))), "".join(f"a{chr(k)}B " for k in range(256)), "Größe ß ÜÑÏ école", "日本 текст x², _a1b", "İstanbul µ ª º ÿ Ÿ", "", None]
+    assert [toxicity.letters(t) for t in texts] == [toxicity.LETTERS.findall((t or "").lower()) for t in texts]
+    asked, find = [], toxicity.Places.find
+    monkeypatch.setattr(toxicity.Places, "find", lambda self, terms: asked.append(len(terms)) or find(self, terms))
+    many = [f"text of word{'abcdefghij'[k % 10]}x and {'klmnopqrst'[k // 10]}" for k in range(100)]
+    for memory in (math.inf, 7):
+        counter = toxicity.TermCounter(toxicity.Places(*(h[toxicity.term_hashes(["of"])[0].argsort()] for h in toxicity.term_hashes(["of"]))), memory)
+        found = list(counter.count(many))
+        assert all(at.tolist() == [0] and n.tolist() == [1] for at, n, _ in found) and {rest for *_, rest in found} == {7.0}  # text text-, word.x word- word.-, and, one letter
+        assert memory == 7 or len(asked) == 1
+
+
+def test_each_tile_has_its_own_common_terms(monkeypatch):
+    """Two vocabularies: a matrix holds the terms of its own examples, and the nearest are those of all cosines."""
+    monkeypatch.setattr(toxicity, "TILE", 100)
+    rng = np.random.default_rng(4)
+    vectors = [(np.sort(rng.choice(60, 20, replace=False)) + 60 * (k % 2), np.ones(20, int)) for k in range(400)]
+    idf = rng.random(120) + 1
+    index = toxicity.ExampleIndex(list(range(400)), [k // 200 for k in range(400)], vectors, idf)
+    assert len(index.tiles) == 4 and sum(m.size for m in index.matrices) <= 0.7 * 400 * 120
+    whole = np.zeros((400, 120))
+    for row, v in zip(whole, vectors):
+        at, w = index.unit(*v)
+        row[at] = w
+    for k in (0, 1, 250, 399):
+        places, got = index.nearest(*vectors[k])
+        sims = whole @ whole[k]
+        assert np.allclose(got, sims[[index.ids[p] for p in places]], atol=2e-6)
+        for y in (0, 1):
+            mine = [s for p, s in zip(places, got) if index.labels[p] == y]
+            assert np.allclose(mine[:15], np.sort(sims[200 * y : 200 * y + 200])[::-1][:15], atol=2e-6)
+
+
 def test_common_words_count(spark):
     rows = [(k, f"{'good' if k % 2 else 'fair'} day number{'abcdefghij'[k % 10]} all", int(k % 2 == 0)) for k in range(40)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(100, "all that is new"), (101, "123")], "doc_id bigint, text string")

@@ -3,8 +3,8 @@
 Terms are the lower-cased runs of letters, and their beginnings of four and five letters (for inflected words); all of
 them count, by their inverse document frequency among the labelled texts. Terms that no labelled text has weigh like
 those of one, and lengthen the vector. The labelled examples stand in a block-max inverted index, blocks of like examples
-of one label; the most common terms are a matrix product, the other postings are read only in blocks whose largest weights
-can reach the k-th cosine, so the k nearest of each label are exact. Votes weigh by distance, and by how far the terms
+of one label; the most common terms of each tile of them are a matrix product, the other postings are read only in blocks
+whose largest weights can reach the k-th cosine, or all where bounds would cost more, so the k nearest of each label are exact. Votes weigh by distance, and by how far the terms
 that two texts share lean to toxic texts (root of chi-square among the teaching rows); isotonic calibration on
 leave-one-out votes makes scores probabilities, and the nearest examples are returned as evidence. The number of
 neighbours, one of ``KS``, is that whose leave-one-out votes give the teaching rows the least log loss; ``LEANING`` was
@@ -29,7 +29,8 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +44,24 @@ from .common import table, written
 
 #: About so many labelled rows, with about so many characters, teach.
 LABELLED, CHARS = 20_000, 1 << 26
-#: Neighbours of each label (the choices), terms in the matrix and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
-KS, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = (5, 15), 2048, 128, 0.5, 0.05, 3
+#: Neighbours of each label (the choices), terms in a tile's matrix at most and texts scored at a time, pseudo-votes of the overall share, distance added to each, evidence kept.
+KS, COMMON, BATCH, PRIOR, NEAR, EVIDENCE = (5, 15), 2048, 512, 0.5, 0.05, 3
 #: Power of the leaning of shared terms in a vote.
 LEANING = 2
+#: Examples a tile, about; shares of a tile's examples from which on a term is common there, and from which on the first few are.
+TILE, SHARE, LOW, FEW = 1024, 1 / 16, 1 / 128, 32
 #: Examples a block (a power of two, at most 128), blocks of each label opened first, room for rounding in bounds.
 BLOCK, FIRST, SLACK = 8, 16, 2e-5
 #: Entries a posting from which on postings are read straight, without bounds.
-STRAIGHT = 0.85
+STRAIGHT = 0.78
 #: Ranges of terms whose postings are sorted in a task each, and examples whose postings are sent there at a time.
 RANGES, POSTED = 64, 1024
 #: Words whose terms, and texts whose scores, a worker remembers.
 MEMORY, COPIES = 150_000, 10_000
 CUT = 0.3
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters of Latin-1 to themselves, its other characters to spaces.
+LATIN = bytes(c if LETTERS.fullmatch(chr(c)) else 32 for c in range(256))
 #: Lengths of beginnings; they are marked with a hyphen.
 BEGINNINGS = (4, 5)
 #: Terms of a word at most.
@@ -91,12 +96,15 @@ class Places:
 
     def numbers(self, terms: list[str]) -> list[int]:
         """The number of each term, -1 if it is not known."""
+        return self.find(terms).tolist()
+
+    def find(self, terms: list[str]) -> np.ndarray:
         if not len(self) or not terms:
-            return [-1] * len(terms)
+            return np.full(len(terms), -1)
         high, low = term_hashes(terms)
         at = np.minimum(self.high.searchsorted(high), len(self) - 1)
         same = self.high[at] == high
-        found = np.where(same & (self.low[at] == low), at, -1).tolist()
+        found = np.where(same & (self.low[at] == low), at, -1)
         for k in np.flatnonzero(same & (self.low[at] != low)).tolist():  # others with the same first half
             found[k] = next((j for j in range(at[k], int(self.high.searchsorted(high[k], "right"))) if self.low[j] == low[k]), -1)
         return found
@@ -108,6 +116,15 @@ def term_hashes(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+def letters(text: str | None) -> list[str]:
+    """The lower-cased runs of letters; texts of Latin-1 alone are parted without the pattern, at a sixth of its time."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return LETTERS.findall(low)
+
+
 def weigh_terms(texts: DataFrame) -> tuple[Places, np.ndarray, float, dict]:
     """All terms of (text, y) rows, their weights, the weight of a term that none of the rows has, and how many rows have
     each (for ``ExampleIndex``)."""
@@ -115,8 +132,8 @@ def weigh_terms(texts: DataFrame) -> tuple[Places, np.ndarray, float, dict]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counter, seen = TermCounter(Places(*term_hashes([])), math.inf), [[], []]
-            for text, y in zip(batch["text"], batch["y"].to_pylist()):
-                seen[y].append(counter.places(text.as_py())[0])
+            for (at, _), y in zip(counter.places(text.as_py() for text in batch["text"]), batch["y"].to_pylist()):
+                seen[y].append(at)
             terms = counter.words.others
             n = [np.bincount(np.concatenate([np.zeros(0, np.int32), *s]), minlength=len(terms)) for s in seen]
             whole = [[len(s)] for s in seen]  # every text has the empty term
@@ -157,22 +174,24 @@ class Words(dict):
     def settle(self) -> None:
         """Numbers the terms of the words that are new since the last time, all at once."""
         new, self.new = self.new, []
-        heads = [[word[:n] + "-" if len(word) >= n else None for word in new] for n in BEGINNINGS]  # marked, so they are no words
-        fresh = list({head for row in heads for head in row if head and head not in self.heads})
-        found = []
-        for term, at in zip(new + fresh, self.place.numbers(new + fresh)):
-            if at < 0:
-                at = len(self.place) + len(self.others)
-                self.others.append(term)
-            found.append(at)
-        self.heads.update(zip(fresh, found[len(new) :]))
-        self.heads[None] = -1
-        for row in zip(found, *[map(self.heads.__getitem__, row) for row in heads]):
-            self.terms.extend(row)
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        heads = [[word[:n] + "-" for word in new if len(word) >= n] for n in BEGINNINGS]  # marked, so they are no words
+        fresh = [head for head in dict.fromkeys(chain(*heads)) if head not in self.heads]
+        terms = new + fresh
+        found = self.place.find(terms)
+        other = np.flatnonzero(found < 0)
+        found[other] = len(self.place) + len(self.others) + np.arange(len(other))
+        self.others.extend([terms[k] for k in other.tolist()])
+        self.heads.update(zip(fresh, found[len(new) :].tolist()))
+        rows = np.full((len(new), WIDTH), -1, np.int32)
+        rows[:, 0] = found[: len(new)]
+        for c, (n, row) in enumerate(zip(BEGINNINGS, heads), 1):
+            rows[size >= n, c] = np.fromiter(map(self.heads.__getitem__, row), np.int32, len(row))
+        self.terms.frombytes(rows.tobytes())
 
 
 class TermCounter:
-    """``count(text)``: which of the known terms a text has, ascending, and how often; and the squared length of its others.
+    """``count(texts)``: which of the known terms each text has, ascending, and how often; and the squared length of its others.
 
     Others are numbered from the last known term on, until the memory is full and starts anew.
     """
@@ -180,23 +199,32 @@ class TermCounter:
     def __init__(self, place: Places, memory: float = MEMORY):
         self.place, self.memory, self.words = place, memory, Words(place)
 
-    def places(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all terms of a text, ascending, and how often it has each."""
-        if len(self.words) > self.memory:
-            self.words = Words(self.place)
-        words = LETTERS.findall((text or "").lower())
-        rows = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+    def places(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the numbers of all its terms, ascending, and how often it has each; new words are numbered together."""
+        waiting: list[np.ndarray] = []
+        for text in texts:
+            words = letters(text)
+            waiting.append(np.fromiter(map(self.words.__getitem__, words), np.int32, len(words)))
+            if len(self.words) > self.memory:
+                yield from self._told(waiting)
+                waiting, self.words = [], Words(self.place)
+        yield from self._told(waiting)
+
+    def _told(self, waiting: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         if self.words.new:
             self.words.settle()
-        at = np.frombuffer(self.words.terms, np.int32).reshape(-1, WIDTH)[rows].ravel() if words else rows
-        at = np.sort(at[at >= 0])
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        return at[first], np.diff(first, append=len(at)).astype(np.int32)
+        terms, out = np.frombuffer(self.words.terms, np.int32).reshape(-1, WIDTH), []
+        for rows in waiting:
+            at = terms[rows].ravel()
+            at = np.sort(at[at >= 0])
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+            out.append((at[first], np.diff(first, append=len(at)).astype(np.int32)))
+        return out
 
-    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray, float]:
-        at, n = self.places(text)
-        end = np.searchsorted(at, len(self.place))
-        return at[:end], n[:end], float(((1 + np.log(n[end:])) ** 2).sum())
+    def count(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        for at, n in self.places(texts):
+            end = np.searchsorted(at, len(self.place))
+            yield at[:end], n[:end], float(((1 + np.log(n[end:])) ** 2).sum())
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -236,8 +264,8 @@ class Weights:
         return np.asarray(t, np.int64), w / self.norm(w, rest)
 
 
-#: Random directions in which examples are laid out.
-SKETCH = 8
+#: Random directions in which examples are laid out, by their weights of so many most common terms: these part the languages.
+SKETCH, LOOK = 32, 1024
 
 
 class Heads(Weights):
@@ -245,13 +273,16 @@ class Heads(Weights):
 
     def __init__(self, idf: np.ndarray, unseen: float = 1.0):
         super().__init__(idf, unseen)
-        self.toss = np.random.default_rng(7).standard_normal((len(idf), SKETCH), np.float32)
+        self.look = np.full(len(idf), -1, np.int16)
+        self.look[np.argsort(idf, kind="stable")[:LOOK]] = np.arange(min(LOOK, len(idf)))
+        self.toss = np.random.default_rng(7).standard_normal((LOOK, SKETCH), np.float32)
 
     def head(self, t, n, *rest) -> tuple[float, np.ndarray]:
         if not len(t):
             return 1.0, np.zeros(SKETCH)
         t, w = self.unit(t, n)
-        return 1 / self.norm(self.raw(t, np.minimum(n, 65_535)), *rest), w @ self.toss[t]
+        seen = self.look[t]
+        return 1 / self.norm(self.raw(t, np.minimum(n, 65_535)), *rest), w[seen >= 0] @ self.toss[seen[seen >= 0]]
 
 
 def posting_keys(t, n, place: int) -> np.ndarray:
@@ -279,9 +310,9 @@ def pack_postings(key: np.ndarray, start: int, stop: int) -> dict[str, bytes]:
 class ExampleIndex(Weights):
     """Examples as sparse unit vectors in a block-max inverted index: the k of largest cosine of each label, exactly.
 
-    Places are dealt in blocks of ``BLOCK`` like examples of one label. The postings of the ``COMMON`` most common terms are
-    a matrix that counts for every example. The other postings lie by term and block, an entry of each (term, block) with the
-    largest weight in it. A block whose common part and largest weights cannot reach the k-th cosine is not opened. Where
+    Places are dealt in blocks of ``BLOCK`` like examples of one label, these in tiles. The postings of a tile's most common
+    terms (a language has its own) are a matrix that counts for every example of it. The other postings lie by term and block,
+    an entry of each (term, block) with the largest weight in it. A block whose common part and largest weights cannot reach the k-th cosine is not opened. Where
     there are nearly as many entries as postings, bounds cost what they save, and the postings are read straight.
     """
 
@@ -310,12 +341,14 @@ class ExampleIndex(Weights):
         bare = [y for y, n in zip(labels, lengths) if not n]
         self.share = sum(labels) / max(1, len(labels))
         self.bare = (sum(bare) + PRIOR * self.share) / (len(bare) + PRIOR)
-        kinds, dealt = [], []
+        kinds, dealt, self.tiles = [], [], []
         for y in (1, 0):
             full = [k for k, n in enumerate(lengths) if n and labels[k] == y]
             some = [full[i] for i in likeness_order(sketch[full].astype(np.float64), BLOCK)]
             some += [-1] * (-len(some) % BLOCK)
             kinds.append(slice(len(dealt), len(dealt) + len(some)))
+            step = BLOCK * -(-len(some) // (BLOCK * max(1, round(len(some) / TILE)))) or 1
+            self.tiles += [slice(len(dealt) + k, len(dealt) + min(k + step, len(some))) for k in range(0, len(some), step)]
             dealt += some
         self.kinds = kinds
         self.ids = [ids[k] if k >= 0 else None for k in dealt]
@@ -323,7 +356,7 @@ class ExampleIndex(Weights):
         self.labels = np.array([labels[k] if k >= 0 else 0 for k in dealt], np.float64)
         self.scale = np.array([scales[k] if k >= 0 else 1 for k in dealt], np.float32)
         self.opened = self.blocks = self.read = self.postings = 0
-        self._matrix = None
+        self._lean = None
 
     @staticmethod
     def opened_piece(packed: dict[str, bytes]) -> tuple[np.ndarray, ...]:
@@ -332,30 +365,78 @@ class ExampleIndex(Weights):
         first, entry = (np.append(np.int32(0), np.cumsum(read(name, kind), dtype=np.int32)) for name, kind in (("first", np.uint8), ("entry", np.int32)))
         return first, entry, np.cumsum(read("block", np.int32), dtype=np.int32), read("count", np.uint16), read("local", np.uint8)
 
+    def choose(self, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], bool]:
+        """Postings of each term, the (term, tile) pairs that are common, numbered by term and tile, and of each tile those of its matrix; ``straight``."""
+        width = max(1, len(self.tiles))
+        many = np.array([t.stop - t.start for t in self.tiles] or [1])
+        least = np.maximum(1, min(LOW, SHARE) * many)
+        sizes, keys, rows, blocks, at, entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], 0, 0
+        for first, entry, block, *_ in map(self.opened_piece, self.pieces):
+            key, terms = np.repeat(np.arange(len(entry) - 1) * width, np.diff(entry)) + tile[block], len(entry) - 1
+            df = np.bincount(key, np.diff(first), terms * width)
+            often = np.flatnonzero((df.reshape(-1, width) >= least).ravel())
+            sizes.append(np.diff(first[entry]))
+            keys.append(often + at * width)
+            rows.append(df[often])
+            blocks.append(np.bincount(key, minlength=terms * width)[often])
+            at, entries = at + terms, entries + len(block)
+        size, key, df, of = map(np.concatenate, (sizes, keys, rows, blocks))
+        picks = []
+        for n in range(width):
+            k = np.flatnonzero(key % width == n)
+            k = k[np.argsort(-df[k], kind="stable")[:COMMON]]
+            picks.append(k[: max(FEW, int((df[k] >= SHARE * many[n]).sum()))])
+        pick = np.sort(np.concatenate(picks))
+        rare = size - np.bincount(key[pick] // width, df[pick], len(size)).astype(np.int64)
+        return rare, key[pick], [np.sort(key[k] // width) for k in picks], bool(entries - of[pick].sum() > STRAIGHT * rare.sum())
+
     def unpack(self) -> None:
-        """The postings from their pieces, one piece at a time."""
+        """Matrices of the tiles and the other postings from their pieces, one piece at a time."""
         self.gain = (1 + np.log(np.maximum(np.arange(65_536), 1))).astype(np.float32)
-        sizes = [(np.diff(first[entry]), np.diff(entry)) for first, entry, *_ in map(self.opened_piece, self.pieces)]
-        n, entries = (np.concatenate([np.zeros(0, np.int32), *(x[c] for x in sizes)]) for c in (0, 1))
-        self.start = np.append(np.int32(0), np.cumsum(n, dtype=np.int32))  # of each term's postings
-        self.common = np.argsort(-n, kind="stable")[:COMMON]
-        rare = np.ones(len(n), bool)
-        rare[self.common] = False
-        self.straight = bool(entries[rare].sum() > STRAIGHT * n[rare].sum())
-        if self.straight:
-            self.place, self.weight = np.zeros(self.start[-1], np.uint16 if len(self.ids) <= 1 << 16 else np.int32), np.zeros(self.start[-1], np.float32)
-            idf, t, p = self.idf.astype(np.float32), 0, 0
-            for (n, _), (first, _, block, count, local) in zip(sizes, map(self.opened_piece, self.pieces)):
-                place = np.repeat(block * BLOCK, np.diff(first)) + local
-                self.place[p : p + len(place)] = place
-                self.weight[p : p + len(place)] = self.gain[count] * self.scale[place] * np.repeat(idf[t : t + len(n)], n)
-                t, p = t + len(n), p + len(place)
-        else:
-            pieces = list(map(self.opened_piece, self.pieces))
-            whole = lambda c: np.append(np.int32(0), np.cumsum(np.concatenate([np.zeros(0, np.int32), *(np.diff(x[c]) for x in pieces)]), dtype=np.int32))
-            self.first, self.entry = whole(0), whole(1)
-            self.block, self.count, self.local = (np.concatenate([np.zeros(0, kind), *(x[c] for x in pieces)]) for c, kind in ((2, np.int32), (3, np.uint16), (4, np.uint8)))
-            del pieces
+        width, idf = max(1, len(self.tiles)), self.idf.astype(np.float32)
+        tile = np.repeat(np.arange(len(self.tiles)), [(t.stop - t.start) // BLOCK for t in self.tiles])  # of each block
+        n, chosen, terms, self.straight = self.choose(tile)
+        self.start = np.append(0, np.cumsum(n))  # of each term's postings outside of the matrices
+        self.common = np.unique(np.concatenate(terms))
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[self.common] = np.arange(len(self.common))
+        self.columns = [self.column[t] for t in terms]
+        self.slot = np.full((width, len(self.common)), -1, np.int16)  # the other way: column of each common term in each matrix
+        for slot, columns in zip(self.slot, self.columns):
+            slot[columns] = np.arange(len(columns))
+        begin, wide = np.array([t.start for t in self.tiles] or [0]), np.array([len(t) for t in terms])
+        cells = np.append(0, np.cumsum([(t.stop - t.start) * w for t, w in zip(self.tiles, wide)], dtype=np.int64))
+        matrix = np.zeros(cells[-1], np.float32)
+        self.matrices = [matrix[a:b].reshape(t.stop - t.start, w) for a, b, t, w in zip(cells, cells[1:], self.tiles, wide)]
+        self.posted = np.zeros(n.sum() if self.straight else 0, np.dtype([("place", np.uint16 if len(self.ids) <= 1 << 16 else np.int32), ("weight", np.float32)]))
+        self._bytes = memoryview(self.posted.view(np.uint8))
+        kept: list[tuple] = []
+        t = p = 0
+        for first, entry, block, count, local in map(self.opened_piece, self.pieces):
+            size, of = np.diff(first), np.repeat(np.arange(len(entry) - 1), np.diff(entry))
+            column = np.full((len(entry) - 1) * width, -1, np.int32)  # in the tile's matrix
+            for key in chosen[slice(*np.searchsorted(chosen, [t * width, (t + len(entry) - 1) * width]))]:
+                column[key - t * width] = np.searchsorted(terms[key % width], key // width)
+            c = column[of * width + tile[block]]
+            common = np.repeat(c >= 0, size)
+            place = np.repeat(block * BLOCK, size) + local
+            e = np.repeat(np.arange(len(block)), size)[common]
+            at, c_, k = place[common], c[e], tile[block[e]]
+            matrix[cells[k] + (at - begin[k]).astype(np.int64) * wide[k] + c_] = self.gain[count[common]] * self.scale[at] * idf[t + of[e]]
+            if self.straight:
+                e = slice(p, p + len(place) - len(at))
+                place = place[~common]
+                self.posted["place"][e] = place
+                self.posted["weight"][e] = self.gain[count[~common]] * self.scale[place] * np.repeat(idf[t + of], size)[~common]
+                p = e.stop
+            else:
+                kept.append((size[c < 0], np.bincount(of[c < 0], minlength=len(entry) - 1), block[c < 0], count[~common], local[~common]))
+            t += len(entry) - 1
+        if not self.straight:
+            whole = [np.concatenate([np.zeros(0, kind), *(x[c] for x in kept)]) for c, kind in enumerate((np.int32, np.int32, np.int32, np.uint16, np.uint8))]
+            self.first, self.entry = (np.append(np.int32(0), np.cumsum(x, dtype=np.int32)) for x in whole[:2])
+            self.block, self.count, self.local = whole[2:]
+            del kept
             self.measure()
 
     def measure(self) -> None:
@@ -370,31 +451,15 @@ class ExampleIndex(Weights):
 
     def __getstate__(self) -> dict:
         """For the broadcast: packed postings; what follows from them is made in each worker."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("first", "entry", "block", "count", "local", "start", "place", "weight", "peak", "gain", "common", "where")} | {"_matrix": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "entry", "block", "count", "local", "start", "posted", "_bytes", "peak", "gain", "common", "column", "columns", "slot", "matrices", "where", "_lean")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
+        self._lean = None
         self.where = {i: place for place, i in enumerate(self.ids) if i is not None}
         self.unpack()
         self.pieces = None
 
-    def matrix(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each term or -1, rows): the weights of the most common terms in unit vectors; made in each worker."""
-        if self._matrix is None:
-            row, rows = np.full(len(self.idf), -1, np.int32), np.zeros((len(self.common), len(self.ids)), np.float32)
-            row[self.common] = np.arange(len(self.common))
-            for r, t in enumerate(self.common):
-                if self.straight:
-                    p = slice(self.start[t], self.start[t + 1])
-                    rows[r, self.place[p]] = self.weight[p]
-                    continue
-                e = slice(self.entry[t], self.entry[t + 1])
-                p = slice(self.first[e.start], self.first[e.stop])
-                place = np.repeat(self.block[e] * BLOCK, np.diff(self.first[e.start : e.stop + 1])) + self.local[p]
-                rows[r, place] = self.idf[t] * self.gain[self.count[p]] * self.scale[place]
-            self._matrix = row, rows
-        return self._matrix
-
     def lean(self, at: np.ndarray, own: int | None = None) -> np.ndarray:
         """Root of chi-square of terms that toxic teaching texts have more often, else 0; ``own``: label of a teaching text
         that is left out."""
@@ -409,25 +474,32 @@ class ExampleIndex(Weights):
         """For each text (places, cosines, lean): of each label the k nearest examples with a cosine above 0, and all that
         tie with the last, nearest first; lean: the cosine's parts times the leaning of their terms, summed. ``but``
         leaves out one place, ``own`` its label."""
-        row, rows = self.matrix()
         units = [self.unit(*v) for v in vectors]
-        dense = np.zeros((len(units), len(rows)), np.float32)
+        dense, common = np.zeros((len(units), len(self.common)), np.float32), np.zeros((len(units), len(self.ids)), np.float32)
         for q, (at, w) in zip(dense, units):
-            r = row[at]
-            q[r[r >= 0]] = w[r >= 0]
-        common = (dense @ rows).astype(np.float64)
-        for j, (score, (at, w)) in enumerate(zip(common, units)):
-            r = row[at]
-            lean = self.lean(at, own[j] if own else None)
-            rare = np.flatnonzero(r < 0)
-            place, cos, part = self._near(score, at[rare], w[rare], lean[rare], k, but[j] if but else None)
-            matched = np.flatnonzero((r >= 0) & (lean > 0))
-            part += (w[matched] * lean[matched]) @ rows[np.ix_(r[matched], place)]
+            c = self.column[at]
+            q[c[c >= 0]] = w[c >= 0]
+        for part, columns, rows in zip(self.tiles, self.columns, self.matrices):
+            common[:, part] = dense[:, columns] @ rows.T
+        if own is None and self._lean is None:
+            self._lean = self.lean(np.arange(len(self.idf)))
+        begin = np.array([part.start for part in self.tiles])
+        for j, (at, w) in enumerate(units):
+            lean = self._lean[at] if own is None else self.lean(at, own[j])
+            rare = np.flatnonzero(self.start[at + 1] > self.start[at])
+            rare = np.concatenate([rare[lean[rare] > 0], rare[lean[rare] <= 0]])  # what leans first: no other is looked up again
+            place, cos, part = self._near(common[j].astype(np.float64), at[rare], w[rare], lean[rare], k, but[j] if but else None)
+            c = self.column[at]
+            leans = np.flatnonzero((c >= 0) & (lean > 0))
+            c, q, tile = c[leans], w[leans] * lean[leans], np.searchsorted(begin, place, "right") - 1
+            for n in set(tile.tolist()):
+                slot, mine = self.slot[n][c], np.flatnonzero(tile == n)
+                part[mine] += self.matrices[n][(place[mine] - begin[n])[:, None], slot[slot >= 0]] @ q[slot >= 0]
             yield place, cos, part
 
     def _near(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, lean: np.ndarray, k: int, but: int | None):
         """``score``: the common terms' part of each cosine, to which that of the others is added."""
-        found = (self._read if self.straight else self._open)(score, at, w, k, but)
+        found = (self._read if self.straight else self._open)(score, at, w, lean, k, but)
         if but is not None:
             score[but] = -1
         kinds = [part for part in self.kinds if part.stop > part.start]
@@ -436,27 +508,29 @@ class ExampleIndex(Weights):
         cos = np.concatenate([np.zeros(0), *(c for _, c in near)])
         order = np.argsort(-cos, kind="stable")
         place, cos = place[order], cos[order]
-        slot, part = np.full(len(score), -1), np.zeros(len(place))
-        slot[place] = np.arange(len(place))
+        is_near, slot, part = np.zeros(len(score), bool), np.zeros(len(score), np.int32), np.zeros(len(place))
+        is_near[place], slot[place] = True, np.arange(len(place))
         for at_, weight, of_ in found:
-            hit = np.flatnonzero((slot >= 0)[at_])
+            hit = np.flatnonzero(is_near[at_])
             part += np.bincount(slot[at_[hit]], weight[hit] * lean[of_[hit]], len(place)) if len(hit) else 0
         return place, cos, part
 
-    def _read(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, *_) -> list[tuple]:
-        """All postings of the terms: (places, parts of the cosine, which of the terms)."""
-        runs = list(zip(self.start[at].tolist(), self.start[at + 1].tolist()))
-        of = np.repeat(np.arange(len(at), dtype=np.int32), self.start[at + 1] - self.start[at])
-        if not len(of):
+    def _read(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, lean: np.ndarray, *_) -> list[tuple]:
+        """All postings of the terms; gives those of the leaning ones, which come first: (places, parts of the cosine, which of the terms)."""
+        start, stop, size = self.start[at], self.start[at + 1], self.posted.itemsize
+        n = stop - start
+        if not n.any():
             return []
-        place, weight = (np.concatenate([x[a:b] for a, b in runs]) for x in (self.place, self.weight))
-        weight *= w.astype(np.float32)[of]
+        runs = map(slice, (start * size).tolist(), (stop * size).tolist())
+        got = np.frombuffer(b"".join(map(self._bytes.__getitem__, runs)), self.posted.dtype)
+        place, weight = got["place"].astype(np.intp), got["weight"] * np.repeat(w, n)
         score += np.bincount(place, weight, len(score))
         self.blocks, self.opened = self.blocks + len(score) // BLOCK, self.opened + len(score) // BLOCK
-        self.postings, self.read = self.postings + len(of), self.read + len(of)
-        return [(place, weight, of)]
+        self.postings, self.read = self.postings + len(place), self.read + len(place)
+        of = np.repeat(np.arange(len(at), dtype=np.int32), n * (lean > 0))
+        return [(place[: len(of)], weight[: len(of)], of)]
 
-    def _open(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, but: int | None) -> list[tuple]:
+    def _open(self, score: np.ndarray, at: np.ndarray, w: np.ndarray, lean: np.ndarray, k: int, but: int | None) -> list[tuple]:
         """The same in the blocks that can hold one of the ``k`` nearest of a label."""
         runs = self.entry[at + 1] - self.entry[at]
         e, of = spread(self.entry[at], runs), np.repeat(np.arange(len(at)), runs)
@@ -495,7 +569,8 @@ class ExampleIndex(Weights):
     @staticmethod
     def best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k largest above 0 to six places, and all that tie with the last."""
-        least = np.partition(score, -k)[-k] if len(score) > k else 0
+        peak = score.reshape(BLOCK, -1).max(0) if len(score) % BLOCK == 0 else score  # the k-th largest is not below that of these
+        least = np.partition(peak, -k)[-k] if len(peak) > k else 0
         place = np.flatnonzero(score >= least - 1e-5)
         near = np.round(score[place], 6)
         if len(near) > k:
@@ -552,7 +627,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, heads = TermCounter(place.value), Heads(*weighed.value)
         for batch in batches:
-            found = [counter.count(text.as_py()) for text in batch["text"]]
+            found = list(counter.count(text.as_py() for text in batch["text"]))
             head = [heads.head(t, n) for t, n, _ in found]
             lists = [pa.array([v[c] for v in found], pa.list_(pa.int32())) for c in (0, 1)]
             mark = pa.array([xxhash.xxh3_64_intdigest(t.tobytes() + n.tobytes()) >> 1 for t, n, _ in found], pa.int64())
@@ -612,9 +687,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]  # copies are scored once
             if len(known) > COPIES:
                 known.clear()
-            new = {k: t for k, t in zip(keys, texts) if k not in known}
-            for k, ((raw,), evidence) in zip(new, shared.value.votes([counter.count(t) for t in new.values()], (best,))):
-                known[k] = float(np.interp(raw, xs, ys)), [{"id": i, "similarity": s, "toxic": y} for i, s, y in evidence]
+            new = iter({k: t for k, t in zip(keys, texts) if k not in known}.items())
+            while some := dict(islice(new, BATCH)):
+                for k, ((raw,), evidence) in zip(some, shared.value.votes(list(counter.count(some.values())), (best,))):
+                    known[k] = float(np.interp(raw, xs, ys)), [{"id": i, "similarity": s, "toxic": y} for i, s, y in evidence]
             found = [known[k] for k in keys]
             kinds = pa.list_(pa.struct([("id", arrow_kind), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], kinds)], ["id", "score", "evidence"])

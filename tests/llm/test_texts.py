@@ -200,6 +200,35 @@ def test_links_in_tiles_and_chains(spark):
     assert len(i) == sum(bin(a ^ b).count("1") <= 4 for k, a in enumerate(unique) for b in unique[:k])
 
 
+def test_links_of_classes_that_agree_in_blocks(spark, monkeypatch):
+    """Every link is met in tiles that a choice of blocks makes, also where one tile is crowded; far fewer pairs are compared."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 3_000, dtype=np.uint64)
+    turned = base[:300].copy()
+    for k, m in enumerate(turned):
+        for b in rng.choice(64, 1 + k % 6, replace=False):
+            turned[k] ^= np.uint64(1) << np.uint64(b)
+    crowd = base[0] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    unique = rng.permutation(np.unique(np.concatenate([base, turned, crowd])))
+    classes = spark.createDataFrame(list(enumerate(unique.view(np.int64).tolist())), "key bigint, f0 bigint")
+    n, parent = len(unique), {}
+    pairs = list(simhash.links(unique[:, None], None, 4))
+    member, root = simhash.forest(n, iter(pairs))
+    parent = dict(zip(member.tolist(), root.tolist()))
+    for classes_at_size in (n, 1 << 40, 1 << 45):  # one, two and three blocks agree
+        choices = simhash.agreements(classes_at_size, 1, 4)
+        assert len(choices) == {n: 5, 1 << 40: 35, 1 << 45: 35}[classes_at_size]
+    assert len(simhash.agreements(1 << 25, 1, 4)) == 15 and simhash.agreements(n, 2, 30) == [] and len(simhash.agreements(n, 2, 4)) >= 5
+    for choices, most in ((simhash.agreements(n, 1, 4), 1 << 12), (simhash.agreements(1 << 25, 1, 4), 100), (simhash.agreements(n, 1, 4), 100)):
+        monkeypatch.setattr(simhash, "HELD", 500)
+        got = {r["key"]: r["root"] for r in simhash.components(simhash.agreeing_edges(classes, n, 1, 4, choices, most)).collect()}
+        assert got == parent
+    monkeypatch.setattr(simhash, "tiled_edges", None)  # a small radius needs no pairs of whole tiles
+    assert {r["key"]: r["root"] for r in simhash.components(simhash.class_edges(classes, 1, 4)).collect()} == parent
+    small = simhash.class_edges(classes.limit(0), 1, 4)
+    assert small.count() == 0
+
+
 def test_simhash_odd_rows(odd, none):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(TEXTS)

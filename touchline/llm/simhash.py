@@ -15,6 +15,12 @@ folder every round. There are about ``PAIRS`` pairs of tiles for each core of th
 often as the square root of that says, whatever the number of classes, until a tile reaches ``MOST`` classes (6 MB); from
 there on the number of pairs, the data moved and the comparisons grow with the square of the number of classes.
 
+A small radius (as op10's) needs few of these pairs: cut into radius + m blocks of bits, two fingerprints within the
+radius agree in m blocks at least, whichever these are. So each choice of m blocks makes tiles of the classes that agree
+in them; only these are compared bit by bit, and no link is missed. m grows with the number of classes, so that a tile keeps
+``FEW`` classes or fewer on average, and data moved and comparisons grow with the classes. Classes of tiles that are far
+larger (many near copies) meet in the tiles of the other kind, pair of tiles by pair of tiles.
+
 Defined results: null or empty texts and those without words have the fingerprint zero, linked like any other; fewer
 words than a shingle make one shingle of all of them; repeated ids stay, row for row; a null id belongs to its
 fingerprint's class and is never the smallest; an empty table gives no rows. Only the named columns are read.
@@ -24,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +43,8 @@ from .common import discard, table, written
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Pairs of tiles for each core, least and most classes of a tile, classes of a block inside a tile.
 PAIRS, LEAST, MOST, BLOCK = 12, 1 << 11, 1 << 18, 256
+#: Tiles of agreeing classes: most choices of blocks, classes of a tile on average and at most, rows that a task holds, rows and links at a time.
+CHOICES, FEW, CROWD, HELD, LINKS = 64, 1 << 10, 1 << 12, 1 << 17, 1 << 18
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -161,13 +170,133 @@ def tile_size(classes: int, cores: int) -> int:
     return min(MOST, max(LEAST, -(-classes // math.ceil(math.sqrt(2 * PAIRS * cores)))))
 
 
+def agreements(classes: int, lanes: int, radius: int) -> list[list[tuple[int, int, int]]]:
+    """Choices of blocks (lane, first bit, bits), of which two fingerprints within the radius agree in one at least.
+
+    The fewest whose tiles hold ``FEW`` classes on average; none if the radius would need more than ``CHOICES``.
+    """
+    found: list = []
+    for agree in range(1, 64):
+        each = -(-(radius + agree) // lanes)
+        if each > 64 or math.comb(each * lanes, radius) > CHOICES:
+            break
+        cuts = [64 * k // each for k in range(each + 1)]
+        blocks = [(lane, a, b - a) for lane in range(lanes) for a, b in zip(cuts, cuts[1:])]
+        found = [list(c) for c in combinations(blocks, len(blocks) - radius)]
+        if classes >> min(sum(n for _, _, n in c) for c in found) <= FEW:
+            break
+    return found
+
+
+def run_links(marks: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j within the radius among rows of one run; ``ends``: each row's end of its run."""
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(marks[i, lane] ^ marks[j, lane]).astype(np.int16) for lane in range(marks.shape[1])) <= radius
+
+    first = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.zeros(0, int)
+    size = ends[first] - first
+    i, d = np.flatnonzero(np.repeat(size <= 64, size)), 1  # short runs all at once: each row and the d-th after it
+    while len(i := i[i + d < ends[i]]):
+        fits = near(i, i + d)
+        if fits.any():
+            yield i[fits], i[fits] + d
+        d += 1
+    for a, n in zip(first[size > 64].tolist(), size[size > 64].tolist()):
+        for p in range(a, a + n, BLOCK):
+            top, rest = marks[p : min(p + BLOCK, a + n)], marks[p : a + n]
+            bits = np.bitwise_count(top[:, None, 0] ^ rest[None, :, 0])
+            for lane in range(1, marks.shape[1]):
+                bits += np.bitwise_count(top[:, None, lane] ^ rest[None, :, lane])
+            i, j = np.nonzero(bits <= radius)
+            i, j = i[i < j], j[i < j]
+            if len(i):
+                yield i + p, j + p
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in fewer, larger arrays."""
+    held, n = [], 0
+    for pair in pairs:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= LINKS:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def agreeing_edges(classes: DataFrame, count: int, lanes: int, radius: int, choices: list[list[tuple[int, int, int]]], crowd: int = CROWD) -> DataFrame:
+    """``class_edges`` by tiles of classes that agree in the blocks of a choice; no tile of more than ``crowd`` classes."""
+    names = [f"f{i}" for i in range(lanes)]
+
+    def bits(choice: list[tuple[int, int, int]]) -> Column:
+        value, width = F.lit(0).cast("bigint"), 0
+        for lane, at, n in choice:
+            part = F.shiftrightunsigned(F.col(f"f{lane}"), at).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1).cast("bigint"))
+            value, width = value.bitwiseOR(F.shiftleft(part, width)) if width + n <= 64 else F.xxhash64(value, part), width + n
+        return value
+
+    tiles = F.array(*[F.struct(F.lit(k).alias("choice"), bits(c).alias("value")) for k, c in enumerate(choices)])
+    dealt = classes.select("key", *names, F.explode(tiles).alias("_t")).select("key", *names, "_t.choice", "_t.value")
+    crowd = max(crowd, 4 * (count >> min(sum(n for _, _, n in c) for c in choices)))
+    crowded = written(dealt.groupBy("choice", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("choice", "value"), "simhash-crowds")
+    apart = None
+    if not crowded.isEmpty():
+        many = written(dealt.join(crowded, ["choice", "value"], "left_semi").select("key", *names).distinct(), "simhash-many")
+        apart = tiled_edges(many, many.count(), lanes, radius)
+        dealt = dealt.join(crowded, ["choice", "value"], "left_anti")
+
+    def linked(piece: pa.Table) -> pa.RecordBatch:
+        key, marks = piece["key"].to_numpy(), np.stack([piece[n].to_numpy() for n in names], 1).view(np.uint64)
+        begins = _begins(piece)
+        ends = np.repeat(np.r_[begins[1:], len(key)], np.diff(np.r_[begins, len(key)]))
+        rank = np.argsort(key)
+        at = np.empty(len(key), np.int64)
+        at[rank] = np.arange(len(key))
+        member, root = forest(len(key), ((at[i], at[j]) for i, j in _gathered(run_links(marks, ends, radius))))
+        return pa.RecordBatch.from_arrays([pa.array(key[rank[member]], pa.int64()), pa.array(key[rank[root]], pa.int64())], ["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD and (at := int(_begins(piece := pa.Table.from_batches(held))[-1])):
+                yield linked(piece.slice(0, at))
+                held, rows = piece.slice(at).to_batches(), piece.num_rows - at
+        if rows:
+            yield linked(pa.Table.from_batches(held))
+
+    rows, cores = count * len(choices), classes.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(4 * cores, rows >> 12), -(-rows >> 20))
+    found = dealt.repartition(parts, "choice", "value").sortWithinPartitions("choice", "value").mapInArrow(run, "src bigint, dst bigint")
+    edges = written((found.unionByName(apart) if apart else found).filter("src <> dst").distinct(), "simhash-edges")
+    discard(crowded, *((many, apart) if apart else ()))
+    return edges
+
+
+def _begins(piece: pa.Table) -> np.ndarray:
+    """Where runs of one (choice, value) begin."""
+    choice, value = piece["choice"].to_numpy(), piece["value"].to_numpy()
+    return np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (value[1:] != value[:-1])])
+
+
 def class_edges(classes: DataFrame, lanes: int, radius: int, tile: int | None = None, ratio: float | None = None) -> DataFrame:
     """(src, dst) with dst < src: a spanning forest of all links between classes (key, f0 ..) within the radius.
 
     ``ratio``: classes have a size ``n`` too, and of a link the smaller one must be at least ``ratio`` of the larger one.
+    Tiles in order of population counts are taken with a ``ratio``, a given size of ``tile`` or a large radius.
     """
-    names = [f"f{i}" for i in range(lanes)]
     count = classes.count()
+    choices = agreements(count, lanes, radius) if tile is None and ratio is None else []
+    return agreeing_edges(classes, count, lanes, radius, choices) if choices else tiled_edges(classes, count, lanes, radius, tile, ratio)
+
+
+def tiled_edges(classes: DataFrame, count: int, lanes: int, radius: int, tile: int | None = None, ratio: float | None = None) -> DataFrame:
+    """``class_edges`` by pairs of tiles in order of population counts. ``count``: how many classes there are."""
+    names = [f"f{i}" for i in range(lanes)]
     tile = tile or tile_size(count, classes.sparkSession.sparkContext.defaultParallelism)
     tiles = max(1, -(-count // tile))
     sized = ratio is not None

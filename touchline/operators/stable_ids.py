@@ -1,4 +1,6 @@
-"""T2, T10, T11: stable ids from raw tracker ids, motion, appearance and team, one fold for each (match, role).
+"""T2, T10, T11: stable ids from raw tracker ids, motion, appearance and team, in order of frames within each (match, role).
+
+Tables are followed by ``crowds``, many matches at once; ``stable_step`` does the same for one match, and streams use it.
 
 A frame's detections pass six stages; each takes what the stages before left over: continuity with the frame before,
 the raw tracker's own id, a cheapest assignment, a rescue by motion alone, then new ids, or at the cap the reuse of an
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import BALL, KEEPER, PLAYER, REFEREE
-from .folds import KEY, Step, fold, iou, xyxy
+from .folds import KEY, Step, iou, xyxy
 from .kernels import assign
 
 
@@ -375,7 +377,9 @@ def stabilise_ids(detections: DataFrame, rules: dict[int, Rules] | None = None)
 
     ``detections``: match_id, frame, class_id, conf, box, and where present tracker_id, team_id, appearance (unit vector).
     """
+    from .crowds import follow
+
     kinds = {"tracker_id": "bigint", "team_id": "int", "appearance": "array<double>"}
     extra = [F.col(c).cast(k).alias(c) if c in detections.columns else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
     rows = detections.filter(F.col("class_id") != BALL).select(*KEY, F.col("class_id").cast("int").alias("class_id"), "conf", "x1", "y1", "x2", "y2", *extra)
-    return fold(rows, ["match_id", "class_id"], ["-conf", "x1", "y1", "x2", "y2"], Crowd, role_step(rules), SCHEMA)
+    return follow(rows, rules or ROLES)

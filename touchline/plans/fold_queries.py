@@ -27,18 +27,24 @@ def _(v):
     return folds.smooth_ball(shifted, v.fx_frames)
 
 
-def with_looks(v, t, frames: int = 50):
-    """Each row with a vector of ``embeddings``, of the whole table: an id has another one every ``frames`` frames."""
+def with_looks(v, t, frames: int = 50, unit: bool = False):
+    """Each row with a vector of ``embeddings``, of the whole table: an id has another one every ``frames`` frames.
+
+    ``unit``: of length one; vectors are brought to it before rows meet them.
+    """
     e = v.table("embeddings")
     vectors = (e.agg(F.max("vec_id")).first()[0] or 0) + 1
     spot = F.pmod(F.hash("match_id", "display_track_id", F.floor(F.col("frame") / frames)), F.lit(vectors))
-    return t.withColumn("vec_id", spot.cast("bigint")).join(e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("look")), "vec_id", "left").drop("vec_id")
+    looks = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("look"))
+    if unit:
+        norm = F.sqrt(F.aggregate("look", F.lit(0.0), lambda s, x: s + x * x))
+        looks = looks.withColumn("look", F.zip_with("look", F.array_repeat(norm, F.size("look")), lambda x, n: x / n))
+    return t.withColumn("vec_id", spot.cast("bigint")).join(looks, "vec_id", "left").drop("vec_id")
 
 
 def stable(v):
-    norm = F.sqrt(F.aggregate("look", F.lit(0.0), lambda s, x: s + x * x))
-    t = with_looks(v, v.fx_tracks.withColumn("tracker_id", F.col("display_track_id")))
-    return stable_ids.stabilise_ids(t.withColumn("appearance", F.zip_with("look", F.array_repeat(norm, F.size("look")), lambda x, n: x / n)).drop("look"))
+    t = with_looks(v, v.fx_tracks.withColumn("tracker_id", F.col("display_track_id")), unit=True)
+    return stable_ids.stabilise_ids(t.withColumnRenamed("look", "appearance"))
 
 
 @query("t2_stabilise_ids", "match_id frame class_id track_id", BOX, "assign_reason")

@@ -152,3 +152,26 @@ def test_sidecars_there_and_back(spark, tmp_path, form):
 def test_damaged_matrix_is_null(spark, tmp_path):
     (tmp_path / "match_1.json").write_text('{"frames": {"5": [[1, 2, 3], [4, 5], [7, 8, 9]], "6": [[1, 2, 3], [4, 5, 6], [7, 8, 9]]}}')
     assert {r["frame"]: r["h"] for r in sidecars.read_homographies(spark, str(tmp_path)).collect()} == {5: None, 6: [float(k) for k in range(1, 10)]}
+
+
+def test_tracks_have_a_file_a_match_whatever_the_tasks(spark, sf, tmp_path, monkeypatch):
+    """Files grow with the matches, not with matches x tasks."""
+    import glob
+
+    from touchline.plans import catalog, source_queries
+
+    spark.read.parquet(f"{sf}/lineitem.parquet").repartition(5).write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = iter(("first", "second"))
+    monkeypatch.setattr(source_queries, "new_folder", lambda s, name: str(tmp_path / next(made)))
+    conf = {"spark.sql.files.openCostInBytes": "1g"}  # a task a file
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    try:
+        got = catalog.QUERIES["s1_read_tracks"](spark, str(tmp_path))
+        written = [f for f in glob.glob(f"{tmp_path}/first/*/*/*") if "part-" in f]
+        assert len(written) == got.select("match_id").distinct().count() > 0
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    want = catalog.QUERIES["s1_read_tracks"](spark, sf)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -21,7 +21,8 @@ def _(v):
     folder = new_folder(v.spark, "tracks")
     for k, (sep, order, codec) in enumerate(FORMS):
         part = t.filter(F.col("match_id") % len(FORMS) == k).select("match_id", *COLUMNS[::order])
-        part.write.partitionBy("match_id").options(header="true", sep=sep, **({"compression": codec} if codec else {})).csv(f"{folder}/form_{k}")
+        # a match's rows meet before they are written, so it has one file; else each task writes one of every match that it sees
+        part.repartition(2 * v.spark.sparkContext.defaultParallelism, "match_id").write.partitionBy("match_id").options(header="true", sep=sep, **({"compression": codec} if codec else {})).csv(f"{folder}/form_{k}")
     return tables.read_tracks(v.spark, f"{folder}/*/*", pattern=r"match_id=(\d+)")
 
 

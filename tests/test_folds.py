@@ -485,3 +485,42 @@ def test_restitch_hits_are_moved_once(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_slots_by_stretches_as_row_by_row():
+    rng = np.random.default_rng(6)
+    for cap, ids in ((3, 5), (12, 12), (12, 14), (0, 4), (22, 60)):
+        sid = rng.integers(-1, ids, 3_000)
+        sid[1_000:2_000] = rng.integers(0, max(1, cap), 1_000)  # a stretch in which nobody needs a slot
+        frame = np.sort(rng.integers(0, 700, len(sid)))
+        one, many = folds.Slots(), folds.Slots()
+        want = [folds.slot_of(one, cap, f, i) for f, i in zip(frame.tolist(), sid.tolist())]
+        cuts = [0, 7, 900, 901, 3_000]
+        got = [folds.slots_of(many, cap, frame[a:b], sid[a:b], least=16) for a, b in zip(cuts, cuts[1:])]
+        assert np.concatenate([g[0] for g in got]).tolist() == [w[0] for w in want]
+        assert np.concatenate([g[1] for g in got]).tolist() == [-1 if w[1] is None else w[1] for w in want]
+        assert (one.slot, one.seen) == (many.slot, many.seen)
+
+
+def test_players_below_the_cap_are_not_scored(monkeypatch):
+    """Scores pick who goes; where nobody has to, no box is compared. Rows that a step gets stay as they are."""
+    step, asked = folds.clean_step(), []
+    monkeypatch.setattr(folds, "iou", lambda a, b: asked.append(a) or 0.0)
+    state, rows = folds.Officials(), [person(2, k, 100 * k, 0.5) for k in range(22)]
+    assert len(step(state, 0, rows)) == len(step(state, 1, rows)) == 22 and not asked
+    step(state, 2, [*rows, person(2, 22, 2300, 0.4)])
+    assert asked
+    monkeypatch.undo()
+    state = folds.Officials()
+    step(state, 0, [person(1, 5, 0, 0.9)])
+    row = person(2, 9, 1, 0.9)
+    before = dict(row)
+    assert [(r["track_id"], r["class_id"], r["rescued_from"]) for r in step(state, 1, [row])] == [(5, 1, 9)] and row == before
+
+
+def test_the_flow_cleans_frames_once(spark, sf, tmp_path):
+    """The plan that gives tracks reads written frames: no cleaning fold stands in it twice."""
+    from touchline.plans import catalog
+
+    plan = catalog.QUERIES["flow_track_frames"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1  # the slots' fold

@@ -203,31 +203,57 @@ class Slots:
     seen: dict[int, int] = field(default_factory=dict)
 
 
+def slot_of(s: Slots, cap: int, frame: int, sid: int) -> tuple[int, int | None]:
+    """Slot of an id, and the id that gave it up for this one."""
+    if sid < 0 or cap <= 0:
+        return sid if sid >= 0 else -1, None
+    s.seen[sid], evicted = frame, None
+    if sid not in s.slot:
+        taken = set(s.slot.values())
+        free = next((k for k in range(1, cap + 1) if k not in taken), None)
+        if free is None:
+            evicted = min(s.slot, key=lambda i: (s.seen[i], s.slot[i]))
+            free = s.slot.pop(evicted)
+        s.slot[sid] = free
+    return s.slot[sid], evicted
+
+
 def slot_step(cap: int) -> Step:
     """Each row with ``display_track_id`` and whether a slot was taken over (``evicted``)."""
 
     def step(s: Slots, frame: int, rows: list[dict]) -> list[dict]:
         out = []
         for r in rows:
-            sid, evicted = r["track_id"], None
-            if sid < 0 or cap <= 0:
-                shown = sid if sid >= 0 else -1
-            else:
-                s.seen[sid] = frame
-                if sid not in s.slot:
-                    taken = set(s.slot.values())
-                    free = next((k for k in range(1, cap + 1) if k not in taken), None)
-                    if free is None:
-                        evicted = min(s.slot, key=lambda i: (s.seen[i], s.slot[i]))
-                        free = s.slot.pop(evicted)
-                    s.slot[sid] = free
-                shown = s.slot[sid]
-            out.append({"match_id": r["match_id"], "frame": frame, "class_id": r["class_id"], "track_id": sid, "display_track_id": shown, "evicted": evicted})
+            shown, evicted = slot_of(s, cap, frame, r["track_id"])
+            out.append({"match_id": r["match_id"], "frame": frame, "class_id": r["class_id"], "track_id": r["track_id"], "display_track_id": shown, "evicted": evicted})
         return out
 
     return step
 
 
+def slots_of(s: Slots, cap: int, frame: np.ndarray, sid: np.ndarray, least: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """``slot_of`` for rows in order; evicted -1: none. Stretches whose ids all hold a slot are taken at once."""
+    shown, evicted = np.where(sid >= 0, sid, -1), np.full(len(sid), -1)
+    a, width = 0, least
+    while cap > 0 and a < len(sid):
+        b = min(len(sid), a + width)
+        ids, back = np.unique(sid[a:b], return_inverse=True)
+        held = [-1 if i < 0 else s.slot.get(i) for i in ids.tolist()]
+        if None in held:
+            for k in range(a, b):
+                shown[k], gone = slot_of(s, cap, int(frame[k]), int(sid[k]))
+                evicted[k] = -1 if gone is None else gone
+            width = least
+        else:
+            shown[a:b] = np.array(held)[back]
+            last = np.empty(len(ids), np.int64)
+            last[back] = frame[a:b]  # frames ascend and the last one counts
+            s.seen.update((i, f) for i, f in zip(ids.tolist(), last.tolist()) if i >= 0)
+            width = min(2 * width, 1 << 14)
+        a = b
+    return shown, evicted
+
+
 SLOT_SCHEMA = "match_id bigint, frame bigint, class_id int, track_id bigint, display_track_id bigint, evicted bigint"
 
 
@@ -242,8 +268,21 @@ def slot_dispatch(limits: dict[int, int]) -> Step:
 
 def display_slots(tracks: DataFrame, p: Params = DEFAULTS, limits: dict[int, int] | None = None) -> DataFrame:
     """(match_id, frame, class_id, track_id, display_track_id, evicted): stable ids in slots 1..cap of their class."""
-    rows = tracks.filter(F.col("class_id") != BALL).select(*KEY, "class_id", "track_id")
-    return fold(rows, ["match_id", "class_id"], ["track_id"], Slots, slot_dispatch(limits or caps(p)), SLOT_SCHEMA)
+    limits = limits or caps(p)
+    kinds = pa.schema([(name, ARROW[kind]) for name, kind in (c.split() for c in SLOT_SCHEMA.split(","))])
+
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Slots()
+        for piece in pieces:
+            if piece.num_rows:
+                shown, evicted = slots_of(s, limits.get(piece["class_id"][0].as_py(), 0), piece["frame"].to_numpy(), piece["track_id"].to_numpy())
+                own = [piece[c] for c in ("match_id", "frame", "class_id", "track_id")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(shown, pa.int64()), pa.array(evicted, pa.int64(), mask=evicted < 0)], schema=kinds)
+
+    whole = ["match_id", "frame", "track_id"]
+    rows = tracks.filter(F.col("class_id") != BALL).select(*[F.col(c).cast("bigint").alias(c) for c in whole], F.col("class_id").cast("int").alias("class_id"))
+    by = ["match_id", "class_id"]
+    return rows.repartition(*by).sortWithinPartitions(*by, "frame", "track_id").groupBy(*by).applyInArrow(run, SLOT_SCHEMA)
 
 
 # ---- J2: overlaps of players and officials -----------------------------------------------------------------------
@@ -252,10 +291,9 @@ def display_slots(tracks: DataFrame, p: Params = DEFAULTS, limits: dict[int, int
 def overlap_losers(rows: list[dict], bonus: Callable[[dict], float], p: Params = DEFAULTS) -> set[int]:
     """Places (in ``rows``) that lose: each official in turn against the players still there; an official that loses stops."""
     lost: set[int] = set()
-    players = [k for k, r in enumerate(rows) if r["class_id"] == PLAYER]
-    for k, r in enumerate(rows):
-        if r["class_id"] not in (KEEPER, REFEREE):
-            continue
+    officials = [(k, r) for k, r in enumerate(rows) if r["class_id"] in (KEEPER, REFEREE)]
+    players = [k for k, r in enumerate(rows) if r["class_id"] == PLAYER] if officials else []
+    for k, r in officials:
         for q in players:
             if q in lost or iou(xyxy(r), xyxy(rows[q])) < p.overlap_iou:
                 continue
@@ -295,11 +333,14 @@ class Officials:
     players: dict[int, tuple] = field(default_factory=dict)
 
 
+CLEAN = ("match_id", "frame", "track_id", "class_id", "conf", "x1", "y1", "x2", "y2", "rescued_from")
+
+
 def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
     """Rescue, pitch gate, overlaps, quotas, same side, cap, uniqueness, in this order; then the memory is renewed."""
 
     def step(s: Officials, frame: int, rows: list[dict]) -> list[dict]:
-        rows = [dict(r) for r in rows]
+        rows = list(rows)
 
         def known(r: dict) -> tuple | None:
             m = s.memory.get(r["track_id"])
@@ -307,7 +348,7 @@ def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
 
         claimed = {r["track_id"] for r in rows if r["class_id"] in (KEEPER, REFEREE) and r["track_id"] >= 0}
         near = [(sid, cls, at, frame - when) for sid, (cls, at, when, _) in s.memory.items() if 0 < frame - when <= horizon and sid not in claimed]
-        for r in rows if near else []:  # players on a remembered official's place
+        for k, r in enumerate(rows if near else []):  # players on a remembered official's place
             if r["class_id"] != PLAYER:
                 continue
             best, (x1, y1, x2, y2) = None, xyxy(r)
@@ -315,13 +356,13 @@ def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
                 if at[0] < x2 and x1 < at[2] and at[1] < y2 and y1 < at[3] and sid not in claimed and (over := iou((x1, y1, x2, y2), at)) >= 0.20:
                     best = max(best or (-math.inf, 0, 0), (over - 0.01 * gap, -sid, cls))
             if best:
-                r["rescued_from"], r["track_id"], r["class_id"] = r["track_id"], -best[1], best[2]
-                claimed.add(r["track_id"])
+                rows[k] = r | {"rescued_from": r["track_id"], "track_id": -best[1], "class_id": best[2]}
+                claimed.add(-best[1])
         placed = lambda r: r["gate_x"] is not None and r["gate_y"] is not None
         out_of = lambda r, mx, my: not (-mx <= r["gate_x"] <= p.pitch_length + mx and -my <= r["gate_y"] <= p.pitch_width + my)
         rows = [r for r in rows if not (placed(r) and out_of(r, p.margin_x, p.margin_y))]
-        lost = overlap_losers(rows, lambda r: p.official_bonus * bool(known(r)), p)
-        rows = [r for k, r in enumerate(rows) if k not in lost]
+        if lost := overlap_losers(rows, lambda r: p.official_bonus * bool(known(r)), p):
+            rows = [r for k, r in enumerate(rows) if k not in lost]
 
         def official_score(r: dict) -> float:
             m = known(r)
@@ -333,6 +374,8 @@ def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
 
         def keep_best(cls: int, most: int, score: Callable[[dict], float]) -> None:
             of = [k for k, r in enumerate(rows) if r["class_id"] == cls]
+            if len(of) <= most:  # nobody has to go, so nobody is scored
+                return
             drop = set(sorted(of, key=lambda k: -score(rows[k]))[most:])
             rows[:] = [r for k, r in enumerate(rows) if k not in drop]
 
@@ -360,7 +403,7 @@ def clean_step(p: Params = DEFAULTS, horizon: int = 600) -> Step:
             if sid not in fresh and frame - when <= horizon:
                 fresh[sid] = cls, at, when, max(1, streak - 1)
         s.memory = fresh
-        return [{c: r.get(c) for c in ("match_id", "frame", "track_id", "class_id", "conf", "x1", "y1", "x2", "y2", "rescued_from")} for r in unique]
+        return [{c: r.get(c) for c in CLEAN} for r in unique]
 
     return step
 

@@ -54,7 +54,8 @@ def track_frames(detections: DataFrame, homography: DataFrame, p: Params = DEFAU
     ids = stable_ids.stabilise_ids(seen)
     before = homography.withColumn("frame", F.col("frame") + 1)
     gated = rows.project_to_pitch(ids, before).withColumnsRenamed({"x_m": "gate_x", "y_m": "gate_y"})
-    clean = folds.clean_frames(gated, p)
+    # written once: the slots and the tracks both read it, and each would clean every frame anew
+    clean = kept(folds.clean_frames(gated, p), "clean-frames")
     shown = folds.display_slots(clean, p).select("match_id", "frame", "class_id", "track_id", "display_track_id").distinct()
     tracks = clean.join(shown, ["match_id", "frame", "class_id", "track_id"])
     return rows.demote_keepers(rows.project_to_pitch(tracks, homography), p.keeper_zone, p)
